@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from turnmill.session import ship
 
 #: Rows of one Arrow batch to a Python worker; with Spark's default of 10,000 a run of long texts would fill a worker.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

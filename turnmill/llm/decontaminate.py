@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from turnmill.llm.common import chunks, small_batches, table, text_bytes
 
 WINDOW = 10
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 8 << 20
 
 #: A-Z to a-z; 0 for what is no word byte. Bytes of non-ASCII characters are word bytes.
@@ -328,10 +328,21 @@ def longest_matches(docs: DataFrame, tests: DataFrame, *, least: int = WINDOW, d
     return out.groupBy("item_id", "item_pos").agg(best.alias("b")).select("item_id", "item_pos", "b.*")
 
 
-def decontaminate(docs: DataFrame, tests: DataFrame, **how) -> DataFrame:
+def decontaminate(docs: DataFrame, tests: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs in which no window of a test item occurs, with docs' columns."""
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col(how.pop("text", "text")).alias("_doc"))
-    return contamination(row, tests, text="_doc", keep=("_row",), **how).where(F.size("items") == 0).select("_row.*")
+    spark = docs.sparkSession
+    small_batches(spark)
+    out = docs
+    for block in blocks(tests, item_id, item_text, block_bytes):
+        known = spark.sparkContext.broadcast(Tests(block, window))
+
+        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            for batch in chunks(batches, text, shard_bytes):
+                shard = Shard(text_bytes(batch.column(text)), known.value.longest)
+                yield batch.filter(pa.array([not x for x in shard.hits(known.value)[1]]))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

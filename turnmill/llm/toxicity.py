@@ -139,7 +139,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str,
     schema = rows.drop("_text").schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "_text", 1 << 22):
+        for b in chunks(batches, "_text", 1 << 21):
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([known.value.score(t) for t in b.column("_text").to_pylist()], pa.float64())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -147,8 +147,13 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str,
 
 def drop_toxic(docs: DataFrame, model: Model, *, text: str = "text", bar: float = 0.5) -> DataFrame:
     """The rows of docs that score below the bar, with docs' columns."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text].alias("_doc"))
-    return score(rows, model, text="_doc", keep=("_row",)).where(F.col("score") < bar).select("_row.*")
+    known = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, text, 1 << 21):
+            yield b.filter(pa.array([known.value.score(t) < bar for t in b.column(text).to_pylist()]))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
