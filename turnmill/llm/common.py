@@ -117,3 +117,10 @@ def first_texts(docs: DataFrame, keys: DataFrame, misses: DataFrame, doc_id: str
     texts = docs.select(F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text")).withColumn("digest", digest_of(F.col("_text")))
     same = texts["_id"].eqNullSafe(F.col("_i")) & (texts["digest"] == F.col("_d"))
     return texts.join(F.broadcast(others) if few else others.hint("merge"), same, "left_anti").select("digest", "_text")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level BPE files write for bytes: printable Latin-1 for themselves, the others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}

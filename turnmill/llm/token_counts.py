@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import chunks, cut, first_texts, keyed, new_path, small_batches, table
+from turnmill.llm.common import byte_letters, chunks, cut, first_texts, keyed, new_path, small_batches, table
 
 LIMIT = 512
 CACHE_SCHEMA = "digest binary, version string, n_bytes bigint, n_tokens bigint"
@@ -46,7 +46,7 @@ class Counter:
             import public_tokenizers
 
             special = {x["content"]: x["id"] for x in file["added_tokens"]}
-            byte = {c: b for b, c in _byte_letters().items()}
+            byte = {c: b for b, c in byte_letters().items()}
             ranks = {bytes(byte[c] for c in w): k for w, k in file["model"]["vocab"].items() if w not in special}
             self.fast = tiktoken.Encoding("cache", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.unusual = re.compile(rf"[^\x00-\u{PLAIN - 1:04x}]")
@@ -68,13 +68,6 @@ class Counter:
         return out
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letters that byte-level BPE files write for bytes: printable Latin-1 for themselves, the others from U+0100 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
 _counters: dict[str, Counter] = {}
 
 
