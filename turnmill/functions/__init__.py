@@ -1,0 +1 @@
+"""Column functions: text normalization, tokenization, entities, numbers and schedules."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from turnmill.plans import dialogue_queries  # noqa: F401
+from turnmill.plans.registry import QUERIES, SQL
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
