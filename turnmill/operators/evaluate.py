@@ -8,14 +8,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnmill.functions.text import tok
-from turnmill.operators.ngrams import ngrams
+from turnmill.operators.ngrams import marked
 
 END = "</S>"
 
 
 def segment_ngrams(words: Column, orders: int) -> Column:
     """array<struct<n, ngram>> of the orders 1 to `orders`."""
-    return F.concat(*[F.transform(ngrams(words, n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("ngram"))) for n in range(1, orders + 1)])
+    return F.concat(*[marked(words, n) for n in range(1, orders + 1)])
 
 
 def bleu(rows: DataFrame, *, key: str, references: str = "references", hypothesis: str = "hypothesis", max_order: int = 4, smooth: bool = False) -> DataFrame:

@@ -13,10 +13,15 @@ def ngrams(words: Column, n: int, compat: bool = False) -> Column:
     return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def marked(words: Column, n: int, compat: bool = False) -> Column:
+    """array<struct<n, ngram>>."""
+    return F.transform(ngrams(words, n, compat), lambda g: F.struct(F.lit(n).alias("n"), g.alias("ngram")))
+
+
 def exploded(texts: DataFrame, orders: list[int], text: str = "text", compat: bool = False) -> DataFrame:
     """(n, ngram) of all orders in one pass over the texts."""
     words = texts.select(tok(text).alias("w"))
-    grams = F.concat(*[F.transform(ngrams(F.col("w"), n, compat), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("ngram"))) for n in orders])
+    grams = F.concat(*[marked(F.col("w"), n, compat) for n in orders])
     return words.select(F.explode(grams).alias("g")).select("g.n", "g.ngram")
 
 
@@ -43,7 +48,7 @@ def distinct_exact(texts: DataFrame, orders: list[int], text: str = "text", comp
 def sketches(texts: DataFrame, orders: list[int], by: list[str], text: str = "text", compat: bool = False) -> DataFrame:
     """(by, n, sketch): mergeable distinct-count sketches, for corpora that arrive in parts (hll_union_agg, hll_sketch_estimate)."""
     words = texts.select(*by, tok(text).alias("w"))
-    grams = F.concat(*[F.transform(ngrams(F.col("w"), n, compat), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("ngram"))) for n in orders])
+    grams = F.concat(*[marked(F.col("w"), n, compat) for n in orders])
     return words.select(*by, F.explode(grams).alias("g")).groupBy(*by, "g.n").agg(F.hll_sketch_agg("g.ngram").alias("sketch"))
 
 

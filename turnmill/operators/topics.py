@@ -33,7 +33,9 @@ def prepare(texts: DataFrame, *, text: str = "text", min_word_length: int = 3, m
 def train(docs: DataFrame, *, text: str = "text", n_topics: int = 200, no_below: float = 600, no_above: float = 0.5, keep_n: int = 100_000, passes: int = 70, min_length: int | None = None, seed: int = 1) -> PipelineModel:
     """Vectorizer and LDA, learned online. docs: one row per document."""
     rows = docs.withColumn("terms", topic_terms(tok(text), stopwords(), min_length))
-    vectors = CountVectorizer(inputCol="terms", outputCol="counts", minDF=no_below, maxDF=no_above, vocabSize=keep_n)
+    vectors = CountVectorizer(inputCol="terms", outputCol="counts", minDF=no_below, vocabSize=keep_n)
+    if no_above < 1:  # 1.0 would be read as one document
+        vectors = vectors.setMaxDF(no_above)
     lda = LDA(k=n_topics, maxIter=passes, optimizer="online", featuresCol="counts", topicDistributionCol="topics", seed=seed, optimizeDocConcentration=True)
     return Pipeline(stages=[vectors, lda]).fit(rows)
 
