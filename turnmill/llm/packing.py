@@ -45,8 +45,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def char_class(kind: str) -> str:
-    """The characters below PLAIN whose category starts with `kind`, for use in a pattern's brackets."""
-    return "".join(re.escape(chr(c)) for c in range(PLAIN) if unicodedata.category(chr(c)).startswith(kind))
+    """Of the characters below PLAIN and their lower-case forms those whose category starts with `kind`, for use in a pattern's brackets."""
+    every = sorted({x for c in map(chr, range(PLAIN)) for x in c + c.lower()})
+    return "".join(re.escape(c) for c in every if unicodedata.category(c).startswith(kind))
 
 
 class WordTokenizer:
