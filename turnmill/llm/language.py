@@ -103,17 +103,20 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(by))
 
 
-def wide(df: DataFrame) -> DataFrame:
-    """Fewer, longer tasks (twice the cores), so that what each task counts on its own is merged a bounded number of times."""
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+def first_of_each(rows: DataFrame, group: str, key: str, k: int, salts: int = 32) -> DataFrame:
+    """The first k rows of each group in the order of a hash of `key`. A group is dealt over `salts` parts, of which each keeps k rows, before it meets: at most salts x k rows of a group do."""
+    order = [F.xxhash64(key), F.col(key)]
+    parts = rows.withColumn("_s", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(salts)))
+    for by in ([group, "_s"], [group]):
+        parts = parts.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
+    return parts.drop("_s")
 
 
 def train(docs: DataFrame, train_rows: Column, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", bits: int = BITS, per_language: int = PER_LANGUAGE) -> Model:
     """A model from the rows of docs where train_rows holds."""
     small_batches(docs.sparkSession)
     used = docs.where(train_rows & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
-    order = F.xxhash64(F.col(doc_id))
-    picked = used.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), order.alias("_o")).withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_o", "_id"))).where(F.col("_n") <= per_language)
+    picked = first_of_each(used.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang")), "_lang", "_id", per_language)
     names = sorted(r[0] for r in picked.select("_lang").distinct().collect())
     texts = used.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
 
@@ -127,7 +130,7 @@ def train(docs: DataFrame, train_rows: Column, *, text: str = "text", lang: str
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], rows))], names=["f", "n"])
 
-    found = wide(texts.select("_text")).mapInArrow(frequencies, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.select("_text").mapInArrow(frequencies, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
     f, n = found.column("f").to_numpy(), found.column("n").to_numpy()
     total = int(n[f == -1].sum())
     idf = np.zeros(1 << bits, np.float32)

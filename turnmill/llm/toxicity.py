@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnmill.llm.common import chunks, small_batches, table
 from turnmill.llm.grams import codes, ids
-from turnmill.llm.language import remainder, wide
+from turnmill.llm.language import first_of_each, remainder
 
 BITS = 20
 ORDERS = (3, 6)
@@ -95,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, *, text: str =
         at = np.flatnonzero(found.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), *(pa.array(np.append(found[y][at], rows[y]).astype(np.int64)) for y in (1, 0))], names=["f", "toxic", "clean"])
 
-    counted = wide(known).select("_text", "y").mapInArrow(count, "f int, toxic bigint, clean bigint").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
+    counted = known.select("_text", "y").mapInArrow(count, "f int, toxic bigint, clean bigint").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
     f = counted.column("f").to_numpy()
     toxic, clean = counted.column("toxic").to_numpy(), counted.column("clean").to_numpy()
     n1, n0 = int(toxic[f < 0].sum()), int(clean[f < 0].sum())
@@ -111,8 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, *, text: str =
     use = (toxic + clean >= LEAST) & (np.abs(r) > NEAR)
     ratio[f[use]] = r[use]
 
-    order = F.xxhash64("_id")
-    picked = marks.withColumn("_n", F.row_number().over(Window.partitionBy("y").orderBy(order, "_id"))).where(F.col("_n") <= per_class).select("_id", "y")
+    picked = first_of_each(marks, "y", "_id", per_class).select("_id", "y")
     shared = spark.sparkContext.broadcast(ratio != 0)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
