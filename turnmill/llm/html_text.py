@@ -171,8 +171,7 @@ def tree(text: str) -> Node:
                         stack[-1].kids.append(html.unescape(inner) if name == "textarea" else inner)
                     close_to(len(stack) - 1)
                 at = end.end() if end else len(text)
-    if at < len(text):
-        put(text[at:])
+    put(text[at:].partition("<!--")[0])  # an open comment hides what follows
     return root
 
 
