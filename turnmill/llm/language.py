@@ -2,8 +2,8 @@
 
 Features: n-grams of 1 to 3 characters of the whole text (letters; the rest counts as blanks), hashed to 2 ** BITS ids; a value is
 (1 + ln count) x idf, and a text's values have length 1. Document frequencies are counted over all training documents. Weights are fitted
-by follow-the-regularised-leader with L1 and L2 penalties (so most are exactly zero), on at most `PER_LANGUAGE` training documents
-of each language, taken in the order of a hash of their ids; a fifth of these is held back and sets one temperature that calibrates the probabilities.
+by follow-the-regularised-leader with L1 and L2 penalties (so most are exactly zero), on about `PER_LANGUAGE` training documents
+of each language, chosen by a hash of their ids; a fifth of these is held back and sets one temperature that calibrates the probabilities.
 What is broadcast (idf and weights) is bounded by the hash space.
 
 Defined results: null text and text without a letter is `und` with score 0; without training rows everything is `und`;
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnmill.llm.common import chunks, small_batches, table
 from turnmill.llm.grams import codes, ids
@@ -103,20 +103,18 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(by))
 
 
-def first_of_each(rows: DataFrame, group: str, key: str, k: int, salts: int = 32) -> DataFrame:
-    """The first k rows of each group in the order of a hash of `key`. A group is dealt over `salts` parts, of which each keeps k rows, before it meets: at most salts x k rows of a group do."""
-    order = [F.xxhash64(key), F.col(key)]
-    parts = rows.withColumn("_s", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(salts)))
-    for by in ([group, "_s"], [group]):
-        parts = parts.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
-    return parts.drop("_s")
+def sample_of_each(rows: DataFrame, group: str, key: str, k: int) -> DataFrame:
+    """About k rows of each group (all of a smaller one): those whose key's hash lies below the group's share. Nothing is sorted and no group is gathered."""
+    sizes = F.broadcast(rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_c")))  # one row for each group: languages or labels
+    unit = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    return rows.join(sizes, F.col(group) == F.col("_g")).where(unit < F.lit(float(k)) / F.col("_c")).drop("_g", "_c")
 
 
 def train(docs: DataFrame, train_rows: Column, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", bits: int = BITS, per_language: int = PER_LANGUAGE) -> Model:
     """A model from the rows of docs where train_rows holds."""
     small_batches(docs.sparkSession)
     used = docs.where(train_rows & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
-    picked = first_of_each(used.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang")), "_lang", "_id", per_language)
+    picked = sample_of_each(used.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang")), "_lang", "_id", per_language)
     names = sorted(r[0] for r in picked.select("_lang").distinct().collect())
     texts = used.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
 
@@ -141,7 +139,7 @@ def train(docs: DataFrame, train_rows: Column, *, text: str = "text", lang: str
             made = [counts(t, bits) for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_lang"), pa.array([at.astype("<u4").tobytes() for at, _ in made], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in made], pa.binary())], names=["_id", "_lang", "at", "n"])
 
-    # at most per_language rows of each language: a bounded side
+    # about per_language rows of each language: a bounded side
     chosen = texts.join(F.broadcast(picked.select("_id").distinct()), "_id", "left_semi")
     kind = texts.schema["_id"].dataType.simpleString()
     rows = chosen.mapInArrow(features, f"_id {kind}, _lang string, at binary, n binary").withColumn("_o", F.xxhash64("_id")).toArrow().sort_by([("_o", "ascending"), ("_id", "ascending")])

@@ -3,7 +3,7 @@
 Features: whether an n-gram of 3 to 6 characters of a word (with its bounds) occurs in the text, hashed to 2 ** BITS ids. Over all
 labelled training documents, a feature's ratio is r = ln(p / q), p and q its smoothed shares of the n-gram occurrences of toxic and
 clean documents; a feature in a text has the value r. A logistic regression over these values is fitted by
-follow-the-regularised-leader with an elastic net, on at most `PER_CLASS` documents of each label, in the order of a hash of their
+follow-the-regularised-leader with an elastic net, on about `PER_CLASS` documents of each label, chosen by a hash of their
 ids; the intercept is corrected for the labels' true shares. Features of fewer than `LEAST` training documents, or whose ratio is within `NEAR` of
 zero, have the value zero.
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnmill.llm.common import chunks, small_batches, table
 from turnmill.llm.grams import codes, ids
-from turnmill.llm.language import first_of_each, remainder
+from turnmill.llm.language import sample_of_each, remainder
 
 BITS = 20
 ORDERS = (3, 6)
@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, *, text: str =
     use = (toxic + clean >= LEAST) & (np.abs(r) > NEAR)
     ratio[f[use]] = r[use]
 
-    picked = first_of_each(marks, "y", "_id", per_class).select("_id", "y")
+    picked = sample_of_each(marks, "y", "_id", per_class).select("_id", "y")
     shared = spark.sparkContext.broadcast(ratio != 0)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, *, text: str =
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("y"), pa.array(made, pa.binary())], names=["_id", "y", "at"])
 
     kind = texts.schema["_id"].dataType.simpleString()
-    # at most per_class rows of each label: a bounded side
+    # about per_class rows of each label: a bounded side
     rows = texts.join(F.broadcast(picked), "_id").select("_id", "y", "_text").mapInArrow(features, f"_id {kind}, y int, at binary").withColumn("_o", F.xxhash64("_id")).toArrow().sort_by([("_o", "ascending"), ("_id", "ascending")])
     fit = [(np.frombuffer(at, "<u4").astype(np.int64), y) for at, y in zip(rows.column("at").to_pylist(), rows.column("y").to_pylist(), strict=True)]
     ones = sum(y for _, y in fit)
