@@ -78,9 +78,9 @@ def test_temperature_and_sampling(spark):
     x = [(v, int(rng.choice(3, p=L.softmax(v)))) for v, _ in x]
     assert 3 < L.fit_temperature([(v * 4, y) for v, y in x]) < 5.5 and L.fit_temperature([]) == 1.0
     df = spark.range(1000).selectExpr("id as k", "if(id < 900, 'a', 'b') as g")
-    got = L.first_of_each(df, "g", "k", 7)
-    assert sorted(r.g for r in got.collect()) == ["a"] * 7 + ["b"] * 7
-    assert sorted(r.k for r in got.collect()) == sorted(r.k for r in L.first_of_each(df, "g", "k", 7, salts=3).collect())
+    got = L.sample_of_each(df, "g", "k", 100).groupBy("g").count().collect()
+    assert {r.g for r in got} == {"a", "b"} and all(60 < r["count"] <= 140 for r in got)
+    assert L.sample_of_each(df, "g", "k", 950).count() == 1000
 
 
 def labelled(spark, n=1500, seed=2):
