@@ -140,7 +140,7 @@ def train(docs: DataFrame, train_rows: Column, *, text: str = "text", lang: str
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_lang"), pa.array([at.astype("<u4").tobytes() for at, _ in made], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in made], pa.binary())], names=["_id", "_lang", "at", "n"])
 
     # about per_language rows of each language: a bounded side
-    chosen = texts.join(F.broadcast(picked.select("_id").distinct()), "_id", "left_semi")
+    chosen = texts.join(F.broadcast(picked.select("_id").distinct()), "_id", "left_semi").dropDuplicates(["_id"])
     kind = texts.schema["_id"].dataType.simpleString()
     rows = chosen.mapInArrow(features, f"_id {kind}, _lang string, at binary, n binary").withColumn("_o", F.xxhash64("_id")).toArrow().sort_by([("_o", "ascending"), ("_id", "ascending")])
     model = Model(names, idf, np.zeros((1 << bits, max(1, len(names))), np.float32), 1.0, bits)

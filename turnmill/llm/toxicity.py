@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, *, text: str =
 
     kind = texts.schema["_id"].dataType.simpleString()
     # about per_class rows of each label: a bounded side
-    rows = texts.join(F.broadcast(picked), "_id").select("_id", "y", "_text").mapInArrow(features, f"_id {kind}, y int, at binary").withColumn("_o", F.xxhash64("_id")).toArrow().sort_by([("_o", "ascending"), ("_id", "ascending")])
+    rows = texts.join(F.broadcast(picked), "_id").select("_id", "y", "_text").dropDuplicates(["_id"]).mapInArrow(features, f"_id {kind}, y int, at binary").withColumn("_o", F.xxhash64("_id")).toArrow().sort_by([("_o", "ascending"), ("_id", "ascending")])
     fit = [(np.frombuffer(at, "<u4").astype(np.int64), y) for at, y in zip(rows.column("at").to_pylist(), rows.column("y").to_pylist(), strict=True)]
     ones = sum(y for _, y in fit)
     if not ones or ones == len(fit):
