@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import chunks, small_batches, table, text_bytes
+from turnmill.llm.common import arrow_map, chunks, table, text_bytes
 
 WINDOW = 10
 SHARD_BYTES = 2 << 20
@@ -38,6 +38,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0 to n - 1, at least, of ODD and of its inverse."""
     if len(_powers[0]) < n:
         for k, base in enumerate((ODD, INVERSE)):
             p = np.full(n, base, np.uint64)
@@ -268,13 +269,12 @@ def contamination(docs: DataFrame, tests: DataFrame, *, text: str = "text", keep
                   window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of docs: the `keep` columns, n_words, spans (words hit, end exclusive, one list for each block of tests) and items (ids, as strings)."""
     spark = docs.sparkSession
-    small_batches(spark)
     out = docs.select(*[docs[c] for c in keep], docs[text].alias("_text"), F.lit(None).cast("bigint").alias("n_words"),
                       F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
     # at least one pass, so that n_words is there without tests as well
     for block in list_or_empty(blocks(tests, item_id, item_text, block_bytes)):
         known = spark.sparkContext.broadcast(Tests(block, window))
-        out = out.mapInArrow(lambda it, known=known: _pass(it, known.value, shard_bytes), out.schema)
+        out = arrow_map(out, lambda it, known=known: _pass(it, known.value, shard_bytes), out.schema)
     return out.drop("_text")
 
 
@@ -306,7 +306,6 @@ def longest_matches(docs: DataFrame, tests: DataFrame, *, least: int = WINDOW, d
                     shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Longest verbatim match over all shards of each test suffix, if it has `least` words: item_id, item_pos, match_words, doc_id, doc_pos (of words)."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("_text"))
     out = None
     for block in list_or_empty(blocks(tests, item_id, item_text, block_bytes)):
@@ -322,7 +321,7 @@ def longest_matches(docs: DataFrame, tests: DataFrame, *, least: int = WINDOW, d
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True) if found else [[]] * 5, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)],
                                                  names=["item_id", "item_pos", "match_words", "doc_id", "doc_pos"])
 
-        part = rows.mapInArrow(search, "item_id string, item_pos bigint, match_words bigint, doc_id string, doc_pos bigint")
+        part = arrow_map(rows, search, "item_id string, item_pos bigint, match_words bigint, doc_id string, doc_pos bigint")
         out = part if out is None else out.unionByName(part)
     best = F.min_by(F.struct("match_words", "doc_id", "doc_pos"), F.struct(-F.col("match_words"), "doc_id", "doc_pos"))
     return out.groupBy("item_id", "item_pos").agg(best.alias("b")).select("item_id", "item_pos", "b.*")
@@ -331,7 +330,6 @@ def longest_matches(docs: DataFrame, tests: DataFrame, *, least: int = WINDOW, d
 def decontaminate(docs: DataFrame, tests: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs in which no window of a test item occurs, with docs' columns."""
     spark = docs.sparkSession
-    small_batches(spark)
     out = docs
     for block in blocks(tests, item_id, item_text, block_bytes):
         known = spark.sparkContext.broadcast(Tests(block, window))
@@ -341,7 +339,7 @@ def decontaminate(docs: DataFrame, tests: DataFrame, *, text: str = "text", item
                 shard = Shard(text_bytes(batch.column(text)), known.value.longest)
                 yield batch.filter(pa.array([not x for x in shard.hits(known.value)[1]]))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = arrow_map(out, run, docs.schema)
     return out
 
 

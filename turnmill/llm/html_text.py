@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import chunks, small_batches, table
+from turnmill.llm.common import arrow_map, chunks, table
 
 DEPTH = 150
 CELL = 40
@@ -364,7 +364,6 @@ def render(text: str | None) -> str | None:
 
 def extract(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The `keep` columns and text."""
-    small_batches(pages.sparkSession)
     rows = pages.select(*[pages[c] for c in keep], pages[html_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,7 +371,7 @@ def extract(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] =
             found = pa.array([render(x) for x in b.column("text").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], found], names=b.schema.names)
 
-    return rows.mapInArrow(run, rows.schema)
+    return arrow_map(rows, run, rows.schema)
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

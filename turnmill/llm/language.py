@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import chunks, small_batches, table
+from turnmill.llm.common import arrow_map, chunks, table
 from turnmill.llm.grams import codes, ids
 
 BITS = 15
@@ -112,7 +112,6 @@ def sample_of_each(rows: DataFrame, group: str, key: str, k: int) -> DataFrame:
 
 def train(docs: DataFrame, train_rows: Column, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", bits: int = BITS, per_language: int = PER_LANGUAGE) -> Model:
     """A model from the rows of docs where train_rows holds."""
-    small_batches(docs.sparkSession)
     used = docs.where(train_rows & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
     picked = sample_of_each(used.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang")), "_lang", "_id", per_language)
     names = sorted(r[0] for r in picked.select("_lang").distinct().collect())
@@ -128,7 +127,7 @@ def train(docs: DataFrame, train_rows: Column, *, text: str = "text", lang: str
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], rows))], names=["f", "n"])
 
-    found = texts.select("_text").mapInArrow(frequencies, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    found = arrow_map(texts.select("_text"), frequencies, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
     f, n = found.column("f").to_numpy(), found.column("n").to_numpy()
     total = int(n[f == -1].sum())
     idf = np.zeros(1 << bits, np.float32)
@@ -142,7 +141,7 @@ def train(docs: DataFrame, train_rows: Column, *, text: str = "text", lang: str
     # about per_language rows of each language: a bounded side
     chosen = texts.join(F.broadcast(picked.select("_id").distinct()), "_id", "left_semi").dropDuplicates(["_id"])
     kind = texts.schema["_id"].dataType.simpleString()
-    rows = chosen.mapInArrow(features, f"_id {kind}, _lang string, at binary, n binary").withColumn("_o", F.xxhash64("_id")).toArrow().sort_by([("_o", "ascending"), ("_id", "ascending")])
+    rows = arrow_map(chosen, features, f"_id {kind}, _lang string, at binary, n binary").withColumn("_o", F.xxhash64("_id")).toArrow().sort_by([("_o", "ascending"), ("_id", "ascending")])
     model = Model(names, idf, np.zeros((1 << bits, max(1, len(names))), np.float32), 1.0, bits)
     fit, held = [], []
     for k, (g, at, v) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("_lang", "at", "n")), strict=True)):
@@ -166,7 +165,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[st
             found = [known.value.predict(t) for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ length go by the random order.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import unicodedata
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import byte_letters, chunks, small_batches, table
+from turnmill.llm.common import arrow_map, byte_letters, chunks, table
 
 LENGTH = 4096
 END = 2
@@ -54,9 +55,7 @@ class WordTokenizer:
     """Ids of whole texts for a lower-casing BPE file whose words are encoded one by one."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         self.special = [x["content"] for x in file.get("added_tokens", [])]
@@ -74,6 +73,13 @@ class WordTokenizer:
         self.pattern = re.compile(WORDS.replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", f"[{digits}]").replace(r"[^\s\p{L}\p{N}]", f"[^\t-\r \x85\xa0{letters}{digits}]"))
         self.unusual = re.compile(rf"[^\x01-\u{PLAIN - 1:04x}]")
 
+    @functools.cached_property
+    def whole(self):
+        """The library itself, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> list[int]:
         if self.quick and not self.unusual.search(text) and not any(s in text for s in self.special):
             words = self.pattern.findall(text.lower())
@@ -95,7 +101,6 @@ PIECE = "doc_id {id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens
 
 def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END, path: str | None = None, ids: bool = False) -> DataFrame:
     """One row for each piece of each document; with `ids`, its token ids as well."""
-    small_batches(docs.sparkSession)
     path = path or tokenizer_path()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -117,7 +122,7 @@ def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lengt
                 cols.append(pa.array(parts, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(cols)])
 
-    return rows.mapInArrow(run, PIECE.format(id=kind) + ", ids array<bigint>" * ids)
+    return arrow_map(rows, run, PIECE.format(id=kind) + ", ids array<bigint>" * ids)
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +180,7 @@ def pack(found: DataFrame, *, length: int = LENGTH, group: int = GROUP, seed: in
         if rows:
             yield from out(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, schema)
+    return arrow_map(dealt, run, schema)
 
 
 def pack_documents(docs: DataFrame, *, length: int = LENGTH, group: int = GROUP, **how) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import chunks, cut, digest_of, first_texts, keyed, new_path, small_batches, table
+from turnmill.llm.common import arrow_map, chunks, cut, digest_of, first_texts, keyed, new_path, table
 
 # The contract's base patterns, with the group and the length that a match needs.
 BASE = [
@@ -68,7 +68,7 @@ def scan_blobs(texts: DataFrame, version: str = RULE_VERSION) -> DataFrame:
             found = [[dict(zip(("kind", "start", "end"), x, strict=True)) for x in findings(t)] for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([version] * b.num_rows, pa.string()), pa.array(found, kind)], names=["digest", "version", "found"])
 
-    return texts.mapInArrow(run, LEDGER)
+    return arrow_map(texts, run, LEDGER)
 
 
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
@@ -81,7 +81,6 @@ def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
 def scan(docs: DataFrame, ledger: str, *, doc_id: str = "doc_id", text: str = "text", version: str = RULE_VERSION) -> DataFrame:
     """(_id, digest, found) of each row of docs (a path's version). ledger: a folder of shared storage, made if it isn't there."""
     spark = docs.sparkSession
-    small_batches(spark)
     keys = keyed(docs, doc_id, text)
     seen = read_ledger(spark, ledger).where(F.col("version") == version).select("digest")
     firsts = keys.groupBy("digest").agg(F.min("_id").alias("_id"))

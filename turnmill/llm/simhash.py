@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import BROADCAST_ROWS, cut, small_batches, table, text_bytes
+from turnmill.llm.common import BROADCAST_ROWS, arrow_map, cut, table, text_bytes
 
 SHINGLE = 3
 DISTANCE = 2
@@ -63,7 +63,6 @@ def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
     """The `keep` columns and _fp, the fingerprint as a signed long."""
-    small_batches(docs.sparkSession)
     rows = docs.select(*[docs[c] for c in keep], docs[text].alias("_text"), F.lit(0).cast("bigint").alias("_fp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +70,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] =
             got = np.array([fingerprint_of(x, shingle) for x in text_bytes(b.column("_text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns - 2)), pa.array(got)], names=[*b.schema.names[:-2], "_fp"])
 
-    return rows.mapInArrow(run, rows.drop("_text").schema)
+    return arrow_map(rows, run, rows.drop("_text").schema)
 
 
 def _buckets(fps: DataFrame) -> DataFrame:
@@ -144,7 +143,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of each node with a link; root is the least node reachable."""
-    edges = cut(edges.mapInArrow(_local, "a bigint, b bigint"), "links")
+    edges = cut(arrow_map(edges, _local, "a bigint, b bigint"), "links")
     mark = None
     while True:
         edges = cut(_star(_star(edges, True), False), "stars")

@@ -15,6 +15,7 @@ ignored; an empty cache or table is fine.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -24,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import byte_letters, chunks, cut, first_texts, keyed, new_path, small_batches, table
+from turnmill.llm.common import arrow_map, byte_letters, chunks, cut, first_texts, keyed, new_path, table
 
 LIMIT = 512
 CACHE_SCHEMA = "digest binary, version string, n_bytes bigint, n_tokens bigint"
@@ -33,10 +34,7 @@ PLAIN = 0x250
 
 class Counter:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.fast = None
+        self.path, self.fast = path, None
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         pre = file.get("pre_tokenizer") or {}
@@ -51,6 +49,13 @@ class Counter:
             self.fast = tiktoken.Encoding("cache", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.unusual = re.compile(rf"[^\x00-\u{PLAIN - 1:04x}]")
 
+    @functools.cached_property
+    def library(self):
+        """The tokenizers library, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def count(self, texts: list[str]) -> list[int]:
         out, rest = [], []
         for k, t in enumerate(texts):
@@ -63,8 +68,9 @@ class Counter:
             if n < 0:
                 rest.append(k)
             out.append(n)
-        for k, e in zip(rest, self.library.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
-            out[k] = len(e.ids)
+        if rest:
+            for k, e in zip(rest, self.library.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
+                out[k] = len(e.ids)
         return out
 
 
@@ -90,13 +96,12 @@ def encode_misses(texts: DataFrame, path: str, version: str) -> DataFrame:
             n = pc.binary_length(t).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([version] * b.num_rows, pa.string()), n, pa.array(_counters[path].count(t.to_pylist()), pa.int64())], names=["digest", "version", "n_bytes", "n_tokens"])
 
-    return texts.mapInArrow(run, CACHE_SCHEMA)
+    return arrow_map(texts, run, CACHE_SCHEMA)
 
 
 def count_tokens(docs: DataFrame, cache: str, *, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes and n_tokens of each row. cache: a folder of shared storage, made if it isn't there."""
     spark = docs.sparkSession
-    small_batches(spark)
     version = version_of(path)
     old = read_cache(spark, cache)
     keys = keyed(docs, doc_id, text)

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from turnmill.llm.common import small_batches, table
+from turnmill.llm.common import arrow_map, table
 
 QUERY_BLOCK = 2048
 CANDIDATE_BLOCK = 2048
@@ -98,7 +98,6 @@ def _block(rows: list) -> tuple[np.ndarray, np.ndarray]:
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, *, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score); both inputs as quantized() makes them."""
     spark = candidates.sparkSession
-    small_batches(spark)
     parts = None
     for number, (ids, matrix) in enumerate(blocks(queries, query_block)):
         known = spark.sparkContext.broadcast((ids, matrix))
@@ -116,7 +115,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, *, query_block:
                     rows = pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in cols], names=["q", "vec_id", "score"])
                     yield pa.RecordBatch.from_arrays([pa.array(own).take(rows.column("q")), *rows.columns[1:], pc.add(rows.column("q"), first)], names=["query_id", "vec_id", "score", "_q"])
 
-        part = candidates.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint, _q bigint")
+        part = arrow_map(candidates, run, "query_id bigint, vec_id bigint, score bigint, _q bigint")
         parts = part if parts is None else parts.unionByName(part)
     if parts is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")

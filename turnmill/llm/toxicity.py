@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import chunks, small_batches, table
+from turnmill.llm.common import arrow_map, chunks, table
 from turnmill.llm.grams import codes, ids
 from turnmill.llm.language import sample_of_each, remainder
 
@@ -80,7 +80,6 @@ def fit_ftrl(rows: list[tuple[np.ndarray, int]], ratio: np.ndarray, epochs: int
 def train(docs: DataFrame, labels: DataFrame, train_rows: Column, *, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", bits: int = BITS, per_class: int = PER_CLASS) -> Model:
     """A model from the labelled rows of docs where train_rows holds."""
     spark = docs.sparkSession
-    small_batches(spark)
     marks = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).where(train_rows).groupBy(F.col(doc_id).alias("_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
     few = labels.count() <= BROADCAST_LABELS
     texts = docs.where(F.col(text).isNotNull()).where(train_rows).select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
@@ -95,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, *, text: str =
         at = np.flatnonzero(found.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), *(pa.array(np.append(found[y][at], rows[y]).astype(np.int64)) for y in (1, 0))], names=["f", "toxic", "clean"])
 
-    counted = known.select("_text", "y").mapInArrow(count, "f int, toxic bigint, clean bigint").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
+    counted = arrow_map(known.select("_text", "y"), count, "f int, toxic bigint, clean bigint").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
     f = counted.column("f").to_numpy()
     toxic, clean = counted.column("toxic").to_numpy(), counted.column("clean").to_numpy()
     n1, n0 = int(toxic[f < 0].sum()), int(clean[f < 0].sum())
@@ -121,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, *, text: str =
 
     kind = texts.schema["_id"].dataType.simpleString()
     # about per_class rows of each label: a bounded side
-    rows = texts.join(F.broadcast(picked), "_id").select("_id", "y", "_text").dropDuplicates(["_id"]).mapInArrow(features, f"_id {kind}, y int, at binary").withColumn("_o", F.xxhash64("_id")).toArrow().sort_by([("_o", "ascending"), ("_id", "ascending")])
+    rows = arrow_map(texts.join(F.broadcast(picked), "_id").select("_id", "y", "_text").dropDuplicates(["_id"]), features, f"_id {kind}, y int, at binary").withColumn("_o", F.xxhash64("_id")).toArrow().sort_by([("_o", "ascending"), ("_id", "ascending")])
     fit = [(np.frombuffer(at, "<u4").astype(np.int64), y) for at, y in zip(rows.column("at").to_pylist(), rows.column("y").to_pylist(), strict=True)]
     ones = sum(y for _, y in fit)
     if not ones or ones == len(fit):
@@ -141,7 +140,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str,
         for b in chunks(batches, "_text", 1 << 21):
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([known.value.score(t) for t in b.column("_text").to_pylist()], pa.float64())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, text: str = "text", bar: float = 0.5) -> DataFrame:
@@ -152,7 +151,7 @@ def drop_toxic(docs: DataFrame, model: Model, *, text: str = "text", bar: float
         for b in chunks(batches, text, 1 << 21):
             yield b.filter(pa.array([known.value.score(t) < bar for t in b.column(text).to_pylist()]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

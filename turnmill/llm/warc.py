@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import BROADCAST_ROWS, cut, new_path, small_batches, table
+from turnmill.llm.common import BROADCAST_ROWS, arrow_map, cut, new_path, table
 
 SEGMENT = 32 << 10
 CHUNK = 8 << 10
@@ -99,7 +99,6 @@ def records_of(page_id: object, url: str | None, payload: bytes, digest: str, re
 
 def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", payload: str = "html", segment: int = SEGMENT, revisit_from: int = REVISIT_FROM, broadcast_rows: int = BROADCAST_ROWS) -> None:
     """Write pages (payload: string, taken as UTF-8, or binary) as WARC files into the folder `path`."""
-    small_batches(pages.sparkSession)
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(page_id).alias("_id"), F.col(url).alias("_url"), body.alias("_body"), F.sha2(body, 256).alias("_digest"))
     keys = cut(rows.select("_id", "_digest", F.length("_body").alias("n")), "payloads")
@@ -123,7 +122,7 @@ def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url
             yield pa.RecordBatch.from_arrays([pa.array([END.encode().join(held)], pa.binary())], names=["value"])
 
     # a payload may be any bytes, and a cut may fall into a character: the cast keeps bytes as they are
-    text = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    text = arrow_map(rows, run, "value binary").select(F.col("value").cast("string").alias("value"))
     text.write.option("lineSep", END).option("maxRecordsPerFile", RUNS).text(path)
 
 
@@ -156,7 +155,6 @@ def parse(content: bytes) -> Iterator[dict]:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives in a folder."""
-    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,7 +169,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 yield _batch(held)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    return files.mapInArrow(run, RECORD)
+    return arrow_map(files, run, RECORD)
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
@@ -200,7 +198,7 @@ def reassemble(records: DataFrame) -> DataFrame:
                 intact = [ok and (kind == "revisit" or x is not None) for x, ok, kind in zip(found, sound, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(p.column(n) for n in names), pa.array(intact), pa.array(found, pa.binary())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
