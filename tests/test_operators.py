@@ -190,3 +190,14 @@ def test_topics(spark):
     assert none.topic == -1 and none.topic_words == []
     lines = TP.topical_lines(spark.createDataFrame([(["a", "b"], ["x", "y"]), (["c"], [])], "utterances array<string>, topic_words array<string>"))
     assert [r.value for r in lines.collect()] == ["a\tb\tx y", "c\t<NO_TOPIC>"]
+
+
+def test_choices(spark):
+    rows = spark.range(100)
+    a, b = B.sample(rows, 5, "id", 1), B.sample(rows.repartition(7), 5, "id", 1)
+    assert sorted(r.id for r in a.collect()) == sorted(r.id for r in b.collect()) and a.count() == 5
+    e = spark.createDataFrame([(1, 5.0), (2, 3.0), (3, 3.0)], "step int, ppl double")
+    r = V.best_checkpoint(e, "step", "ppl").first()
+    assert (r.step, r.ppl) == (2, 3.0)
+    beams = spark.createDataFrame([("a", 0, -2.0, 1), ("a", 1, -3.0, 10)], "k string, b int, p double, n int")
+    assert V.ranked_beams(beams, "k", "p", "n", 0.0, 1).first().b == 0 and V.ranked_beams(beams, "k", "p", "n", 1.0, 1).first().b == 1

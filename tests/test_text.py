@@ -113,3 +113,15 @@ def test_numbers(spark):
     assert M.bucket_width(None, 5) == 10
     with pytest.raises(ValueError):
         M.decayed(1.0, F.lit(1), 10, "other")
+
+
+def test_sentences_and_tags(spark):
+    from turnmill.functions import annotate as A
+
+    assert A.sentences('He left. "Why?" she asked. Dr. Who came! ok') == ["He left.", '"Why?" she asked.', "Dr. Who came! ok"]
+    assert A.sentences("") == []
+    assert [w[4] for w in A.tagged("RedditUser paid 3.5 at @url$")] == ["PERSON", "", "NUMBER", "", "URL"]
+    df = spark.createDataFrame([("Hi. There",), (None,)], "x string")
+    got = df.select(A.sentences_udf()("x").alias("s"), normalize_entities(A.tagged_udf()("x")).alias("n")).collect()
+    assert got[0].s == ["Hi.", "There"] and got[0].n == ["hi", ".", "there"] and got[1].s is None
+    assert df.select(A.sentences_udf(lambda t: [t])("x").alias("s")).first().s == ["Hi. There"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnmill.functions.numbers import bucket
 from turnmill.functions.text import tok
-from turnmill.operators.vocab import END, RESERVED
+from turnmill.operators.vocab import END
 
 S, E, SEP = "<S>", "</S>", "<SEP>"
 
@@ -99,6 +99,16 @@ def shuffled(rows: DataFrame, seed: int) -> DataFrame:
     return rows.withColumn("_r", F.rand(seed)).repartition("_r").sortWithinPartitions("_r").drop("_r")
 
 
+def sample(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """n rows chosen by a seeded hash of their key: the same in every run. Each task keeps n rows at most."""
+    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+
+
+def first_rows(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first n rows by `order`, a cap on what is read for training."""
+    return rows.orderBy(*order).limit(n)
+
+
 def reversed_pairs(rows: DataFrame, question: str, answer: str) -> DataFrame:
     return rows.withColumns({question: F.col(answer), answer: F.col(question)})
 
@@ -107,5 +117,3 @@ def interleaved(forward: Column, backward: Column) -> Column:
     """States of two directions, layer by layer."""
     return F.flatten(F.zip_with(forward, backward, lambda a, b: F.array(a, b)))
 
-
-RESERVED_WORDS = RESERVED

@@ -102,6 +102,25 @@ def beams(rows: DataFrame, column: str = "beams", end: str = END) -> DataFrame:
     return rows.withColumn("responses", F.array_join(F.transform(column, lambda b: cut_at_end(b, end)), "\t"))
 
 
+def best_checkpoint(evals: DataFrame, step: str, value: str, by: str | None = None) -> DataFrame:
+    """(by, step, value) of the evaluation with the least value; of equal ones the earliest."""
+    best = F.min(F.struct(F.col(value).alias("v"), F.col(step).alias("s"))).alias("b")
+    out = evals.groupBy(*([by] if by else [])).agg(best)
+    return out.select(*([by] if by else []), F.col("b.s").alias(step), F.col("b.v").alias(value))
+
+
+def length_penalty(length: Column, weight: float) -> Column:
+    """((5 + length) / 6) ^ weight."""
+    return F.pow((length + 5) / F.lit(6.0), F.lit(float(weight)))
+
+
+def ranked_beams(beams: DataFrame, key: str, log_prob: str, length: str, weight: float = 0.0, n: int | None = None) -> DataFrame:
+    """beams with score (log probability over length penalty) and rank in their sample; the n best of each."""
+    out = beams.withColumn("score", F.col(log_prob) / length_penalty(F.col(length), weight))
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), *[c for c in beams.columns if c not in (key, log_prob)])))
+    return out.where(F.col("rank") <= n) if n else out
+
+
 def beam_major(rows: DataFrame, key: str, column: str = "steps") -> DataFrame:
     """(key, beam, ids) from steps: array (time) of array (beam) of ids."""
     flat = rows.select(key, F.posexplode(column).alias("t", "b")).select(key, "t", F.posexplode("b").alias("beam", "id"))

@@ -175,3 +175,26 @@ def beam_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda k: F.bround(F.element_at("embedding", k) * 1000).cast("int")
     rows = read(spark, sf_dir, "embeddings").withColumn("steps", F.array(F.array(at(1), at(2)), F.array(at(3), at(4))))
     return V.beam_major(rows, "vec_id").select("vec_id", "beam", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
+
+
+@query("SELECT event_type, min(event_id) FILTER (value = m) AS step, min(value) AS value FROM (SELECT *, min(value) OVER (PARTITION BY event_type) AS m FROM events) GROUP BY event_type")
+def best_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.best_checkpoint(read(spark, sf_dir, "events"), "event_id", "value", "event_type").withColumnRenamed("event_id", "step")
+
+
+@query("SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY -value / power((5 + user_id % 7) / 6.0, 0.5) DESC, event_id) AS rank FROM events) WHERE rank <= 3")
+def ranked_beams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as beams of users, three responses each."""
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", (-F.col("value")).alias("log_prob"), (F.col("user_id") % 7).alias("length"))
+    return V.ranked_beams(rows, "user_id", "log_prob", "length", 0.5, 3).select("user_id", "event_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY n_chars, doc_id LIMIT 25")
+def row_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.first_rows(read(spark, sf_dir, "documents"), 25, ["n_chars", "doc_id"]).select("doc_id")
+
+
+@query()
+def dev_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five rows by a seeded hash (a sampling operator); tests hold its size and repeatability."""
+    return B.sample(read(spark, sf_dir, "documents"), 5, "doc_id", seed=3).select("doc_id")
