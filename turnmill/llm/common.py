@@ -18,9 +18,13 @@ from turnmill.session import ship
 
 #: Rows of one Arrow batch to a Python worker; with Spark's default of 10,000 a run of long texts would fill a worker.
 BATCH_ROWS = 500
+ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that the Parquet reader decodes at once; with Spark's default of 4,096 a column of texts takes tens of MB in one array.
+READER = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,11 +58,11 @@ def drop_paths(spark: SparkSession, *paths: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Before Python runs: the package is on the executors, and Arrow batches have a bound of rows unless the session sets its own."""
+    """Before Python runs: the package is on the executors, and batches of long texts have a bound of rows unless the session sets its own."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) >= 10_000:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, default, rows in ((ARROW, 10_000, BATCH_ROWS), (READER, 4096, BATCH_ROWS)):
+        if int(spark.conf.get(key)) >= default:
+            spark.conf.set(key, str(rows))
 
 
 def release() -> None:
