@@ -21,6 +21,7 @@ BATCH_ROWS = 500
 ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows that the Parquet reader decodes at once; with Spark's default of 4,096 a column of texts takes tens of MB in one array.
 READER = "spark.sql.parquet.columnarReaderBatchSize"
+READER_ROWS = 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +61,7 @@ def drop_paths(spark: SparkSession, *paths: str) -> None:
 def small_batches(spark: SparkSession) -> None:
     """Before Python runs: the package is on the executors, and batches of long texts have a bound of rows unless the session sets its own."""
     ship(spark)
-    for key, default, rows in ((ARROW, 10_000, BATCH_ROWS), (READER, 4096, BATCH_ROWS)):
+    for key, default, rows in ((ARROW, 10_000, BATCH_ROWS), (READER, 4096, READER_ROWS)):
         if int(spark.conf.get(key)) >= default:
             spark.conf.set(key, str(rows))
 
