@@ -52,10 +52,11 @@ def lines(dialogues: DataFrame, column: str = "utterances", sep: str = "\t") ->
 
 
 def history(rows: DataFrame, key: str, turn: str, text: str, turns: int, end: str = "</S>") -> DataFrame:
-    """(key, turn, context): the last `turns` - 1 utterances up to and with each one, padded in front with the end mark."""
-    from pyspark.sql import Window
+    """(key, turn, context): the last `turns` - 1 utterances up to and with each one, padded in front with the end mark. Turns are numbered without gaps.
 
-    k = turns - 1
-    w = Window.partitionBy(key).orderBy(turn).rowsBetween(-(k - 1), 0)
-    kept = F.collect_list(F.coalesce(text, F.lit(""))).over(w)
-    return rows.select(key, turn, kept.alias("c")).select(key, turn, F.concat(F.array_repeat(F.lit(end), F.greatest(F.lit(k) - F.size("c"), F.lit(0))), "c").alias("context"))
+    As for windows, an utterance is sent to the contexts that it is part of, so no task holds a dialogue.
+    """
+    n = turns - 1
+    spread = rows.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct((F.col(turn) + k).alias("t"), (-k).alias("k")))).alias("w"), F.coalesce(text, F.lit("")).alias("_x")).select(key, F.col("w.t").alias(turn), F.struct("w.k", "_x").alias("p"))
+    found = spread.groupBy(key, turn).agg(F.array_sort(F.collect_list("p")).alias("p")).where(F.element_at("p", -1)["k"] == 0)  # turns beyond the last have no utterance of their own
+    return found.select(key, turn, F.concat(F.array_repeat(F.lit(end), F.lit(n) - F.size("p")), F.col("p._x")).alias("context"))

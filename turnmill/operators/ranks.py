@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,14 +14,17 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share (spark.checkpoint.dir); where it is unset, as in tests, a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="turnmill-")
+        at = spark.sparkContext.getCheckpointDir()
+        if not at:
+            at = tempfile.mkdtemp(prefix="turnmill-")
+            atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, and it survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -40,21 +40,16 @@ def words_of(text: Column | str, normalize_digits: bool = False) -> Column:
     return F.transform(words, zero_digits) if normalize_digits else words
 
 
-#: A vocabulary is broadcast as a map up to this many words (its size is max_size, a parameter); a larger one is joined.
-MAP_WORDS = 200_000
-
-
-def as_map(vocab: DataFrame) -> DataFrame:
-    """One row with the map word -> id."""
-    return vocab.agg(F.map_from_entries(F.collect_list(F.struct("word", "id"))).alias("_ids"))
+#: A vocabulary is broadcast up to this many words (its size is a parameter); a larger one is joined by shuffle.
+BROADCAST_WORDS = 200_000
 
 
 def encode(rows: DataFrame, vocab: DataFrame, words: str = "words", out: str = "ids", unk: int = UNK, joined: bool | None = None, key: str | None = None) -> DataFrame:
     """rows with `out`, the ids of an array of words; unknown words have the id unk.
 
-    Small vocabularies: words are exploded, joined with the broadcast vocabulary and put back by position; both ways need `key`, a unique column.
+    Words are exploded, joined with the vocabulary and put back by position. key: a unique column (the first by default).
     """
-    large = vocab.count() > MAP_WORDS if joined is None else joined
+    large = vocab.count() > BROADCAST_WORDS if joined is None else joined
     key = key or rows.columns[0]
     side = vocab.select("word", "id")
     flat = rows.select(key, F.posexplode(words).alias("_pos", "word")).join(side if large else F.broadcast(side), "word", "left")

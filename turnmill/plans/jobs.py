@@ -126,8 +126,8 @@ def infer_topics(spark: SparkSession, data: str, model_dir: str, out: str, *, di
         W.topical(each.withColumn("utterances", F.array("text")), out)
 
 
-def training_batches(dialogues: DataFrame, vocab: DataFrame, *, key: str, kind: str = "flat", turns: int = 3, src_max_len: int | None = 30, tgt_max_len: int | None = 30, buckets: int = 5, batch_size: int = 128, topical: bool = False, topic_words: int | None = None) -> DataFrame:
-    """Samples of dialogues as padded batches of ids; kind: flat (one source sequence) or turns (one per turn)."""
+def training_batches(dialogues: DataFrame, vocab: DataFrame, *, key: str, kind: str = "flat", turns: int = 3, src_max_len: int | None = 30, tgt_max_len: int | None = 30, buckets: int = 5, batch_size: int = 128, topical: bool = False, topic_words: int | None = None, salts: int = 1) -> DataFrame:
+    """Samples of dialogues as padded batches of ids; kind: flat (one source sequence) or turns (one per turn). salts: parts that a bucket's samples are dealt to (see batched)."""
     if kind == "flat":
         rows = B.flat_samples(dialogues, src_max_len=src_max_len, tgt_max_len=tgt_max_len, topical=topical, topic_words=topic_words)
         columns, lengths = ["src", "tgt_in", "tgt_out"], ["src_len", "tgt_len"]
@@ -139,7 +139,7 @@ def training_batches(dialogues: DataFrame, vocab: DataFrame, *, key: str, kind:
     rows = written(rows, "samples")
     for c in columns:
         rows = V.encode(rows, vocab, c, c, key=key)
-    rows = B.batched(B.bucketed(rows, lengths, src_max_len=src_max_len, buckets=buckets), batch_size, [key])
+    rows = B.batched(B.bucketed(rows, lengths, src_max_len=src_max_len, buckets=buckets), batch_size, [key], salts)
     return B.padded(rows, columns).select(key, "bucket", "batch", *columns, *lengths)
 
 
