@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,7 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share (spark.checkpoint.dir); where it is unset, as in tests, a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="turnmill-")
+        at = spark.sparkContext.getCheckpointDir()
+        if not at:
+            at = tempfile.mkdtemp(prefix="turnmill-")
+            atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
@@ -41,7 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path below the application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -52,10 +58,10 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_paths(spark: SparkSession, *paths: str) -> None:
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def drop_all(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder, when its results are no longer read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small_batches(spark: SparkSession) -> None:
