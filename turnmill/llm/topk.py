@@ -46,7 +46,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def scores_of(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Inner products, accumulated term at a time."""
-    most = lambda a: int(np.abs(a.astype(object)).max()) if a.size else 0
+    most = lambda a: max(int(a.max()), -int(a.min())) if a.size else 0
     dims = min(queries.shape[1], candidates.shape[1])
     exact = most(queries) * most(candidates) * max(1, dims) < 1 << 62
     kind = np.int64 if exact else object
