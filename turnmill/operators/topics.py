@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, StopWordsRemover
+from pyspark.ml.feature import CountVectorizerModel, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -31,13 +31,21 @@ def prepare(texts: DataFrame, *, text: str = "text", min_word_length: int = 3, m
 
 
 def train(docs: DataFrame, *, text: str = "text", n_topics: int = 200, no_below: float = 600, no_above: float = 0.5, keep_n: int = 100_000, passes: int = 70, min_length: int | None = None, seed: int = 1) -> PipelineModel:
-    """Vectorizer and LDA, learned online. docs: one row per document."""
+    """Vectorizer and LDA, learned online. docs: one row per document.
+
+    The vocabulary is the keep_n terms of the most documents, among those in no_below documents at least and a share of no_above at most; ties go by the term,
+    so that equal input gives an equal vocabulary.
+    """
     rows = docs.withColumn("terms", topic_terms(tok(text), stopwords(), min_length))
-    vectors = CountVectorizer(inputCol="terms", outputCol="counts", minDF=no_below, vocabSize=keep_n)
-    if no_above < 1:  # 1.0 would be read as one document
-        vectors = vectors.setMaxDF(no_above)
+    df = rows.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count().where(F.col("count") >= no_below)
+    if no_above < 1:
+        df = df.where(F.col("count") <= no_above * rows.count())
+    vocabulary = [r["term"] for r in df.orderBy(F.desc("count"), "term").limit(keep_n).collect()]  # keep_n terms at most
+    if not vocabulary:
+        raise ValueError("no term is left: lower no_below or raise no_above")
+    vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="counts")
     lda = LDA(k=n_topics, maxIter=passes, optimizer="online", featuresCol="counts", topicDistributionCol="topics", seed=seed, optimizeDocConcentration=True)
-    return Pipeline(stages=[vectors, lda]).fit(rows)
+    return PipelineModel([vectors, lda.fit(vectors.transform(rows))])
 
 
 def words_of_topics(model: PipelineModel, n: int = 100) -> DataFrame:
