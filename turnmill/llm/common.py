@@ -58,6 +58,11 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """Small rows that come out of a scan of texts, dealt anew so that writing them makes a few files instead of one per split."""
+    return df.hint("rebalance")
+
+
 def drop_all(spark: SparkSession) -> None:
     """Delete what this application has written to the shared folder, when its results are no longer read."""
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
@@ -137,7 +142,7 @@ def digest_of(text) -> Column:
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(_id, digest) of each row, null text as empty; written, because it is read several times and the texts are not to be."""
-    return cut(docs.select(F.col(doc_id).alias("_id"), digest_of(F.col(text)).alias("digest")), "digests")
+    return cut(compact(docs.select(F.col(doc_id).alias("_id"), digest_of(F.col(text)).alias("digest"))), "digests")
 
 
 def first_texts(docs: DataFrame, keys: DataFrame, misses: DataFrame, doc_id: str, text: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import BROADCAST_ROWS, arrow_map, cut, table, text_bytes
+from turnmill.llm.common import BROADCAST_ROWS, arrow_map, compact, cut, table, text_bytes
 
 SHINGLE = 3
 DISTANCE = 2
@@ -158,7 +158,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), doc_id: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
     """The `keep` columns (doc_id among them), _fp, _root (the least fingerprint reachable by links) and component_id (the least doc_id)."""
-    rows = cut(fingerprints(docs, text=text, keep=keep), "fingerprints")
+    rows = cut(compact(fingerprints(docs, text=text, keep=keep)), "fingerprints")
     first = cut(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(doc_id).alias("first")), "distinct")
     found = components(links(first.select("fp"), bucket=bucket))
     rooted = first.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import BROADCAST_ROWS, arrow_map, cut, new_path, table
+from turnmill.llm.common import BROADCAST_ROWS, arrow_map, compact, cut, new_path, table
 
 SEGMENT = 32 << 10
 CHUNK = 8 << 10
@@ -101,7 +101,7 @@ def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url
     """Write pages (payload: string, taken as UTF-8, or binary) as WARC files into the folder `path`."""
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(page_id).alias("_id"), F.col(url).alias("_url"), body.alias("_body"), F.sha2(body, 256).alias("_digest"))
-    keys = cut(rows.select("_id", "_digest", F.length("_body").alias("n")), "payloads")
+    keys = cut(compact(rows.select("_id", "_digest", F.length("_body").alias("n"))), "payloads")
     twice = keys.where(F.col("n") >= revisit_from).groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("c")).where("c > 1")
     twice = cut(twice.select(F.col("_digest").alias("_d"), "_first"), "revisits")
     few = twice.count() <= broadcast_rows
@@ -208,7 +208,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = pages.schema["page_id"].dataType
     back = reassemble(read_records(spark, path)).select(F.col("page_id").cast(kind).alias("page_id"), F.col("type").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to"),
                                                         F.length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
-    back = cut(back, "read-back")
+    back = cut(compact(back), "read-back")
     again = back.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to")
     # what a revisit stands for is read from the response that it refers to
     named = back.where("record_type = 'response'").select(F.col("page_id").alias("_of"), "payload_bytes", "payload_digest")
