@@ -24,8 +24,9 @@ def bleu(rows: DataFrame, *, key: str, references: str = "references", hypothesi
     An n-gram's overlap is the least of its count in the hypothesis and its greatest count in a reference. The reference length is that of the shortest reference.
     Empty corpora score 0.
     """
-    grams = rows.select(key, F.explode(segment_ngrams(tok(hypothesis), max_order)).alias("g")).groupBy(key, "g").agg(F.count("*").alias("h"))
-    refs = rows.select(key, F.posexplode(references).alias("_k", "_r")).select(key, "_k", F.explode(segment_ngrams(tok("_r"), max_order)).alias("g"))
+    # words are a column before n-grams are made of them: inside, they would be split again for every n-gram
+    grams = rows.select(key, tok(hypothesis).alias("_w")).select(key, F.explode(segment_ngrams(F.col("_w"), max_order)).alias("g")).groupBy(key, "g").agg(F.count("*").alias("h"))
+    refs = rows.select(key, F.posexplode(references).alias("_k", "_r")).select(key, "_k", tok("_r").alias("_w")).select(key, "_k", F.explode(segment_ngrams(F.col("_w"), max_order)).alias("g"))
     refs = refs.groupBy(key, "_k", "g").count().groupBy(key, "g").agg(F.max("count").alias("r"))
     found = grams.join(refs, [key, "g"]).groupBy("g.n").agg(F.sum(F.least("h", "r")).alias("match"))
     size = F.size(tok(hypothesis))

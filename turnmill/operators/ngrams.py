@@ -8,9 +8,16 @@ from turnmill.functions.text import tok
 
 
 def ngrams(words: Column, n: int, compat: bool = False) -> Column:
-    """Joined n-grams of an array of words; compat: the last one is left out."""
-    last = F.size(words) - n + (0 if compat else 1)
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Joined n-grams of an array of words; compat: the last one is left out.
+
+    Each order is the one before it zipped with the words shifted by one more place: a concatenation per n-gram and no slice. `words` should be a column,
+    since it is referred to at each order.
+    """
+    rest = lambda k: F.greatest(F.size(words) - k, F.lit(0))
+    out = words
+    for k in range(1, n):
+        out = F.zip_with(F.slice(out, F.lit(1), rest(k)), F.slice(words, F.lit(k + 1), rest(k)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.slice(out, F.lit(1), rest(n)) if compat else out
 
 
 def marked(words: Column, n: int, compat: bool = False) -> Column:
