@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnmill.session import ship
@@ -58,6 +59,11 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and held on the executors' disks. Its lineage stays: what goes with a lost executor is computed again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def compact(df: DataFrame) -> DataFrame:
     """Small rows that come out of a scan of texts, dealt anew so that writing them makes a few files instead of one per split."""
     return df.hint("rebalance")
@@ -141,8 +147,8 @@ def digest_of(text) -> Column:
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(_id, digest) of each row, null text as empty; written, because it is read several times and the texts are not to be."""
-    return cut(compact(docs.select(F.col(doc_id).alias("_id"), digest_of(F.col(text)).alias("digest"))), "digests")
+    """(_id, digest) of each row, null text as empty; kept, because it is read several times and the texts are not to be."""
+    return kept(docs.select(F.col(doc_id).alias("_id"), digest_of(F.col(text)).alias("digest")))
 
 
 def first_texts(docs: DataFrame, keys: DataFrame, misses: DataFrame, doc_id: str, text: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -151,7 +157,7 @@ def first_texts(docs: DataFrame, keys: DataFrame, misses: DataFrame, doc_id: str
     The rows that needn't be read, copies and known contents, are filtered out by id and digest. If they are few they are broadcast
     and no text is shuffled.
     """
-    others = cut(keys.join(misses, keys["digest"].eqNullSafe(misses["digest"]) & keys["_id"].eqNullSafe(misses["_id"]), "left_anti").distinct(), "others")
+    others = kept(keys.join(misses, keys["digest"].eqNullSafe(misses["digest"]) & keys["_id"].eqNullSafe(misses["_id"]), "left_anti").distinct())
     few = others.count() <= broadcast_rows
     others = others.select(F.col("_id").alias("_i"), F.col("digest").alias("_d"))
     texts = docs.select(F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text")).withColumn("digest", digest_of(F.col("_text")))

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import arrow_map, chunks, compact, cut, digest_of, first_texts, keyed, new_path, table
+from turnmill.llm.common import arrow_map, chunks, compact, cut, digest_of, first_texts, kept, keyed, new_path, table
 
 # The contract's base patterns, with the group and the length that a match needs.
 BASE = [
@@ -84,7 +84,7 @@ def scan(docs: DataFrame, ledger: str, *, doc_id: str = "doc_id", text: str = "t
     keys = keyed(docs, doc_id, text)
     seen = read_ledger(spark, ledger).where(F.col("version") == version).select("digest")
     firsts = keys.groupBy("digest").agg(F.min("_id").alias("_id"))
-    unseen = cut(firsts.join(seen, "digest", "left_anti"), "unseen")
+    unseen = kept(firsts.join(seen, "digest", "left_anti"))
     compact(scan_blobs(first_texts(docs, keys, unseen, doc_id, text), version)).write.mode("append").parquet(ledger)
     # only blobs with findings are joined back; a hot blob is one row of this side
     found = cut(read_ledger(spark, ledger).where((F.col("version") == version) & (F.size("found") > 0)).dropDuplicates(["digest"]).select("digest", "found"), "found")

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import BROADCAST_ROWS, arrow_map, compact, cut, table, text_bytes
+from turnmill.llm.common import BROADCAST_ROWS, arrow_map, cut, kept, table, text_bytes
 
 SHINGLE = 3
 DISTANCE = 2
@@ -91,8 +91,8 @@ def _ball(fp: Column) -> Column:
 def links(fps: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links between distinct fingerprints; of those from a large bucket, a star for each shared word. fps: distinct `fp`."""
     members = _buckets(fps)
-    size = cut(members.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = cut(members.join(size, ["t", "key"]), "members")
+    size = kept(members.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = kept(members.join(size, ["t", "key"]))
     small = members.where(F.col("n") <= bucket).select("t", "key", "fp")
     other = small.select("t", "key", F.col("fp").alias("b"))
     near = small.join(other, ["t", "key"]).where((F.col("fp") < F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= DISTANCE)).select(F.col("fp").alias("a"), "b")
@@ -144,28 +144,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of each node with a link; root is the least node reachable."""
     edges = cut(arrow_map(edges, _local, "a bigint, b bigint"), "links")
-    mark = None
-    while True:
+    # done when each component is one star around its least node: every node has one root, and no root has one
+    while not (edges.groupBy("b").count().where("count > 1").isEmpty() and edges.join(edges.select(F.col("b").alias("_b")).distinct(), F.col("a") == F.col("_b"), "left_semi").isEmpty()):
         edges = cut(_star(_star(edges, True), False), "stars")
-        n, now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if not n or (n, now) == mark:
-            break
-        mark = (n, now)
-    # when nothing changes, each component is one star around its least node
     stars = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), doc_id: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
     """The `keep` columns (doc_id among them), _fp, _root (the least fingerprint reachable by links) and component_id (the least doc_id)."""
-    rows = cut(compact(fingerprints(docs, text=text, keep=keep)), "fingerprints")
-    first = cut(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(doc_id).alias("first")), "distinct")
+    rows = kept(fingerprints(docs, text=text, keep=keep))
+    first = kept(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(doc_id).alias("first")))
     found = components(links(first.select("fp"), bucket=bucket))
     rooted = first.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = cut(rooted, "rooted")
-    least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    # both joins read files on either side: the rows of a frequent fingerprint or a large component can be split
-    named = cut(rooted.join(least, "root").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), "component_id"), "named")
+    least = kept(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    # what is kept is dealt anew on either side of both joins: the rows of a frequent fingerprint or a large component can be split
+    named = rooted.join(least, "root").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), "component_id")
     return rows.join(named, "_fp")
 
 
@@ -175,17 +169,17 @@ def keep_first(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", b
     Rows are told apart by id and a hash of the text. The rows that go are the fewer as a rule: few of them are broadcast.
     """
     mark = docs.select(docs[doc_id].alias("_id"), F.xxhash64(docs[text]).alias("_h"), docs[text].alias("_t"))
-    found = cut(near_duplicates(mark, text="_t", keep=("_id", "_h"), doc_id="_id"), "groups")
+    found = kept(near_duplicates(mark, text="_t", keep=("_id", "_h"), doc_id="_id"))
     firsts = found.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_h")).alias("f")).select("f._id", "f._h").distinct()
-    firsts = cut(firsts, "firsts")
+    firsts = kept(firsts)
     same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_h"] == b["_h"])
-    gone = cut(found.join(firsts, same(found, firsts), "left_anti").select("_id", "_h").distinct(), "gone")
+    gone = kept(found.join(firsts, same(found, firsts), "left_anti").select("_id", "_h").distinct())
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[doc_id].alias("_id"), F.xxhash64(docs[text]).alias("_h"))
     few = gone.count() <= broadcast_rows
-    kept = rows.join(F.broadcast(gone) if few else gone.hint("merge"), same(rows, gone), "left_anti")
+    left = rows.join(F.broadcast(gone) if few else gone.hint("merge"), same(rows, gone), "left_anti")
     if not found.groupBy("_id", "_h").count().where("count > 1").isEmpty():  # whole rows that repeat
-        kept = kept.dropDuplicates(["_id", "_h"])
-    return kept.select("_row.*")
+        left = left.dropDuplicates(["_id", "_h"])
+    return left.select("_row.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import arrow_map, byte_letters, chunks, compact, cut, first_texts, keyed, new_path, table
+from turnmill.llm.common import arrow_map, byte_letters, chunks, compact, cut, first_texts, kept, keyed, new_path, table
 
 LIMIT = 512
 CACHE_SCHEMA = "digest binary, version string, n_bytes bigint, n_tokens bigint"
@@ -106,7 +106,7 @@ def count_tokens(docs: DataFrame, cache: str, *, path: str, text: str = "text",
     old = read_cache(spark, cache)
     keys = keyed(docs, doc_id, text)
     firsts = keys.groupBy("digest").agg(F.min("_id").alias("_id"))
-    misses = cut(firsts.join(old.where(F.col("version") == version).select("digest"), "digest", "left_anti"), "misses")
+    misses = kept(firsts.join(old.where(F.col("version") == version).select("digest"), "digest", "left_anti"))
     wanted = first_texts(docs, keys, misses, doc_id, text)
     compact(encode_misses(wanted, path, version)).write.mode("append").parquet(cache)
     now = read_cache(spark, cache).where(F.col("version") == version).dropDuplicates(["digest"]).select("digest", "n_bytes", "n_tokens")
