@@ -20,7 +20,7 @@ of the way (`near_duplicates` keeps them); an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -163,13 +163,15 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...
     return rows.join(named, "_fp")
 
 
-def keep_first(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def keep_first(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS, groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """One row of each group of near copies, with docs' columns: that with the least doc_id (null last; of several rows with it, one).
 
+    groups: what finds them, taking text, keep and doc_id as `near_duplicates` does and returning the `keep` columns and _root.
+
     Rows are told apart by id and a hash of the text. The rows that go are the fewer as a rule: few of them are broadcast.
     """
     mark = docs.select(docs[doc_id].alias("_id"), F.xxhash64(docs[text]).alias("_h"), docs[text].alias("_t"))
-    found = kept(near_duplicates(mark, text="_t", keep=("_id", "_h"), doc_id="_id"))
+    found = kept(groups(mark, text="_t", keep=("_id", "_h"), doc_id="_id"))
     firsts = found.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_h")).alias("f")).select("f._id", "f._h").distinct()
     firsts = kept(firsts)
     same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_h"] == b["_h"])
