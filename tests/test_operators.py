@@ -167,6 +167,29 @@ def test_evaluation(spark):
     assert [r.t for r in cut.collect()] == ["a b", "a", ""]
 
 
+@pytest.mark.parametrize("late", [False, True])
+def test_early_stopping_of_a_long_log(spark, late):
+    """Against the fold; the best comes at the start or at any time. No window takes the whole log into one task."""
+    import random
+
+    rng = random.Random(late)
+    values = [(5.0 if late or i else 1.0) + rng.random() - (i * 0.003 if late else 0) for i in range(900)]
+    values[40] = values[41] = None
+    e = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, p double").repartition(5)
+    found = V.early_stopping(e, "i", "p", 400 if late else 30, 1.01)
+    best, left, stopped, want = None, None, False, []
+    for i, v in enumerate(values):
+        if best is None or v is not None and v < best:
+            best, left = v, 400 if late else 30
+        elif v is not None and v > 1.01 * best:
+            left = max(left - 1, 0)
+        stopped |= left <= 0
+        want.append((i, v, best, left, stopped))
+    assert [tuple(r) for r in found.orderBy("i").collect()] == want
+    specs = found._jdf.queryExecution().optimizedPlan().toString().split("windowspecdefinition(")[1:]
+    assert specs and all(x.startswith("_p#") for x in specs)
+
+
 def test_scorer(spark):
     import pyarrow as pa
     import pyarrow.compute as pc

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnmill.functions.text import tok
 from turnmill.operators.ngrams import marked
+from turnmill.operators.ranks import written
 
 END = "</S>"
 
@@ -79,17 +80,32 @@ def train_stats(log: DataFrame, by: str) -> DataFrame:
 def early_stopping(evals: DataFrame, order: str, value: str, patience: int, degrade: float) -> DataFrame:
     """evals with best (so far), left (patience after this evaluation) and stopped.
 
-    A new best restores the patience; a value over degrade x best costs one. The fold is a running minimum and a count since the last best, over the
-    evaluations of one training run (a short log by nature).
+    A new best restores the patience; a value over degrade x best costs one. Rows are range-partitioned by `order`; running minima, sums and maxima
+    are taken in each partition, and what the partitions before it come to (a row for each) is put in: no task holds more than its range.
     """
-    run = Window.orderBy(order)
-    upto = run.rowsBetween(Window.unboundedPreceding, 0)
-    before = F.min(value).over(run.rowsBetween(Window.unboundedPreceding, -1))
-    rows = evals.withColumn("_before", before).withColumn("_new", F.col("_before").isNull() | (F.col(value) < F.col("_before"))).withColumn("_cost", (~F.col("_new") & (F.col(value) > degrade * F.col("_before"))).cast("int"))
-    rows = rows.withColumn("_run", F.sum(F.col("_new").cast("int")).over(upto))
-    left = F.lit(patience) - F.sum("_cost").over(Window.partitionBy("_run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("best", F.least(F.col("_before"), F.col(value))).withColumn("left", F.greatest(left, F.lit(0)).cast("bigint"))
-    return rows.withColumn("stopped", F.max((F.col("left") <= 0).cast("int")).over(upto) == 1).drop("_before", "_new", "_cost", "_run")
+    tasks = int(evals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = evals.repartitionByRange(tasks, order).sortWithinPartitions(order)
+    rows = written(dealt.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "early-stopping")
+    inside = Window.partitionBy("_p").orderBy("_i")
+    upto, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    parts = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+
+    def carried(rows: DataFrame, fold: Callable[[Column], Column], x: Column, name: str) -> DataFrame:
+        """rows with `name`, fold(x) over all partitions before; null before the first."""
+        before = rows.groupBy("_p").agg(fold(x).alias("_x")).select("_p", fold(F.col("_x")).over(parts).alias(name))
+        return rows.join(F.broadcast(before), "_p")
+
+    rows = carried(rows, F.min, F.col(value), "_m").withColumn("_before", F.least("_m", F.min(value).over(ahead)))
+    rows = rows.withColumn("_new", F.coalesce(F.col("_before").isNull() | (F.col(value) < F.col("_before")), F.lit(False)))
+    rows = rows.withColumn("_cost", F.coalesce((~F.col("_new") & (F.col(value) > degrade * F.col("_before"))).cast("int"), F.lit(0)))
+    rows = carried(rows, F.sum, F.col("_cost"), "_c").withColumn("_spent", F.coalesce("_c", F.lit(0)) + F.sum("_cost").over(upto))
+    # costs never fall, so those at the last best are the greatest of any best's
+    at_best = F.when(F.col("_new"), F.col("_spent"))
+    rows = carried(rows, F.max, at_best, "_b").withColumn("_base", F.coalesce(F.greatest("_b", F.max(at_best).over(upto)), F.lit(0)))
+    rows = rows.withColumn("best", F.least("_before", value)).withColumn("left", F.greatest(F.lit(patience) - F.col("_spent") + F.col("_base"), F.lit(0)).cast("bigint"))
+    out = (F.col("left") <= 0).cast("int")
+    rows = carried(rows, F.max, out, "_s").withColumn("stopped", F.greatest("_s", F.max(out).over(upto)) == 1)
+    return rows.select(*evals.columns, "best", "left", "stopped")
 
 
 def cut_at_end(words: Column, end: str = END) -> Column:

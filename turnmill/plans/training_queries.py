@@ -159,6 +159,20 @@ def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.early_stopping(log, "step", "ppl", 5, 1.003).select("step", r6("best").alias("best"), F.col("left").alias("patience_left"), "stopped")
 
 
+WHOLE_LOG = "e AS (SELECT event_id AS step, CAST(100 AS DOUBLE) / (CAST(1 AS DOUBLE) + event_id * CAST(0.001 AS DOUBLE)) + value * CAST(0.05 AS DOUBLE) AS ppl FROM events)"
+
+
+@query(f"""WITH {WHOLE_LOG}, b AS (SELECT *, min(ppl) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM e),
+c AS (SELECT *, prev IS NULL OR ppl < prev AS new, CASE WHEN ppl >= prev AND ppl > CAST(1.003 AS DOUBLE) * prev THEN 1 ELSE 0 END AS cost FROM b),
+r AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING) AS run FROM c),
+f AS (SELECT step, coalesce(least(prev, ppl), ppl) AS best, greatest(5 - sum(cost) OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING), 0) AS left_ FROM r)
+SELECT step, round(best, 6) AS best, CAST(left_ AS BIGINT) AS patience_left, max(CASE WHEN left_ <= 0 THEN 1 ELSE 0 END) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING) = 1 AS stopped FROM f""")
+def early_stop_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As early_stop, over every event."""
+    log = read(spark, sf_dir, "events").select(F.col("event_id").alias("step"), (F.lit(100.0) / (F.lit(1.0) + F.col("event_id") * F.lit(0.001)) + F.col("value") * F.lit(0.05)).alias("ppl"))
+    return V.early_stopping(log, "step", "ppl", 5, 1.003).select("step", r6("best").alias("best"), F.col("left").alias("patience_left"), "stopped")
+
+
 @query(f"WITH w AS (SELECT conv_id, turn, {words('text')} AS w FROM conversations) SELECT conv_id, turn, array_to_string(CASE WHEN len(w) > 3 THEN w[1 : 3] ELSE w END, ' ') AS decoded FROM w")
 def decode_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words up to an end mark, put in after the third."""
