@@ -133,6 +133,22 @@ def test_render(source, want):
     assert H.render(source) == want
 
 
+@pytest.mark.parametrize("source, want", [
+    ("<p>so <math><mi>x</mi><mo>+</mo><mn>1</mn></math> holds", "so x+1 holds"),
+    ("a <math><mfrac><mi>p</mi><mi>q</mi></mfrac></math> b", "a p q b"),
+    ("<math><semantics><mi>y</mi><annotation encoding='application/x-tex'>\\\\y</annotation></semantics><mphantom><mi>z</mi></mphantom></math>", "y"),
+    ("<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><text x='1'>North</text><text>South <tspan>pole</tspan></text></svg>", "North South pole"),
+    ("<svg><metadata>m</metadata><text display='none'>n</text><style>s</style><g><text>shown</text></g></svg> after", "shown after"),
+    ("<svg><defs/><path d='M0 0'/><title/><text>label</text></svg><p>next", "label\n\nnext"),
+    ("<svg><foreignObject><p>one<p>two</foreignObject></svg>", "one\n\ntwo"),
+    ("<svg><defs><p>left the drawing</p>", "left the drawing"),
+    ("<svg/>x <desc>y</desc>", "x y"),
+    ("<svg hidden><text>no</text></svg>yes", "yes"),
+])
+def test_render_formulas_and_drawings(source, want):
+    assert H.render(source) == want
+
+
 def test_render_deep_and_odd():
     assert H.render("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert H.render("<ul><li>" * 400 + "x").endswith("x")

@@ -3,7 +3,8 @@
 The parser opens and closes elements that HTML lets authors leave out (p, li, dt, dd, option, tr, td, tbody and so on) and never
 fails: what is no tag is text. Nothing is judged boilerplate; all that a browser would show as text is emitted, in order.
 
-Hidden: head, script, style, template, noscript, iframe and the like; `hidden` attributes; inline styles display:none and
+Hidden: head, script, style, template, noscript, iframe, object, audio, video, canvas, datalist and the like; of svg, titles, descriptions and
+what is only defined (defs, symbol, mask and so on); of math, annotations and phantoms; `hidden` attributes; inline styles display:none and
 visibility:hidden; hidden inputs; closed details but for their summary; closed dialogs; comments.
 
 Layout: blocks start on lines of their own, paragraphs and headings with a blank line around them; list items carry a bullet or number
@@ -30,7 +31,13 @@ CELL = 40
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes title object audio video canvas svg math datalist".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes title object audio video canvas datalist".split())
+#: Hidden inside svg, and inside math.
+HIDDEN_SVG = frozenset("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split())
+HIDDEN_MATH = frozenset("annotation annotation-xml mphantom".split())
+#: Within these svg and math hold HTML again; the start tags that leave svg and math anywhere else.
+HTML_AGAIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+LEAVES = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset".split())
 BLOCK = PARAGRAPH | frozenset("address article aside body center dd details dialog dir div dt figcaption footer form header hgroup hr html legend li main menu nav optgroup option section summary tbody tfoot thead tr td th caption".split())
 #: Start tags that close an open p.
@@ -55,14 +62,16 @@ IN_HEAD = frozenset("head title meta link script style base noscript template ht
 _tag = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _attr = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _blank = re.compile(r"[ \t\n\r\f]+")
+_self_closing = re.compile(r"(?<!=)(?:^|[\"'\s]|\s[^\s=\"']+)/\s*\Z")
 _hide = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "gone", "apart")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.attrs, self.kids = tag, attrs, []
+        self.gone = self.apart = False  # in svg and math: not shown; set off by blanks
 
     def get(self, name: str) -> str | None:
         if name not in self.attrs.lower():
@@ -73,7 +82,7 @@ class Node:
         return None
 
     def hidden(self) -> bool:
-        if self.tag in HIDDEN:
+        if self.gone or self.tag in HIDDEN:
             return True
         if not self.attrs:
             return False
@@ -116,9 +125,38 @@ def tree(text: str) -> Node:
         if found is not None:
             close_to(found)
 
+    def foreign() -> int:
+        """The place of the svg or math whose rules hold here; 0 in HTML."""
+        if open_count.get("svg", 0) > 0 or open_count.get("math", 0) > 0:
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in ("svg", "math"):
+                    return k
+                if stack[k].tag in HTML_AGAIN:
+                    return 0
+        return 0
+
+    def within(x: Node, root: str) -> None:
+        if root == "svg":
+            x.gone = x.tag in HIDDEN_SVG or (x.get("display") or "").strip().lower() == "none" or (x.get("visibility") or "").strip().lower() in ("hidden", "collapse")
+            x.apart = x.tag == "text"
+        else:
+            x.gone = x.tag in HIDDEN_MATH
+            x.apart = x.tag in ("mtr", "mtd") or stack[-1].tag == "mfrac"
+
     def start(name: str, attrs: str) -> None:
         if name == "html":
             return
+        if (k := foreign()) and name in LEAVES:
+            close_to(k)
+            k = 0
+        if k:
+            x = Node(name, attrs)
+            within(x, stack[k].tag)
+            stack[-1].kids.append(x)
+            if not _self_closing.search(attrs) and len(stack) < DEPTH:
+                stack.append(x)
+                open_count[name] = open_count.get(name, 0) + 1
+            return
         if stack[-1].tag == "head" and name not in IN_HEAD:
             close_to(len(stack) - 1)
         if name in ENDS_P and open_count.get("p", 0) > 0:
@@ -131,7 +169,7 @@ def tree(text: str) -> Node:
             start("tbody", "")
         x = Node(name, attrs)
         stack[-1].kids.append(x)
-        if name not in VOID and len(stack) < DEPTH:
+        if name not in VOID and not (name in ("svg", "math") and _self_closing.search(attrs)) and len(stack) < DEPTH:
             stack.append(x)
             open_count[name] = open_count.get(name, 0) + 1
 
@@ -162,8 +200,9 @@ def tree(text: str) -> Node:
                 close_to(len(stack) - 1)
         elif name := (m[2] or m[4] or "").lower():
             attrs = m[3] if m[2] else m[5]
+            inside = foreign()
             start(name, attrs or "")
-            if name in RAW:
+            if name in RAW and not (inside and _self_closing.search(attrs or "")):
                 end = re.compile(rf"</{name}(?=[\s/>]|$)[^>]*>?", re.I).search(text, at)
                 inner = text[at : end.start() if end else len(text)]
                 if stack[-1].tag == name:
@@ -254,6 +293,8 @@ def show(x: Node, page: Page, level: int = 0) -> None:
         page.raw(_plain(x).strip("\n"))
         page.gap()
         return
+    if x.apart:
+        page.space = True
     nested = tag in ("ul", "ol") and level > 0
     apart = page.gap if tag in PARAGRAPH and not nested else page.line if tag in BLOCK else None
     if apart:
@@ -290,6 +331,8 @@ def show(x: Node, page: Page, level: int = 0) -> None:
         if apart:
             page.line()
         page.indent = before
+    if x.apart:
+        page.space = True
     if apart:
         apart()
 
