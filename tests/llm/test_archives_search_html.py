@@ -133,6 +133,12 @@ def test_render(source, want):
     assert H.render(source) == want
 
 
+@pytest.mark.parametrize("around", [H.DEPTH - 2, H.DEPTH - 1, H.DEPTH, 2 * H.DEPTH])
+def test_raw_text_at_any_depth(around):
+    source = "<div>" * around + "a<textarea>b &lt; c</textarea><xmp>d <i></xmp><script>no</script>e" + "</div>" * around
+    assert H.render(source) == "a\n\nb < c\n\nd <i>e"
+
+
 @pytest.mark.parametrize("source, want", [
     ("<p>so <math><mi>x</mi><mo>+</mo><mn>1</mn></math> holds", "so x+1 holds"),
     ("a <math><mfrac><mi>p</mi><mi>q</mi></mfrac></math> b", "a p q b"),

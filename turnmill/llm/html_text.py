@@ -143,9 +143,10 @@ def tree(text: str) -> Node:
             x.gone = x.tag in HIDDEN_MATH
             x.apart = x.tag in ("mtr", "mtd") or stack[-1].tag == "mfrac"
 
-    def start(name: str, attrs: str) -> None:
+    def start(name: str, attrs: str) -> Node:
+        """Make an element, and open it if it can hold others."""
         if name == "html":
-            return
+            return root
         if (k := foreign()) and name in LEAVES:
             close_to(k)
             k = 0
@@ -156,7 +157,7 @@ def tree(text: str) -> Node:
             if not _self_closing.search(attrs) and len(stack) < DEPTH:
                 stack.append(x)
                 open_count[name] = open_count.get(name, 0) + 1
-            return
+            return x
         if stack[-1].tag == "head" and name not in IN_HEAD:
             close_to(len(stack) - 1)
         if name in ENDS_P and open_count.get("p", 0) > 0:
@@ -172,6 +173,7 @@ def tree(text: str) -> Node:
         if name not in VOID and not (name in ("svg", "math") and _self_closing.search(attrs)) and len(stack) < DEPTH:
             stack.append(x)
             open_count[name] = open_count.get(name, 0) + 1
+        return x
 
     while at <= last:
         k = text.find("<", at)
@@ -201,13 +203,13 @@ def tree(text: str) -> Node:
         elif name := (m[2] or m[4] or "").lower():
             attrs = m[3] if m[2] else m[5]
             inside = foreign()
-            start(name, attrs or "")
+            made = start(name, attrs or "")
             if name in RAW and not (inside and _self_closing.search(attrs or "")):
                 end = re.compile(rf"</{name}(?=[\s/>]|$)[^>]*>?", re.I).search(text, at)
                 inner = text[at : end.start() if end else len(text)]
-                if stack[-1].tag == name:
-                    if inner and name not in HIDDEN:
-                        stack[-1].kids.append(html.unescape(inner) if name == "textarea" else inner)
+                if inner and name not in HIDDEN:
+                    made.kids.append(html.unescape(inner) if name == "textarea" else inner)
+                if stack[-1] is made:  # at DEPTH it isn't
                     close_to(len(stack) - 1)
                 at = end.end() if end else len(text)
     put(text[at:].partition("<!--")[0])  # an open comment hides what follows
