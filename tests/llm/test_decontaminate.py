@@ -64,3 +64,16 @@ def test_decontaminate_keeps_columns(spark):
     assert D.decontaminate(docs, items(spark, [])).count() == 4
     assert D.contamination(docs.limit(0), items(spark, [test])).count() == 0
     assert [r.n_words for r in D.contamination(docs, items(spark, [])).orderBy("doc_id").collect()][2:] == [0, 0]
+
+
+def test_tables_of_a_very_long_item():
+    """They grow with an item's words, not with their square, and find what they should."""
+    import pickle
+
+    rng = random.Random(21)
+    long = prose(rng, 5000)
+    tests = D.Tests([("a", long.encode()), ("b", long.encode()), ("c", b"one two")], D.WINDOW)
+    assert len(pickle.dumps(tests)) < 400 * 5000
+    part = " ".join(long.split()[4000:4030])
+    _, items = D.Shard([part.encode(), b"x one two y", b"one"], tests.longest).hits(tests)
+    assert items == [["a", "b"], ["c"], []]

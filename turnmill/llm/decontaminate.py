@@ -6,8 +6,8 @@ which a suffix's interval runs empty is its longest verbatim match in the shard;
 holds all places where that window occurs. Nothing is shuffled. The array is sorted only as deep as the longest
 test item has words: a deeper order can't change an interval.
 
-Test items are taken in blocks of at most `BLOCK_BYTES` of text; a block's tables are broadcast (so their size is bounded),
-and further blocks are further passes over the same rows.
+Test items are taken in blocks of at most `BLOCK_BYTES` of text; a block's tables are broadcast (they grow with its words;
+one longer item is a block by itself), and further blocks are further passes over the same rows.
 
 Defined results: null or empty text has no words and is never hit; null item texts are never found; an item shorter than the
 window is one window; equal items each count; rows with a repeated doc_id stand for themselves; extra columns are kept by
@@ -74,7 +74,7 @@ class Words:
 
 
 class Tests:
-    """A block of test items: distinct words, all suffixes, and the windows that each starts."""
+    """A block of test items: distinct words, all suffixes (as places in the items' words), and the windows that each starts."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.window = window
@@ -84,31 +84,37 @@ class Tests:
         tokens = [by.setdefault(w.word(i), len(by)) for i in range(len(w.start))]
         self.words = list(by)
         self.hashes = Words(self.words).hash if self.words else np.zeros(0, np.uint64)
-        suffixes: dict[tuple[int, ...], int] = {}  # distinct suffixes
+        same: dict[bytes, list[int]] = {}  # items of the same words
+        for k in range(len(items)):
+            same.setdefault(np.array(tokens[w.first[k] : w.first[k + 1]], np.int64).tobytes(), []).append(k)
+        self.flat = np.full(sum(len(x) // 8 + 1 for x in same), -1, np.int64)  # words of each of them, and -1
         self.places: list[list[tuple[int, int]]] = []  # (item, position) of each
         windows: dict[tuple[int, ...], int] = {}
         self.items_of: list[set[int]] = []
-        for k in range(len(items)):
-            own = tokens[w.first[k] : w.first[k + 1]]
+        at, lengths, end = [], [], 0
+        for x, ks in same.items():
+            own = np.frombuffer(x, np.int64)
+            self.flat[end : end + len(own)] = own
+            own = own.tolist()
             for j in range(len(own)):
-                s = suffixes.setdefault(tuple(own[j:]), len(suffixes))
-                if s == len(self.places):
-                    self.places.append([])
-                self.places[s].append((k, j))
+                at.append(end + j)
+                lengths.append(len(own) - j)
+                self.places.append([(k, j) for k in ks])
                 if len(own) - j >= window or j == 0:
                     v = windows.setdefault(tuple(own[j : j + window]), len(windows))
                     if v == len(self.items_of):
                         self.items_of.append(set())
-                    self.items_of[v].add(k)
-        self.length = np.array([len(s) for s in suffixes], np.int64)
+                    self.items_of[v].update(ks)
+            end += len(own) + 1
+        self.at, self.length = np.array(at, np.int64), np.array(lengths, np.int64)
         self.window_length = np.array([len(x) for x in windows], np.int64)
         self.longest = int(self.length.max(initial=0))
-        self.matrix = np.full((len(suffixes), self.longest), -1, np.int64)
-        for s, k in suffixes.items():
-            self.matrix[k, : len(s)] = s
         # a window may start longer suffixes of other items
-        short = {len(x) for x in windows if len(x) < window}
-        self.starts: list[list[int]] = [sorted({windows[x] for n in {window, *short} if (x := s[:n]) in windows}) for s in suffixes]
+        sizes = sorted({window, *(len(x) for x in windows if len(x) < window)})
+        self.starts: list[list[int]] = []
+        for p, n in zip(at, lengths, strict=True):
+            head = tuple(self.flat[p : p + min(n, window)].tolist())
+            self.starts.append(sorted({windows[head[:m]] for m in sizes if head[:m] in windows}))
 
 
 class Shard:
@@ -185,7 +191,7 @@ class Shard:
         n = len(self.order)
         prefix = np.zeros(m, np.int64)
         for d in range(tests.longest):
-            word = tests.matrix[active, d]
+            word = tests.flat[tests.at[active] + d]
             ok = word >= 0
             word = np.where(ok, ids[np.maximum(word, 0)], -1)
             active, word = active[word > 0], word[word > 0]
