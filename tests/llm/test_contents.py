@@ -110,3 +110,12 @@ def test_redact(spark, tmp_path):
     got = X.redact(docs, str(tmp_path / "ledger"))
     assert got.columns == docs.columns
     assert [r.text for r in got.orderBy("doc_id").collect()] == ["a [SECRET] z", None, "", "fine", "ü😀 [SECRET]\" ü", "[SECRET] [SECRET]"]
+
+
+def test_redact_bounds_the_broadcast_by_spans(spark, tmp_path):
+    """One text of many secrets is one row of findings, but not a small one."""
+    docs = documents(spark, [" ".join(["token=abcdef z"] * 40), "fine"])
+    for most, hash_join in ((39, False), (40, True)):
+        got = X.redact(docs, str(tmp_path / f"ledger{most}"), broadcast_spans=most)
+        assert ("BroadcastHashJoin" in got._jdf.queryExecution().sparkPlan().toString()) == hash_join
+        assert [r.text for r in got.orderBy("doc_id").collect()] == [" ".join(["[SECRET] z"] * 40), "fine"]

@@ -59,6 +59,10 @@ def findings(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], ORDER[x[0]]))
 
 
+#: Findings of up to so many spans are broadcast, however they are spread over texts.
+BROADCAST_SPANS = 200_000
+
+
 def scan_blobs(texts: DataFrame, version: str = RULE_VERSION) -> DataFrame:
     """digest and _text to rows of the ledger."""
 
@@ -91,15 +95,16 @@ def scan(docs: DataFrame, ledger: str, *, doc_id: str = "doc_id", text: str = "t
     return keys.join(found, "digest", "left").select("_id", "digest", F.coalesce("found", F.array().cast(SPANS)).alias("found"))
 
 
-def redact(docs: DataFrame, ledger: str, *, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with each secret replaced by a mark; spans that overlap are one. Only texts with findings are shuffled to them if they are few."""
+def redact(docs: DataFrame, ledger: str, *, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]", broadcast_spans: int = BROADCAST_SPANS) -> DataFrame:
+    """docs with each secret replaced by a mark; spans that overlap are one. Findings are broadcast if they are few, rows and spans, and shuffled beyond."""
     found = scan(docs, ledger, doc_id=doc_id, text=text).where(F.size("found") > 0).select(F.col("digest").alias("_d"), F.col("found").alias("_f"))
     found = cut(found.dropDuplicates(["_d"]), "secrets")
     merged = F.aggregate("_f", F.array().cast("array<struct<start:bigint,end:bigint>>"), lambda a, s: F.when(
         (F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] > s["start"]),
         F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(a, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(a, F.lit(-1))["end"], s["end"]).alias("end")))),
     ).otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))))
-    few = found.count() <= 50_000  # a few spans each: some MB
+    size = found.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("_f")), F.lit(0)).alias("spans")).first()
+    few = size.rows <= 50_000 and size.spans <= broadcast_spans
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), digest_of(docs[text]).alias("_h"))
     joined = rows.join(F.broadcast(found) if few else found.hint("merge"), F.col("_h") == F.col("_d"), "left")
     whole = F.col("_row")[text]
