@@ -2,31 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share (spark.checkpoint.dir); where it is unset, as in tests, a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-        if not at:
-            at = tempfile.mkdtemp(prefix="turnmill-")
-            atexit.register(shutil.rmtree, at, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+from turnmill import session
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, and it survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder."""
+    return session.written(df, session.new_path(df.sparkSession, name))
 
 
 def ranked(df: DataFrame, order: list[Column], rank: str = "rank", mass: str | None = None, total: str = "running") -> DataFrame:
@@ -60,10 +43,17 @@ def top(df: DataFrame, order: list[Column], n: int, rank: str = "rank") -> DataF
     return df.orderBy(*order).limit(n).withColumn(rank, F.row_number().over(w).cast("bigint"))
 
 
-def numbered(df: DataFrame, name: str = "line_no") -> DataFrame:
-    """df with 0-based numbers in the order of its files and lines (the one use of an RDD here: a position is not a column)."""
-    schema = df.schema
-    rows = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    from pyspark.sql import types as T
+def numbered(files: DataFrame, name: str = "line_no") -> DataFrame:
+    """Rows read from files with 0-based numbers in the order of their files' names and of the lines in each.
 
-    return df.sparkSession.createDataFrame(rows, T.StructType([*schema.fields, T.StructField(name, T.LongType(), False)]))
+    A row's place is its file, the start of its split, and its order in the split (rows of a split get rising numbers from one task).
+    Each split is numbered for itself; the splits' sizes (a row for each) are added up before it.
+    """
+    split = [F.col("_file"), F.col("_start")]
+    rows = files.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_i"))
+    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(F.col("_file").alias("_f"), F.col("_start").alias("_b")).agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_f", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
+    inside = Window.partitionBy(*split).orderBy("_i")
+    out = rows.withColumn("_r", F.row_number().over(inside) - 1).join(offsets, (F.col("_file") == F.col("_f")) & (F.col("_start") == F.col("_b")))
+    return out.select(*files.columns, (F.col("_n0") + F.col("_r")).cast("bigint").alias(name))

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnmill.operators import posts as P
-from turnmill.operators.ranks import shared_dir
 from turnmill.plans.registry import query, read
+from turnmill.session import new_path
 from turnmill.streaming import ingest as G
 
 
-def _new(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files."""
     schema = read(spark, sf_dir, "events").schema
@@ -27,7 +21,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as posts through the exactly-once file sink; errors count as bots."""
     none = lambda n, k="string": F.lit(None).cast(k).alias(n)
     raw = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("author"), F.col("event_id").cast("string").alias("id"), none("link_id"), none("parent_id"), F.col("event_type").alias("body"), F.col("ts").cast("string").alias("created_utc"), none("subreddit_id"), none("score", "bigint"), none("distinguished"), none("gilded"), none("controversiality"))
-    out = _new(spark, "ingested")
+    out = new_path(spark, "ingested")
     G.write_posts(P.comment_posts(raw).where("text <> 'error'"), out, f"{out}.checkpoint").awaitTermination()
     return spark.read.parquet(out).select("id", "text", "author")
 
@@ -37,7 +31,7 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-time windows of a day, the whole result after each micro-batch."""
     rows = events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     counts = G.windowed_counts(rows, "ts", "1 day", "1 hour", ["event_type"])
-    out = _new(spark, "daily")
+    out = new_path(spark, "daily")
 
     def sink(df: DataFrame, _: int) -> None:
         df.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n").write.mode("overwrite").parquet(out)
@@ -50,7 +44,7 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejections by reason, counted as they come."""
     judged = events(spark, sf_dir).select(F.when(F.col("event_type") == "error", "deleted_or_bot").when(F.col("value") < 5, "short_word_len").alias("reason"))
-    out = _new(spark, "reasons")
+    out = new_path(spark, "reasons")
 
     def sink(df: DataFrame, _: int) -> None:
         df.withColumnRenamed("count", "n").write.mode("overwrite").parquet(out)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def get_spark(name: str = "turnmill", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -34,10 +38,39 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _shipped or str(ROOT) in os.environ.get("PYTHONPATH", "").split(":"):
         return
-    to = Path(tempfile.mkdtemp(prefix="turnmill-")) / "turnmill.zip"
+    folder = tempfile.mkdtemp(prefix="turnmill-")  # of the driver, which serves the file to executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    to = Path(folder) / "turnmill.zip"
     with zipfile.ZipFile(to, "w") as z:
         for p in sorted((ROOT / "turnmill").rglob("*")):
             if p.suffix in (".py", ".txt"):
                 z.write(p, p.relative_to(ROOT))
     sc.addPyFile(str(to))
     _shipped.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines share (spark.checkpoint.dir). Where it is unset a local session, as in tests, gets a temporary one; a cluster gets an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if spark.sparkContext.applicationId not in _folders:
+            _folders[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="turnmill-")
+            atexit.register(shutil.rmtree, _folders[spark.sparkContext.applicationId], ignore_errors=True)
+        at = _folders[spark.sparkContext.applicationId]
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path below the application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df as a Parquet table: computed once, and it survives lost executors."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
