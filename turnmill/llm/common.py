@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from turnmill.session import ship
+from turnmill.session import new_path, ship, written
 
 #: Rows of one Arrow batch to a Python worker; with Spark's default of 10,000 a run of long texts would fill a worker.
 BATCH_ROWS = 500
@@ -25,38 +21,37 @@ ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows that the Parquet reader decodes at once; with Spark's default of 4,096 a column of texts takes tens of MB in one array.
 READER = "spark.sql.parquet.columnarReaderBatchSize"
 READER_ROWS = 128
+#: Bytes of one Arrow batch to a Python worker; a longer row is a batch by itself.
+BATCH_BYTES = 4 << 20
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Marks the sessions that adopt() makes.
+OWN = "spark.turnmill.llm"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share (spark.checkpoint.dir); where it is unset, as in tests, a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-        if not at:
-            at = tempfile.mkdtemp(prefix="turnmill-")
-            atexit.register(shutil.rmtree, at, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", at)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+def adopt(df: DataFrame) -> DataFrame:
+    """df in a copy of its session with this subpackage's batch sizes: the caller's session keeps its own. Sizes that the caller has lowered hold."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(OWN, None):
+        return df
+    own = type(spark)(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set(OWN, "true")
+    for key, default, ours in ((ARROW, 10_000, BATCH_ROWS), (READER, 4096, READER_ROWS), (ARROW_BYTES, BATCH_BYTES, BATCH_BYTES)):
+        if not (at := own.conf.get(key)).isdigit() or int(at) >= default:
+            own.conf.set(key, str(ours))
+    made = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().analyzed())
+    return DataFrame(made, own)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path below the application's own folder in the shared one."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return adopt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: computed once, and it survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df, written to the shared folder and read again: computed once, and it survives lost executors."""
+    return written(df, new_path(df.sparkSession, name))
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -69,18 +64,16 @@ def compact(df: DataFrame) -> DataFrame:
     return df.hint("rebalance")
 
 
-def drop_all(spark: SparkSession) -> None:
-    """Delete what this application has written to the shared folder, when its results are no longer read."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def free(*tables: DataFrame) -> None:
+    """Let go of kept tables when what was read from them is written."""
+    for x in tables:
+        x.unpersist()
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Before Python runs: the package is on the executors, and batches of long texts have a bound of rows unless the session sets its own."""
-    ship(spark)
-    for key, default, rows in ((ARROW, 10_000, BATCH_ROWS), (READER, 4096, READER_ROWS)):
-        if int(spark.conf.get(key)) >= default:
-            spark.conf.set(key, str(rows))
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is no longer read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release() -> None:
@@ -93,7 +86,7 @@ def release() -> None:
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow(fn), releasing memory at the end of each task."""
-    small_batches(df.sparkSession)
+    df = adopt(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

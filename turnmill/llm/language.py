@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import arrow_map, chunks, table
+from turnmill.llm.common import adopt, arrow_map, chunks, table
 from turnmill.llm.grams import codes, ids
 
 BITS = 15
@@ -112,6 +112,7 @@ def sample_of_each(rows: DataFrame, group: str, key: str, k: int) -> DataFrame:
 
 def train(docs: DataFrame, train_rows: Column, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", bits: int = BITS, per_language: int = PER_LANGUAGE) -> Model:
     """A model from the rows of docs where train_rows holds."""
+    docs = adopt(docs)
     used = docs.where(train_rows & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
     picked = sample_of_each(used.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang")), "_lang", "_id", per_language)
     names = sorted(r[0] for r in picked.select("_lang").distinct().collect())

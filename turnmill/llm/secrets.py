@@ -22,7 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import arrow_map, chunks, compact, cut, digest_of, first_texts, kept, keyed, new_path, table
+from turnmill.llm.common import adopt, arrow_map, chunks, compact, cut, digest_of, first_texts, kept, keyed, table
+from turnmill.session import new_path
 
 # The contract's base patterns, with the group and the length that a match needs.
 BASE = [
@@ -84,6 +85,7 @@ def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
 
 def scan(docs: DataFrame, ledger: str, *, doc_id: str = "doc_id", text: str = "text", version: str = RULE_VERSION) -> DataFrame:
     """(_id, digest, found) of each row of docs (a path's version). ledger: a folder of shared storage, made if it isn't there."""
+    docs = adopt(docs)
     spark = docs.sparkSession
     keys = keyed(docs, doc_id, text)
     seen = read_ledger(spark, ledger).where(F.col("version") == version).select("digest")
@@ -97,6 +99,7 @@ def scan(docs: DataFrame, ledger: str, *, doc_id: str = "doc_id", text: str = "t
 
 def redact(docs: DataFrame, ledger: str, *, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]", broadcast_spans: int = BROADCAST_SPANS) -> DataFrame:
     """docs with each secret replaced by a mark; spans that overlap are one. Findings are broadcast if they are few, rows and spans, and shuffled beyond."""
+    docs = adopt(docs)
     found = scan(docs, ledger, doc_id=doc_id, text=text).where(F.size("found") > 0).select(F.col("digest").alias("_d"), F.col("found").alias("_f"))
     found = cut(found.dropDuplicates(["_d"]), "secrets")
     merged = F.aggregate("_f", F.array().cast("array<struct<start:bigint,end:bigint>>"), lambda a, s: F.when(

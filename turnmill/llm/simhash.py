@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import BROADCAST_ROWS, arrow_map, cut, kept, table, text_bytes
+from turnmill.llm.common import BROADCAST_ROWS, adopt, arrow_map, cut, kept, table, text_bytes
 
 SHINGLE = 3
 DISTANCE = 2
@@ -153,6 +153,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), doc_id: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
     """The `keep` columns (doc_id among them), _fp, _root (the least fingerprint reachable by links) and component_id (the least doc_id)."""
+    docs = adopt(docs)
     rows = kept(fingerprints(docs, text=text, keep=keep))
     first = kept(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(doc_id).alias("first")))
     found = components(links(first.select("fp"), bucket=bucket))
@@ -170,6 +171,7 @@ def keep_first(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", b
 
     Rows are told apart by id and a hash of the text. The rows that go are the fewer as a rule: few of them are broadcast.
     """
+    docs = adopt(docs)
     mark = docs.select(docs[doc_id].alias("_id"), F.xxhash64(docs[text]).alias("_h"), docs[text].alias("_t"))
     found = kept(groups(mark, text="_t", keep=("_id", "_h"), doc_id="_id"))
     firsts = found.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_h")).alias("f")).select("f._id", "f._h").distinct()

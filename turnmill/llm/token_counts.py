@@ -25,7 +25,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import arrow_map, byte_letters, chunks, compact, cut, first_texts, kept, keyed, new_path, table
+from turnmill.llm.common import adopt, arrow_map, byte_letters, chunks, compact, cut, first_texts, kept, keyed, table
+from turnmill.session import new_path
 
 LIMIT = 512
 CACHE_SCHEMA = "digest binary, version string, n_bytes bigint, n_tokens bigint"
@@ -101,6 +102,7 @@ def encode_misses(texts: DataFrame, path: str, version: str) -> DataFrame:
 
 def count_tokens(docs: DataFrame, cache: str, *, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes and n_tokens of each row. cache: a folder of shared storage, made if it isn't there."""
+    docs = adopt(docs)
     spark = docs.sparkSession
     version = version_of(path)
     old = read_cache(spark, cache)

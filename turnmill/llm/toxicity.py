@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import arrow_map, chunks, table
+from turnmill.llm.common import adopt, arrow_map, chunks, table
 from turnmill.llm.grams import codes, ids
 from turnmill.llm.language import sample_of_each, remainder
 
@@ -79,6 +79,7 @@ def fit_ftrl(rows: list[tuple[np.ndarray, int]], ratio: np.ndarray, epochs: int
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: Column, *, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", bits: int = BITS, per_class: int = PER_CLASS) -> Model:
     """A model from the labelled rows of docs where train_rows holds."""
+    docs, labels = adopt(docs), adopt(labels)
     spark = docs.sparkSession
     marks = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).where(train_rows).groupBy(F.col(doc_id).alias("_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
     few = labels.count() <= BROADCAST_LABELS
