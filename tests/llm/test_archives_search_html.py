@@ -38,6 +38,37 @@ def test_round_trip(spark, tmp_path):
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(x), hashlib.sha256(x).hexdigest(), "revisit" if again else "response", first[b or ""] if again else None), i
 
 
+def test_ids_that_repeat(spark, tmp_path):
+    """A revisit belongs to the response with its id and its digest; equal rows are responses of their own; ids may be any strings."""
+    a, b = "A" * 200, "B" * 200
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, a * 3), (4, a * 3), (5, a * 3)]
+    save(spark.createDataFrame([(i, "u", t) for i, t in rows], PAGES), tmp_path, "pages")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in W.op4_warc(spark, str(tmp_path)).collect())
+    want = [(1, sha(a), "response", None), (1, sha(b), "response", None), (2, sha(a), "revisit", 1), (3, sha(b), "revisit", 1), *[(4, sha(a * 3), "response", None)] * 2, (5, sha(a * 3), "revisit", 4)]
+    assert got == sorted(want, key=lambda x: tuple(map(str, x))) or sorted(map(str, got)) == sorted(map(str, want))
+    to = tmp_path / "named"
+    to.mkdir()
+    odd = [(" x\r\nWARC-Type: y ", a), ("%41", a), ("", b), ("é", b * 200), ("é ", b * 200)]
+    save(spark.createDataFrame([(i, " h p\n", t) for i, t in odd], "page_id string, url string, html string"), to, "pages")
+    got = {r.page_id: r for r in W.op4_warc(spark, str(to)).collect()}
+    assert {i: r.payload_digest for i, r in got.items()} == {i: sha(t) for i, t in odd}
+    assert {i: r.refers_to for i, r in got.items() if r.refers_to is not None} == {"%41": " x\r\nWARC-Type: y ", "é ": "é"}
+
+
+def test_revisits_name_records(spark, tmp_path):
+    rows = [(i, "u", prose(random.Random(i % 5), 50) * (1 + 20 * (i % 5))) for i in range(20)]
+    path = str(tmp_path / "w")
+    W.write_archives(spark.createDataFrame(rows, PAGES), path, segment=2000)
+    import glob
+    import re
+
+    text = "".join(open(f, encoding="utf-8", newline="").read() for f in glob.glob(path + "/*.txt"))
+    responses = {x for kind, x in re.findall(r"WARC-Type: (\w+)\r\nWARC-Record-ID: (\S+)", text) if kind == "response"}
+    named = re.findall(r"WARC-Refers-To: (\S+)", text)
+    assert len(named) == 15 and set(named) == responses and len(responses) == 5
+
+
 def test_segments(spark, tmp_path):
     rows = pages(spark)
     path = str(tmp_path / "w")
@@ -109,7 +140,7 @@ CASES = [
     ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "- a\n- b\n  - c\n- d"),
     ("<ol start=3><li>x</li><li>y</li></ol>", "3. x\n4. y"),
     ("<table><tr><th>n<th>long head<tr><td>aaa<td>b</table>", "n   | long head\naaa | b"),
-    ("<table><tr><td colspan=2>wide cell here<td>z<tr><td>a<td>b<td>c</table>", "wide cell here | z\na | b | c"),
+    ("<table><tr><td colspan=2>wide cell here<td>z<tr><td>a<td>b<td>c</table>", "wide cell here | z\na | b          | c"),
     ("<head><title>t</title></head>x<script>if(a<b)</script>y<style>p{}</style><!-- c -->z", "xyz"),
     ("<div hidden>no</div><p style='color:red; display: none'>no</p><span style=\"visibility:hidden\">no</span>yes", "yes"),
     ("<pre>a\n  b</pre>c", "a\n  b\n\nc"),
@@ -133,7 +164,7 @@ def test_render(source, want):
     assert H.render(source) == want
 
 
-@pytest.mark.parametrize("around", [H.DEPTH - 2, H.DEPTH - 1, H.DEPTH, 2 * H.DEPTH])
+@pytest.mark.parametrize("around", [1, 150, 3000])
 def test_raw_text_at_any_depth(around):
     source = "<div>" * around + "a<textarea>b &lt; c</textarea><xmp>d <i></xmp><script>no</script>e" + "</div>" * around
     assert H.render(source) == "a\n\nb < c\n\nd <i>e"
@@ -155,6 +186,76 @@ def test_render_formulas_and_drawings(source, want):
     assert H.render(source) == want
 
 
+@pytest.mark.parametrize("source, want", [
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+    ("<table><tr><td>x<td rowspan=0>all<td>y<tr><td>longer<td>z</table>", "x      | all | y\nlonger |     | z"),
+    ("<table><tbody><tr><td rowspan=5>a<td>b<tbody><tr><td>c<td>d</table>", "a | b\nc | d"),
+    ("<table><tr><td rowspan=2 colspan=2>ab<td>c<tr><td>d</table>", "ab | c\n   | d"),
+    ("<table><tfoot><tr><td>f<tbody><tr><td>b<thead><tr><td>h</table>", "h\nb\nf"),
+    ("<table><tr><td>" + "w " * 60 + "<td>x<tr><td>y<td>z</table>", " ".join("w" * 60) + " | x\n" + "y".ljust(119) + " | z"),
+    ("<table><tr style='display:none'><td>no<tr><td colspan=900>a<tr><td>b<td>c</table>", "a\nb | c"),
+    ("<div style='visibility:hidden'>no<span style='visibility: visible'>yes</span>no</div>!", "yes\n!"),
+    ("<p style='display:none;display:block'>shown<p style='display:block;display:none !important'>no", "shown"),
+    ("<ol><li style='visibility:hidden'>no<li>two<li hidden>no<li>three</ol>", "2. two\n3. three"),
+    ("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes</table>", " | yes"),
+    ("<pre style='visibility:hidden'>no<b style='visibility:visible'>yes</b></pre>", "yes"),
+    ("<svg visibility='hidden'><text>no</text><text visibility='visible'>yes</text></svg>", "yes"),
+    ("<div>" * 149 + "<div style='display:none'>no</div>" + "</div>" * 149 + "yes", "yes"),
+    ("<div hidden>" + "<div>" * 348 + "no" + "</div>" * 348 + "no</div>yes", "yes"),
+])
+def test_render_tables_and_visibility(source, want):
+    assert H.render(source) == want
+
+
+def test_render_visibility_against_brute_force():
+    """Random nests of elements whose visibility is known as they are made."""
+    rng = random.Random(9)
+
+    def made(depth, seen):
+        """(source, visible words)."""
+        kind, mark = rng.choice([("", seen), ("", seen), (" hidden", None), (" style='display:none'", None), (" style='visibility:hidden'", False), (" style='visibility:visible'", True)])
+        tag, word = rng.choice(["div", "span", "b", "section"]), f"w{rng.randrange(10**6)}"
+        inner = [made(depth - 1, mark) for _ in range(rng.randint(0, 3))] if depth and mark is not None else [("never", [])] * (mark is None)
+        return f"<{tag}{kind}> {word} {' '.join(x for x, _ in inner)} </{tag}>", [word] * bool(mark) + [w for _, ws in inner for w in ws]
+
+    for _ in range(300):
+        source, words = made(6, True)
+        assert H.render(source).split() == words
+
+
+def test_render_tables_against_brute_force():
+    """Random tables without long cells, against a grid filled cell by cell."""
+    rng = random.Random(10)
+    for _ in range(200):
+        grid, source, n_rows = {}, "", rng.randint(1, 6)
+        for r in range(n_rows):
+            source += "<tr>"
+            for _ in range(rng.randint(1, 5)):
+                c = next(k for k in range(99) if (r, k) not in grid)
+                deep, word = rng.randint(1, 3), "x" * rng.randint(1, 9)
+                grid |= {(r + d, c): word if d == 0 else "" for d in range(min(deep, n_rows - r))}
+                source += f"<td rowspan={deep}>{word}"
+        widths = [max(len(w) for (_, k), w in grid.items() if k == c) for c in range(1 + max(k for _, k in grid))]
+        want = []
+        for r in range(n_rows):
+            cells = [k for (q, k), w in grid.items() if q == r and w]
+            want.append(" | ".join(grid.get((r, c), "").ljust(widths[c]) for c in range(1 + max(cells))).rstrip())
+        assert H.render(f"<table>{source}</table>").split("\n") == want
+
+
+def test_render_bounds():
+    """Long tables with a long cell, deep nests and indents stay linear."""
+    import time
+
+    began = time.time()
+    out = H.render("<table><tr><td>" + "y" * 200_000 + "<td>b" + "<tr><td>a<td>b" * 20_000 + "</table>")
+    assert out.count("b") == 20_001 and len(out) < 30_000_000
+    assert H.render("<blockquote>x" * 20_000).count("x") == 20_000
+    assert H.render("<table><tr><td>" * 2000 + "x").strip() == "x"
+    assert H.render("<p><li>" * 20_000 + "<span>" * 50_000 + "<li>x").endswith("x")
+    assert time.time() - began < 60
+
+
 def test_render_deep_and_odd():
     assert H.render("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert H.render("<ul><li>" * 400 + "x").endswith("x")

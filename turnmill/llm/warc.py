@@ -10,19 +10,22 @@ Reading. Files come through the binaryFile source. Whole records are decoded whe
 ordered by segment number, checked against the total length, and decoded. Only segmented records are shuffled; a group is one page.
 
 Defined results: a null payload is empty; a missing segment, a wrong total or broken framing gives intact = false and a null payload; rows with the same least id are all
-responses; repeated rows are records of their own; null ids and urls stay null; extra columns are ignored.
+responses; repeated rows are records of their own, and so are rows with one id and different payloads (a revisit is found by the id and the digest that it
+refers to); null ids and urls stay null; ids may be any strings (written percent-encoded), blanks and control characters of urls are percent-encoded; an
+empty table gives no archive and no rows; extra columns are ignored. A page's block must fit into a task (2 GB at most, as any value of Spark's).
 """
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import BROADCAST_ROWS, arrow_map, compact, cut, new_path, table
+from turnmill.llm.common import BROADCAST_ROWS, adopt, arrow_map, compact, cut, table
+from turnmill.session import new_path
 
 SEGMENT = 32 << 10
 CHUNK = 8 << 10
@@ -74,13 +77,20 @@ def record(kind: str, fields: list[tuple[str, object]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
-def records_of(page_id: object, url: str | None, payload: bytes, digest: str, refers_to: object, segment: int = SEGMENT) -> list[bytes]:
-    """A page's records, without the blank lines that end them."""
-    own = f"<urn:uuid:{uuid.uuid4()}>"
+def record_id(page_id: object, digest: str) -> str:
+    """The id of a stored payload's record, which its revisits name."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{digest} {page_id}')}>"
+
+
+def records_of(page_id: object, url: str | None, payload: bytes, digest: str, refers_to: object, named: bool, segment: int = SEGMENT) -> list[bytes]:
+    """A page's records, without the blank lines that end them. named: its payload, or that of the page it refers to, is stored in one record only, whose id follows from it."""
+    own = record_id(page_id, digest) if named and refers_to is None else f"<urn:uuid:{uuid.uuid4()}>"
     date = "2000-01-01T00:00:00Z"  # pages have no date of their own
-    common = [("WARC-Date", date), ("WARC-Target-URI", url and "".join(c for c in url if c >= " " and c != "\x7f")), ("X-Page-Id", page_id), ("WARC-Payload-Digest", f"sha256:{digest}")]
+    target = None if url is None else "".join(c if c > " " and c != "\x7f" else quote(c) for c in url)
+    common = [("WARC-Date", date), ("WARC-Target-URI", target), ("X-Page-Id", None if page_id is None else quote(str(page_id), safe="")), ("WARC-Payload-Digest", f"sha256:{digest}")]
     if refers_to is not None:
-        more = [("WARC-Record-ID", own), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page", refers_to)]
+        more = [("WARC-Record-ID", own), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+                ("WARC-Refers-To", record_id(refers_to, digest) if named else None), ("WARC-Refers-To-Date", date), ("X-Refers-To-Page", quote(str(refers_to), safe=""))]
         return [record("revisit", more + common, STATUS)]
     block = STATUS + chunked(payload)
     if len(block) <= segment:
@@ -99,14 +109,16 @@ def records_of(page_id: object, url: str | None, payload: bytes, digest: str, re
 
 def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", payload: str = "html", segment: int = SEGMENT, revisit_from: int = REVISIT_FROM, broadcast_rows: int = BROADCAST_ROWS) -> None:
     """Write pages (payload: string, taken as UTF-8, or binary) as WARC files into the folder `path`."""
+    pages = adopt(pages)
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(page_id).alias("_id"), F.col(url).alias("_url"), body.alias("_body"), F.sha2(body, 256).alias("_digest"))
     keys = cut(compact(rows.select("_id", "_digest", F.length("_body").alias("n"))), "payloads")
-    twice = keys.where(F.col("n") >= revisit_from).groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("c")).where("c > 1")
-    twice = cut(twice.select(F.col("_digest").alias("_d"), "_first"), "revisits")
+    twice = keys.where(F.col("n") >= revisit_from).groupBy("_digest", "_id").agg(F.count("*").alias("c")).groupBy("_digest").agg(F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "c"))).alias("f"), F.sum("c").alias("c")).where("c > 1")
+    twice = cut(twice.select(F.col("_digest").alias("_d"), F.col("f._id").alias("_first"), F.coalesce(F.col("f.c") == 1, F.lit(False)).alias("_one")), "revisits")
     few = twice.count() <= broadcast_rows
     rows = rows.join(F.broadcast(twice) if few else twice.hint("merge"), F.col("_digest") == F.col("_d"), "left")
-    rows = rows.select("_id", "_url", "_body", "_digest", F.when(~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("_refers"))
+    rows = rows.select("_id", "_url", "_body", "_digest", F.when(~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("_refers"),
+                       ((F.length("_body") >= revisit_from) & F.coalesce("_one", F.lit(True))).alias("_named"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -147,7 +159,7 @@ def parse(content: bytes) -> Iterator[dict]:
             if k == "content-length":
                 length = int(v)
             elif k in _FIELDS:
-                found[_FIELDS[k]] = int(v) if k in ("warc-segment-number", "warc-segment-total-length") else v
+                found[_FIELDS[k]] = int(v) if k in ("warc-segment-number", "warc-segment-total-length") else unquote(v) if k in ("x-page-id", "x-refers-to-page") else v
         found["block"] = content[end + 4 : end + 4 + length]
         yield found
         at = end + 4 + length
@@ -179,24 +191,28 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 def reassemble(records: DataFrame) -> DataFrame:
     """(type, record_id, page_id, url, refers_to, digest, intact, payload) of each response and revisit; a revisit has no payload of its own."""
     names = ["type", "record_id", "page_id", "url", "refers_to", "digest"]
-    whole = records.where("segment IS NULL AND type IN ('response', 'revisit')").select(*names, F.lit(True).alias("ok"), "block")
+    piece = F.struct(F.lit(1).alias("segment"), "block")
+    whole = records.where("segment IS NULL AND type IN ('response', 'revisit')").select(*names, F.lit(None).cast("bigint").alias("total"), F.array(piece).alias("parts"))
     first = F.max(F.when(F.col("segment") == 1, F.struct(*names)))
     parts = F.array_sort(F.collect_list(F.struct("segment", "block")))
-    joined = records.where("segment IS NOT NULL").groupBy(F.when(F.col("segment") == 1, F.col("record_id")).otherwise(F.col("origin")).alias("o")).agg(first.alias("f"), parts.alias("p"), F.max("total").alias("total"))
-    block = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["block"]))
-    in_order = F.transform(F.col("p"), lambda x: x["segment"]) == F.transform(F.sequence(F.lit(1), F.size("p")), lambda k: k)
-    joined = joined.where("f IS NOT NULL").select("f.*", in_order.alias("o"), "total", block.alias("block")).select(*names, (F.col("o") & F.coalesce(F.col("total") == F.length("block"), F.lit(False))).alias("ok"), "block")
-    rows = whole.unionByName(joined)
-    schema = rows.drop("ok", "block").schema.add("intact", "boolean").add("payload", "binary")
+    joined = records.where("segment IS NOT NULL").groupBy(F.when(F.col("segment") == 1, F.col("record_id")).otherwise(F.col("origin")).alias("o")).agg(first.alias("f"), parts.alias("parts"), F.coalesce(F.max("total"), F.lit(-1)).alias("total"))
+    rows = whole.unionByName(joined.where("f IS NOT NULL").select("f.*", "total", "parts"))
+    schema = rows.drop("total", "parts").schema.add("intact", "boolean").add("payload", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                p = b.slice(at, 256)
-                kinds, sound = p.column("type").to_pylist(), p.column("ok").to_pylist()
-                found = [payload_of(x) if ok and kind == "response" else None for x, ok, kind in zip(p.column("block").to_pylist(), sound, kinds, strict=True)]
-                intact = [ok and (kind == "revisit" or x is not None) for x, ok, kind in zip(found, sound, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(p.column(n) for n in names), pa.array(intact), pa.array(found, pa.binary())], names=schema.names)
+            held, size, at = [], 0, 0
+            for k, (kind, total) in enumerate(zip(b.column("type").to_pylist(), b.column("total").to_pylist(), strict=True)):
+                got = b.column("parts")[k].as_py()
+                sound = [x["segment"] for x in got] == list(range(1, len(got) + 1))
+                block = b"".join(x["block"] for x in got) if sound else b""
+                sound = sound and (total is None or total == len(block))
+                payload = payload_of(block) if sound and kind == "response" else None
+                held.append((sound and (kind == "revisit" or payload is not None), payload))
+                size += len(payload or b"")
+                if size > RUN or k == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*(b.column(n).slice(at, len(held)) for n in names), pa.array([x for x, _ in held], pa.bool_()), pa.array([x for _, x in held], pa.binary())], names=schema.names)
+                    held, size, at = [], 0, k + 1
 
     return arrow_map(rows, run, schema)
 
@@ -206,16 +222,17 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     write_archives(pages, path)
     kind = pages.schema["page_id"].dataType
-    back = reassemble(read_records(spark, path)).select(F.col("page_id").cast(kind).alias("page_id"), F.col("type").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to"),
-                                                        F.length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
+    back = reassemble(read_records(pages.sparkSession, path)).select(F.col("page_id").cast(kind).alias("page_id"), F.col("type").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to"), F.col("digest").alias("_named"),
+                                                                     F.length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
     back = cut(compact(back), "read-back")
-    again = back.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to")
-    # what a revisit stands for is read from the response that it refers to
-    named = back.where("record_type = 'response'").select(F.col("page_id").alias("_of"), "payload_bytes", "payload_digest")
-    wanted = again.select("refers_to").distinct().withColumnRenamed("refers_to", "_of")
-    named = cut(named.join(wanted, "_of", "left_semi").dropDuplicates(["_of", "payload_digest"]), "referred")
-    again = again.join(named, F.col("refers_to") == F.col("_of")).drop("_of")
-    return back.where("record_type = 'response'").unionByName(again).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    again = back.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "_named")
+    # what a revisit stands for is read from the response that it refers to: that with the id and the digest
+    named = back.where("record_type = 'response'").select(F.col("page_id").alias("_of"), "payload_bytes", "payload_digest", F.concat(F.lit("sha256:"), "payload_digest").alias("_d"))
+    wanted = again.select(F.col("refers_to").alias("_of"), F.col("_named").alias("_d")).distinct()
+    named = cut(named.join(wanted, ["_of", "_d"], "left_semi").dropDuplicates(["_of", "_d"]), "referred")
+    again = again.join(named, (F.col("refers_to") == F.col("_of")) & (F.col("_named") == F.col("_d")))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return back.where("record_type = 'response'").select(*columns).unionByName(again.select(*columns))
 
 
 OP4_SQL = """
@@ -228,6 +245,3 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
 FROM p JOIN f ON p.d = f.d
 """
 
-
-def digest(payload: bytes) -> str:
-    return hashlib.sha256(payload).hexdigest()
