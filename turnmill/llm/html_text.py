@@ -4,21 +4,23 @@ The parser opens and closes elements that HTML lets authors leave out (p, li, dt
 fails: what is no tag is text. Nothing is judged boilerplate; all that a browser would show as text is emitted, in order.
 
 Hidden: head, script, style, template, noscript, iframe, object, audio, video, canvas, datalist and the like; of svg, titles, descriptions and
-what is only defined (defs, symbol, mask and so on); of math, annotations and phantoms; `hidden` attributes; inline styles display:none and
-visibility:hidden; hidden inputs; closed details but for their summary; closed dialogs; comments.
+what is only defined (defs, symbol, mask and so on); of math, annotations and phantoms; `hidden` attributes; inline styles display:none;
+hidden inputs; closed details but for their summary; closed dialogs; comments. visibility:hidden is inherited, and what is visible inside it is shown.
 
 Layout: blocks start on lines of their own, paragraphs and headings with a blank line around them; list items carry a bullet or number
-and are indented by level; pre keeps its blanks; the cells of a table are padded to columns (to `CELL` characters at most:
-a longer cell is whole, but not waited for), colspan counted.
+and are indented by level (to `INDENT` characters at most); pre keeps its blanks; the cells of a table are padded to columns, colspan and rowspan
+counted, head rows first and foot rows last. Padding is bounded by `PADDING` and 16 times the table's own text: where a few very long cells in a
+long table would go beyond, columns stay narrower than these cells, and what follows such a cell in its row isn't aligned (no text is lost).
 
-Defined results: null html gives null text; empty html gives ""; elements nested deeper than `DEPTH` join their ancestor there (no
-text is lost); repeated rows keep one row each; extra columns are ignored.
+Defined results: null html gives null text; empty html gives ""; elements may be nested to any depth, pages may have any length (neither parser nor
+rendering recurses); repeated rows keep one row each; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnmill.llm.common import arrow_map, chunks, table
 
-DEPTH = 150
-CELL = 40
+INDENT = 128
+PADDING = 1 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
@@ -63,15 +65,37 @@ _tag = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([
 _attr = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _blank = re.compile(r"[ \t\n\r\f]+")
 _self_closing = re.compile(r"(?<!=)(?:^|[\"'\s]|\s[^\s=\"']+)/\s*\Z")
-_hide = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "gone", "apart")
+    __slots__ = ("tag", "attrs", "kids", "gone", "apart", "seen")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.attrs, self.kids = tag, attrs, []
-        self.gone = self.apart = False  # in svg and math: not shown; set off by blanks
+        self.apart = False  # in svg and math: set off by blanks
+        self.gone = tag in HIDDEN  # with all that is inside
+        self.seen: bool | None = None  # whether its own text is visible; None: as its parent's
+        if attrs:
+            low = attrs.lower()
+            if "hidden" in low:
+                self.gone = self.gone or self.get("hidden") is not None or tag == "input" and (self.get("type") or "").lower() == "hidden"
+            if "style" in low and (style := self.get("style")):
+                self.styled(style)
+
+    def styled(self, style: str) -> None:
+        """Inline style: of several declarations the last holds."""
+        found = {}
+        for x in style.lower().split(";"):
+            k, _, v = x.partition(":")
+            found[k.strip()] = v.replace("!important", "").strip()
+        self.gone = self.gone or found.get("display") == "none"
+        self.shown(found.get("visibility"))
+
+    def shown(self, visibility: str | None) -> None:
+        if visibility in ("hidden", "collapse"):
+            self.seen = False
+        elif visibility == "visible":
+            self.seen = True
 
     def get(self, name: str) -> str | None:
         if name not in self.attrs.lower():
@@ -81,30 +105,25 @@ class Node:
                 return html.unescape(v.strip("\"'"))
         return None
 
-    def hidden(self) -> bool:
-        if self.gone or self.tag in HIDDEN:
-            return True
-        if not self.attrs:
-            return False
-        low = self.attrs.lower()
-        if "hidden" in low and self.get("hidden") is not None:
-            return True
-        if "style" in low and _hide.search(self.get("style") or ""):
-            return True
-        return self.tag == "input" and (self.get("type") or "").lower() == "hidden"
-
 
 def tree(text: str) -> Node:
     """The document's tree; texts are str children with their entities decoded."""
     root = Node("html")
     stack = [root]
-    open_count: dict[str, int] = {}
+    places: dict[str, list[int]] = {}  # of each tag's open elements, in the stack
     at, last = 0, text.rfind(">")
 
+    def open_(x: Node) -> None:
+        places.setdefault(x.tag, []).append(len(stack))
+        stack.append(x)
+
     def close_to(k: int) -> None:
         while len(stack) > k:
-            x = stack.pop()
-            open_count[x.tag] = open_count.get(x.tag, 0) - 1
+            places[stack.pop().tag].pop()
+
+    def nearest(names: frozenset | tuple) -> int:
+        """The place of the innermost open element of these names; 0 without any."""
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
 
     def put(x: str) -> None:
         if x:
@@ -114,33 +133,25 @@ def tree(text: str) -> Node:
 
     def close(names: frozenset, stop: frozenset) -> None:
         """Close the outermost open element of these names that lies within the nearest of `stop`."""
-        if not any(open_count.get(n, 0) > 0 for n in names):
-            return
-        k = len(stack) - 1
-        found = None
-        while k > 0 and stack[k].tag not in stop:
-            if stack[k].tag in names:
-                found = k
-            k -= 1
-        if found is not None:
-            close_to(found)
+        if any(places.get(n) for n in names):
+            from_ = nearest(stop)
+            found = [p[k] for n in names if (p := places.get(n)) and (k := bisect_right(p, from_)) < len(p)]
+            if found:
+                close_to(min(found))
 
     def foreign() -> int:
         """The place of the svg or math whose rules hold here; 0 in HTML."""
-        if open_count.get("svg", 0) > 0 or open_count.get("math", 0) > 0:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ("svg", "math"):
-                    return k
-                if stack[k].tag in HTML_AGAIN:
-                    return 0
-        return 0
+        k = nearest(("svg", "math"))
+        return k if k and k > nearest(HTML_AGAIN) else 0
 
     def within(x: Node, root: str) -> None:
         if root == "svg":
-            x.gone = x.tag in HIDDEN_SVG or (x.get("display") or "").strip().lower() == "none" or (x.get("visibility") or "").strip().lower() in ("hidden", "collapse")
+            x.gone = x.gone or x.tag in HIDDEN_SVG or (x.get("display") or "").strip().lower() == "none"
+            if x.seen is None:
+                x.shown((x.get("visibility") or "").strip().lower())
             x.apart = x.tag == "text"
         else:
-            x.gone = x.tag in HIDDEN_MATH
+            x.gone = x.gone or x.tag in HIDDEN_MATH
             x.apart = x.tag in ("mtr", "mtd") or stack[-1].tag == "mfrac"
 
     def start(name: str, attrs: str) -> Node:
@@ -154,13 +165,12 @@ def tree(text: str) -> Node:
             x = Node(name, attrs)
             within(x, stack[k].tag)
             stack[-1].kids.append(x)
-            if not _self_closing.search(attrs) and len(stack) < DEPTH:
-                stack.append(x)
-                open_count[name] = open_count.get(name, 0) + 1
+            if not _self_closing.search(attrs):
+                open_(x)
             return x
         if stack[-1].tag == "head" and name not in IN_HEAD:
             close_to(len(stack) - 1)
-        if name in ENDS_P and open_count.get("p", 0) > 0:
+        if name in ENDS_P and places.get("p"):
             close(frozenset(("p",)), frozenset(("td", "th", "table", "button", "caption")))
         if name in CLOSES:
             close(*CLOSES[name])
@@ -169,10 +179,11 @@ def tree(text: str) -> Node:
         if name == "tr" and stack[-1].tag == "table":
             start("tbody", "")
         x = Node(name, attrs)
+        if name == "svg":
+            within(x, name)
         stack[-1].kids.append(x)
-        if name not in VOID and not (name in ("svg", "math") and _self_closing.search(attrs)) and len(stack) < DEPTH:
-            stack.append(x)
-            open_count[name] = open_count.get(name, 0) + 1
+        if name not in VOID and not (name in ("svg", "math") and _self_closing.search(attrs)):
+            open_(x)
         return x
 
     while at <= last:
@@ -190,12 +201,9 @@ def tree(text: str) -> Node:
             name = m[1].lower()
             if name == "br":
                 start("br", "")
-            elif open_count.get(name, 0) > 0:
-                stop = frozenset() if name in ("table", "body", "html") else frozenset(("table",))
-                k = len(stack) - 1
-                while k > 0 and stack[k].tag != name and stack[k].tag not in stop:
-                    k -= 1
-                if k > 0 and stack[k].tag == name and name != "body":
+            elif places.get(name):
+                k = places[name][-1]
+                if name != "body" and (name == "table" or k > nearest(("table",))):
                     close_to(k)
             elif name == "p":
                 start("p", "")
@@ -209,7 +217,7 @@ def tree(text: str) -> Node:
                 inner = text[at : end.start() if end else len(text)]
                 if inner and name not in HIDDEN:
                     made.kids.append(html.unescape(inner) if name == "textarea" else inner)
-                if stack[-1] is made:  # at DEPTH it isn't
+                if stack[-1] is made:
                     close_to(len(stack) - 1)
                 at = end.end() if end else len(text)
     put(text[at:].partition("<!--")[0])  # an open comment hides what follows
@@ -263,15 +271,27 @@ class Page:
         return "\n".join(self.lines).strip("\n")
 
 
-def _plain(x: Node) -> str:
-    return "".join(k if isinstance(k, str) else "\n" if k.tag == "br" else "" if k.hidden() else _plain(k) for k in x.kids)
+def _plain(x: Node, seen: bool) -> str:
+    """The visible text below an element as it is."""
+    out, todo = [], [(x, seen)]
+    while todo:
+        k, seen = todo.pop()
+        if isinstance(k, str):
+            out.append(k if seen else "")
+        elif k is not x and k.tag == "br":
+            out.append("\n")
+        elif k is x or not k.gone:
+            seen = seen if k.seen is None else k.seen
+            todo += [(c, seen) for c in reversed(k.kids)]
+    return "".join(out)
 
 
-def show(x: Node, page: Page, level: int = 0) -> None:
-    """Render an element's children and its own breaks."""
+def show(x: Node, page: Page, level: int = 0, seen: bool = True) -> Iterator[Iterator]:
+    """Render an element's children and its own breaks. seen: whether text is visible here. A generator of the parts to render in between (see drive)."""
     tag = x.tag
-    if x.hidden() or tag == "dialog" and x.get("open") is None:
+    if x.gone or tag == "dialog" and x.get("open") is None:
         return
+    seen = seen if x.seen is None else x.seen
     if tag == "br":
         if page.now:
             page.line()
@@ -282,17 +302,18 @@ def show(x: Node, page: Page, level: int = 0) -> None:
         page.gap()
         return
     if tag == "input":
-        if (x.get("type") or "").lower() in ("submit", "button", "reset"):
+        if seen and (x.get("type") or "").lower() in ("submit", "button", "reset"):
             page.words(x.get("value") or "")
         return
     if tag == "table":
         page.gap()
-        grid(x, page, level)
+        yield grid(x, page, level, seen)
         page.gap()
         return
     if tag == "pre" or tag == "textarea":
         page.gap()
-        page.raw(_plain(x).strip("\n"))
+        if body := _plain(x, seen).strip("\n"):
+            page.raw(body)
         page.gap()
         return
     if x.apart:
@@ -309,27 +330,31 @@ def show(x: Node, page: Page, level: int = 0) -> None:
         n = int(n) if n and n.lstrip("-").isdigit() and len(n) < 9 else 1
         for k in kids:
             if isinstance(k, str):
-                page.words(k)
-            elif k.tag == "li" and not k.hidden():
+                if seen:
+                    page.words(k)
+            elif k.tag == "li" and not k.gone:
                 page.line()
                 before = page.indent
-                mark = f"{n}. " if tag == "ol" else "- "
-                page.first, page.indent = before + mark, before + " " * len(mark)
-                show(k, page, level + 1)
+                if (seen if k.seen is None else k.seen) and len(before) < INDENT:
+                    mark = f"{n}. " if tag == "ol" else "- "
+                    page.first, page.indent = before + mark, before + " " * len(mark)
+                elif seen if k.seen is None else k.seen:
+                    page.first = before + (f"{n}. " if tag == "ol" else "- ")
+                yield show(k, page, level + 1, seen)
                 page.line()
                 page.first, page.indent = "", before
                 n += 1
             else:
-                show(k, page, level + 1)
+                yield show(k, page, level + 1, seen)
     else:
         before = page.indent
-        if tag in ("blockquote", "dd"):
+        if tag in ("blockquote", "dd") and len(before) < INDENT:
             page.indent = before + "  "
         for k in kids:
-            if isinstance(k, str):
+            if not isinstance(k, str):
+                yield show(k, page, level, seen)
+            elif seen:
                 page.words(k)
-            else:
-                show(k, page, level)
         if apart:
             page.line()
         page.indent = before
@@ -339,60 +364,109 @@ def show(x: Node, page: Page, level: int = 0) -> None:
         apart()
 
 
-def grid(x: Node, page: Page, level: int) -> None:
-    """A table: its caption, and rows of cells padded to columns."""
-    rows: list[list[tuple[int, list[str]]]] = []
-    loose: list[Node | str] = []
+def drive(part: Iterator[Iterator]) -> None:
+    """Run a rendering: what a part yields is run before it goes on."""
+    running = [part]
+    while running:
+        inner = next(running[-1], None)
+        if inner is None:
+            running.pop()
+        else:
+            running.append(inner)
 
-    def visit(node: Node) -> None:
-        for k in node.kids:
-            if isinstance(k, str):
-                if not k.isspace():
-                    loose.append(k)
-            elif k.hidden():
-                continue
-            elif k.tag in ("tbody", "thead", "tfoot"):
-                visit(k)
-            elif k.tag == "tr":
-                row = []
-                for c in k.kids:
-                    if isinstance(c, str):
-                        if not c.isspace():
-                            loose.append(c)
-                    elif c.tag in ("td", "th"):
-                        if not c.hidden():
-                            cell = Page()
-                            show(c, cell, 0)
-                            span = c.get("colspan") or ""
-                            row.append((min(100, max(1, int(span))) if span.isdigit() and len(span) < 5 else 1, cell.text().split("\n")))
-                    else:
-                        loose.append(c)
-                rows.append(row)
-            else:
-                loose.append(k)
 
-    visit(x)
-    for k in loose:  # captions, and what has no place in a table, go before it as in browsers
+def _span(x: Node, name: str, least: int, most: int) -> int:
+    n = x.get(name) or ""
+    return min(most, max(least, int(n))) if n.isascii() and n.isdigit() and len(n) < 8 else 1
+
+
+class Cell:
+    __slots__ = ("at", "end", "lines", "longest")
+
+    def __init__(self, at: int, end: int, lines: list[str]):
+        self.at, self.end, self.lines, self.longest = at, end, lines, max(map(len, lines))
+
+
+def widths_of(rows: list[list[Cell]]) -> list[int]:
+    """The columns' widths: of a column's longest cell, and what cells over several columns need beyond these. Columns where no cell starts are left out of the cells' places."""
+    starts = sorted({c.at for row in rows for c in row})
+    for row in rows:
+        for c in row:
+            c.at, c.end = bisect_left(starts, c.at), bisect_left(starts, c.end)
+    cells = sorted((c for row in rows for c in row), key=lambda c: c.end - c.at)
+    size = sum(c.longest for c in cells)
+    height = sum(max((len(c.lines) for c in row), default=0) for row in rows)
+    cap = max((c.longest for c in cells), default=0)
+    while True:
+        widths = [0] * len(starts)
+        for c in cells:
+            have = sum(widths[c.at : c.end - 1]) + 3 * (c.end - c.at - 1)
+            widths[c.end - 1] = max(widths[c.end - 1], min(cap, c.longest) - have)
+        if cap < 40 or sum(widths) * height <= PADDING + 16 * size:
+            return widths
+        cap //= 2
+
+
+def grid(x: Node, page: Page, level: int, seen: bool) -> Iterator[Iterator]:
+    """A table: its caption, and rows of cells padded to columns."""
+    groups: list[tuple[int, list[Node], bool]] = []  # (head, body or foot; rows; visible)
+    loose: list[tuple[Node | str, bool]] = []
+    for k in x.kids:
         if isinstance(k, str):
-            page.words(k)
+            if not k.isspace():
+                loose.append((k, seen))
+        elif k.gone:
+            continue
+        elif k.tag in ("tbody", "thead", "tfoot"):
+            inside = seen if k.seen is None else k.seen
+            trs = [c for c in k.kids if not isinstance(c, str) and c.tag == "tr" and not c.gone]
+            loose += [(c, inside) for c in k.kids if not (c.isspace() if isinstance(c, str) else c.tag == "tr")]
+            kind = ("thead", "tbody", "tfoot").index(k.tag)
+            groups.append((1 if kind != 1 and any(g[0] == kind for g in groups) else kind, trs, inside))
+        elif k.tag == "tr":
+            groups.append((1, [k], seen))
         else:
-            show(k, page, level)
+            loose.append((k, seen))
+    rows: list[list[Cell]] = []
+    for _, trs, inside in sorted(groups, key=lambda g: g[0]):
+        taken: dict[int, int] = {}  # columns that a cell above reaches into, and to which row
+        for r, tr in enumerate(trs):
+            visible = inside if tr.seen is None else tr.seen
+            row, at = [], 0
+            for c in tr.kids:
+                if isinstance(c, str):
+                    if not c.isspace():
+                        loose.append((c, visible))
+                elif c.tag not in ("td", "th"):
+                    loose.append((c, visible))
+                elif not c.gone:
+                    cell = Page()
+                    yield show(c, cell, 0, visible)
+                    span, deep = _span(c, "colspan", 1, 1000), _span(c, "rowspan", 0, 65534)
+                    while taken.get(at, -1) >= r:
+                        at += 1
+                    row.append(Cell(at, at + span, cell.text().split("\n")))
+                    if deep != 1:
+                        taken.update(dict.fromkeys(range(at, at + span), r + deep - 1 if deep else len(trs)))
+                    at += span
+            rows.append(row)
+    for k, visible in loose:  # captions, and what has no place in a table, go before it as in browsers
+        if not isinstance(k, str):
+            yield show(k, page, level, visible)
+        elif visible:
+            page.words(k)
     page.line()
-    widths: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for span, lines in row:
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), min(CELL, max(map(len, lines))))
-            at += span
+    widths = widths_of(rows)
+    shift = [0]
+    for w in widths:
+        shift.append(shift[-1] + w + 3)
     for row in rows:
-        for n in range(max((len(lines) for _, lines in row), default=0)):
-            out, at, owed = [], 0, 0
-            for span, lines in row:
-                width = sum(widths.get(at + k, 0) for k in range(span)) + 3 * (span - 1)
-                part = lines[n] if n < len(lines) else ""
-                out.append(part.ljust(width))
-                at += span
+        for n in range(max((len(c.lines) for c in row), default=0)):
+            out, end = [], 0
+            for c in row:
+                out += [" " * w for w in widths[end : c.at]]  # columns that cells above reach into
+                out.append((c.lines[n] if n < len(c.lines) else "").ljust(shift[c.end] - shift[c.at] - 3))
+                end = c.end
             page.now = [" | ".join(out).rstrip()]
             if page.now[0]:
                 page.line()
@@ -403,7 +477,7 @@ def render(text: str | None) -> str | None:
     if text is None:
         return None
     page = Page()
-    show(tree(text), page)
+    drive(show(tree(text), page))
     return page.text()
 
 
