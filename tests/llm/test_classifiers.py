@@ -136,3 +136,128 @@ def test_toxicity_without_both_labels(spark, tmp_path, marks):
     assert len(got) == 3 and all(0 <= r.score <= 1 for r in got)
     save(documents(spark, []), tmp_path, "documents")
     assert T.op5_toxicity(spark, str(tmp_path)).count() == 0
+
+
+def naive_ftrl(rows, classes, rng, epochs, alpha, beta, l1, l2, gradient, bias=False):
+    """FTRL-proximal, a weight at a time. rows: ({feature: value}, label); gradient: scores to errors, one for each class."""
+    z, n = {}, {}
+    b, nb = 0.0, 1.0
+
+    def weight(k):
+        zk, nk = z.get(k, 0.0), n.get(k, 0.0)
+        return 0.0 if abs(zk) <= l1 else -(zk - (l1 if zk > 0 else -l1)) / ((beta + nk**0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for i in rng.permutation(len(rows)).tolist():
+            x, y = rows[i]
+            w = {(f, c): weight((f, c)) for f in x for c in range(classes)}
+            errors = gradient([b * bias + sum(v * w[f, c] for f, v in x.items()) for c in range(classes)], y)
+            for f, v in x.items():
+                for c in range(classes):
+                    g = v * errors[c]
+                    old = n.get((f, c), 0.0)
+                    z[f, c] = z.get((f, c), 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / alpha * w[f, c]
+                    n[f, c] = old + g * g
+            if bias:
+                nb += errors[0] ** 2
+                b -= alpha * errors[0] / nb**0.5
+    return weight, b
+
+
+def in_order(spark, ids):
+    """Ids in the order in which the regressions take them."""
+    from pyspark.sql import functions as F
+
+    return [r.i for r in spark.createDataFrame([(i,) for i in ids], "i bigint").orderBy(F.xxhash64("i"), "i").collect()]
+
+
+def normal(text):
+    return " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+
+
+def test_toxicity_against_brute_force(spark):
+    """Ratios, weights and scores from their definitions, with n-grams as strings."""
+    import math
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    rows, _ = labelled(spark, 90, 7)
+    rows = [(i, t if i % 9 else t + " idiotic " + t, *x) for i, t, *x in rows]
+    train, held = rows[:60], rows[60:]
+    made = {i: Counter(w[k : k + m] for w in (f" {v} " for v in normal(t).split()) for m in range(3, 7) for k in range(len(w) - m + 1)) for i, t, *_ in rows}
+    names = {g for c in made.values() for g in c}
+    hashed = {g: G.ids(np.array(list(map(ord, g)), np.uint32), len(g), len(g), T.BITS)[0] for g in names}
+    assert len(set(hashed.values())) == len(names)  # no two meet, so strings and hashes give the same model
+    label = {i: y for i, _, _, _, y in rows}
+    count = [Counter(), Counter()]
+    for i, *_ in train:
+        count[label[i]].update(made[i])
+    seen = count[0].keys() | count[1].keys()
+    total = [sum(c[g] + 1 for g in seen) for c in count]
+    ratio = {g: math.log((count[1][g] + 1) / total[1]) - math.log((count[0][g] + 1) / total[0]) for g in seen}
+    values = {i: {g: ratio.get(g, 0.0) * (1 + math.log(c)) for g, c in made[i].items()} for i in made}
+    fit = [(values[i], label[i]) for i in in_order(spark, [r[0] for r in train])]
+    weight, b = naive_ftrl(fit, 1, np.random.default_rng(11), T.EPOCHS, T.ALPHA, T.BETA, T.L1, T.L2, lambda s, y: [1 / (1 + math.exp(-s[0])) - y], bias=True)
+    model = T.train(spark.createDataFrame(train, DOCS), spark.createDataFrame([(i, 1, label[i]) for i, *_ in train], "doc_id bigint, quality int, toxic int"), F.lit(True))
+    for i, t, *_ in held:
+        want = b + sum(v * weight((g, 0)) for g, v in values[i].items())
+        assert model.score(t) == pytest.approx(1 / (1 + math.exp(-want)), abs=1e-3)
+
+
+def test_language_against_brute_force(spark):
+    import math
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    bits = 20
+    rows, _ = corpus(spark, 60, 5)
+    rows = [r for r in rows[:60] if len(r[1]) < 400]
+    made = {i: Counter(x[k : k + m] for x in [normal(t)] for m in range(1, 4) for k in range(len(x) - m + 1)) for i, t, *_ in rows}
+    names = {g for c in made.values() for g in c}
+    assert len({int(G.ids(np.array(list(map(ord, g)), np.uint32), len(g), len(g), bits)[0]) for g in names}) == len(names)
+    train, held = rows[:-10], rows[-10:]
+    df = Counter(g for i, *_ in train for g in made[i])
+    idf = {g: math.log((1 + len(train)) / (1 + df[g])) + 1 if df[g] else 0.0 for g in names}
+
+    def values(i):
+        v = {g: (1 + math.log(c)) * idf[g] for g, c in made[i].items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {g: x / size for g, x in v.items()}
+
+    langs = sorted({r[2] for r in train})
+    lang = {r[0]: langs.index(r[2]) for r in rows}
+
+    def softmax(s, at=1.0):
+        e = [math.exp((x - max(s)) / at) for x in s]
+        return [x / sum(e) for x in e]
+
+    order = in_order(spark, [r[0] for r in train])
+    fit = [(values(i), lang[i]) for k, i in enumerate(order) if k % 3 != 2]
+    weight, _ = naive_ftrl(fit, len(langs), np.random.default_rng(7), L.EPOCHS, L.ALPHA, L.BETA, L.L1, L.L2, lambda s, y: [p - (c == y) for c, p in enumerate(softmax(s))])
+    scores = lambda i: [sum(v * weight((g, c)) for g, v in values(i).items()) for c in range(len(langs))]
+    model = L.train(spark.createDataFrame(train, DOCS), F.lit(True), bits=bits)
+    back = [(scores(i), lang[i]) for k, i in enumerate(order) if k % 3 == 2]
+
+    def loss(at):
+        off = 1 / (len(back) + 2)
+        return -sum(math.log(p) * (1 - off if c == y else off / (len(langs) - 1)) for s, y in back for c, p in enumerate(softmax(s, at)))
+
+    assert loss(model.temperature) <= min(loss(math.exp(u / 50)) for u in range(-150, 100)) + 1e-2
+    for i, t, *_ in held:
+        p = softmax(scores(i), model.temperature)
+        assert model.predict(t) == (langs[p.index(max(p))], pytest.approx(max(p), abs=1e-3))
+
+
+def test_repeated_ids_give_one_model(spark):
+    """Of rows with one id the least text is taken, in whatever order they come."""
+    from pyspark.sql import functions as F
+
+    rows, marks = labelled(spark, 60, 9)
+    rows += [(i, t + " scumbag", *x) for i, t, *x in rows[:10]]
+    labels = spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
+    one, two = (T.train(spark.createDataFrame(x, DOCS), labels, F.lit(True)) for x in (rows, rows[::-1]))
+    assert np.allclose(one.weights, two.weights) and one.intercept == pytest.approx(two.intercept)
+    one, two = (L.train(spark.createDataFrame(x, DOCS), F.lit(True)) for x in (rows, rows[::-1]))
+    assert np.allclose(one.weights, two.weights)

@@ -3,11 +3,13 @@
 Features: n-grams of 1 to 3 characters of the whole text (letters; the rest counts as blanks), hashed to 2 ** BITS ids; a value is
 (1 + ln count) x idf, and a text's values have length 1. Document frequencies are counted over all training documents. Weights are fitted
 by follow-the-regularised-leader with L1 and L2 penalties (so most are exactly zero), on about `PER_LANGUAGE` training documents
-of each language, chosen by a hash of their ids; a fifth of these is held back and sets one temperature that calibrates the probabilities.
-What is broadcast (idf and weights) is bounded by the hash space.
+of each language, chosen by a hash of their ids; a third of these is held back and sets one temperature that calibrates the probabilities. Its log loss is
+taken against smoothed targets (a right answer counts as n + 1 in n + 2), so that an easy sample of n rows doesn't give a certainty that n rows can't show.
+What is broadcast (idf and weights) is bounded by the hash space times the number of languages.
 
-Defined results: null text and text without a letter is `und` with score 0; without training rows everything is `und`;
-null langs and ids are never learned from; repeated rows keep one row each; extra columns are ignored.
+Defined results: null text and text without a letter is `und` with score 0; without training rows everything is `und`; of equal probabilities the language
+that comes first in order is taken; of texts with one id the regression takes the least with its language; null langs and ids are never learned from;
+repeated rows keep one row each; texts may be of any length (memory in proportion to the longest); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from turnmill.llm.grams import codes, ids
 
 BITS = 15
 ORDERS = (1, 3)
-PER_LANGUAGE = 600
+PER_LANGUAGE = 800
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
 UNKNOWN = "und"
@@ -85,12 +87,19 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, size:
 
 
 def fit_temperature(logits: list[tuple[np.ndarray, int]]) -> float:
-    """The temperature with the least log loss, by golden section over its logarithm; 1 without rows."""
+    """The temperature with the least log loss against smoothed targets, by golden section over its logarithm; 1 without rows."""
     if not logits:
         return 1.0
+    x, y = np.array([v for v, _ in logits], np.float64), np.array([k for _, k in logits])
+    rows, classes = x.shape
+    off = 1 / (rows + 2)
+    target = np.full(x.shape, off / max(1, classes - 1))
+    target[np.arange(rows), y] = 1 - off
 
     def loss(u: float) -> float:
-        return -sum(float(np.log(softmax(x / np.exp(u))[y] + 1e-12)) for x, y in logits) / len(logits)
+        z = x / np.exp(u)
+        z = z - z.max(axis=1, keepdims=True)
+        return float(-(target * (z - np.log(np.exp(z).sum(axis=1, keepdims=True)))).sum() / rows)
 
     low, high, ratio = -4.0, 3.0, (5**0.5 - 1) / 2
     for _ in range(40):
@@ -140,7 +149,7 @@ def train(docs: DataFrame, train_rows: Column, *, text: str = "text", lang: str
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_lang"), pa.array([at.astype("<u4").tobytes() for at, _ in made], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in made], pa.binary())], names=["_id", "_lang", "at", "n"])
 
     # about per_language rows of each language: a bounded side
-    chosen = texts.join(F.broadcast(picked.select("_id").distinct()), "_id", "left_semi").dropDuplicates(["_id"])
+    chosen = texts.join(F.broadcast(picked.select("_id").distinct()), "_id", "left_semi").groupBy("_id").agg(F.min(F.struct("_text", "_lang")).alias("_m")).select("_id", "_m._lang", "_m._text")
     kind = texts.schema["_id"].dataType.simpleString()
     rows = arrow_map(chosen, features, f"_id {kind}, _lang string, at binary, n binary").withColumn("_o", F.xxhash64("_id")).toArrow().sort_by([("_o", "ascending"), ("_id", "ascending")])
     model = Model(names, idf, np.zeros((1 << bits, max(1, len(names))), np.float32), 1.0, bits)
@@ -148,7 +157,7 @@ def train(docs: DataFrame, train_rows: Column, *, text: str = "text", lang: str
     for k, (g, at, v) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("_lang", "at", "n")), strict=True)):
         at = np.frombuffer(at, "<u4").astype(np.int64)
         if len(at):
-            (held if k % 5 == 4 else fit).append((at, model.values(at, np.frombuffer(v, "<f4")), names.index(g)))
+            (held if k % 3 == 2 else fit).append((at, model.values(at, np.frombuffer(v, "<f4")), names.index(g)))
     if fit:
         model.weights = fit_ftrl(fit, len(names), 1 << bits)
         model.temperature = fit_temperature([(v @ model.weights[at], y) for at, v, y in held])

@@ -1,15 +1,14 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features: whether an n-gram of 3 to 6 characters of a word (with its bounds) occurs in the text, hashed to 2 ** BITS ids. Over all
+Features: n-grams of 3 to 6 characters of a word (with its bounds), hashed to 2 ** BITS ids. Over all
 labelled training documents, a feature's ratio is r = ln(p / q), p and q its smoothed shares of the n-gram occurrences of toxic and
-clean documents; a feature in a text has the value r. A logistic regression over these values is fitted by
+clean documents; a feature that occurs c times in a text has the value r x (1 + ln c). No feature is left out. A logistic regression over these values is fitted by
 follow-the-regularised-leader with an elastic net, on about `PER_CLASS` documents of each label, chosen by a hash of their
-ids; the intercept is corrected for the labels' true shares. Features of fewer than `LEAST` training documents, or whose ratio is within `NEAR` of
-zero, have the value zero.
+ids; the intercept is corrected for the labels' true shares.
 
 Defined results: null and empty text is scored by the intercept; without training rows of both labels every score is the share of label 1 (0
-without any); a document labelled twice has its greatest label; null labels and ids are never learned from; repeated rows keep one row each;
-extra columns are kept by `drop_toxic`.
+without any); a document labelled twice has its greatest label; of texts with one id the regression takes the least; null labels and ids are never learned from;
+repeated rows keep one row each; texts may be of any length (memory in proportion to the longest); extra columns are kept by `drop_toxic`.
 """
 
 from __future__ import annotations
@@ -27,8 +26,6 @@ from turnmill.llm.language import sample_of_each, remainder
 BITS = 20
 ORDERS = (3, 6)
 PER_CLASS = 3000
-LEAST = 3
-NEAR = 0.7
 SMOOTH = 1.0
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.2, 1.0, 0.5, 0.5
@@ -36,9 +33,13 @@ ALPHA, BETA, L1, L2 = 0.2, 1.0, 0.5, 0.5
 BROADCAST_LABELS = 1_000_000
 
 
-def grams(text: str, bits: int = BITS) -> np.ndarray:
-    """Ids of a text's n-grams, repeats included."""
-    return ids(codes(text), *ORDERS, bits, within=True)
+def grams(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts of a text's n-grams."""
+    return np.unique(ids(codes(text), *ORDERS, bits, within=True), return_counts=True)
+
+
+def tempered(n: np.ndarray) -> np.ndarray:
+    return 1 + np.log(n)
 
 
 class Model:
@@ -47,15 +48,15 @@ class Model:
         self.weights, self.intercept, self.bits = weights, intercept, bits
 
     def score(self, text: str | None) -> float:
-        at = grams(text or "", self.bits)
-        at = np.unique(at[self.weights[at] != 0])
-        x = self.intercept + float(self.weights[at].sum(dtype=np.float64))
+        at = ids(codes(text or ""), *ORDERS, self.bits, within=True)
+        at, n = np.unique(at[self.weights[at] != 0], return_counts=True)
+        x = self.intercept + float(self.weights[at].astype(np.float64) @ tempered(n))
         return float(1 / (1 + np.exp(-max(-50.0, min(50.0, x)))))
 
 
-def fit_ftrl(rows: list[tuple[np.ndarray, int]], ratio: np.ndarray, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> tuple[np.ndarray, float]:
-    """Weights and intercept; a row's features have their ratios as values."""
-    z, n = np.zeros(len(ratio)), np.zeros(len(ratio))
+def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> tuple[np.ndarray, float]:
+    """Weights and intercept. rows: (ids, values, label)."""
+    z, n = np.zeros(size), np.zeros(size)
     b, nb = 0.0, 1.0
     order = np.random.default_rng(11)
 
@@ -64,8 +65,8 @@ def fit_ftrl(rows: list[tuple[np.ndarray, int]], ratio: np.ndarray, epochs: int
 
     for _ in range(epochs):
         for i in order.permutation(len(rows)).tolist():
-            at, y = rows[i]
-            zs, ns, v = z[at], n[at], ratio[at]
+            at, v, y = rows[i]
+            zs, ns = z[at], n[at]
             w = weights(zs, ns)
             e = 1 / (1 + np.exp(-np.clip(b + v @ w, -50, 50))) - y
             g = v * e
@@ -77,6 +78,12 @@ def fit_ftrl(rows: list[tuple[np.ndarray, int]], ratio: np.ndarray, epochs: int
     return weights(z, n), b
 
 
+def ratios(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """Log-count ratios of features that occur so many times in either class."""
+    p, q = toxic + SMOOTH, clean + SMOOTH
+    return np.log(p / p.sum()) - np.log(q / q.sum())
+
+
 def train(docs: DataFrame, labels: DataFrame, train_rows: Column, *, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", bits: int = BITS, per_class: int = PER_CLASS) -> Model:
     """A model from the labelled rows of docs where train_rows holds."""
     docs, labels = adopt(docs), adopt(labels)
@@ -87,10 +94,11 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, *, text: str =
     known = texts.join(F.broadcast(marks) if few else marks.hint("merge"), "_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, rows = np.zeros((2, 1 << bits), np.int32), [0, 0]
+        found, rows = np.zeros((2, 1 << bits), np.int64), [0, 0]
         for b in batches:
             for t, y in zip(b.column("_text").to_pylist(), b.column("y").to_pylist(), strict=True):
-                found[y][np.unique(grams(t, bits))] += 1
+                at, n = grams(t, bits)
+                found[y][at] += n
                 rows[y] += 1
         at = np.flatnonzero(found.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), *(pa.array(np.append(found[y][at], rows[y]).astype(np.int64)) for y in (1, 0))], names=["f", "toxic", "clean"])
@@ -100,33 +108,32 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, *, text: str =
     toxic, clean = counted.column("toxic").to_numpy(), counted.column("clean").to_numpy()
     n1, n0 = int(toxic[f < 0].sum()), int(clean[f < 0].sum())
     real = f >= 0
-    f, toxic, clean = f[real], toxic[real], clean[real]
+    f, toxic, clean = f[real], toxic[real], clean[real]  # one for each feature that occurs
     empty = Model(np.zeros(1 << bits, np.float32), float(np.log((n1 + 1e-9) / (n0 + 1e-9))) if n1 + n0 else -50.0, bits)
     if not n1 or not n0:
         return empty
-    # shares of documents rather than of occurrences would do as well: a feature counts once in a text
-    p, q = toxic + SMOOTH, clean + SMOOTH
-    r = np.log(p / p.sum()) - np.log(q / q.sum())
     ratio = np.zeros(1 << bits, np.float32)
-    use = (toxic + clean >= LEAST) & (np.abs(r) > NEAR)
-    ratio[f[use]] = r[use]
+    ratio[f] = ratios(toxic, clean)
 
     picked = sample_of_each(marks, "y", "_id", per_class).select("_id", "y")
-    shared = spark.sparkContext.broadcast(ratio != 0)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [np.unique(at[shared.value[at]]).astype("<u4").tobytes() for at in (grams(t, bits) for t in b.column("_text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("y"), pa.array(made, pa.binary())], names=["_id", "y", "at"])
+            made = [grams(t, bits) for t in b.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("y"), pa.array([at.astype("<u4").tobytes() for at, _ in made], pa.binary()), pa.array([np.minimum(n, 65535).astype("<u2").tobytes() for _, n in made], pa.binary())], names=["_id", "y", "at", "n"])
 
     kind = texts.schema["_id"].dataType.simpleString()
     # about per_class rows of each label: a bounded side
-    rows = arrow_map(texts.join(F.broadcast(picked), "_id").select("_id", "y", "_text").dropDuplicates(["_id"]), features, f"_id {kind}, y int, at binary").withColumn("_o", F.xxhash64("_id")).toArrow().sort_by([("_o", "ascending"), ("_id", "ascending")])
-    fit = [(np.frombuffer(at, "<u4").astype(np.int64), y) for at, y in zip(rows.column("at").to_pylist(), rows.column("y").to_pylist(), strict=True)]
-    ones = sum(y for _, y in fit)
+    chosen = texts.join(F.broadcast(picked), "_id").groupBy("_id", "y").agg(F.min("_text").alias("_text"))
+    rows = arrow_map(chosen, features, f"_id {kind}, y int, at binary, n binary").withColumn("_o", F.xxhash64("_id")).toArrow().sort_by([("_o", "ascending"), ("_id", "ascending")])
+    fit = []
+    for at, n, y in zip(rows.column("at"), rows.column("n"), rows.column("y").to_pylist(), strict=True):
+        at = np.frombuffer(at.as_buffer(), "<u4")
+        fit.append((at, ratio[at] * tempered(np.frombuffer(n.as_buffer(), "<u2")).astype(np.float32), y))
+    ones = sum(y for *_, y in fit)
     if not ones or ones == len(fit):
         return empty
-    weights, b = fit_ftrl(fit, ratio)
+    weights, b = fit_ftrl(fit, 1 << bits)
     b += float(np.log(n1 / n0) - np.log(ones / (len(fit) - ones)))
     return Model((weights * ratio).astype(np.float32), b, bits)
 
