@@ -119,3 +119,75 @@ def test_redact_bounds_the_broadcast_by_spans(spark, tmp_path):
         got = X.redact(docs, str(tmp_path / f"ledger{most}"), broadcast_spans=most)
         assert ("BroadcastHashJoin" in got._jdf.queryExecution().sparkPlan().toString()) == hash_join
         assert [r.text for r in got.orderBy("doc_id").collect()] == [" ".join(["[SECRET] z"] * 40), "fine"]
+
+
+def test_web_tokens_as_the_rule():
+    """One pass finds what the rule's pattern finds."""
+    rng = random.Random(8)
+    rule = re.compile(next(p for k, p, *_ in X.RULES if k == "jwt"))
+    for _ in range(3000):
+        t = "".join(rng.choice(["eyJ", ".", "..", "a" * 9, "b" * 10, "-_", " ", "é", "eyJ" + "x" * 10, "." + "c" * 12]) for _ in range(rng.randint(0, 14)))
+        assert list(X.web_tokens(t)) == [m.span() for m in rule.finditer(t)], t
+
+
+def test_more_kinds_against_brute_force():
+    """The added kinds, by trying every start."""
+    rng = random.Random(12)
+    for kind in ("private_key", "host_token", "chat_token"):
+        pattern = re.compile(next(p for k, p, *_ in X.RULES if k == kind), re.A)
+        for _ in range(300):
+            t = "".join(rng.choice(["-----BEGIN ", "RSA ", "PRIVATE KEY-----", "ghp_", "gh", "xoxb-", "a" * 20, "1-", " "]) for _ in range(rng.randint(0, 10)))
+            want, at = [], 0
+            while at < len(t):
+                m = pattern.match(t, at)
+                if m:
+                    want.append((kind, m.start(), m.end()))
+                at = m.end() if m else at + 1
+            assert [f for f in X.findings(t) if f[0] == kind] == want, t
+
+
+def test_masking_against_brute_force():
+    rng = random.Random(13)
+    for _ in range(500):
+        t = "".join(rng.choice("abcü😀 ") for _ in range(rng.randint(1, 30)))
+        spans = sorted((a, rng.randint(a + 1, len(t))) for a in rng.choices(range(len(t)), k=rng.randint(0, 5)))
+        hit = [any(a <= k < b for a, b in spans) for k in range(len(t))]
+        starts = [h and not any(a < k < b for a, b in spans) for k, h in enumerate(hit)]  # spans that only touch are two
+        assert X.masked(t, spans, "#") == "".join("#" * s + c * (not h) for c, h, s in zip(t, hit, starts, strict=True))
+
+
+def test_long_texts_in_linear_time():
+    import time
+
+    began = time.time()
+    X.findings("eyJ" * 1_000_000)
+    t = "token=abcdef1 " * 200_000
+    assert X.masked(t, [(a, b) for _, a, b in X.findings(t)], "#") == "# " * 200_000
+    assert time.time() - began < 20
+
+
+def test_registered_queries_fill_a_named_cache(spark, tmp_path, monkeypatch):
+    """With a cache folder in the session a second run of the query encodes and scans nothing; without, each run is for itself."""
+    save(documents(spark, ["a b", "token=abcdef", "a b", None]), tmp_path, "documents")
+    spark.conf.set(common.CACHE_DIR, str(tmp_path / "caches"))
+    try:
+        first = [sorted(map(tuple, q(spark, str(tmp_path)).collect())) for q in (T.op6_token_counts, X.op8_secrets)]
+        for name in ("token-cache", "blob-ledger"):
+            assert spark.read.parquet(f"{tmp_path}/caches/{name}").count() == 3
+        stored = spark.read.parquet(f"{tmp_path}/caches/token-cache").count()
+        again = [sorted(map(tuple, q(spark, str(tmp_path)).collect())) for q in (T.op6_token_counts, X.op8_secrets)]
+        assert first == again and spark.read.parquet(f"{tmp_path}/caches/token-cache").count() == stored
+        assert spark.read.parquet(f"{tmp_path}/caches/blob-ledger").count() == 3  # nothing was scanned, so nothing was appended
+        T.count_tokens(documents(spark, ["a b", "new"]), f"{tmp_path}/caches/token-cache", path=PATH).collect()
+        T.compacted(spark, f"{tmp_path}/caches/token-cache", f"{tmp_path}/caches/compact")
+        assert spark.read.parquet(f"{tmp_path}/caches/compact").count() == 4
+    finally:
+        spark.conf.unset(common.CACHE_DIR)
+
+
+def test_caller_keeps_its_settings(spark, tmp_path):
+    before = {k: spark.conf.get(k) for k in (common.ARROW, common.READER, common.ARROW_BYTES)}
+    save(documents(spark, ["a b"]), tmp_path, "documents")
+    made = T.op6_token_counts(spark, str(tmp_path))
+    assert made.count() == 1 and made.sparkSession.conf.get(common.ARROW) == str(common.BATCH_ROWS)
+    assert {k: spark.conf.get(k) for k in before} == before

@@ -49,6 +49,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return adopt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+#: Setting: a folder of shared storage whose caches and ledgers serve all runs.
+CACHE_DIR = "spark.turnmill.cache.dir"
+
+
+def cache_path(spark: SparkSession, name: str) -> str:
+    """Where a cache lies: below the folder that the session names, else a new one that this run fills."""
+    at = spark.conf.get(CACHE_DIR, None)
+    return f"{at.rstrip('/')}/{name}" if at else new_path(spark, name)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """df, written to the shared folder and read again: computed once, and it survives lost executors."""
     return written(df, new_path(df.sparkSession, name))

@@ -5,11 +5,15 @@ A run scans only blobs without a row for the present rule version, appends them,
 hold the blob. The ledger is a Parquet folder in shared storage; an append is a set of whole files, and a blob that two runs both append
 has equal findings, of which reading takes one.
 
+A ledger serves as many runs as it is given to. The registered query takes that below `spark.turnmill.cache.dir`, if the session names such a folder, and else
+a new one, so that a run without the setting scans every content.
+
 Base kinds (leftmost, not overlapping, per kind; matches that fail the length are dropped): `assign`, `access`, `hex`. The rules below
 them add further spans: private-key blocks, JSON web tokens, and access tokens with well-known prefixes. Offsets are
 code points, end exclusive.
 
-Defined results: null text counts as empty; repeated rows keep one row each; equal contents are scanned once; extra columns are kept by
+Defined results: null text counts as empty; repeated rows keep one row each; equal contents are scanned once; of spans with one start the kind that is
+listed first comes first; texts may be of any length (scanning and masking take time in proportion to it); extra columns are kept by
 `redact` and ignored by `scan`; an empty table or ledger is fine.
 """
 
@@ -22,8 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import adopt, arrow_map, chunks, compact, cut, digest_of, first_texts, kept, keyed, table
-from turnmill.session import new_path
+from turnmill.llm.common import adopt, arrow_map, chunks, compact, cut, digest_of, first_texts, kept, keyed, cache_path, table
 
 # The contract's base patterns, with the group and the length that a match needs.
 BASE = [
@@ -34,7 +37,7 @@ BASE = [
 # Added by the operator: well-known forms of keys and tokens.
 MORE = [
     ("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1),  # see web_tokens
     ("host_token", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
     ("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
 ]
@@ -48,11 +51,29 @@ _compiled = [(kind, re.compile(p if kind != "hex" else r"[0-9a-f]{24,}", re.A),
 _assign_hint = re.compile(r"[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]")
 
 
+_part = re.compile(r"[A-Za-z0-9_-]+")
+
+
+def web_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of the jwt rule, in one pass: three parts in a row with a dot between, the last two of 10 characters or more, the first with eyJ and 10 more."""
+    parts = [(m.start(), m.end()) for m in _part.finditer(text)] if "eyJ" in text else []
+    k = 0
+    while k + 2 < len(parts):
+        (a, b), (c, d), (e, f) = parts[k : k + 3]
+        at = text.find("eyJ", a, max(a, b - 10)) if c == b + 1 and e == d + 1 and text[b] == text[d] == "." and d - c >= 10 and f - e >= 10 else -1
+        if at >= 0:
+            yield at, f
+        k += 3 if at >= 0 else 1
+
+
 def findings(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of a text, by start and then by the rules' order."""
     out = []
     for kind, pattern, group, least in _compiled:
-        if kind == "assign" and not _assign_hint.search(text) or kind == "access" and "AKIA" not in text or kind == "private_key" and "-----BEGIN" not in text or kind == "jwt" and "eyJ" not in text or kind == "host_token" and "gh" not in text or kind == "chat_token" and "xox" not in text:
+        if kind == "assign" and not _assign_hint.search(text) or kind == "access" and "AKIA" not in text or kind == "private_key" and "-----BEGIN" not in text or kind == "host_token" and "gh" not in text or kind == "chat_token" and "xox" not in text:
+            continue
+        if kind == "jwt":
+            out += [(kind, a, b) for a, b in web_tokens(text)]
             continue
         for m in pattern.finditer(text):
             if m.end(group) - m.start(group) >= least:
@@ -102,24 +123,40 @@ def redact(docs: DataFrame, ledger: str, *, doc_id: str = "doc_id", text: str =
     docs = adopt(docs)
     found = scan(docs, ledger, doc_id=doc_id, text=text).where(F.size("found") > 0).select(F.col("digest").alias("_d"), F.col("found").alias("_f"))
     found = cut(found.dropDuplicates(["_d"]), "secrets")
-    merged = F.aggregate("_f", F.array().cast("array<struct<start:bigint,end:bigint>>"), lambda a, s: F.when(
-        (F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] > s["start"]),
-        F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(a, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(a, F.lit(-1))["end"], s["end"]).alias("end")))),
-    ).otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))))
     size = found.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("_f")), F.lit(0)).alias("spans")).first()
     few = size.rows <= 50_000 and size.spans <= broadcast_spans
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), digest_of(docs[text]).alias("_h"))
     joined = rows.join(F.broadcast(found) if few else found.hint("merge"), F.col("_h") == F.col("_d"), "left")
-    whole = F.col("_row")[text]
-    cut_out = F.aggregate(merged, F.struct(F.lit("").alias("t"), F.lit(0).cast("bigint").alias("p")), lambda a, s: F.struct(
-        F.concat(a["t"], F.substring(whole, (a["p"] + 1).cast("int"), (s["start"] - a["p"]).cast("int")), F.lit(mark)).alias("t"), s["end"].alias("p")),
-        lambda a: F.concat(a["t"], F.substring(whole, (a["p"] + 1).cast("int"), F.lit(2**31 - 1))))
-    clean = F.when(F.col("_f").isNull(), whole).otherwise(cut_out)
-    return joined.select(*[clean.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
+    rows = joined.select("_row", "_f")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, spans = b.column("_row"), b.column("_f")
+            if spans.null_count < b.num_rows:
+                at = row.type.get_field_index(text)
+                column = row.field(at).to_pylist()
+                for k, x in enumerate(spans.to_pylist()):
+                    if x:
+                        column[k] = masked(column[k], [(s["start"], s["end"]) for s in x], mark)
+                fields = [pa.array(column, row.type.field(j).type) if j == at else row.field(j) for j in range(row.type.num_fields)]
+                row = pa.StructArray.from_arrays(fields, fields=[row.type.field(j) for j in range(row.type.num_fields)])
+            yield pa.RecordBatch.from_arrays([row], names=["_row"])
+
+    return arrow_map(rows, run, rows.select("_row").schema).select("_row.*")
+
+
+def masked(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """text with a mark for each span; spans, by start, that overlap are one."""
+    out, to = [], 0
+    for start, end in spans:
+        if start >= to:
+            out += [text[to:start], mark]
+        to = max(to, end)
+    return "".join([*out, text[to:]])
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents"), new_path(spark, "blob-ledger"))
+    found = scan(table(spark, sf_dir, "documents"), cache_path(spark, "blob-ledger"))
     spell = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     base = F.filter("found", lambda x: x["kind"].isin(*[k for k, *_ in BASE]))
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("bigint")

@@ -1,9 +1,11 @@
 """Token counts through a digest cache.
 
-A text's key is the SHA-256 of its content and that of the tokenizer (file and library version). Documents are joined to the
+A text's key is the SHA-256 of its normalised content and that of the tokenizer (file and library version). Contents are the same if they can't differ in their
+counts: null and empty text are one, and otherwise texts of equal bytes, because a byte-level file without a normalizer counts every byte. Documents are joined to the
 cache by key; of the misses one text per distinct key is encoded, and the new counts are appended. The cache is a Parquet folder in
 shared storage: appends are whole files, so it survives a lost executor, and two runs that append the same key
-do no harm (a key's counts are equal; reading takes distinct keys).
+do no harm (a key's counts are equal; reading takes distinct keys). `compacted` rewrites a cache of many small appends. The registered query takes the cache below
+`spark.turnmill.cache.dir`, if the session names such a folder, and else a new one, so that a run without the setting encodes every content.
 
 Counts are those of the tokenizers library for the file. A byte-level BPE file has the same ids in tiktoken, which is
 faster; texts with characters from U+0250 on, where the libraries' character tables could differ, and texts that tiktoken gives up on
@@ -25,8 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import adopt, arrow_map, byte_letters, chunks, compact, cut, first_texts, kept, keyed, table
-from turnmill.session import new_path
+from turnmill.llm.common import adopt, arrow_map, byte_letters, chunks, compact, cut, first_texts, kept, keyed, cache_path, table
 
 LIMIT = 512
 CACHE_SCHEMA = "digest binary, version string, n_bytes bigint, n_tokens bigint"
@@ -122,8 +123,13 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame:
     return spark.read.schema(CACHE_SCHEMA).parquet(cache)
 
 
+def compacted(spark: SparkSession, cache: str, to: str) -> None:
+    """A copy of a cache or ledger, without repeated keys and in few files, for when many runs have appended to it."""
+    spark.read.parquet(cache).dropDuplicates(["digest", "version"]).hint("rebalance").write.parquet(to)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    found = count_tokens(table(spark, sf_dir, "documents"), new_path(spark, "token-cache"), path=public_tokenizers.path("byte_bpe_50k.json"))
+    found = count_tokens(table(spark, sf_dir, "documents"), cache_path(spark, "token-cache"), path=public_tokenizers.path("byte_bpe_50k.json"))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
