@@ -19,16 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import adopt, arrow_map, chunks, table
+from turnmill.llm.common import adopt, arrow_map, chunks, release, table
 from turnmill.llm.grams import codes, ids
 from turnmill.llm.language import sample_of_each, remainder
 
 BITS = 20
 ORDERS = (3, 6)
-PER_CLASS = 3000
+PER_CLASS = 1500
 SMOOTH = 1.0
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 0.5, 0.5
+EPOCHS = 6
+ALPHA, BETA, L1, L2 = 0.2, 1.0, 2.0, 0.5
 #: Labels are broadcast up to this many rows (about 30 MB in memory); more are joined by shuffle.
 BROADCAST_LABELS = 1_000_000
 
@@ -135,7 +135,10 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, *, text: str =
         return empty
     weights, b = fit_ftrl(fit, 1 << bits)
     b += float(np.log(n1 / n0) - np.log(ones / (len(fit) - ones)))
-    return Model((weights * ratio).astype(np.float32), b, bits)
+    model = Model((weights * ratio).astype(np.float32), b, bits)
+    del fit, rows, weights, counted, f, toxic, clean
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
