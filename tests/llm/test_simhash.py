@@ -72,6 +72,7 @@ def test_components_of_made_fingerprints(spark, bucket):
                 f ^= 1 << rng.randrange(64)
             fps.add(f)
     fps |= {0, 1, (1 << 64) - 1, 1 << 63}
+    fps |= {0xABCD << 40 | x for x in range(0, 1 << 12, 3)}  # agree in 52 bits: a bucket that splits to the last level
     signed = {f: int(np.uint64(f).view(np.int64)) for f in fps}
     df = spark.createDataFrame([(x,) for x in signed.values()], "fp bigint")
     found = {r.node: r.root for r in S.components(S.links(df, bucket=bucket)).collect()}

@@ -6,27 +6,27 @@ non-blank characters after lower-casing A-Z; a text of fewer words is one shingl
 Links: two fingerprints at `DISTANCE` = 2 or fewer bits agree in at least two of four 16-bit blocks, so distinct
 fingerprints meet in buckets (pair of blocks, their 32 bits). Buckets of at most `BUCKET` fingerprints are joined with
 themselves and each pair's Hamming distance is verified. A larger bucket (many near copies) would give a quadratic number of pairs:
-its fingerprints are spread over the 65 words within one bit of each instead. Two fingerprints are
-within two bits exactly if such balls share a word, a word is shared by 65 fingerprints at most, and one star per word links the
-same fingerprints as all its pairs: so no link is lost, and no group grows with the data. Exact copies are one fingerprint
-from the start.
+it is split again in the same way, by pairs of four 8-bit blocks of the 32 bits that are left, and where that is still too large by pairs of four 4-bit
+blocks of the 16 bits left then. A last bucket has 256 fingerprints at most, because 8 bits are left. So no link is lost, and no group grows
+with the data. Exact copies are one fingerprint from the start.
 
 Components: alternating large-star and small-star steps, each cut by a checkpoint, until nothing changes; rows are salted where a
 component's centre would gather them.
 
-Defined results: null text counts as empty; all empty texts are linked; repeated rows keep one row each; extra columns stay out
+Defined results: null text counts as empty; all empty texts are linked; texts may be of any length; of equal ids the least is one (there are no ties); repeated rows keep one row each; extra columns stay out
 of the way (`near_duplicates` keeps them); an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import BROADCAST_ROWS, adopt, arrow_map, cut, kept, table, text_bytes
+from turnmill.llm.common import BROADCAST_ROWS, adopt, arrow_map, cut, free, kept, table, text_bytes
 
 SHINGLE = 3
 DISTANCE = 2
@@ -73,33 +73,55 @@ def fingerprints(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] =
     return arrow_map(rows, run, rows.drop("_text").schema)
 
 
-def _buckets(fps: DataFrame) -> DataFrame:
-    """(fp, t, key): one row for each pair of blocks."""
-    width = 64 // BLOCKS
-    mask = (1 << width) - 1
-    block = [F.shiftrightunsigned("fp", width * k).bitwiseAND(F.lit(mask).cast("bigint")) for k in range(BLOCKS)]
-    pairs = [(i, j) for i in range(BLOCKS) for j in range(i)]
-    keys = [F.struct(F.lit(n).alias("t"), F.shiftleft(block[i], width).bitwiseOR(block[j]).alias("key")) for n, (i, j) in enumerate(pairs)]
-    return fps.select("fp", F.explode(F.array(*keys)).alias("b")).select("fp", "b.t", "b.key")
-
-
-def _ball(fp: Column) -> Column:
-    """The words within one bit."""
-    return F.array(fp, *[fp.bitwiseXOR(F.lit((1 << k) - (1 << 64) if k == 63 else 1 << k).cast("bigint")) for k in range(64)])
-
-
-def links(fps: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): links between distinct fingerprints; of those from a large bucket, a star for each shared word. fps: distinct `fp`."""
-    members = _buckets(fps)
-    size = kept(members.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))
-    members = kept(members.join(size, ["t", "key"]))
-    small = members.where(F.col("n") <= bucket).select("t", "key", "fp")
-    other = small.select("t", "key", F.col("fp").alias("b"))
-    near = small.join(other, ["t", "key"]).where((F.col("fp") < F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= DISTANCE)).select(F.col("fp").alias("a"), "b")
-    large = members.where(F.col("n") > bucket).select("fp").distinct()
-    balls = large.select("fp", F.explode(_ball(F.col("fp"))).alias("w")).groupBy("w").agg(F.collect_set("fp").alias("f")).where(F.size("f") > 1)
-    stars = balls.select(F.array_min("f").alias("a"), F.explode("f").alias("b")).where("a <> b")
-    return near.unionByName(stars).distinct()
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _levels() -> list[list[list[int]]]:
+    """For each level, of each way to get there: masks of the bits in which fingerprints must agree, for each pair of blocks."""
+    ways, out = [list(range(64))], []  # bits that are left free
+    for _ in range(3):
+        masks, after = [], []
+        for free in ways:
+            n = len(free) // BLOCKS
+            blocks = [free[k * n : (k + 1) * n] for k in range(BLOCKS)]
+            rest = [[x for k, block in enumerate(blocks) if k not in pair for x in block] for pair in combinations(range(BLOCKS), 2)]
+            masks.append([((1 << 64) - 1) ^ sum(1 << x for x in r) for r in rest])
+            after += rest
+        out.append(masks)
+        ways = after
+    return out
+
+
+LEVELS = _levels()
+
+
+def _buckets(rows: DataFrame, level: int) -> DataFrame:
+    """(fp, way, key): a row for each pair of blocks. rows: (fp, way) with the way that led to the level."""
+    masks = LEVELS[level]
+    each = [F.array(*[F.struct(F.lit(6 * w + n).alias("way"), F.lit(_signed(m)).cast("bigint").alias("mask")) for n, m in enumerate(ms)]) for w, ms in enumerate(masks)]
+    found = rows.select("fp", F.explode(F.element_at(F.array(*each), F.col("way") + 1)).alias("b"))
+    return found.select("fp", "b.way", F.col("fp").bitwiseAND(F.col("b.mask")).alias("key"))
+
+
+def links(fps: DataFrame, *, bucket: int = BUCKET, held: list[DataFrame] | None = None) -> DataFrame:
+    """(a, b): distinct fingerprints within `DISTANCE` bits. fps: distinct `fp`. held: gets the tables that are kept until the links are written."""
+    rows, found = fps.select("fp", F.lit(0).alias("way")), None
+    held = [] if held is None else held
+    for level in range(len(LEVELS)):
+        members = _buckets(rows, level)
+        size = kept(members.groupBy("way", "key").agg(F.count("*").alias("n")).where("n > 1"))
+        members = kept(members.join(size, ["way", "key"]))
+        held += [size, members]
+        last = level == len(LEVELS) - 1
+        small = members if last else members.where(F.col("n") <= bucket)
+        other = small.select("way", "key", F.col("fp").alias("b"))
+        near = small.join(other, ["way", "key"]).where((F.col("fp") < F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= DISTANCE)).select(F.col("fp").alias("a"), "b")
+        found = near if found is None else found.unionByName(near)
+        rows = members.where(F.col("n") > bucket).select("fp", "way")
+        if last or rows.isEmpty():
+            return found.distinct()
+    raise AssertionError
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +178,9 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...
     docs = adopt(docs)
     rows = kept(fingerprints(docs, text=text, keep=keep))
     first = kept(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(doc_id).alias("first")))
-    found = components(links(first.select("fp"), bucket=bucket))
+    held: list[DataFrame] = []
+    found = components(links(first.select("fp"), bucket=bucket, held=held))
+    free(*held)
     rooted = first.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = kept(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     # what is kept is dealt anew on either side of both joins: the rows of a frequent fingerprint or a large component can be split
