@@ -124,6 +124,9 @@ def test_search(spark, tmp_path):
         got = K.top_k(q.where("vec_id % 20 = 0"), q, 9, query_block=a, candidate_block=b)
         assert sorted(tuple(r) for r in got.collect()) == slow_search(single, 20, 9)
     assert K.top_k(q.limit(0), q).count() == 0 and K.top_k(q.where("vec_id = 50"), q.limit(0)).count() == 0
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(3000)], "vec_id bigint, embedding array<float>")  # all tie
+    tied = K.top_k(K.quantized(same).where("vec_id IN (0, 2, 2999)"), K.quantized(same), 3, candidate_block=700).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in tied) == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (2, 1, 0), (2, 2, 1), (2, 3, 3), (2999, 1, 0), (2999, 2, 1), (2999, 3, 2)]
     few = q.where("vec_id IN (0, 1, 2)")
     assert K.top_k(few.where("vec_id = 0"), few).count() == 2
 

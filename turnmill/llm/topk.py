@@ -1,29 +1,32 @@
 """Exact top-k search by inner product: exhaustive, term at a time.
 
-Queries are taken in blocks of bounded size (`QUERY_BLOCK` rows), each broadcast; every task reads its candidates in blocks as
-well, inverts each block into postings (for each dimension, the candidates with a weight other than zero, and the weights), and
-lets the queries' terms scatter weighted postings into a dense array of scores. From each array the k best of each query are taken
-by partition selection; these few rows meet per query and are merged.
+Queries and candidates meet in a grid: queries are dealt over blocks of about `QUERY_BLOCK` rows, candidates over blocks of about `CANDIDATE_BLOCK`, and a cell
+has one block of each (a row goes to all cells of its block, in one exchange; nothing passes through the driver). A cell inverts its candidates into postings (for
+each dimension, those with a weight other than zero, and the weights) and lets the queries' terms scatter weighted postings into dense arrays of scores, one
+term for all queries of a tile at a time. From each array the k best of each query are taken by partition selection and merged; these few rows meet per
+query and are merged again.
 
-Ties go to the smaller vec_id. Exactness: scores are whole numbers; they are added in int64 where they can't overflow, else as Python integers.
+Ties go to the smaller vec_id. Exactness: scores are whole numbers; they are added in int32 or int64 where they can't overflow, else as Python integers. A score
+beyond 64 bits counts as the greatest (or least) 64-bit number, so such scores are ties.
 
 Defined results: a vector that is null or holds a null, NaN or infinite component takes no part, neither as query nor as candidate; a shorter vector's
-missing components are zero; repeated ids are candidates of their own, a repeated query row gets a list of its own, and a query never meets a row with its id; extra columns are ignored.
+missing components are zero; repeated ids are candidates of their own, a repeated query row gets a list of its own, and a query never meets a row with its id;
+blocks are dealt by position, so that equal rows are spread as others are; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from turnmill.llm.common import arrow_map, table
+from turnmill.llm.common import adopt, table
 
-QUERY_BLOCK = 2048
-CANDIDATE_BLOCK = 2048
+QUERY_BLOCK = 8192
+CANDIDATE_BLOCK = 4096
+#: Queries and candidates of a tile, whose scores fit in a processor's cache.
+TILE = (128, 2048)
 K = 5
 
 
@@ -48,77 +51,71 @@ def scores_of(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Inner products, accumulated term at a time."""
     most = lambda a: max(int(a.max()), -int(a.min())) if a.size else 0
     dims = min(queries.shape[1], candidates.shape[1])
-    exact = most(queries) * most(candidates) * max(1, dims) < 1 << 62
-    kind = np.int64 if exact else object
+    bound = most(queries) * most(candidates) * max(1, dims)
+    kind = np.int32 if bound < 1 << 31 else np.int64 if bound < 1 << 62 else object
+    terms, weights = np.ascontiguousarray(queries.T.astype(kind)), np.ascontiguousarray(candidates.T.astype(kind))
     out = np.zeros((len(queries), len(candidates)), kind)
+    part = np.empty_like(out)
     for d in range(dims):
-        rows = np.flatnonzero(queries[:, d])
-        posting = np.flatnonzero(candidates[:, d])
-        if len(rows) and len(posting):
-            weights, terms = candidates[posting, d].astype(kind), queries[rows, d].astype(kind)
-            if len(posting) == len(candidates):  # a full posting list needs no scatter by index
-                for r, t in zip(rows.tolist(), terms.tolist(), strict=True):
-                    out[r] += t * weights
-            else:
-                for r, t in zip(rows.tolist(), terms.tolist(), strict=True):
-                    out[r, posting] += t * weights
-    return out
-
-
-def select(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(row, vec_id, score): of each row the k best but the query's own, ties to smaller ids."""
-    out = []
-    for q in range(len(own)):
-        s = scores[q]
-        ok = np.flatnonzero(ids != own[q])
-        if len(ok) > 4 * k and scores.dtype != object:
-            # all that reach the k-th best score: ties are settled by id below
-            bar = np.partition(s[ok], len(ok) - k)[len(ok) - k]
-            ok = ok[s[ok] >= bar]
-        best = sorted(ok.tolist(), key=lambda c: (-int(s[c]), int(ids[c])))[:k]
-        out += [(q, int(ids[c]), max(-(1 << 63), min((1 << 63) - 1, int(s[c])))) for c in best]
-    return out
-
-
-def blocks(queries: DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    held: list = []
-    for row in queries.toLocalIterator():
-        held.append(row)
-        if len(held) == most:
-            yield _block(held)
-            held = []
-    if held:
-        yield _block(held)
-
-
-def _block(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([r["vec_id"] for r in rows], np.int64), _matrix(pa.array([r["v"] for r in rows], pa.list_(pa.int64())))
+        rows, posting = np.flatnonzero(terms[d]), np.flatnonzero(weights[d])
+        if 2 * len(rows) * len(posting) > out.size:  # most of the array: zeros do no harm
+            np.multiply(terms[d][:, None], weights[d][None, :], out=part)
+            np.add(out, part, out=out)
+        elif len(rows) and len(posting):
+            out[np.ix_(rows, posting)] += terms[d][rows][:, None] * weights[d][posting][None, :]
+    return np.clip(out, -(1 << 63), (1 << 63) - 1).astype(np.int64) if kind is object else out
+
+
+def select(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, vec_id, score) of each row's k best but the query's own, ties to smaller ids."""
+    found = ids[None, :] != own[:, None]
+    if scores.shape[1] > 4 * k:
+        # all that reach the score of the place k from the top, and one more for the query's own
+        n = scores.shape[1] - k - int((~found).sum(axis=1).max(initial=0))
+        if n > 0:
+            found &= scores >= np.partition(scores, n, axis=1)[:, n : n + 1]
+    row, at = np.nonzero(found)
+    return best_of(row, ids[at], scores[row, at].astype(np.int64), k)
+
+
+def best_of(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the k best."""
+    order = np.lexsort((ids, ~score, row))  # ~ turns the order round without overflow
+    row, ids, score = row[order], ids[order], score[order]
+    start = np.flatnonzero(np.diff(row, prepend=-1))
+    place = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row))))
+    use = place < k
+    return row[use], ids[use], score[use]
+
+
+def _cell(group: pa.Table, k: int) -> pa.Table:
+    """The k best of each query of a cell, (left, id, q, v): left for queries, q their numbers."""
+    group = group.combine_chunks()
+    left = group.column("left").combine_chunks()
+    queries, others = group.filter(left), group.filter(pc.invert(left))
+    own, number, ids = (x.to_numpy() for x in (queries.column("id"), queries.column("q"), others.column("id")))
+    a, b = (_matrix(x.column("v").combine_chunks()) for x in (queries, others))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for r in range(0, len(own), TILE[0]):
+        best = [np.zeros(0, np.int64)] * 3
+        for c in range(0, len(ids), TILE[1]):
+            new = select(scores_of(a[r : r + TILE[0]], b[c : c + TILE[1]]), ids[c : c + TILE[1]], own[r : r + TILE[0]], k)
+            best = best_of(*(np.concatenate(x) for x in zip(best, new, strict=True)), k)
+        found.append((best[0] + r, *best[1:]))
+    row, ids, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3
+    return pa.table({"_q": number[row], "query_id": own[row], "vec_id": ids, "score": score})
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, *, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score); both inputs as quantized() makes them."""
-    spark = candidates.sparkSession
-    parts = None
-    for number, (ids, matrix) in enumerate(blocks(queries, query_block)):
-        known = spark.sparkContext.broadcast((ids, matrix))
-
-        def run(batches: Iterator[pa.RecordBatch], known=known, first=number * query_block) -> Iterator[pa.RecordBatch]:
-            own, q = known.value
-            for b in batches:
-                for at in range(0, b.num_rows, candidate_block):
-                    part = b.slice(at, candidate_block)
-                    c_ids, c = part.column("vec_id").to_numpy(), _matrix(part.column("v"))
-                    found = []
-                    for r in range(0, len(own), 256):  # 256 x 2048 scores fit in a cache
-                        found += [(r + i, v, s) for i, v, s in select(scores_of(q[r : r + 256], c), c_ids, own[r : r + 256], k)]
-                    cols = zip(*found, strict=True) if found else [[], [], []]
-                    rows = pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in cols], names=["q", "vec_id", "score"])
-                    yield pa.RecordBatch.from_arrays([pa.array(own).take(rows.column("q")), *rows.columns[1:], pc.add(rows.column("q"), first)], names=["query_id", "vec_id", "score", "_q"])
-
-        part = arrow_map(candidates, run, "query_id bigint, vec_id bigint, score bigint, _q bigint")
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    queries, candidates = adopt(queries), adopt(candidates)
+    rows, columns = (max(1, -(-x.count() // n)) for x, n in ((queries, query_block), (candidates, candidate_block)))
+    place = F.monotonically_increasing_id()
+    number = F.shiftrightunsigned(place, 33) + place  # so that small partitions don't all begin with the same block
+    cells = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    left = queries.select(F.col("vec_id").alias("id"), place.alias("q"), F.pmod(number, F.lit(rows)).cast("int").alias("x"), F.col("v"), F.lit(True).alias("left")).withColumn("y", F.explode(cells(columns)))
+    right = candidates.select(F.col("vec_id").alias("id"), F.lit(-1).cast("bigint").alias("q"), F.pmod(number, F.lit(columns)).cast("int").alias("y"), F.col("v"), F.lit(False).alias("left")).withColumn("x", F.explode(cells(rows)))
+    parts = left.unionByName(right).groupBy("x", "y").applyInArrow(lambda t: _cell(t, k), "_q bigint, query_id bigint, vec_id bigint, score bigint")
     w = Window.partitionBy("_q").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
