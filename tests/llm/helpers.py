@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import re
+from collections import defaultdict
 from pathlib import Path
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -30,3 +33,23 @@ def clashing(df):
 
 def save(df, folder: Path, name: str) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+
+
+def contaminated(docs: list[tuple[int, str | None]], tests: list[tuple[int, str | None]], window: int = 10) -> list[tuple]:
+    """The rows of op1's contract, by comparing every window with every position."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    windows = defaultdict(set)
+    for i, t in tests:
+        w = split(t)
+        for j in range(len(w) - window + 1) if len(w) >= window else range(bool(w)):
+            windows[tuple(w[j : j + window])].add(str(i))
+    out = []
+    for d, t in docs:
+        w, hit, items = split(t), set(), set()
+        for x, ids in windows.items():
+            for j in range(len(w) - len(x) + 1):
+                if tuple(w[j : j + len(x)]) == x:
+                    hit |= set(range(j, j + len(x)))
+                    items |= ids
+        out.append((d, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(items)))
+    return out

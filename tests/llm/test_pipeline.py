@@ -5,9 +5,9 @@ import random
 import pytest
 
 import corpus_pipeline as C
-from tests.llm.helpers import DOCS, clashing, prose, save
+from tests.llm.helpers import DOCS, clashing, contaminated, prose, save
 from tests.llm.test_simhash import slow_components, slow_fingerprint
-from turnmill.llm import decontaminate as D, secrets as X
+from turnmill.llm import secrets as X
 from turnmill.llm.packing import tokenizer, tokenizer_path
 
 
@@ -55,7 +55,7 @@ def test_stages(spark, corpus):
     assert len(set(bad) & set(outs[0])) <= 0.03 * len(bad) and len(set(clean) - set(outs[0])) <= 0.01 * len(clean)
     component = slow_components({i: slow_fingerprint(t) for i, t in outs[0].items()})
     assert set(outs[1]) == set(component.values())
-    hit = {r[0] for r in D.brute_force(list(outs[1].items()), list(enumerate(tests))) if r[5]}
+    hit = {r[0] for r in contaminated(list(outs[1].items()), list(enumerate(tests))) if r[5]}
     assert hit and set(outs[2]) == set(outs[1]) - hit
     assert set(outs[3]) == set(outs[2])
     for i, t in outs[2].items():

@@ -9,14 +9,14 @@ test item has words: a deeper order can't change an interval.
 Test items are taken in blocks of at most `BLOCK_BYTES` of text; a block's tables are broadcast (they grow with its words;
 one longer item is a block by itself), and further blocks are further passes over the same rows.
 
-Defined results: null or empty text has no words and is never hit; null item texts are never found; an item shorter than the
+Defined results: texts may be of any length (a long one is a shard by itself); of longest matches of one length that with the least doc_id (as a string) and place is
+taken; an empty table of tests hits nothing; null or empty text has no words and is never hit; null item texts are never found; an item shorter than the
 window is one window; equal items each count; rows with a repeated doc_id stand for themselves; extra columns are kept by
 `decontaminate` and ignored by `contamination`.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -74,47 +74,60 @@ class Words:
 
 
 class Tests:
-    """A block of test items: distinct words, all suffixes (as places in the items' words), and the windows that each starts."""
+    """A block of test items: distinct words, all suffixes (as places in the items' words), and their windows. Flat arrays of a few numbers for each word."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.window = window
         self.ids = [i for i, _ in items]
         w = Words([t for _, t in items])
         by: dict[bytes, int] = {}
-        tokens = [by.setdefault(w.word(i), len(by)) for i in range(len(w.start))]
+        tokens = np.fromiter((by.setdefault(w.word(i), len(by)) for i in range(len(w.start))), np.int64, len(w.start))
         self.words = list(by)
         self.hashes = Words(self.words).hash if self.words else np.zeros(0, np.uint64)
-        same: dict[bytes, list[int]] = {}  # items of the same words
+        same: dict[bytes, list[int]] = {}  # items of the same words, which are one text from here on
         for k in range(len(items)):
-            same.setdefault(np.array(tokens[w.first[k] : w.first[k + 1]], np.int64).tobytes(), []).append(k)
-        self.flat = np.full(sum(len(x) // 8 + 1 for x in same), -1, np.int64)  # words of each of them, and -1
-        self.places: list[list[tuple[int, int]]] = []  # (item, position) of each
-        windows: dict[tuple[int, ...], int] = {}
-        self.items_of: list[set[int]] = []
-        at, lengths, end = [], [], 0
-        for x, ks in same.items():
-            own = np.frombuffer(x, np.int64)
-            self.flat[end : end + len(own)] = own
-            own = own.tolist()
-            for j in range(len(own)):
-                at.append(end + j)
-                lengths.append(len(own) - j)
-                self.places.append([(k, j) for k in ks])
-                if len(own) - j >= window or j == 0:
-                    v = windows.setdefault(tuple(own[j : j + window]), len(windows))
-                    if v == len(self.items_of):
-                        self.items_of.append(set())
-                    self.items_of[v].update(ks)
-            end += len(own) + 1
-        self.at, self.length = np.array(at, np.int64), np.array(lengths, np.int64)
-        self.window_length = np.array([len(x) for x in windows], np.int64)
+            if w.count[k]:
+                same.setdefault(tokens[w.first[k] : w.first[k + 1]].tobytes(), []).append(k)
+        self.items = list(same.values())
+        count = np.array([len(x) // 8 for x in same], np.int64)
+        start = np.cumsum(count + 1) - count - 1
+        self.flat = np.full(int((count + 1).sum()), -1, np.int64)  # words of each text, and -1
+        for x, to, n in zip(same, start.tolist(), count.tolist(), strict=True):
+            self.flat[to : to + n] = np.frombuffer(x, np.int64)
+        self.text = np.repeat(np.arange(len(count)), count)  # of each suffix
+        self.at = np.flatnonzero(self.flat >= 0)
+        self.place = self.at - start[self.text] if len(count) else self.at
+        self.length = count[self.text] - self.place if len(count) else self.at
         self.longest = int(self.length.max(initial=0))
-        # a window may start longer suffixes of other items
-        sizes = sorted({window, *(len(x) for x in windows if len(x) < window)})
-        self.starts: list[list[int]] = []
-        for p, n in zip(at, lengths, strict=True):
-            head = tuple(self.flat[p : p + min(n, window)].tolist())
-            self.starts.append(sorted({windows[head[:m]] for m in sizes if head[:m] in windows}))
+        self._windows()
+
+    def _windows(self) -> None:
+        """The distinct windows: words, a suffix that starts with each, and the texts that hold it."""
+        first = np.zeros(len(self.at), np.int64)  # number of a suffix's first m words among all such beginnings
+        lengths, starts, pairs = [], [], []
+        size = np.minimum(self.length, self.window)
+        own = (self.length >= self.window) | (self.place == 0)
+        known = 0
+        for m in range(1, self.window + 1):
+            rows = np.flatnonzero(self.length >= m)
+            if not len(rows):
+                break
+            word = self.flat[self.at[rows] + m - 1]
+            _, first[rows] = np.unique(first[rows] * (len(self.words) + 1) + word, return_inverse=True)
+            rows = np.flatnonzero(own & (size == m))
+            if len(rows):
+                _, one, number = np.unique(first[rows], return_index=True, return_inverse=True)
+                lengths.append(np.full(len(one), m, np.int64))
+                starts.append(rows[one])
+                pairs.append(np.unique(np.stack([number + known, self.text[rows]], axis=1), axis=0))
+                known += len(one)
+        none = np.zeros(0, np.int64)
+        self.window_length, self.window_start = np.concatenate([none, *lengths]), np.concatenate([none, *starts])
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *pairs])
+        self.text_of_window, self.window_edge = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(known + 1))
+
+    def texts_of(self, window: int) -> np.ndarray:
+        return self.text_of_window[self.window_edge[window] : self.window_edge[window + 1]]
 
 
 class Shard:
@@ -183,11 +196,7 @@ class Shard:
         best, place = np.zeros(m, np.int64), np.full(m, -1, np.int64)
         lo, hi = np.zeros(m, np.int64), np.full(m, len(self.order), np.int64)
         active = np.arange(m)
-        windows: dict[int, tuple[int, int]] = {}
-        wanted = defaultdict(list)
-        for k, starts in enumerate(tests.starts):
-            for v in starts:
-                wanted[int(tests.window_length[v])].append((k, v))
+        windows: list[tuple[int, int, int]] = []
         n = len(self.order)
         prefix = np.zeros(m, np.int64)
         for d in range(tests.longest):
@@ -210,12 +219,12 @@ class Shard:
             lo[active], hi[active] = lo_, hi_
             best[active] = d + 1
             place[active] = self.order[lo_]
-            if wanted.get(d + 1):
-                alive = set(active.tolist())
-                for k, v in wanted[d + 1]:
-                    if k in alive:
-                        windows[v] = (int(lo[k]), int(hi[k]))
-        return best, [(v, a, b) for v, (a, b) in windows.items()], place
+            due = np.flatnonzero(tests.window_length == d + 1) if d < tests.window else []
+            if len(due):
+                due = due[best[tests.window_start[due]] == d + 1]
+                k = tests.window_start[due]
+                windows += zip(due.tolist(), lo[k].tolist(), hi[k].tolist(), strict=True)
+        return best, windows, place
 
     def _bound(self, lo: np.ndarray, hi: np.ndarray, d: int, word: np.ndarray, n: int) -> np.ndarray:
         """First place in [lo, hi) of the array whose word at distance d isn't below `word`."""
@@ -245,10 +254,11 @@ class Shard:
             at = self.order[a:b]
             np.add.at(marks, at, 1)
             np.add.at(marks, at + tests.window_length[v], -1)
+            texts = tests.texts_of(v).tolist()
             for t in np.unique(self.text_of[at]).tolist():
-                pairs[t] |= tests.items_of[v]
+                pairs[t].update(texts)
         for t, found in pairs.items():
-            items[t] = sorted(tests.ids[k] for k in found)
+            items[t] = sorted(tests.ids[k] for x in found for k in tests.items[x])
         return np.cumsum(marks)[: len(self.token)] > 0, items
 
 
@@ -322,8 +332,9 @@ def longest_matches(docs: DataFrame, tests: DataFrame, *, least: int = WINDOW, d
                 shard = Shard(text_bytes(batch.column("_text")), known.value.longest)
                 best, _, place = shard.search(known.value)
                 ids = batch.column("doc_id").to_pylist()
-                found = [(known.value.ids[k], j, int(best[s]), ids[shard.text_of[place[s]]], int(place[s] - shard.text_slot[shard.text_of[place[s]]]))
-                         for s in np.flatnonzero(best >= least).tolist() for k, j in known.value.places[s]]
+                test = known.value
+                found = [(test.ids[k], int(test.place[s]), int(best[s]), ids[shard.text_of[place[s]]], int(place[s] - shard.text_slot[shard.text_of[place[s]]]))
+                         for s in np.flatnonzero(best >= least).tolist() for k in test.items[test.text[s]]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True) if found else [[]] * 5, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)],
                                                  names=["item_id", "item_pos", "match_words", "doc_id", "doc_pos"])
 
@@ -358,24 +369,3 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", one.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"),
                         F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"))
 
-
-def brute_force(docs: list[tuple[int, str | None]], tests: list[tuple[int, str | None]], window: int = WINDOW) -> list[tuple]:
-    """The contract's rows, by comparing every window with every position."""
-    import re
-
-    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-    windows = defaultdict(set)
-    for i, t in tests:
-        w = split(t)
-        for j in range(len(w) - window + 1) if len(w) >= window else range(bool(w)):
-            windows[tuple(w[j : j + window])].add(str(i))
-    out = []
-    for d, t in docs:
-        w, hit, items = split(t), set(), set()
-        for x, ids in windows.items():
-            for j in range(len(w) - len(x) + 1):
-                if tuple(w[j : j + len(x)]) == x:
-                    hit |= set(range(j, j + len(x)))
-                    items |= ids
-        out.append((d, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(items)))
-    return out
