@@ -54,7 +54,7 @@ LATER = [
     ("wow!!!! -lrb-x-RRB-", "wow!! (x)"),
     ("a... ... ... b", "a... b"),
     ("x (_-_) [ - ] y \\-/", "x   y"),
-    ("\uff21\uff22 \uff11 \u00e9\u0142 \ufb01", "AB 1 e\u0142 fi"),
+    ("\uff21\uff22 \uff11 \u00e9\u0142 \ufb01", "AB 1 e\u0142 \ufb01"),
     ("\u2500\u2588box\u2764 \u0e01\U0001f1e6", "box"),
     ("\u00bfque?", "que?"),
 ]
@@ -90,6 +90,7 @@ def test_tweet_helpers():
     assert T.strip_emoticons("look \u0ca0_\u0ca0 here", ["\u0ca0_\u0ca0"]) == "look  here"
     assert T.strip_emojis("a\U0001f602\U0001f602b") == "ab"
     assert T.strip_markdown("# Head\n\n* a **b** [c](http://d)\n> q\n`x`") == "Head\n\na b c\nq\nx"
+    assert T.strip_markdown("| a | b |\n|---|:-:|\n| c | d |\n\nsee [x][1], [y] and ![i][1]\n\n[1]: http://q 'T'\n\n    code *x*\n\n```py\nz_a_\n```\nend `a*b*`").split() == "a b c d see x, [y] and code *x* z_a_ end a*b*".split()
     assert T.rule_tokens("Don't go, @url$ (now)...") == ["Do", "n't", "go", ",", "@url$", "(", "now", ")", "..."]
 
 
@@ -98,6 +99,26 @@ def test_whole_normalization(spark):
     assert df.select(T.normalize_post(F.col("x")).alias("y")).first().y == "Hi RedditUser  see @url$!!"
 
 
+def test_country_domains():
+    """Two letters after a full stop are a domain only where there is such a country."""
+    assert T.tokenize("ask me.if or it.or see a.de and x.co.uk") == ["ask", "me", ".", "if", "or", "it", ".", "or", "see", "a.de", "and", "x.co.uk"]
+
+
+def test_look_alikes(spark):
+    one, to, many = X.plain_letters()
+    table = dict(zip(one, to, strict=True)) | dict(many)
+    # Latin, small capitals, modifier letters, Greek, Armenian, International Phonetic Alphabet, full width; others stay
+    want = {"é": "e", "Ⱥ": "A", "ᴀ": "A", "ᴌ": "L", "ᴘ": "K", "ᴬ": "A", "ᵃ": "a", "ᵥ": "v", "Α": "A", "χ": "X", "Տ": "S", "ɢ": "G", "ɑ": "a", "ʍ": "m", "ǆ": "dz", "Ǿ": "O", "ƺ": "3", "Ａ": "A", "～": "~", "ß": "b"}
+    assert {c: table.get(c) for c in want} == want and not any(c in table for c in "ñöüçÀØǷȜȸ")
+    assert len(table) == 94 + 355
+    got = spark.createDataFrame([("ｈéʟʟᴏ ǆñ",)], "x string").select(X.plain(F.col("x")).alias("y")).first().y
+    assert got == "heLLO dzñ"
+
+
+def test_listed_emoticons():
+    assert T.strip_emoticons("well ಠ_ಠ then") == "well  then" and T.strip_emoticons("well ಠ_ಠ then", []) != "well  then"
+
+
 def test_entities(spark):
     words = [(0, "Bob", "", "", "PERSON"), (1, "Lee", "", "", "PERSON"), (2, "Paid", "", "", ""), (3, "5", "", "", "MONEY"), (4, "Dollars", "", "", "MONEY"), (5, "2001", "", "", "DATE"), (6, "x", "", "", None)]
     assert one(spark, words, normalize_entities, TAGGED) == ["<person>", "paid", "<number>", "dollars", "<time>", "x"]
