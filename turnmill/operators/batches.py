@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from turnmill.functions.numbers import bucket
 from turnmill.functions.text import tok
+from turnmill.operators.ranks import ranked_in
 from turnmill.operators.vocab import END
 
 S, E, SEP = "<S>", "</S>", "<SEP>"
@@ -63,16 +64,10 @@ def bucketed(samples: DataFrame, lengths: list[str], *, src_max_len: int | None,
     return samples.withColumn("bucket", bucket([F.col(x) for x in lengths], src_max_len, buckets) if buckets > 1 else F.lit(0))
 
 
-def batched(samples: DataFrame, batch_size: int, order: list[str], salts: int = 1) -> DataFrame:
-    """samples with batch (0-based in its bucket): runs of batch_size by `order`.
-
-    salts: a bucket's samples are dealt over so many groups by a hash of `order` first and batched in each, so that a bucket that holds most samples isn't
-    numbered by one task; batch ids then run on in steps of `salts`.
-    """
-    s = F.pmod(F.xxhash64(*order), F.lit(salts)) if salts > 1 else F.lit(0)
-    w = Window.partitionBy("bucket", "_s").orderBy(*order)
-    rows = samples.withColumn("_s", s).withColumn("_n", F.row_number().over(w))
-    return rows.withColumn("batch", (F.floor((F.col("_n") - 1) / batch_size) * salts + F.col("_s")).cast("bigint")).drop("_s", "_n")
+def batched(samples: DataFrame, batch_size: int, order: list[str]) -> DataFrame:
+    """samples with batch (0-based in its bucket): runs of batch_size by `order`. Buckets are numbered in ranges, so one that holds most samples isn't numbered by one task."""
+    rows = ranked_in(samples, "bucket", [F.col(c) for c in order], "_n")
+    return rows.withColumn("batch", F.floor((F.col("_n") - 1) / batch_size).cast("bigint")).drop("_n")
 
 
 def padded(batches: DataFrame, columns: list[str], fill: int = END) -> DataFrame:
@@ -100,8 +95,8 @@ def shuffled(rows: DataFrame, seed: int) -> DataFrame:
 
 
 def sample(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """n rows chosen by a seeded hash of their key: the same in every run. Each task keeps n rows at most."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """n rows chosen by a seeded digest of their key: the same in every run. Each task keeps n rows at most."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 def first_rows(rows: DataFrame, n: int, order: list[str]) -> DataFrame:

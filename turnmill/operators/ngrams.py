@@ -59,28 +59,37 @@ def sketches(texts: DataFrame, orders: list[int], by: list[str], text: str = "te
     return words.select(*by, F.explode(grams).alias("g")).groupBy(*by, "g.n").agg(F.hll_sketch_agg("g.ngram").alias("sketch"))
 
 
-#: n-grams whose containment is tested line by line in one expression; the list is a hand-made one, and a longer one goes by words.
+#: Up to so many n-grams are tested line by line in one expression; more are joined by their first characters.
 LISTED = 2000
+BEGINNING = 16
 
 
 def containing(texts: DataFrame, grams: list[str], text: str = "text", key: str = "line_no") -> DataFrame:
     """(key, ngram) for each line that contains an n-gram of the list as a substring.
 
-    No pairs of lines and n-grams are made: each line is tested against the list (of at most LISTED n-grams) where it is, and only matches leave.
+    No pairs of lines and n-grams are made. A short list is tested where each line is, and only matches leave. Of a longer one, each n-gram meets the lines
+    that hold its first characters (as many as the shortest has, up to `BEGINNING`), and these are compared as a whole.
     """
-    if len(grams) > LISTED:
-        raise ValueError(f"more than {LISTED} n-grams: count them with counts() and join by n-gram")
-    listed = F.array(*[F.lit(g) for g in sorted(set(grams))]).cast("array<string>")
-    return texts.select(key, F.explode(F.filter(listed, lambda g: F.contains(F.col(text), g))).alias("ngram"))
+    grams = sorted(set(grams))
+    if len(grams) <= LISTED:
+        listed = F.array(*[F.lit(g) for g in grams]).cast("array<string>")
+        return texts.select(key, F.explode(F.filter(listed, lambda g: F.contains(F.col(text), g))).alias("ngram"))
+    if "" in grams:
+        return containing(texts, [g for g in grams if g], text, key).unionByName(texts.where(F.col(text).isNotNull()).select(key, F.lit("").alias("ngram")))
+    n = min(BEGINNING, min(map(len, grams)))
+    listed = texts.sparkSession.createDataFrame([(g, g[:n]) for g in grams], "ngram string, _b string")
+    starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+    rows = texts.where(F.length(text) >= n).select(key, F.col(text).alias("_t"), F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))).alias("_b"))
+    return rows.join(F.broadcast(listed) if len(grams) <= 100_000 else listed, "_b").where(F.contains("_t", "ngram")).select(key, "ngram")
 
 
 def down_sampled(texts: DataFrame, quotas: dict[str, int], text: str = "text", key: str = "line_no", seed: int = 0, eligible: Column | None = None) -> DataFrame:
-    """Keys of lines to drop: for each n-gram its quota of distinct lines, in the order of a seeded hash; lines chosen for an earlier n-gram count towards the quota of later ones.
+    """Keys of lines to drop: for each n-gram its quota of distinct lines, in the order of a seeded digest; lines chosen for an earlier n-gram count towards the quota of later ones.
 
     The n-grams are a hand-made list, so the fold over them is short; every step is distributed.
     """
     rows = containing(texts.where(eligible) if eligible is not None else texts, list(quotas), text, key)
-    lines = texts.select(key, F.xxhash64(F.col(text), F.lit(seed)).alias("_h"))
+    lines = texts.select(key, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(text))).alias("_h"))
     rows = rows.join(lines, key)
     # equal lines are one line here, as all copies of a chosen line go
     found = rows.groupBy("ngram", "_h").agg(F.min(key).alias(key))

@@ -37,6 +37,19 @@ def ranked(df: DataFrame, order: list[Column], rank: str = "rank", mass: str | N
     return out.drop("_p", "_i", "_r", "_c", "_n0", "_m0")
 
 
+def ranked_in(df: DataFrame, group: str, order: list[Column], rank: str = "rank") -> DataFrame:
+    """df with a 1-based rank by `order` in each group. As `ranked`: a group that holds most rows is spread over many ranges."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(tasks, F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+    dealt = written(dealt.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "ranked")
+    before = Window.partitionBy("_g").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(F.col("_p").alias("_q"), F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    offsets = parts.select("_q", "_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
+    out = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_p", group).orderBy("_i")))
+    out = out.join(offsets, (F.col("_p") == F.col("_q")) & F.col(group).eqNullSafe(F.col("_g")))
+    return out.withColumn(rank, (F.col("_n0") + F.col("_r")).cast("bigint")).drop("_p", "_i", "_r", "_q", "_g", "_n0")
+
+
 def top(df: DataFrame, order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows by `order`, numbered from 1. Each task keeps n rows at most before they meet."""
     w = Window.orderBy(*order)

@@ -27,7 +27,8 @@ def prepare(texts: DataFrame, *, text: str = "text", min_word_length: int = 3, m
         texts = texts.join(drop_lines.select(key), key, "left_anti")
     frequent = [r["word"] for r in most_frequent(term_frequency(texts, text), drop_frequent).select("word").collect()] if drop_frequent else []
     kept = F.filter(tok(text), lambda w: (F.length(w) >= min_word_length) & (~w.isin(*frequent) if frequent else F.lit(True)))
-    return texts.withColumn("kept", kept).where(F.size("kept") >= min_utterance_length)
+    # through a generator, so that the words are made once: a filter on a projected column would be pushed below it and make them twice
+    return texts.select("*", F.explode(F.array(kept)).alias("kept")).where(F.size("kept") >= min_utterance_length)
 
 
 def train(docs: DataFrame, *, text: str = "text", n_topics: int = 200, no_below: float = 600, no_above: float = 0.5, keep_n: int = 100_000, passes: int = 70, min_length: int | None = None, seed: int = 1) -> PipelineModel:
@@ -52,8 +53,8 @@ def words_of_topics(model: PipelineModel, n: int = 100) -> DataFrame:
     """(topic, words): the n foremost terms of each topic."""
     words = model.stages[0].vocabulary
     described = model.stages[1].describeTopics(n)
-    table = F.array(*[F.lit(w) for w in words])
-    return described.select("topic", F.transform("termIndices", lambda i: F.element_at(table, i + 1)).alias("words"))
+    named = [(r["topic"], [words[i] for i in r["termIndices"]]) for r in described.select("topic", "termIndices").collect()]  # n terms for each topic
+    return described.sparkSession.createDataFrame(named, "topic int, words array<string>")
 
 
 def argmax(v: Column) -> Column:

@@ -57,10 +57,23 @@ def encode(rows: DataFrame, vocab: DataFrame, words: str = "words", out: str = "
     return rows.join(back.select(key, F.col("_s.id").alias("_i")), key, "left").withColumn(out, F.coalesce("_i", F.array().cast("array<bigint>"))).drop("_i")
 
 
+def encode_all(rows: DataFrame, vocab: DataFrame, columns: list[str], key: str, unk: int = UNK) -> DataFrame:
+    """rows with several arrays of words as ids, all in one pass. key: a unique column."""
+    side = vocab.select("word", "id")
+    side = side if vocab.count() > BROADCAST_WORDS else F.broadcast(side)
+    tagged = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("w")) for c in columns]))
+    flat = rows.select(key, tagged.alias("_t")).select(key, F.col("_t.c").alias("_c"), F.posexplode("_t.w").alias("_pos", "word")).join(side, "word", "left")
+    ids = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("_c") == c, F.struct("_pos", F.coalesce("id", F.lit(unk)).alias("id"))))), lambda s: s["id"])
+    back = flat.groupBy(key).agg(*[ids(c).alias(f"_{c}") for c in columns])
+    return rows.drop(*columns).join(back, key, "left").withColumns({c: F.coalesce(f"_{c}", F.array().cast("array<bigint>")) for c in columns}).drop(*[f"_{c}" for c in columns])
+
+
 def decode(rows: DataFrame, vocab: DataFrame, ids: str = "ids", out: str = "decoded", key: str | None = None) -> DataFrame:
     """rows with the words of their ids; ids beyond the vocabulary are <UNK>."""
     key = key or rows.columns[0]
-    flat = rows.select(key, F.posexplode(ids).alias("_pos", "id")).join(vocab.select("id", "word"), "id", "left")
+    side = vocab.select("id", "word")
+    side = side if vocab.count() > BROADCAST_WORDS else F.broadcast(side)  # few ids hold most rows: a shuffle by id would be skewed
+    flat = rows.select(key, F.posexplode(ids).alias("_pos", "id")).join(side, "id", "left")
     back = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("word", F.lit(RESERVED[UNK])).alias("word")))).alias("_s"))
     return rows.join(back.select(key, F.col("_s.word").alias("_w")), key, "left").withColumn(out, F.coalesce("_w", F.array().cast("array<string>"))).drop("_w")
 

@@ -92,9 +92,12 @@ def lines_with_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.containing(read(spark, sf_dir, "documents"), GRAMS, key="doc_id")
 
 
-@query()
+@query("""WITH h AS (SELECT doc_id, text, md5('1:' || text) AS h FROM documents WHERE text IS NOT NULL), l AS (SELECT h, any_value(text) AS text FROM h GROUP BY h),
+a AS (SELECT h FROM l WHERE contains(text, 'of the') ORDER BY h LIMIT 20), n AS (SELECT greatest(0, 30 - count(*)) AS n FROM l WHERE contains(text, 'and the') AND h IN (SELECT h FROM a)),
+b AS (SELECT h, row_number() OVER (ORDER BY h) AS r FROM l WHERE contains(text, 'and the') AND h NOT IN (SELECT h FROM a)), c AS (SELECT h FROM a UNION SELECT h FROM b, n WHERE r <= n)
+SELECT doc_id FROM h WHERE h IN (SELECT h FROM c)""")
 def ngram_down_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines to drop for quotas of n-grams, by a seeded hash; tests hold the quotas."""
+    """Lines to drop for quotas of n-grams, by a seeded digest."""
     return N.down_sampled(read(spark, sf_dir, "documents"), {"of the": 20, "and the": 30}, key="doc_id", seed=1)
 
 

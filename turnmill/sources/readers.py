@@ -18,9 +18,10 @@ def json_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def text_lines(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
-    """(line_no, value), without the first `skip` lines."""
+def text_lines(spark: SparkSession, path: str, skip: int = 0, strip: bool = False) -> DataFrame:
+    """(line_no, value), without the first `skip` lines; strip: without blanks around the lines."""
     rows = numbered(spark.read.text(path))
+    rows = rows.withColumn("value", F.trim("value")) if strip else rows
     return rows.where(F.col("line_no") >= skip) if skip else rows
 
 
@@ -47,7 +48,10 @@ def post_pair(spark: SparkSession, csv: str, text: str) -> DataFrame:
 
 def document_directory(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): one row per .txt file, empty files included."""
-    return spark.read.option("wholetext", "true").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
+    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string")  # the names, which the driver has listed anyway; scans leave empty files out
+    empty = listed.join(files.select("path"), "path", "left_anti").select("path", F.lit("").alias("text"))
+    return files.select("path", F.col("content").cast("string").alias("text")).unionByName(empty)
 
 
 def document_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -61,15 +65,22 @@ def bots(spark: SparkSession, path: str) -> DataFrame:
     return rows.unionByName(spark.createDataFrame([("[deleted]",)], "name string")).distinct()
 
 
+def listed(path: str, spark: SparkSession | None = None) -> list[str]:
+    """The lines of a hand-made list, read from wherever Spark reads."""
+    spark = spark or SparkSession.active()
+    files = spark.read.text(path, wholetext=True).select("_metadata.file_path", "value").collect()
+    return [line for f in sorted(files) for line in f["value"].splitlines()]
+
+
 def terms(path: str) -> list[str]:
     """A word or phrase per line (profanities, emoticons, dull responses)."""
-    return [x for x in (line.strip() for line in Path(path).read_text(encoding="utf-8").splitlines()) if x]
+    return [x for x in map(str.strip, listed(path)) if x]
 
 
 def rules(spark: SparkSession, path: str) -> DataFrame:
     """(name, id, fields, positions, affixes, replacements) from lines of name, id, fields and positions$affixes[$replacements]. One replacement serves all affixes."""
     rows = []
-    for line in Path(path).read_text(encoding="utf-8").splitlines():
+    for line in listed(path, spark):
         if not line.strip() or line.startswith("#"):
             continue
         part = [*line.rstrip("\n").split("\t"), None, None][:4] if line.count("\t") < 3 else line.rstrip("\n").split("\t")[:4]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from turnmill.operators.dialogues import lines
 from turnmill.operators.posts import NAMES
+from turnmill.operators.ranks import written
 
 
 def posts(df: DataFrame, path: str, mode: str = "append") -> None:
@@ -14,15 +15,21 @@ def posts(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def post_pair(df: DataFrame, csv: str, text: str) -> None:
-    """Posts as a table without header and aligned text lines, both in the same order; line ends in texts become blanks."""
+    """Posts as tables without header and text lines that correspond to their rows; line ends in texts become blanks."""
     rows = df.select(*[F.col(n) for n in NAMES]).withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " "))
-    rows = rows.coalesce(1)  # two files whose lines correspond: an interchange format, kept for small extracts
+    rows = corresponding(rows)
     rows.drop("text").write.mode("overwrite").csv(csv, emptyValue="", nullValue="")
     rows.select("text").write.mode("overwrite").text(text)
 
 
+def corresponding(df: DataFrame) -> DataFrame:
+    """df, to be written as several files whose lines correspond: computed once, so that all of them come from the same rows in the same order."""
+    return written(df, "corresponding")
+
+
 def dialogues(df: DataFrame, path: str, sep: str = "\t") -> None:
-    """Utterances of each dialogue in a line, and their ids in a second folder (path.ids)."""
+    """Utterances of each dialogue in a line, and their ids in a second folder (path.ids), line by line."""
+    df = corresponding(df) if "ids" in df.columns else df
     lines(df, "utterances", sep).write.mode("overwrite").text(path)
     if "ids" in df.columns:
         lines(df, "ids", sep).write.mode("overwrite").text(f"{path}.ids")
@@ -42,6 +49,7 @@ def thread_documents(df: DataFrame, path: str) -> None:
 
 def topic_preparation(df: DataFrame, path: str, text: str = "text") -> None:
     """Kept words (path.lda.t) and the lines that they come from (path.processed)."""
+    df = corresponding(df.select("kept", text))
     df.select(F.array_join("kept", " ").alias("value")).write.mode("overwrite").text(f"{path}.lda.t")
     df.select(F.col(text).alias("value")).write.mode("overwrite").text(f"{path}.processed")
 
@@ -54,8 +62,9 @@ def ordered_words(df: DataFrame, order: list[Column], path: str, columns: list[s
 
 def ngrams(df: DataFrame, path: str, more_than: int = 10) -> None:
     """ngram and count, tab-separated, of n-grams more frequent than more_than, in a folder for each order (path.{n}grams)."""
+    df = written(df.where(F.col("freq") > more_than), "ngrams")
     for n in [r["n"] for r in df.select("n").distinct().collect()]:  # as many as orders
-        rows = df.where((F.col("n") == n) & (F.col("freq") > more_than))
+        rows = df.where(F.col("n") == n)
         rows.select(F.concat_ws("\t", "ngram", F.col("freq").cast("string")).alias("value")).write.mode("overwrite").text(f"{path}.{n}grams")
 
 
