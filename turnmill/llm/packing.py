@@ -1,17 +1,17 @@
 """Sequence packing: first-fit decreasing with a tournament tree of bin capacities, in randomised groups of pieces.
 
 Each document is its token ids and an end id. It is cut after every `LENGTH` ids, so only its last piece leaves room
-in a sequence. Tokens stay where they are made: what is shuffled is a row of a few numbers per piece. Pieces are dealt at
-random; a task packs runs of `GROUP` pieces, each for itself, so memory is bounded and no key can be hot. In a group, pieces go by falling
-length, each into the first sequence with room; the tree's nodes hold the greatest room below them, so a
+in a sequence. Tokens stay where they are made: what is shuffled is a row of a few numbers per piece. Documents are dealt at
+random (by a hash of their rows' numbers, so that repeated ids are no hot key); a task packs runs of documents with `GROUP` pieces or a few more, each run
+for itself. In a group, pieces go by falling length, each into the first sequence with room; the tree's nodes hold the greatest room below them, so a
 place is found in log(sequences) steps.
 
 Ids: as the tokenizers library gives them for the whole text, without added special tokens. Where a text holds only
 characters from U+0001 to U+024F and no special token's string, it is split by the file's own pattern and its words go to tiktoken, with a zero byte for
 the end-of-word mark (the file's ids are the order of its merges, as tiktoken wants them); that is three times as fast. Other texts go to the library.
 
-Defined results: null text counts as empty (one piece, the end id); repeated rows are packed each; extra columns are ignored; ties in
-length go by the random order.
+Defined results: null text counts as empty (one piece, the end id); repeated rows are packed each; texts may be of any length (a document's
+pieces are in one group); extra columns are ignored; ties in length go by the random order; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -96,13 +96,15 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-PIECE = "doc_id {id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+PIECE = "doc_id {id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, doc_no bigint"
+#: Groups of a task, at most; a task is a shuffle partition's part as long as that is less.
+GROUPS = 64
 
 
 def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END, path: str | None = None, ids: bool = False) -> DataFrame:
-    """One row for each piece of each document; with `ids`, its token ids as well."""
+    """One row for each piece of each document (doc_no: a number of its row); with `ids`, its token ids as well."""
     path = path or tokenizer_path()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("_text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("doc_no"), F.coalesce(text, F.lit("")).alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +119,11 @@ def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lengt
                     out.append((s, len(part), zlib.crc32(part.tobytes()), len(a)))
                     if ids:
                         parts.append(part.astype(np.int64))
-            cols = [b.column("doc_id").take(pa.array(took, pa.int64())), *(pa.array(x, pa.int64()) for x in zip(*out, strict=True))]
+            took = pa.array(took, pa.int64())
+            cols = [b.column("doc_id").take(took), *(pa.array(x, pa.int64()) for x in zip(*out, strict=True)), b.column("doc_no").take(took)]
             if ids:
                 cols.append(pa.array(parts, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(cols)])
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "doc_no", "ids"][: len(cols)])
 
     return arrow_map(rows, run, PIECE.format(id=kind) + ", ids array<bigint>" * ids)
 
@@ -151,42 +154,47 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def pack(found: DataFrame, *, length: int = LENGTH, group: int = GROUP, seed: int = SEED, tasks: int | None = None) -> DataFrame:
-    """pieces() with sequence_id and offset. tasks: as many as the session's shuffle partitions, unless few rows are known to come."""
+    """pieces() with sequence_id and offset in place of doc_no. tasks: as many as the session's shuffle partitions, unless it is known how many rows come."""
     spark = found.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the random number is made where the row is, so a repeated task deals the same rows to the same places
-    dealt = found.withColumn("_r", F.rand(seed)).repartition(tasks, "_r").sortWithinPartitions("_r", "doc_id", "start").withColumn("_p", F.spark_partition_id().cast("bigint")).drop("_r")
-    schema = dealt.drop("_p").schema.add("sequence_id", "long").add("offset", "long")
+    # the number follows from the row, so a repeated task deals the same rows to the same places
+    dealt = found.withColumn("_r", F.xxhash64("doc_no", F.lit(seed))).repartition(tasks, "_r").sortWithinPartitions("_r", "doc_no", "start").withColumn("_p", F.spark_partition_id().cast("bigint")).drop("_r")
+    schema = dealt.drop("_p", "doc_no").schema.add("sequence_id", "long").add("offset", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, done = [], 0, 0
+        held, rows, done, last = [], 0, 0, -1
 
-        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            nonlocal done
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows, done
+            t = pa.Table.from_batches(held)
             where, offset = first_fit_decreasing(t.column("length").to_numpy(), length)
             number = (t.column("_p").to_numpy() << 40) + done + where
             done += int(where.max()) + 1
-            yield from t.drop_columns(["_p"]).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset)).combine_chunks().to_batches()
+            held, rows = [], 0
+            yield from t.drop_columns(["_p", "doc_no"]).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset)).combine_chunks().to_batches()
 
         for b in batches:
-            while b.num_rows:
-                part = b.slice(0, group - rows)
-                b = b.slice(part.num_rows)
-                held.append(part)
-                rows += part.num_rows
-                if rows == group:
-                    yield from out(pa.Table.from_batches(held))
-                    held, rows = [], 0
+            if not b.num_rows:
+                continue
+            number = b.column("doc_no").to_numpy()
+            begins = np.flatnonzero(np.diff(number, prepend=last))  # of documents
+            at, last = 0, int(number[-1])
+            while (k := int(np.searchsorted(begins, at + group - rows))) < len(begins):
+                held.append(b.slice(at, int(begins[k]) - at))
+                at = int(begins[k])
+                yield from out()
+            held.append(b.slice(at))
+            rows += b.num_rows - at
         if rows:
-            yield from out(pa.Table.from_batches(held))
+            yield from out()
 
     return arrow_map(dealt, run, schema)
 
 
 def pack_documents(docs: DataFrame, *, length: int = LENGTH, group: int = GROUP, **how) -> DataFrame:
-    """Packed pieces of all rows of docs. Fewer tasks where the rows would not fill a group in each."""
-    most = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(1, min(most, docs.count() // group))
+    """Packed pieces of all rows of docs. Fewer tasks where the rows would not fill a group in each, more where a task would have more than `GROUPS` of them."""
+    most, rows = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count()
+    tasks = max(1, min(most, rows // group), rows // (GROUPS * group))
     return pack(pieces(docs, length=length, **how), length=length, group=group, tasks=tasks)
 
 
