@@ -25,11 +25,18 @@ def marked(words: Column, n: int, compat: bool = False) -> Column:
     return F.transform(ngrams(words, n, compat), lambda g: F.struct(F.lit(n).alias("n"), g.alias("ngram")))
 
 
-def exploded(texts: DataFrame, orders: list[int], text: str = "text", compat: bool = False) -> DataFrame:
-    """(n, ngram) of all orders in one pass over the texts."""
-    words = texts.select(tok(text).alias("w"))
-    grams = F.concat(*[marked(F.col("w"), n, compat) for n in orders])
-    return words.select(F.explode(grams).alias("g")).select("g.n", "g.ngram")
+def exploded(texts: DataFrame, orders: list[int], text: str = "text", compat: bool = False, by: list[str] | None = None) -> DataFrame:
+    """(by, n, ngram) of all orders in one pass over the texts: a row for each position with the words from there on, and of it a row for each order.
+
+    So n-grams are joined in generated code, and no array of all n-grams of a text is made.
+    """
+    by, longest = by or [], max(orders) + compat
+    words = texts.select(*by, tok(text).alias("_w"))
+    at = lambda x, i: F.struct(x.alias("w0"), *[F.try_element_at(F.col("_w"), i + k + 1).alias(f"w{k}") for k in range(1, longest)])
+    rows = words.select(*by, F.explode(F.transform("_w", at)).alias("_p"))
+    w = [F.col(f"_p.w{k}") for k in range(longest)]
+    grams = [F.struct(F.lit(n).alias("n"), (F.concat_ws(" ", *w[:n]) if n > 1 else w[0]).alias("ngram"), w[n - 1 + compat].isNotNull().alias("_whole")) for n in orders]
+    return rows.select(*by, F.inline(F.array(*grams))).where("_whole").drop("_whole")
 
 
 def counts(texts: DataFrame, orders: list[int], text: str = "text", compat: bool = False, more_than: int = 0) -> DataFrame:
@@ -54,9 +61,7 @@ def distinct_exact(texts: DataFrame, orders: list[int], text: str = "text", comp
 
 def sketches(texts: DataFrame, orders: list[int], by: list[str], text: str = "text", compat: bool = False) -> DataFrame:
     """(by, n, sketch): mergeable distinct-count sketches, for corpora that arrive in parts (hll_union_agg, hll_sketch_estimate)."""
-    words = texts.select(*by, tok(text).alias("w"))
-    grams = F.concat(*[marked(F.col("w"), n, compat) for n in orders])
-    return words.select(*by, F.explode(grams).alias("g")).groupBy(*by, "g.n").agg(F.hll_sketch_agg("g.ngram").alias("sketch"))
+    return exploded(texts, orders, text, compat, by).groupBy(*by, "n").agg(F.hll_sketch_agg("ngram").alias("sketch"))
 
 
 #: Up to so many n-grams are tested line by line in one expression; more are joined by their first characters.
