@@ -13,6 +13,9 @@ def test_entry_without_llm(tmp_path):
     shutil.copytree(ROOT, to, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
     code = "import __spark_entry__ as e, sys; q = e.queries(); assert 'pipeline' not in q and not any(k.startswith('op') for k in q) and len(q) > 80; assert not any('llm' in m for m in sys.modules if m.startswith('turnmill'))"
     subprocess.run([sys.executable, "-c", code], cwd=to, check=True, timeout=120)
+    # the other tests can be collected, and those that need no session run
+    subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q"], cwd=to, check=True, timeout=300, stdout=subprocess.DEVNULL)
+    subprocess.run([sys.executable, "-m", "pytest", "tests/test_text.py", "-q", "-k", "country or listed_emoticons"], cwd=to, check=True, timeout=300, stdout=subprocess.DEVNULL)
 
 
 def test_nothing_else_imports_llm():

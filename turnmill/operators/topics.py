@@ -88,9 +88,14 @@ def bag_of_words(docs: DataFrame, key: str, terms: str = "terms") -> DataFrame:
     return docs.select(key, F.explode(terms).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
 
 
-def document_frequency(docs: DataFrame, key: str, terms: str = "terms", no_below: int = 1, no_above: float = 1.0, keep_n: int | None = None) -> DataFrame:
-    """(word, df, tf) of the words in no_below documents at least and a share of no_above at most; the keep_n most frequent."""
-    bag = bag_of_words(docs, key, terms).groupBy("word").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
+def document_frequency(docs: DataFrame, terms: str = "terms", no_below: int = 1, no_above: float = 1.0, keep_n: int | None = None) -> DataFrame:
+    """(word, df, tf) of the words in no_below documents at least and a share of no_above at most; the keep_n most frequent. docs: one row per document.
+
+    A document's distinct words are marked where it is, so what is shuffled is one partial count per word and task.
+    """
+    once = F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("word"), F.lit(1).alias("df"), F.lit(0).alias("tf")))
+    each = F.transform(terms, lambda t: F.struct(t.alias("word"), F.lit(0).alias("df"), F.lit(1).alias("tf")))
+    bag = docs.select(F.inline(F.concat(once, each))).groupBy("word").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
     total = docs.agg(F.count("*").alias("_docs"))
     kept = bag.crossJoin(total).where((F.col("df") >= no_below) & (F.col("df") <= no_above * F.col("_docs"))).drop("_docs")  # one row on the right
     return kept.orderBy(F.desc("df"), "word").limit(keep_n) if keep_n else kept

@@ -293,7 +293,7 @@ def topic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH t AS (SELECT doc_id, unnest({words('text')}) AS word FROM documents) SELECT word, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY word HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) <= 0.5 * (SELECT count(*) FROM documents)")
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TP.document_frequency(read(spark, sf_dir, "documents").withColumn("terms", X.tok("text")), "doc_id", no_below=5, no_above=0.5)
+    return TP.document_frequency(read(spark, sf_dir, "documents").withColumn("terms", X.tok("text")), no_below=5, no_above=0.5)
 
 
 @query()

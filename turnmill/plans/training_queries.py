@@ -148,27 +148,16 @@ def safe_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", M.train_steps(F.lit(3), F.col("value") * 100, F.lit(16)).alias("steps"), M.safe_div(F.col("value"), F.col("user_id") % 7).alias("quotient"), M.safe_mod(F.col("user_id"), F.col("user_id") % 5).cast("bigint").alias("rest"), M.decode_steps(F.col("value"), 2.0).alias("decode_steps"))
 
 
-LOG = "e AS (SELECT event_id AS step, 20 - event_id * 0.01 + value * 0.05 AS ppl FROM events WHERE event_id < 200)"
+LOG = "e AS (SELECT event_id AS step, CAST(100 AS DOUBLE) / (CAST(1 AS DOUBLE) + event_id * CAST(0.001 AS DOUBLE)) + value * CAST(0.05 AS DOUBLE) AS ppl FROM events)"
 
 
-@query(f"""WITH RECURSIVE {LOG}, f AS (SELECT step, ppl, ppl AS best, 5 AS left_ FROM e WHERE step = 0 UNION ALL
-SELECT e.step, e.ppl, least(f.best, e.ppl), CASE WHEN e.ppl < f.best THEN 5 WHEN e.ppl > 1.003 * f.best THEN greatest(f.left_ - 1, 0) ELSE f.left_ END FROM f JOIN e ON e.step = f.step + 1)
-SELECT step, round(best, 6) AS best, CAST(left_ AS BIGINT) AS patience_left, max(CASE WHEN left_ <= 0 THEN 1 ELSE 0 END) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING) = 1 AS stopped FROM f""")
-def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = read(spark, sf_dir, "events").where("event_id < 200").select(F.col("event_id").alias("step"), (20 - F.col("event_id") * F.lit(0.01) + F.col("value") * F.lit(0.05)).alias("ppl"))
-    return V.early_stopping(log, "step", "ppl", 5, 1.003).select("step", r6("best").alias("best"), F.col("left").alias("patience_left"), "stopped")
-
-
-WHOLE_LOG = "e AS (SELECT event_id AS step, CAST(100 AS DOUBLE) / (CAST(1 AS DOUBLE) + event_id * CAST(0.001 AS DOUBLE)) + value * CAST(0.05 AS DOUBLE) AS ppl FROM events)"
-
-
-@query(f"""WITH {WHOLE_LOG}, b AS (SELECT *, min(ppl) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM e),
+@query(f"""WITH {LOG}, b AS (SELECT *, min(ppl) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM e),
 c AS (SELECT *, prev IS NULL OR ppl < prev AS new, CASE WHEN ppl >= prev AND ppl > CAST(1.003 AS DOUBLE) * prev THEN 1 ELSE 0 END AS cost FROM b),
 r AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING) AS run FROM c),
 f AS (SELECT step, coalesce(least(prev, ppl), ppl) AS best, greatest(5 - sum(cost) OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING), 0) AS left_ FROM r)
 SELECT step, round(best, 6) AS best, CAST(left_ AS BIGINT) AS patience_left, max(CASE WHEN left_ <= 0 THEN 1 ELSE 0 END) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING) = 1 AS stopped FROM f""")
-def early_stop_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As early_stop, over every event."""
+def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patience and best value along a log of all events."""
     log = read(spark, sf_dir, "events").select(F.col("event_id").alias("step"), (F.lit(100.0) / (F.lit(1.0) + F.col("event_id") * F.lit(0.001)) + F.col("value") * F.lit(0.05)).alias("ppl"))
     return V.early_stopping(log, "step", "ppl", 5, 1.003).select("step", r6("best").alias("best"), F.col("left").alias("patience_left"), "stopped")
 
