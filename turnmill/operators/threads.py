@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from turnmill import session
 from turnmill.operators.ranks import written
+from turnmill.session import new_path
 
 
 def edges(posts: DataFrame) -> DataFrame:
@@ -31,21 +33,18 @@ def paths(links: DataFrame, max_depth: int = 10_000) -> DataFrame:
     links = links.where("parent IS NOT NULL AND parent <> id").select(F.col("parent").alias("_p"), F.col("id").alias("_c")).distinct()
     links = written(links, "edges")
     inner = links.select("_p").distinct()
+    base = new_path(links.sparkSession, "levels")
     level = roots(links.select(F.col("_c").alias("id"), F.col("_p").alias("parent"))).select("id", F.array("id").alias("path"))
-    done = []
-    for _ in range(max_depth):
+    for depth in range(max_depth):
         grown = level.join(links, level["id"] == F.col("_p")).select(F.col("_c").alias("id"), F.concat("path", F.array("_c")).alias("path"))
-        level = written(grown, "level")
+        level = session.written(grown, f"{base}/{depth}")
         if level.isEmpty():
             break
-        done.append(level.join(inner, level["id"] == inner["_p"], "left_anti").select(F.col("id").alias("leaf"), "path"))
     else:
         raise ValueError(f"a path is longer than {max_depth}")
     # posts that nobody answers and that answer nobody are not in links: their paths have one node, and no dialogue comes of them
-    out = level.select(F.col("id").alias("leaf"), "path").limit(0)
-    for x in done:
-        out = out.unionByName(x)
-    return out
+    every = level.sparkSession.read.schema(level.schema).parquet(f"{base}/*")  # one scan of all levels, however deep
+    return every.join(inner, every["id"] == inner["_p"], "left_anti").select(F.col("id").alias("leaf"), "path")
 
 
 def dialogues(posts: DataFrame, found: DataFrame | None = None) -> DataFrame:
