@@ -111,11 +111,31 @@ def test_jobs(spark, raw, tmp_path):
     jobs.preprocess_lda(spark, f"{tmp_path}/dialogues", f"{tmp_path}/lda", n_frequents_to_drop=1)
     assert len(lines(spark, f"{tmp_path}/lda.lda.t")) == len(lines(spark, f"{tmp_path}/lda.processed")) == 2
     jobs.train_topics(spark, f"{tmp_path}/dialogues", f"{tmp_path}/model", n_topics=2, no_below=1, passes=2)
+    assert jobs.topic_arguments(spark, f"{tmp_path}/model")["n_topics"] == 2
     for whole in (True, False):
         jobs.infer_topics(spark, f"{tmp_path}/dialogues", f"{tmp_path}/model", f"{tmp_path}/out{whole}", dialogue_as_doc=whole, n_words=3)
     assert len(lines(spark, f"{tmp_path}/outTrue.topical")) == 2 and len(lines(spark, f"{tmp_path}/outFalse.topical")) == 5
 
 
+def test_model_of_the_callers(spark, tmp_path):
+    import pyarrow as pa
+
+    (tmp_path / "dev.txt").write_text("a b\tc\nd\te f\nalone\n", encoding="utf-8")
+
+    def decode(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("line_no"), pa.array([" ".join(reversed(x)) for x in b.column("src").to_pylist()])], names=["line_no", "responses"])
+
+    def losses(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([0.5] * b.num_rows), pa.array([1] * b.num_rows, pa.int64()), pa.array([1] * b.num_rows, pa.int64())], names=["loss", "batch_size", "predict_count"])
+
+    got = jobs.test_model(spark, str(tmp_path / "dev.txt"), str(tmp_path), decode, losses, beam_width=5, length_penalty=1.0)
+    assert got["output"].endswith("output_dev_bw5_lp1.0") and got["result"] == "test ppl 1.65"
+    assert lines(spark, got["output"]) == ["b a", "d"]
+    assert jobs.test_model(spark, str(tmp_path / "dev.txt"), str(tmp_path), decode, temperature=0.7)["output"].endswith("output_dev_t0.7")
+
+
 def test_training_batches(spark):
     d = spark.createDataFrame([(i, [f"a b{i}", "c d", "e f g"]) for i in range(10)], "k bigint, utterances array<string>")
     texts = d.select("k", F.explode("utterances").alias("text"))

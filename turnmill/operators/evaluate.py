@@ -65,6 +65,18 @@ def perplexity(batches: DataFrame, loss: str = "loss", size: str = "batch_size",
     return batches.agg(F.exp(F.sum(F.col(loss) * F.col(size)) / F.sum(words)).alias("perplexity"))
 
 
+def result_line(name: Column, perplexity_: Column, scores: dict[str, Column] | None = None) -> Column:
+    """A result in words: name ppl 1.23, name metric 4.5 and so on."""
+    parts = [F.format_string("%s ppl %.2f", name, perplexity_), *[F.format_string(f"%s {m} %.1f", name, x) for m, x in (scores or {}).items()]]
+    return F.concat_ws(", ", *parts)
+
+
+def output_label(data: str, beam_width: int = 0, length_penalty_: float = 0.0, temperature: float = 0.0) -> str:
+    """What a file of decoded responses is called, by its data's name and the way of decoding."""
+    name = data.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    return f"{name}_t{temperature:.1f}" if temperature > 0 else f"{name}_bw{beam_width}_lp{length_penalty_:.1f}"
+
+
 def masked_loss(entropies: Column, length: Column) -> Column:
     """Sum of the first `length` cross entropies of a sequence."""
     return F.aggregate(F.slice(entropies, F.lit(1), length), F.lit(0.0), lambda a, x: a + x)

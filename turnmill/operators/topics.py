@@ -71,10 +71,10 @@ def infer(docs: DataFrame, model: PipelineModel, *, text: str = "text", n_words:
     return rows.join(F.broadcast(named), "topic", "left").withColumn("topic_words", F.coalesce("topic_words", F.array().cast("array<string>")))
 
 
-def infer_dialogues(dialogues: DataFrame, model: PipelineModel, *, column: str = "utterances", n_words: int = 100, with_response: bool = False) -> DataFrame:
+def infer_dialogues(dialogues: DataFrame, model: PipelineModel, *, column: str = "utterances", n_words: int = 100, with_response: bool = False, min_length: int | None = None) -> DataFrame:
     """dialogues with the topic of their context: all utterances but the response, unless with_response."""
     used = F.col(column) if with_response else F.slice(column, F.lit(1), F.greatest(F.size(column) - 1, F.lit(0)))
-    return infer(dialogues.withColumn("_text", F.array_join(used, " ")), model, text="_text", n_words=n_words).drop("_text")
+    return infer(dialogues.withColumn("_text", F.array_join(used, " ")), model, text="_text", n_words=n_words, min_length=min_length).drop("_text")
 
 
 def topical_lines(rows: DataFrame, column: str = "utterances") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnmill.functions import numbers as M, text as X, tweets as T
-from turnmill.operators import batches as B, embeddings as E, ngrams as N, posts as P, stats as S, topics as TP, vocab as V
+from turnmill.operators import batches as B, embeddings as E, evaluate as EV, ngrams as N, posts as P, stats as S, topics as TP, vocab as V
 from turnmill.operators.dialogues import windows
 from turnmill.plans.corpus_queries import VOCAB
 from turnmill.plans.registry import query, read, words
@@ -263,6 +263,13 @@ def step_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(k.alias("id"), M.train_steps(F.lit(1.5), k, F.lit(128)).alias("steps"), M.decode_steps(k, 1.5).alias("longest"), M.keep_probability(F.lit(0.2), k % 2 == 0).alias("keep"), F.array_join(states, ",").alias("states"))
 
 
+@query("SELECT c_custkey AS id, printf('%s ppl %.2f, %s bleu %.1f', 'c' || c_custkey, c_custkey + 0.25, 'c' || c_custkey, CAST(c_custkey AS DOUBLE)) AS line FROM customer")
+def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    line = EV.result_line(F.concat(F.lit("c"), k.cast("string")), k + F.lit(0.25), {"bleu": k.cast("double")})
+    return read(spark, sf_dir, "customer").select(k.alias("id"), line.alias("line"))
+
+
 WORD_CASES = [("see @url$ RedditUser @URL$", "see <url> <person> <url>"), ("plain", "plain")]
 
 

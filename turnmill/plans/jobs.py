@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnmill.functions import text as X
 from turnmill.functions.tweets import normalize_post, rule_tokens_udf
-from turnmill.operators import batches as B, dialogues as D, ngrams as N, posts as P, sanitize as Z, stats as S, threads as T, topics as TP, vocab as V
+from turnmill.operators import batches as B, dialogues as D, evaluate as EV, ngrams as N, posts as P, sanitize as Z, stats as S, threads as T, topics as TP, vocab as V
 from turnmill.operators.ranks import ranked, written
 from turnmill.session import ship
 from turnmill.sources import readers as R, writers as W
@@ -112,17 +115,25 @@ def preprocess_lda(spark: SparkSession, data: str, out: str, *, min_word_length:
 def train_topics(spark: SparkSession, data: str, model_dir: str, *, n_topics: int = 200, no_below: float = 600, min_length: int | None = None, passes: int = 70) -> PipelineModel:
     model = TP.train(R.document_lines(spark, data), n_topics=n_topics, no_below=no_below, passes=passes, min_length=min_length)
     model.write().overwrite().save(model_dir)
+    arguments = json.dumps({"n_topics": n_topics, "no_below": no_below, "min_length": min_length, "passes": passes})
+    spark.createDataFrame([(arguments,)], "value string").coalesce(1).write.mode("overwrite").text(f"{model_dir}.arguments")
     return model
 
 
+def topic_arguments(spark: SparkSession, model_dir: str) -> dict:
+    """What a topic model was trained with."""
+    return json.loads(spark.read.text(f"{model_dir}.arguments").first()["value"])
+
+
 def infer_topics(spark: SparkSession, data: str, model_dir: str, out: str, *, dialogue_as_doc: bool = True, n_words: int = 100) -> None:
-    """Lines with topic words; dialogue_as_doc: one topic for a dialogue's context, else one for each utterance."""
+    """Lines with topic words; dialogue_as_doc: one topic for a dialogue's context, else one for each utterance. Terms are cut as they were in training."""
     model = PipelineModel.load(model_dir)
+    min_length = topic_arguments(spark, model_dir)["min_length"]
     rows = R.dialogue_lines(spark, data)
     if dialogue_as_doc:
-        W.topical(TP.infer_dialogues(rows, model, n_words=n_words), out)
+        W.topical(TP.infer_dialogues(rows, model, n_words=n_words, min_length=min_length), out)
     else:
-        each = TP.infer(R.utterance_rows(rows), model, n_words=n_words)
+        each = TP.infer(R.utterance_rows(rows), model, n_words=n_words, min_length=min_length)
         W.topical(each.withColumn("utterances", F.array("text")), out)
 
 
@@ -142,6 +153,22 @@ def training_batches(dialogues: DataFrame, vocab: DataFrame, *, key: str, kind:
     return B.padded(rows, columns).select(key, "bucket", "batch", *columns, *lengths)
 
 
+def test_model(spark: SparkSession, data: str, out: str, decode: Callable, losses: Callable | None = None, *, src_max_len: int | None = 30, tgt_max_len: int | None = 30, beam_width: int = 0, length_penalty: float = 0.0, temperature: float = 0.0) -> dict:
+    """Dialogue lines through a model of the caller's: responses at out/output_{label}, and the perplexity over the lines with a target.
+
+    decode: Arrow batches of (line_no, src) to (line_no, responses); losses: of (line_no, src, tgt_in, tgt_out, tgt_len) to (loss, batch_size, predict_count).
+    """
+    rows = R.dialogue_lines(spark, data)
+    samples = B.flat_samples(rows, src_max_len=src_max_len, tgt_max_len=tgt_max_len).select("line_no", "src", "tgt_in", "tgt_out", "tgt_len")
+    label = EV.output_label(data, beam_width, length_penalty, temperature)
+    W.responses(EV.score(samples.select("line_no", "src"), decode, "line_no bigint, responses string").orderBy("line_no"), out, label)
+    result = {"output": f"{out}/output_{label}"}
+    if losses:
+        ppl = EV.perplexity(EV.score(samples, losses, "loss double, batch_size bigint, predict_count bigint"))
+        result |= ppl.select("perplexity", EV.result_line(F.lit("test"), F.col("perplexity")).alias("result")).first().asDict()
+    return result
+
+
 def vocabulary(texts: DataFrame, max_size: int, order: list[str], text: str = "text") -> DataFrame:
     """Vocabulary with ties by first appearance. order: columns that say where a text stands."""
     return V.build(S.first_positions(texts, order, text), max_size, "first")
