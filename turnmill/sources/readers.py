@@ -49,8 +49,9 @@ def post_pair(spark: SparkSession, csv: str, text: str) -> DataFrame:
 def document_directory(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): one row per .txt file, empty files included."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
-    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string")  # the names, which the driver has listed anyway; scans leave empty files out
-    empty = listed.join(files.select("path"), "path", "left_anti").select("path", F.lit("").alias("text"))
+    names = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string")  # which the driver has listed anyway; scans leave empty files out
+    seen = files.select("length", F.input_file_name().alias("path"))
+    empty = names.join(seen, "path", "left_anti").select("path", F.lit("").alias("text"))
     return files.select("path", F.col("content").cast("string").alias("text")).unionByName(empty)
 
 
