@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,12 +70,25 @@ def test_repeated_rows_and_no_target(spark):
     assert I.resampled(docs.limit(0), none).collect() == []
 
 
-@pytest.mark.parametrize("nodes", [1, 7, 10**9])
-def test_small_tries_lose_nothing(spark, nodes):
+@pytest.mark.parametrize("run_bytes", [1, 700, 1 << 30])
+def test_small_tries_lose_nothing(spark, run_bytes):
     texts, ids = cases()
     docs = documents(spark, texts, ids)
     want = Counter(zlib.crc32(f.encode()) % 10000 for x in texts for f in runs(x)[1])
-    assert dict(map(tuple, I.bucket_totals(docs, nodes=nodes).collect())) == dict(want)
+    assert dict(map(tuple, I.bucket_totals(docs, run_bytes=run_bytes).collect())) == dict(want)
+
+
+def test_nodes():
+    long = b"x" * (I.LONG + 1)
+    texts = [b"", b"a b a b a", b"B", b"a " + long + b" " + long[1:] + b" a", b" ", b"c"]
+    trie = I.Trie(texts, 3)
+    found = Counter()
+    for state, met in trie.levels:
+        assert len(set(state.tolist())) == len(state)
+        found.update(dict(zip(state.tolist(), met.tolist(), strict=True)))
+    words = [t.lower().split() for t in texts]
+    assert found == Counter(zlib.crc32(b" ".join(w[i : i + n])) for w in words for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    assert np.diff(trie.words.ends, prepend=0).tolist() == [len(w) for w in words]
 
 
 def test_longer_runs(spark):
@@ -83,4 +97,4 @@ def test_longer_runs(spark):
     assert dict(map(tuple, I.bucket_totals(docs, order=3).collect())) == dict(Counter(zlib.crc32(x.encode()) % 10000 for x in f))
     gain = list(range(-5000, 5000))
     want = sum(gain[zlib.crc32(x.encode()) % 10000] for x in f[:-1]) // 12
-    assert I.weights(docs, gain, order=3).first()[1:] == (5, 12, want)
+    assert I.weights(docs, gain, order=3).where("doc_id = 0").first()[1:] == (5, 12, want)
