@@ -223,20 +223,61 @@ def test_choices(spark):
     assert V.ranked_beams(beams, "k", "p", "n", 0.0, 1).first().b == 0 and V.ranked_beams(beams, "k", "p", "n", 1.0, 1).first().b == 1
 
 
-def test_containment_of_long_lists(spark):
-    """More n-grams than are tested line by line, against all pairs."""
+@pytest.mark.parametrize("broadcast_pieces", [0, 10**6])
+def test_containment_of_long_lists(spark, broadcast_pieces):
+    """n-grams of a table, broadcast and joined by shuffle, against all pairs."""
     import random
 
     from turnmill.operators import ngrams as N
 
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 3)))
-    texts = [(i, " ".join(word() for _ in range(rng.randint(0, 12)))) for i in range(80)] + [(99, None)]
-    grams = list({" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(6000)} | {"", "aä"})
-    assert len(grams) > N.LISTED
+    texts = [(i, " ".join(word() for _ in range(rng.randint(0, 12)))) for i in range(80)] + [(99, None), (100, "ab c\nab c aab bc" * 300)]
+    grams = list({" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(3000)} | {"", "aä", "b c\nab c a"})
     df = spark.createDataFrame(texts, "line_no bigint, text string")
+    listed = spark.createDataFrame([(g,) for g in [*grams, None, grams[0]]], "ngram string")
     want = sorted((i, g) for i, t in texts for g in grams if t is not None and g in t)
-    assert sorted(tuple(r) for r in N.containing(df, grams).collect()) == want
+    assert sorted(tuple(r) for r in N.found_in(df, listed, broadcast_pieces=broadcast_pieces).collect()) == want
+    if broadcast_pieces:
+        assert sorted(tuple(r) for r in N.containing(df, grams[:300] + [""]).collect()) == sorted(x for x in want if x[1] in {*grams[:300], ""})
+    assert N.found_in(df, listed.limit(0)).collect() == []
+
+
+def test_thinned_lines(spark):
+    from turnmill.operators import ngrams as N
+
+    texts = spark.createDataFrame([(i, f"w{i % 97} of the x{i % 150}") for i in range(300)], "line_no bigint, text string")
+    quotas = {"of the": 20, "the x1": 30, "x149": 5, "absent": 9}
+    drop = {r.line_no for r in N.thinned(texts, spark.createDataFrame(list(quotas.items()), "ngram string, quota int"), seed=3).collect()}
+    rows = {r.line_no: r.text for r in texts.collect()}
+    lost = {rows[i] for i in drop}
+    assert drop == {i for i, t in rows.items() if t in lost}  # all copies of a line
+    for g, n in quotas.items():
+        assert sum(g in t for t in lost) >= min(n, len({t for t in rows.values() if g in t}))
+    assert len(lost) <= 20 + 30 + 5
+
+
+def test_dull_lines(spark):
+    from turnmill.functions.lists import DULL
+
+    texts = ["i 'm not sure how that ends", "I 'm  not sure how", "i do n't know .", "i 'm not a huge fan of the red one, but it works", "i 'm not a huge fan of it, but no", None, "so i do n't know .", "i 'm not saying it 's late , but i 'm not saying no"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k bigint, text string")
+    got = sorted(tuple(r) for r in Z.dull_lines(df, DULL, "k").collect())
+    assert got == [(0, "i 'm not sure how $1"), (2, "i do n't know ."), (3, "i 'm not a huge fan of the $1, but $1"), (7, "i 'm not saying it 's $1 , but i 'm not saying $1")]
+
+
+def test_resumed_training_opens_no_earlier_parts(spark, tmp_path):
+    rows = spark.range(500).selectExpr("id AS key", "cast(id % 3 AS int) AS bucket")
+    batches = B.batched(rows, 10, ["key"])
+    n = B.store_epoch(batches, f"{tmp_path}/epoch", seed=1, part=8)
+    assert n == 51
+    every = B.resumed(spark, f"{tmp_path}/epoch", 2 * n, batches.schema, part=8)
+    assert every.count() == 500 and every.select("number").distinct().count() == n
+    assert every.groupBy("number").agg(F.countDistinct("bucket", "batch").alias("n")).where("n <> 1").isEmpty()
+    left = B.resumed(spark, f"{tmp_path}/epoch", n + 29, batches.schema, part=8)
+    assert sorted(r.key for r in left.collect()) == sorted(r.key for r in every.where("number >= 29").collect())
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan and ">= 3)" in plan
 
 
 def test_ranks_in_groups(spark):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructType
 
 from turnmill.functions.numbers import bucket
 from turnmill.functions.text import tok
-from turnmill.operators.ranks import ranked_in
+from turnmill.operators.ranks import ranked, ranked_in
 from turnmill.operators.vocab import END
 
 S, E, SEP = "<S>", "</S>", "<SEP>"
@@ -70,6 +71,30 @@ def batched(samples: DataFrame, batch_size: int, order: list[str]) -> DataFrame:
     return rows.withColumn("batch", F.floor((F.col("_n") - 1) / batch_size).cast("bigint")).drop("_n")
 
 
+#: Batches of one part of a stored epoch.
+PART = 64
+
+
+def store_epoch(batches: DataFrame, path: str, seed: int = 0, part: int = PART) -> int:
+    """Write batches (with bucket and batch) in a seeded order, numbered through all buckets, `part` of them to a folder; how many there are.
+
+    Only batches are ranked, a row each, and their numbers meet the samples by a join.
+    """
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("bucket").cast("string"), F.col("batch").cast("string")))
+    numbers = ranked(batches.select("bucket", "batch").distinct(), [order], "number").withColumn("number", F.col("number") - 1)
+    rows = batches.join(numbers, ["bucket", "batch"]).withColumn("part", F.expr(f"number div {part}"))
+    rows.repartition("part").sortWithinPartitions("part", "number").write.mode("overwrite").partitionBy("part").parquet(path)
+    return numbers.count()
+
+
+def resumed(spark: SparkSession, path: str, step: int, schema: StructType, part: int = PART) -> DataFrame:
+    """What an epoch still has to give at a step of training, in whichever epoch that is: the batches from step modulo their number on. Parts before it aren't opened."""
+    every = spark.read.schema(StructType([*schema.fields]).add("number", LongType()).add("part", LongType())).parquet(path)
+    last = every.where(F.col("part") == every.agg(F.max("part")).first()[0]).agg(F.max("number")).first()[0]
+    first = step % (last + 1)
+    return every.where((F.col("part") >= first // part) & (F.col("number") >= first)).drop("part")
+
+
 def padded(batches: DataFrame, columns: list[str], fill: int = END) -> DataFrame:
     """Arrays of ids padded to the longest of their batch."""
     longest = batches.groupBy("bucket", "batch").agg(*[F.max(F.size(c)).alias(f"_{c}") for c in columns])

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from turnmill import session
 from turnmill.functions.text import tok
+from turnmill.operators.ranks import ranked_in, written
 
 
 def ngrams(words: Column, n: int, compat: bool = False) -> Column:
@@ -32,9 +34,10 @@ def exploded(texts: DataFrame, orders: list[int], text: str = "text", compat: bo
     """
     by, longest = by or [], max(orders) + compat
     words = texts.select(*by, tok(text).alias("_w"))
-    at = lambda x, i: F.struct(x.alias("w0"), *[F.try_element_at(F.col("_w"), i + k + 1).alias(f"w{k}") for k in range(1, longest)])
-    rows = words.select(*by, F.explode(F.transform("_w", at)).alias("_p"))
-    w = [F.col(f"_p.w{k}") for k in range(longest)]
+    places = [F.col("_w"), *[F.slice(F.col("_w"), F.lit(k + 1), F.greatest(F.size("_w") - k, F.lit(0))) for k in range(1, longest)]]
+    rows = words.select(*by, F.inline(F.arrays_zip(*[x.alias(f"w{k}") for k, x in enumerate(places)])))
+    rows = rows.toDF(*by, *[f"w{k}" for k in range(longest)])
+    w = [F.col(f"w{k}") for k in range(longest)]
     grams = [F.struct(F.lit(n).alias("n"), (F.concat_ws(" ", *w[:n]) if n > 1 else w[0]).alias("ngram"), w[n - 1 + compat].isNotNull().alias("_whole")) for n in orders]
     return rows.select(*by, F.inline(F.array(*grams))).where("_whole").drop("_whole")
 
@@ -64,49 +67,94 @@ def sketches(texts: DataFrame, orders: list[int], by: list[str], text: str = "te
     return exploded(texts, orders, text, compat, by).groupBy(*by, "n").agg(F.hll_sketch_agg("ngram").alias("sketch"))
 
 
-#: Up to so many n-grams are tested line by line in one expression; more are joined by their first characters.
-LISTED = 2000
-BEGINNING = 16
+#: Characters of the pieces by which n-grams of a table are found; a shorter n-gram is a piece by itself.
+PIECE = 8
+#: Pieces of listed n-grams that are broadcast, at most (some 100 bytes each); more are joined by shuffle.
+BROADCAST_PIECES = 500_000
 
 
 def containing(texts: DataFrame, grams: list[str], text: str = "text", key: str = "line_no") -> DataFrame:
-    """(key, ngram) for each line that contains an n-gram of the list as a substring.
+    """(key, ngram) for each line that contains an n-gram of a hand-made list as a substring: the list is tested where each line is, and only matches leave. For n-grams of a table see found_in."""
+    listed = F.array(*[F.lit(g) for g in sorted(set(grams))]).cast("array<string>")
+    return texts.select(key, F.explode(F.filter(listed, lambda g: F.contains(F.col(text), g))).alias("ngram"))
 
-    No pairs of lines and n-grams are made. A short list is tested where each line is, and only matches leave. Of a longer one, each n-gram meets the lines
-    that hold its first characters (as many as the shortest has, up to `BEGINNING`), and these are compared as a whole.
+
+def _pieces(x: str, lengths: list[int]) -> Column:
+    """All substrings of the given lengths, each once, in time linear in the text: one overlapping match per position."""
+    every = [F.regexp_extract_all(F.col(x), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
+    return F.array_distinct(every[0] if len(every) == 1 else F.concat(*every))
+
+
+def found_in(texts: DataFrame, grams: DataFrame, text: str = "text", key: str = "line_no", gram: str = "ngram", broadcast_pieces: int = BROADCAST_PIECES) -> DataFrame:
+    """(key, ngram) for each text that contains an n-gram of a table as a substring, for n-gram lists of any length.
+
+    Each n-gram is keyed by that of its pieces of `PIECE` characters which the fewest texts hold, so a common beginning makes no common key, and an n-gram with a piece that no text
+    holds is done with. One pass over the texts counts the pieces of the list; a second one meets the keys. Up to `broadcast_pieces` pieces the list is broadcast, and what meets is compared on the spot, so
+    no text is moved. Beyond it (key, n-gram) pairs meet without their texts, and these are read a third time to be compared.
+
+    key: unique. Null texts and null n-grams are none; the empty n-gram is in every text.
     """
-    grams = sorted(set(grams))
-    if len(grams) <= LISTED:
-        listed = F.array(*[F.lit(g) for g in grams]).cast("array<string>")
-        return texts.select(key, F.explode(F.filter(listed, lambda g: F.contains(F.col(text), g))).alias("ngram"))
-    if "" in grams:
-        return containing(texts, [g for g in grams if g], text, key).unionByName(texts.where(F.col(text).isNotNull()).select(key, F.lit("").alias("ngram")))
-    n = min(BEGINNING, min(map(len, grams)))
-    listed = texts.sparkSession.createDataFrame([(g, g[:n]) for g in grams], "ngram string, _b string")
-    starts = F.sequence(F.lit(1), F.length(text) - n + 1)
-    rows = texts.where(F.length(text) >= n).select(key, F.col(text).alias("_t"), F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))).alias("_b"))
-    return rows.join(F.broadcast(listed) if len(grams) <= 100_000 else listed, "_b").where(F.contains("_t", "ngram")).select(key, "ngram")
+    listed = written(grams.select(F.col(gram).alias("ngram")).where("ngram IS NOT NULL").distinct(), "listed")
+    sized = F.least(F.length("ngram"), F.lit(PIECE))
+    sizes = sorted(r[0] for r in listed.select(sized.alias("n")).distinct().collect())  # PIECE + 1 numbers at most
+    lengths = [n for n in sizes if n]
+    rows = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    empty = rows.where(F.lit(0 in sizes)).select(F.col("_key").alias(key), F.lit("").alias("ngram"))
+    if not lengths:
+        return empty
+    of_gram = F.coalesce(*[F.when(sized == n, _pieces("ngram", [n])) for n in lengths])
+    own = written(listed.select("ngram", F.explode(of_gram).alias("_piece")), "pieces")
+    few = own.count() <= broadcast_pieces
+    side = F.broadcast if few else (lambda x: x.hint("merge"))
+    each = rows.select("_key", "_text", F.explode(_pieces("_text", lengths)).alias("_p"))
+    wanted = own.select("_piece").distinct()
+    held = each.select("_p").join(side(wanted), F.col("_p") == F.col("_piece")).groupBy("_piece").agg(F.count("*").alias("_n"))
+    # an n-gram whose pieces aren't all held is in no text
+    keys = own.join(held, "_piece", "left").groupBy("ngram").agg(F.min(F.struct("_n", "_piece")).alias("_least"), F.min(F.col("_n").isNotNull()).alias("_all"))
+    keys = written(keys.where("_all").select("ngram", F.col("_least._piece").alias("_k")), "rarest")
+    if few:
+        met = each.join(F.broadcast(keys), F.col("_p") == F.col("_k")).where(F.contains("_text", "ngram"))
+        return met.select(F.col("_key").alias(key), "ngram").unionByName(empty)
+    pairs = each.select("_key", "_p").join(keys.hint("merge"), F.col("_p") == F.col("_k")).select(F.col("_key").alias("_c"), "ngram")
+    met = pairs.join(rows, F.col("_c") == F.col("_key")).where(F.contains("_text", "ngram"))
+    return met.select(F.col("_key").alias(key), "ngram").unionByName(empty)
+
+
+def _line_digests(texts: DataFrame, text: str, key: str, seed: int) -> DataFrame:
+    return texts.select(F.col(key).alias(key), F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(text))).alias("_h"))
 
 
 def down_sampled(texts: DataFrame, quotas: dict[str, int], text: str = "text", key: str = "line_no", seed: int = 0, eligible: Column | None = None) -> DataFrame:
     """Keys of lines to drop: for each n-gram its quota of distinct lines, in the order of a seeded digest; lines chosen for an earlier n-gram count towards the quota of later ones.
 
-    The n-grams are a hand-made list, so the fold over them is short; every step is distributed.
+    The n-grams are a hand-made list in an order of its own, so there is a step for each; steps read a table of matches, and the texts are read once. For n-grams of a table see thinned.
     """
-    rows = containing(texts.where(eligible) if eligible is not None else texts, list(quotas), text, key)
-    lines = texts.select(key, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(text))).alias("_h"))
-    rows = rows.join(lines, key)
+    lines = _line_digests(texts, text, key, seed)
+    rows = containing(texts.where(eligible) if eligible is not None else texts, list(quotas), text, key).join(lines, key)
     # equal lines are one line here, as all copies of a chosen line go
-    found = rows.groupBy("ngram", "_h").agg(F.min(key).alias(key))
-    chosen: DataFrame | None = None
-    for g, n in quotas.items():
+    found = written(rows.select("ngram", "_h").distinct(), "matches")
+    base, schema = session.new_path(texts.sparkSession, "chosen"), found.select("_h").schema
+    chosen = found.select("_h").limit(0)
+    for k, (g, n) in enumerate(quotas.items()):
         mine = found.where(F.col("ngram") == g).select("_h")
-        if chosen is not None:
-            before = mine.join(chosen, "_h", "left_semi").count()
-            mine, n = mine.join(chosen, "_h", "left_anti"), max(0, n - before)
-        took = mine.orderBy("_h").limit(n)
-        chosen = took if chosen is None else chosen.unionByName(took)
-    return lines.join(chosen, "_h", "left_semi").select(key) if chosen is not None else lines.limit(0).select(key)
+        n -= mine.join(chosen, "_h", "left_semi").count() if k else 0
+        session.written(mine.join(chosen, "_h", "left_anti").orderBy("_h").limit(max(0, n)), f"{base}/{k}")
+        chosen = texts.sparkSession.read.schema(schema).parquet(f"{base}/*")
+    return lines.join(chosen, "_h", "left_semi").select(key)
+
+
+def thinned(texts: DataFrame, quotas: DataFrame, text: str = "text", key: str = "line_no", seed: int = 0, eligible: Column | None = None) -> DataFrame:
+    """Keys of lines to drop, for n-grams of a table (ngram, quota) of any length: of each n-gram's distinct lines those that come first by a seeded digest, as many as its quota.
+
+    The digest orders all n-grams' lines alike, so a line that goes for one n-gram goes first for every other one that it holds, and counts towards its quota. Each n-gram loses its quota, or all its
+    lines, whatever the order of the n-grams; there is no step for each, but one ranking in which an n-gram with most of the lines is spread over many ranges.
+    """
+    lines = _line_digests(texts, text, key, seed)
+    rows = found_in(texts.where(eligible) if eligible is not None else texts, quotas, text, key).join(lines, key)
+    ranks = ranked_in(rows.select("ngram", "_h").distinct(), "ngram", [F.col("_h")])
+    quota = quotas.groupBy("ngram").agg(F.max("quota").alias("_quota"))
+    chosen = ranks.join(quota, "ngram").where(F.col("rank") <= F.col("_quota")).select("_h").distinct()
+    return lines.join(chosen, "_h", "left_semi").select(key)
 
 
 def ranked_per(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:

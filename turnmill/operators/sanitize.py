@@ -1,10 +1,13 @@
-"""Profanity filter over dialogues."""
+"""Profanity filter over dialogues, dull responses."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnmill.functions.text import clean_utterance, tok
+from turnmill.operators.ngrams import found_in
 
 
 def one_word_hits(u: Column, words: list[str]) -> Column:
@@ -48,3 +51,28 @@ def dull_share(rows: DataFrame, templates: list[str], text: str = "text") -> Dat
     """Share of rows whose text is one of a list of dull responses (case and outer blanks aside)."""
     dull = F.lower(F.trim(text)).isin(*[t.strip().lower() for t in templates]) if templates else F.lit(False)
     return rows.agg(F.count("*").alias("n"), F.count_if(dull).alias("dull"))
+
+
+GAP = re.compile(r"\$\d+")
+
+
+def template_parts(template: str) -> tuple[str, str]:
+    """The longest run of words of a template between its gaps, and a pattern of the whole. $1 and the like are gaps: one character or more."""
+    runs = GAP.split(squeezed(template))
+    return max((r.strip() for r in runs), key=len), "^" + ".+".join(re.escape(r) for r in runs) + "$"
+
+
+def squeezed(x: str) -> str:
+    return " ".join(x.lower().split())
+
+
+def dull_lines(rows: DataFrame, templates: list[str], key: str, text: str = "text") -> DataFrame:
+    """(key, template) of the rows that a template with gaps matches, case and blanks aside.
+
+    The longest run of words of each template finds the rows that hold it; only these are compared with the whole, the order of the other runs included. key: unique.
+    """
+    listed = rows.sparkSession.createDataFrame([(t, *template_parts(t)) for t in dict.fromkeys(templates)], "template string, _run string, _pattern string")
+    lines = rows.select(F.col(key).alias("_line"), F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")).alias("_t"))
+    met = found_in(lines, listed.select("_run").distinct(), text="_t", key="_line", gram="_run").withColumnRenamed("_line", "_l")
+    met = met.join(F.broadcast(listed), F.col("ngram") == F.col("_run")).join(lines, F.col("_l") == F.col("_line"))  # listed: as long as the caller's list
+    return met.where(F.expr("_t rlike _pattern")).select(F.col("_l").alias(key), "template")

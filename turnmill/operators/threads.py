@@ -1,4 +1,4 @@
-"""Reply trees: edges, roots, root-to-leaf paths, threads as documents."""
+"""Reply trees: edges, roots, root and depth of every post, root-to-leaf paths, threads as documents."""
 
 from __future__ import annotations
 
@@ -25,26 +25,94 @@ def roots(links: DataFrame) -> DataFrame:
     return nodes(links).join(links.where("parent IS NOT NULL AND parent <> id").select("id"), "id", "left_anti")
 
 
-def paths(links: DataFrame, max_depth: int = 10_000) -> DataFrame:
-    """(leaf, path) for each root-to-leaf path, path being array<string>. One join per level; each level's frontier is written, so lineage stays short.
+class Jumps:
+    """Ancestors at distances of 1, 2, 4 and so on, by pointer doubling.
 
-    A cycle has no root, so it is never entered; max_depth is a guard against malformed input and raises rather than cutting paths.
+    Table k has (id, up, dist, top) for each node deeper than 2 ** (k - 1): `up` lies 2 ** k links above it or is its root, whichever is nearer, and top says that it is a root. A node that has
+    reached its root isn't carried on. Each round is one join and one written table, and there are log2(depth) of them. Nodes that never reach a root, those of a cycle
+    and below one, are found by a round in which no node reaches its root: then nobody left ever does, since every deeper node has ancestors that would come first.
     """
-    links = links.where("parent IS NOT NULL AND parent <> id").select(F.col("parent").alias("_p"), F.col("id").alias("_c")).distinct()
-    links = written(links, "edges")
-    inner = links.select("_p").distinct()
-    base = new_path(links.sparkSession, "levels")
-    level = roots(links.select(F.col("_c").alias("id"), F.col("_p").alias("parent"))).select("id", F.array("id").alias("path"))
-    for depth in range(max_depth):
-        grown = level.join(links, level["id"] == F.col("_p")).select(F.col("_c").alias("id"), F.concat("path", F.array("_c")).alias("path"))
-        level = session.written(grown, f"{base}/{depth}")
-        if level.isEmpty():
-            break
-    else:
-        raise ValueError(f"a path is longer than {max_depth}")
-    # posts that nobody answers and that answer nobody are not in links: their paths have one node, and no dialogue comes of them
-    every = level.sparkSession.read.schema(level.schema).parquet(f"{base}/*")  # one scan of all levels, however deep
-    return every.join(inner, every["id"] == inner["_p"], "left_anti").select(F.col("id").alias("leaf"), "path")
+
+    def __init__(self, links: DataFrame):
+        self.spark = links.sparkSession
+        self.base = new_path(self.spark, "jumps")
+        # an id that comes with several parents keeps the least
+        links = links.where("id IS NOT NULL AND parent IS NOT NULL AND parent <> id").groupBy("id").agg(F.min("parent").alias("up"))
+        links = written(links, "edges")
+        inner = links.select(F.col("id").alias("_u"))
+        first = links.join(inner, links["up"] == inner["_u"], "left").select("id", "up", F.lit(1).cast("bigint").alias("dist"), F.col("_u").isNull().alias("top"))
+        self.schema = first.schema
+        self.rounds = 0
+        self._write(first)
+        while (found := self._counts(self.rounds - 1)).get(False):
+            if not found.get(True):
+                break  # what is left is in a cycle or below one
+            level = self.table(self.rounds - 1)
+            every = self.reached().unionByName(level.where("NOT top"))
+            over = every.select(F.col("id").alias("_i"), F.col("up").alias("_up"), F.col("dist").alias("_d"), F.col("top").alias("_top"))
+            grown = level.where("NOT top").join(over, F.col("up") == F.col("_i"))
+            self._write(grown.select("id", F.col("_up").alias("up"), (F.col("dist") + F.col("_d")).alias("dist"), F.col("_top").alias("top")))
+
+    def _write(self, level: DataFrame) -> None:
+        session.written(level, f"{self.base}/{self.rounds}")
+        self.rounds += 1
+
+    def _counts(self, k: int) -> dict[bool, int]:
+        return {r["top"]: r["count"] for r in self.table(k).groupBy("top").count().collect()}  # two rows
+
+    def table(self, k: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.base}/{k}")
+
+    def reached(self) -> DataFrame:
+        """(id, up, dist, top) of every node whose root is known, up being the root."""
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.base}/{k}" for k in range(self.rounds)]).where("top")
+
+    def lost(self) -> DataFrame:
+        """The ids that never reach a root."""
+        return self.table(self.rounds - 1).where("NOT top").select("id")
+
+    def at(self, k: int) -> DataFrame:
+        """(id, up): the nodes at least 2 ** k deep with their ancestor there."""
+        return self.table(k).where(F.col("dist") == 1 << k).select("id", "up")
+
+
+def root_of(links: DataFrame, jumps: Jumps | None = None) -> DataFrame:
+    """(id, root, depth, in_cycle) of every node, missing parents included: depth counts the links up to the root. A node of a cycle or below one has no root.
+
+    A parent with very many replies is one key of a join whose other side has it once, so adaptive execution can split it.
+    """
+    jumps = jumps or Jumps(links)
+    null = lambda kind: F.lit(None).cast(kind)
+    found = jumps.reached().select("id", F.col("up").alias("root"), F.col("dist").alias("depth"), F.lit(False).alias("in_cycle"))
+    lost = jumps.lost().select("id", null("string").alias("root"), null("bigint").alias("depth"), F.lit(True).alias("in_cycle"))
+    tops = roots(links).where("id IS NOT NULL").select("id", F.col("id").alias("root"), F.lit(0).cast("bigint").alias("depth"), F.lit(False).alias("in_cycle"))
+    return found.unionByName(lost).unionByName(tops)
+
+
+def ancestors(links: DataFrame, jumps: Jumps | None = None) -> DataFrame:
+    """(leaf, id, above): each leaf's nodes up to its root, itself at 0. A leaf has a parent and no reply.
+
+    A distance is a sum of different powers of two, so taking the jumps from the longest to the shortest, each from all nodes found so far, meets every ancestor once: log2(depth) joins of
+    rows of three values, and no path is copied on the way.
+    """
+    jumps = jumps or Jumps(links)
+    inner = jumps.table(0).select("up").distinct()
+    ids = jumps.reached().select("id")
+    leaves = ids.join(inner, ids["id"] == inner["up"], "left_anti")
+    out = leaves.select(F.col("id").alias("leaf"), "id", F.lit(0).cast("bigint").alias("above"))
+    for k in reversed(range(jumps.rounds)):
+        step = jumps.at(k).select(F.col("id").alias("_i"), F.col("up").alias("_up"))
+        further = out.join(step, out["id"] == step["_i"]).select("leaf", F.col("_up").alias("id"), (F.col("above") + (1 << k)).alias("above"))
+        out = out.unionByName(further)
+        if k and k % 4 == 0:
+            out = written(out, "ancestors")  # short lineage: each step reads what is before it twice
+    return out
+
+
+def paths(links: DataFrame) -> DataFrame:
+    """(leaf, path) for each root-to-leaf path, path being array<string>. Posts that nobody answers and that answer nobody have none, nor have cycles and what hangs on them."""
+    found = ancestors(links).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct((-F.col("above")).alias("k"), "id"))).alias("p"))
+    return found.select("leaf", F.col("p.id").alias("path"))
 
 
 def dialogues(posts: DataFrame, found: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnmill.functions import text as X
+from turnmill.functions.lists import DULL
 from turnmill.operators import dialogues as D, posts as P, sanitize as Z, stats as S, threads as T
 from turnmill.operators.batches import sharded
 from turnmill.plans.registry import DIALOGUES, conversations, query, r6, read, words
@@ -214,6 +215,20 @@ def thread_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.dialogues(forest(spark, sf_dir)).select("leaf", F.array_join("ids", "/").alias("ids"), F.array_join("utterances", "\t").alias("line"))
 
 
+# Deep trees: chains of 300 events with some short cuts; every seventh ends in a cycle of its first two. Errors are missing posts.
+DEEP = "f AS (SELECT event_id AS id, CASE WHEN event_id % 300 = 0 THEN CASE WHEN event_id // 300 % 7 = 3 THEN event_id + 1 END WHEN event_id % 50 = 25 THEN event_id - 20 ELSE event_id - 1 END AS parent FROM events WHERE event_type <> 'error')"
+
+
+@query(f"""WITH RECURSIVE {DEEP}, {NODES}, {ROOTS}, w AS (SELECT id, id AS root, 0 AS depth FROM r UNION ALL SELECT f.id, w.root, w.depth + 1 FROM w JOIN f ON f.parent = w.id)
+  SELECT CAST(n.id AS VARCHAR) AS id, CAST(w.root AS VARCHAR) AS root, CAST(w.depth AS BIGINT) AS depth, w.id IS NULL AS in_cycle FROM n LEFT JOIN w ON n.id = w.id""")
+def thread_root_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root and depth of every post by pointer doubling; cycles have none."""
+    e = F.col("event_id")
+    parent = F.when(e % 300 == 0, F.when(F.expr("event_id div 300 % 7 = 3"), e + 1)).when(e % 50 == 25, e - 20).otherwise(e - 1)
+    posts = read(spark, sf_dir, "events").where("event_type <> 'error'").select(F.lit(0).alias("type"), e.cast("string").alias("id"), F.concat(F.lit("t1_"), parent.cast("string")).alias("parent_id"))
+    return T.root_of(T.edges(posts))
+
+
 @query(f"WITH {FOREST} SELECT CAST(id // 40 * 40 AS VARCHAR) AS thread, count(*) AS n_posts, string_agg(text, chr(9) ORDER BY id) AS line FROM f GROUP BY id // 40 HAVING count(*) > 1")
 def thread_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.thread_documents(forest(spark, sf_dir)).select("thread", "n_posts", F.array_join("utterances", "\t").alias("line"))
@@ -254,3 +269,14 @@ def counter_union_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS n, count(*) FILTER (lower(trim(text)) IN ('i don''t know .', 'yes .')) AS dull FROM conversations")
 def dull_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.dull_share(read(spark, sf_dir, "conversations"), ["i don't know .", "yes ."])
+
+
+TEMPLATES = [*DULL, "the $1", "$1 of the $2 the $3 .", "et $1 , $2"]
+PATTERNS = ", ".join("('" + t.replace("'", "''") + "', '" + Z.template_parts(t)[1].replace("'", "''") + "')" for t in TEMPLATES)
+
+
+@query(rf"WITH t(template, p) AS (VALUES {PATTERNS}), c AS (SELECT conv_id, turn, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS x FROM conversations) SELECT DISTINCT conv_id, turn, template FROM c, t WHERE regexp_matches(x, p)")
+def dull_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that match a listed response with gaps."""
+    rows = read(spark, sf_dir, "conversations").withColumn("at", F.struct("conv_id", "turn"))
+    return Z.dull_lines(rows, TEMPLATES, "at").select("at.conv_id", "at.turn", "template")

@@ -185,6 +185,28 @@ def ngram_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ngram_counts(spark, f"{path}.2grams")
 
 
+GRAMS3 = f"w AS (SELECT {words('text')} AS w FROM conversations), g AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS ngram FROM w)"
+
+
+@query(f"WITH {GRAMS3} SELECT conv_id, turn, ngram FROM conversations, g WHERE contains(text, ngram)")
+def lines_with_listed_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 3-gram of the conversations (45,000 at sf0.01), written as an n-gram file, read again, and found in their lines."""
+    path = new_path(spark, "listed")
+    rows = read(spark, sf_dir, "conversations")
+    W.ngrams(N.counts(rows, [3]), path, more_than=0)
+    found = N.found_in(rows.withColumn("at", F.struct("conv_id", "turn")), R.ngram_counts(spark, f"{path}.3grams"), key="at")
+    return found.select("at.conv_id", "at.turn", "ngram")
+
+
+@query(f"""WITH {GRAMS3}, l AS (SELECT DISTINCT md5('0:' || text) AS h, text FROM conversations WHERE text IS NOT NULL), m AS (SELECT ngram, h FROM l, g WHERE contains(text, ngram)),
+  q AS (SELECT ngram, h, row_number() OVER (PARTITION BY ngram ORDER BY h) AS k FROM m) SELECT conv_id, turn FROM conversations WHERE md5('0:' || text) IN (SELECT h FROM q WHERE k <= 1 AND ngram LIKE 'th%')""")
+def lines_thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that go so that every 3-gram that begins with th loses one of its lines."""
+    rows = read(spark, sf_dir, "conversations").withColumn("at", F.struct("conv_id", "turn"))
+    quotas = N.counts(rows, [3]).where("ngram LIKE 'th%'").select("ngram", F.lit(1).alias("quota"))
+    return N.thinned(rows, quotas, key="at").select("at.conv_id", "at.turn")
+
+
 @query(f"WITH {LISTS} SELECT array_to_string(u, chr(9)) || chr(9) || CASE WHEN conv_id % 3 = 0 THEN '<NO_TOPIC>' ELSE 'w' || conv_id || ' x' END AS value FROM d")
 def topical_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "topical")

@@ -107,8 +107,7 @@ def preprocess_lda(spark: SparkSession, data: str, out: str, *, min_word_length:
     lines = R.text_lines(spark, data).withColumnRenamed("value", "text")
     drop = None
     if ngrams_file:
-        quotas = {r["ngram"]: int(r["freq"]) for r in R.ngram_counts(spark, ngrams_file).collect()}  # a hand-made list
-        drop = N.down_sampled(lines, quotas, seed=seed)
+        drop = N.thinned(lines, R.ngram_counts(spark, ngrams_file).withColumnRenamed("freq", "quota"), seed=seed)
     W.topic_preparation(TP.prepare(lines, min_word_length=min_word_length, min_utterance_length=min_utterance_length, drop_frequent=n_frequents_to_drop, drop_lines=drop, key="line_no"), out)
 
 

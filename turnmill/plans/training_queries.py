@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnmill.functions import numbers as M
 from turnmill.operators import batches as B, evaluate as V
+from turnmill.session import new_path
 from turnmill.plans.registry import DIALOGUES, conversations, query, r6, read, words
 
 LEN = f"l AS (SELECT conv_id * 1000 + turn AS key, len({words('text')}) AS src, len({words('coalesce(nxt, chr(32))')}) AS tgt FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations))"
@@ -201,3 +202,12 @@ def row_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dev_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five rows by a seeded digest (a sampling operator)."""
     return B.sample(read(spark, sf_dir, "documents"), 5, "doc_id", seed=3).select("doc_id")
+
+
+@query(f"WITH {LEN}, {BUCKET}, {BATCH}, k AS (SELECT DISTINCT bucket, batch FROM x), n AS (SELECT bucket, batch, row_number() OVER (ORDER BY md5('3:' || CAST(bucket AS INTEGER) || ':' || CAST(batch AS BIGINT))) - 1 AS number FROM k) SELECT key, number FROM x JOIN n USING (bucket, batch) WHERE number >= (SELECT (3 * count(*) + 7) % count(*) FROM n)")
+def training_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the fourth epoch after seven of its batches, from batches that are stored by number."""
+    rows = B.batched(B.bucketed(_lengths(spark, sf_dir), ["src", "tgt"], src_max_len=30, buckets=5), 16, ["key"])
+    path = new_path(spark, "epoch")
+    n = B.store_epoch(rows, path, seed=3, part=4)
+    return B.resumed(spark, path, 3 * n + 7, rows.schema, part=4).select("key", "number")
