@@ -23,7 +23,7 @@ LANES = 4096
 SCALE_BITS = 12
 SCALE = 1 << SCALE_BITS
 #: Places after which frequencies are taken over.
-REFRESH = (16, 48, 112, 240, 496, 1008)
+REFRESH = (24, 88, 216, 472, 984)
 CONTEXTS = 2048
 RATE = 5
 #: Of 65,536. A little less than 1 in 2 ** RATE, so that both weights together leave the frequencies a share.

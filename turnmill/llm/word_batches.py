@@ -84,7 +84,12 @@ class Batches:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text by text, and how many each text has."""
         t = self.tokenizer
-        plain = [bool(t.quick) and not t.unusual.search(x) and not any(s in x for s in t.special) for x in texts]
+        whole = "\n".join(texts)
+        c = np.frombuffer(whole.encode("utf-16-le", "surrogatepass"), np.uint16)
+        if t.quick and (not len(c) or c.min() > 0 and c.max() < PLAIN) and not any(s in whole for s in t.special):
+            plain = [True] * len(texts)
+        else:
+            plain = [bool(t.quick) and not t.unusual.search(x) and not any(s in x for s in t.special) for x in texts]
         lows = [x.lower() for x, p in zip(texts, plain, strict=True) if p]
         found, at = self.words("\n".join([*lows, ""]))
         coded = found.dictionary_encode()
