@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -133,7 +134,7 @@ def test_web_tokens_as_the_rule():
 def test_more_kinds_against_brute_force():
     """The added kinds, by trying every start."""
     rng = random.Random(12)
-    for kind in ("private_key", "host_token", "chat_token"):
+    for kind in ("host_token", "chat_token"):
         pattern = re.compile(next(p for k, p, *_ in X.RULES if k == kind), re.A)
         for _ in range(300):
             t = "".join(rng.choice(["-----BEGIN ", "RSA ", "PRIVATE KEY-----", "ghp_", "gh", "xoxb-", "a" * 20, "1-", " "]) for _ in range(rng.randint(0, 10)))
@@ -191,3 +192,27 @@ def test_caller_keeps_its_settings(spark, tmp_path):
     made = T.op6_token_counts(spark, str(tmp_path))
     assert made.count() == 1 and made.sparkSession.conf.get(common.ARROW) == str(common.BATCH_ROWS)
     assert {k: spark.conf.get(k) for k in before} == before
+
+
+BODY = "MIIEpAIBAAKCAQEAx" * 3
+
+
+@pytest.mark.parametrize(("text", "left"), [
+    (f"a -----BEGIN RSA PRIVATE KEY-----\n{BODY}\n{BODY}==\n-----END RSA PRIVATE KEY----- b", "a [SECRET] b"),
+    (f"-----BEGIN PRIVATE KEY-----\\n{BODY}\\n-----END PRIVATE KEY-----", "[SECRET]"),
+    (f"-----BEGIN EC PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{BODY}\n-----END EC PRIVATE KEY-----\nrest", "[SECRET]\nrest"),
+    (f"x -----BEGIN PRIVATE KEY-----\n  {BODY}\r\n{BODY}\nMII=\nplain words follow", "x [SECRET]\nplain words follow"),
+    (f"-----BEGIN PRIVATE KEY-----\n{BODY}\n-----BEGIN PRIVATE KEY-----\n{BODY}\n-----END PRIVATE KEY-----.", "[SECRET]\n[SECRET]."),
+    ("-----BEGIN PRIVATE KEY----- is how a key begins", "[SECRET] is how a key begins"),
+    ("-----END PRIVATE KEY----- alone", "-----END PRIVATE KEY----- alone"),
+    ("-----BEGIN PRIVATE KEY----- " + "long prose " * 2000 + "-----END PRIVATE KEY-----", "[SECRET] " + "long prose " * 2000 + "-----END PRIVATE KEY-----"),
+])
+def test_key_bodies(text, left):
+    assert X.masked(text, [(a, b) for _, a, b in X.findings(text)], "[SECRET]") == left
+
+
+def test_many_keys_in_linear_time():
+    began = time.perf_counter()
+    X.findings("-----BEGIN PRIVATE KEY-----\n" * 20_000 + "A" * 400_000)
+    X.findings("-----BEGIN PRIVATE KEY-----" + "\n" * 400_000)
+    assert time.perf_counter() - began < 10

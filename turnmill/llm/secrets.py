@@ -9,7 +9,7 @@ A ledger serves as many runs as it is given to. The registered query takes that
 a new one, so that a run without the setting scans every content.
 
 Base kinds (leftmost, not overlapping, per kind; matches that fail the length are dropped): `assign`, `access`, `hex`. The rules below
-them add further spans: private-key blocks, JSON web tokens, and access tokens with well-known prefixes. Offsets are
+them add further spans: private keys with their bodies, JSON web tokens, and access tokens with well-known prefixes. Offsets are
 code points, end exclusive.
 
 Defined results: null text counts as empty; repeated rows keep one row each; equal contents are scanned once; of spans with one start the kind that is
@@ -36,14 +36,16 @@ BASE = [
 ]
 # Added by the operator: well-known forms of keys and tokens.
 MORE = [
-    ("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+    ("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),  # with its body, see key_blocks
     ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1),  # see web_tokens
     ("host_token", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
     ("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
 ]
 RULES = BASE + MORE
 ORDER = {kind: k for k, (kind, *_) in enumerate(RULES)}
-RULE_VERSION = hashlib.sha256(repr(RULES).encode()).hexdigest()[:16]
+#: A closed key block has so many characters at most; beyond, its lines tell where it ends. (A key of 16,384 bits has some 13,000.)
+KEY_LENGTH = 16_384
+RULE_VERSION = hashlib.sha256(repr((RULES, "key bodies", KEY_LENGTH)).encode()).hexdigest()[:16]
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 LEDGER = f"digest binary, version string, found {SPANS}"
 #: re.A keeps both case folding and \w to ASCII. A run of hex digits that is long enough is the same match as a run that is measured afterwards.
@@ -66,14 +68,32 @@ def web_tokens(text: str) -> Iterator[tuple[int, int]]:
         k += 3 if at >= 0 else 1
 
 
+_key_begin = re.compile(next(p for k, p, *_ in MORE if k == "private_key"), re.A)
+_key_end = re.compile(r"-----END [A-Z ]{0,40}PRIVATE KEY-----", re.A)
+_key_lines = re.compile(r"(?:[ \t\r]*\n[ \t]*[A-Za-z0-9+/=]{16,}(?=[ \t\r]*(?:\n|\Z)))*(?:[ \t\r]*\n[ \t]*[A-Za-z0-9+/]+={1,2}(?=[ \t\r]*(?:\n|\Z)))?", re.A)
+
+
+def key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Private keys with their bodies: up to the end line that follows before another key begins, or, where there is none within `KEY_LENGTH`, up to the last line of base64."""
+    begins = [m.span() for m in _key_begin.finditer(text)]
+    ends = [m.span() for m in _key_end.finditer(text)] if begins else []
+    k = 0
+    for n, (a, b) in enumerate(begins):
+        further = begins[n + 1][0] if n + 1 < len(begins) else len(text) + 1
+        while k < len(ends) and ends[k][0] < b:
+            k += 1
+        closed = k < len(ends) and ends[k][0] < further and ends[k][1] - a <= KEY_LENGTH
+        yield a, ends[k][1] if closed else _key_lines.match(text, b).end()
+
+
 def findings(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of a text, by start and then by the rules' order."""
     out = []
     for kind, pattern, group, least in _compiled:
         if kind == "assign" and not _assign_hint.search(text) or kind == "access" and "AKIA" not in text or kind == "private_key" and "-----BEGIN" not in text or kind == "host_token" and "gh" not in text or kind == "chat_token" and "xox" not in text:
             continue
-        if kind == "jwt":
-            out += [(kind, a, b) for a, b in web_tokens(text)]
+        if kind in ("jwt", "private_key"):
+            out += [(kind, a, b) for a, b in (web_tokens if kind == "jwt" else key_blocks)(text)]
             continue
         for m in pattern.finditer(text):
             if m.end(group) - m.start(group) >= least:
