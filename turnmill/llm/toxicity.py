@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, *, text: str =
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [grams(t, bits) for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("y"), pa.array([at.astype("<u4").tobytes() for at, _ in made], pa.binary()), pa.array([np.minimum(n, 65535).astype("<u2").tobytes() for _, n in made], pa.binary())], names=["_id", "y", "at", "n"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("y"), pa.array([at.astype("<u4").tobytes() for at, _ in made], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in made], pa.binary())], names=["_id", "y", "at", "n"])
 
     kind = texts.schema["_id"].dataType.simpleString()
     # about per_class rows of each label: a bounded side
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, *, text: str =
     fit = []
     for at, n, y in zip(rows.column("at"), rows.column("n"), rows.column("y").to_pylist(), strict=True):
         at = np.frombuffer(at.as_buffer(), "<u4")
-        fit.append((at, ratio[at] * tempered(np.frombuffer(n.as_buffer(), "<u2")).astype(np.float32), y))
+        fit.append((at, ratio[at] * tempered(np.frombuffer(n.as_buffer(), "<u4")).astype(np.float32), y))
     ones = sum(y for *_, y in fit)
     if not ones or ones == len(fit):
         return empty
