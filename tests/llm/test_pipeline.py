@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline as C
 from tests.llm.helpers import DOCS, clashing, contaminated, prose, save
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_near_copies import slow_firsts
 from turnmill.llm import secrets as X
 from turnmill.llm.packing import tokenizer, tokenizer_path
 
@@ -53,8 +53,7 @@ def test_stages(spark, corpus):
     bad = [i for i, t, *_ in rows if t and ("scumbag" in t or "idiotic" in t or "trashy" in t)]
     clean = [i for i, *_ in rows if i not in set(bad)]
     assert len(set(bad) & set(outs[0])) <= 0.03 * len(bad) and len(set(clean) - set(outs[0])) <= 0.01 * len(clean)
-    component = slow_components({i: slow_fingerprint(t) for i, t in outs[0].items()})
-    assert set(outs[1]) == set(component.values())
+    assert set(outs[1]) == slow_firsts(outs[0])
     hit = {r[0] for r in contaminated(list(outs[1].items()), list(enumerate(tests))) if r[5]}
     assert hit and set(outs[2]) == set(outs[1]) - hit
     assert set(outs[3]) == set(outs[2])
