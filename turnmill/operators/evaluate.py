@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnmill.functions.text import tok
-from turnmill.operators.ngrams import marked
 from turnmill.operators.ranks import written
+from turnmill.session import ship
 
 END = "</S>"
 
 
-def segment_ngrams(words: Column, orders: int) -> Column:
-    """array<struct<n, ngram>> of the orders 1 to `orders`."""
-    return F.concat(*[marked(words, n) for n in range(1, orders + 1)])
+def overlaps(hypothesis: list[str], references: list[list[str]], orders: int) -> list[int]:
+    """Lengths of the hypothesis and of the shortest reference; for each order the overlaps; for each order the n-grams of the hypothesis."""
+    found = []
+    for n in range(1, orders + 1):
+        h = Counter(zip(*(hypothesis[k:] for k in range(n)), strict=False))
+        most: Counter = Counter()
+        for r in references:
+            most |= Counter(g for g in zip(*(r[k:] for k in range(n)), strict=False) if g in h)
+        found.append(sum((h & most).values()))
+    return [len(hypothesis), min(map(len, references), default=0), *found, *(max(0, len(hypothesis) - n) for n in range(orders))]
 
 
 def bleu(rows: DataFrame, *, key: str, references: str = "references", hypothesis: str = "hypothesis", max_order: int = 4, smooth: bool = False) -> DataFrame:
@@ -25,16 +34,20 @@ def bleu(rows: DataFrame, *, key: str, references: str = "references", hypothesi
     An n-gram's overlap is the least of its count in the hypothesis and its greatest count in a reference. The reference length is that of the shortest reference.
     Empty corpora score 0.
     """
-    # words are a column before n-grams are made of them: inside, they would be split again for every n-gram
-    grams = rows.select(key, tok(hypothesis).alias("_w")).select(key, F.explode(segment_ngrams(F.col("_w"), max_order)).alias("g")).groupBy(key, "g").agg(F.count("*").alias("h"))
-    refs = rows.select(key, F.posexplode(references).alias("_k", "_r")).select(key, "_k", tok("_r").alias("_w")).select(key, "_k", F.explode(segment_ngrams(F.col("_w"), max_order)).alias("g"))
-    refs = refs.groupBy(key, "_k", "g").count().groupBy(key, "g").agg(F.max("count").alias("r"))
-    found = grams.join(refs, [key, "g"]).groupBy("g.n").agg(F.sum(F.least("h", "r")).alias("match"))
-    size = F.size(tok(hypothesis))
-    lengths = rows.agg(F.coalesce(F.sum(size), F.lit(0)).alias("hl"), F.coalesce(F.sum(F.array_min(F.transform(references, lambda r: F.size(tok(r))))), F.lit(0)).alias("rl"),
-                       *[F.coalesce(F.sum(F.greatest(size - (n - 1), F.lit(0))), F.lit(0)).alias(f"p{n}") for n in range(1, max_order + 1)])
-    matches = found.agg(*[F.coalesce(F.sum(F.when(F.col("n") == n, F.col("match"))), F.lit(0)).alias(f"m{n}") for n in range(1, max_order + 1)])
-    one = matches.crossJoin(lengths)  # one row each
+    ship(rows.sparkSession)
+    made = rows.select(tok(hypothesis).alias("h"), F.transform(references, tok).alias("r"))
+    names = ["hl", "rl", *(f"{x}{n}" for x in "mp" for n in range(1, max_order + 1))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = np.zeros(len(names), np.int64)
+            for h, r in zip(batch.column("h").to_pylist(), batch.column("r").to_pylist(), strict=True):
+                sums += overlaps(h or [], r or [], max_order)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums.tolist()], names=names)
+
+    # both sides of a comparison lie in one row: each batch gives one row of sums
+    sums = made.mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
+    one = sums.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names])
     precision = [((F.col(f"m{n}") + 1.0) / (F.col(f"p{n}") + 1.0)) if smooth else F.when(F.col(f"p{n}") > 0, F.col(f"m{n}") / F.col(f"p{n}")).otherwise(0.0) for n in range(1, max_order + 1)]
     mean = F.when(F.least(*precision) > 0, F.exp(sum(F.ln(p) for p in precision) / max_order)).otherwise(0.0) if max_order > 1 else precision[0]
     ratio = F.coalesce(F.try_divide("hl", "rl"), F.lit(0.0))

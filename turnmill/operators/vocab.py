@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from turnmill.functions.text import basic_tokens, no_nbsp, tok, zero_digits
 from turnmill.operators.ranks import ranked, top
+from turnmill.session import ship
 
 # Reserved words in the order of their ids, and those of the older layout.
 RESERVED = ["<UNK>", "<S>", "</S>", "<SEP>"]
@@ -44,23 +50,58 @@ def words_of(text: Column | str, normalize_digits: bool = False) -> Column:
 BROADCAST_WORDS = 200_000
 
 
+def _looked_up(rows: DataFrame, side: DataFrame, columns: dict[str, str], default: int | str) -> DataFrame:
+    """rows with lists of values looked up where they are: columns names each list and what it becomes. side: (value, to), a broadcast vocabulary.
+
+    The values of a batch are one flat array, so a batch is one hashed lookup; nothing is shuffled or put back together.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    table = side.toArrow()  # BROADCAST_WORDS rows at most
+    sent = spark.sparkContext.broadcast((table.column(0).combine_chunks(), table.column(1).combine_chunks()))
+    rows = rows.withColumns({c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in columns})
+    others = [c for c in rows.columns if c not in columns.values()]
+    schema = T.StructType([rows.schema[c] for c in others])
+    for out in columns.values():
+        schema = schema.add(out, T.ArrayType(side.schema[1].dataType))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, to = sent.value
+        for b in batches:
+            found = []
+            for c in columns:
+                lists = b.column(c)
+                flat = to.take(pc.index_in(lists.flatten().cast(values.type), value_set=values))
+                offsets = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+                found.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pc.fill_null(flat, default)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), *found], names=[*others, *columns.values()])
+
+    return rows.mapInArrow(run, schema)
+
+
 def encode(rows: DataFrame, vocab: DataFrame, words: str = "words", out: str = "ids", unk: int = UNK, joined: bool | None = None, key: str | None = None) -> DataFrame:
     """rows with `out`, the ids of an array of words; unknown words have the id unk.
 
-    Words are exploded, joined with the vocabulary and put back by position. key: a unique column (the first by default).
+    A vocabulary of up to `BROADCAST_WORDS` is looked up where the rows are. With a larger one words are exploded, joined and put back by position. key: a unique column (the first by default).
     """
     large = vocab.count() > BROADCAST_WORDS if joined is None else joined
     key = key or rows.columns[0]
     side = vocab.select("word", "id")
-    flat = rows.select(key, F.posexplode(words).alias("_pos", "word")).join(side if large else F.broadcast(side), "word", "left")
+    if not large:
+        return _looked_up(rows, side, {words: out}, unk)
+    flat = rows.select(key, F.posexplode(words).alias("_pos", "word")).join(side, "word", "left")
     back = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("id", F.lit(unk)).alias("id")))).alias("_s"))
     return rows.join(back.select(key, F.col("_s.id").alias("_i")), key, "left").withColumn(out, F.coalesce("_i", F.array().cast("array<bigint>"))).drop("_i")
 
 
-def encode_all(rows: DataFrame, vocab: DataFrame, columns: list[str], key: str, unk: int = UNK) -> DataFrame:
+def encode_all(rows: DataFrame, vocab: DataFrame, columns: list[str], key: str, unk: int = UNK, joined: bool | None = None) -> DataFrame:
     """rows with several arrays of words as ids, all in one pass. key: a unique column."""
     side = vocab.select("word", "id")
-    side = side if vocab.count() > BROADCAST_WORDS else F.broadcast(side)
+    large = vocab.count() > BROADCAST_WORDS if joined is None else joined
+    if not large:
+        coded = {c: f"_id_{k}" for k, c in enumerate(columns)}
+        found = _looked_up(rows, side, coded, unk)
+        return found.select(*[F.col(c) for c in rows.columns if c not in columns], *[F.col(o).alias(c) for c, o in coded.items()])
     tagged = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("w")) for c in columns]))
     flat = rows.select(key, tagged.alias("_t")).select(key, F.col("_t.c").alias("_c"), F.posexplode("_t.w").alias("_pos", "word")).join(side, "word", "left")
     ids = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("_c") == c, F.struct("_pos", F.coalesce("id", F.lit(unk)).alias("id"))))), lambda s: s["id"])
@@ -68,11 +109,12 @@ def encode_all(rows: DataFrame, vocab: DataFrame, columns: list[str], key: str,
     return rows.drop(*columns).join(back, key, "left").withColumns({c: F.coalesce(f"_{c}", F.array().cast("array<bigint>")) for c in columns}).drop(*[f"_{c}" for c in columns])
 
 
-def decode(rows: DataFrame, vocab: DataFrame, ids: str = "ids", out: str = "decoded", key: str | None = None) -> DataFrame:
-    """rows with the words of their ids; ids beyond the vocabulary are <UNK>."""
+def decode(rows: DataFrame, vocab: DataFrame, ids: str = "ids", out: str = "decoded", key: str | None = None, joined: bool | None = None) -> DataFrame:
+    """rows with the words of their ids; ids beyond the vocabulary are <UNK>. As encode."""
     key = key or rows.columns[0]
     side = vocab.select("id", "word")
-    side = side if vocab.count() > BROADCAST_WORDS else F.broadcast(side)  # few ids hold most rows: a shuffle by id would be skewed
+    if not (vocab.count() > BROADCAST_WORDS if joined is None else joined):
+        return _looked_up(rows, side, {ids: out}, RESERVED[UNK])
     flat = rows.select(key, F.posexplode(ids).alias("_pos", "id")).join(side, "id", "left")
     back = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("word", F.lit(RESERVED[UNK])).alias("word")))).alias("_s"))
     return rows.join(back.select(key, F.col("_s.word").alias("_w")), key, "left").withColumn(out, F.coalesce("_w", F.array().cast("array<string>"))).drop("_w")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnmill.functions import numbers as M
-from turnmill.operators import batches as B, evaluate as V
+from turnmill.operators import batches as B, decoding as DE, evaluate as V
 from turnmill.session import new_path
 from turnmill.plans.registry import DIALOGUES, conversations, query, r6, read, words
 
@@ -211,3 +211,12 @@ def training_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "epoch")
     n = B.store_epoch(rows, path, seed=3, part=4)
     return B.resumed(spark, path, 3 * n + 7, rows.schema, part=4).select("key", "number")
+
+
+@query()
+def beam_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best continuations of each conversation's first word, by what follows what in all conversations (checked against a search sample by sample)."""
+    c = read(spark, sf_dir, "conversations")
+    starts = c.where("turn = 0").select("conv_id", F.element_at(F.split(F.trim("text"), r"\s+"), 1).alias("first")).where("first <> ''")
+    found = DE.beam_search(starts, DE.next_words(c), key="conv_id", start="first", width=3, max_length=8, penalty=1.0)
+    return found.select("conv_id", "rank", F.array_join("words", " ").alias("response"), r6("log_prob").alias("log_prob"))
