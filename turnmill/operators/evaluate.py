@@ -73,9 +73,9 @@ def aligned(references: DataFrame, hypotheses: DataFrame, line: str = "line_no",
     return references.select(line, F.col("value").alias("reference")).join(hypotheses.select(line, F.col("value").alias("hypothesis")), line, "left" if keep_all else "inner")
 
 
-def perplexity(batches: DataFrame, loss: str = "loss", size: str = "batch_size", words: str = "predict_count") -> DataFrame:
-    """exp(sum of loss x size / sum of predicted words); infinity where it overflows."""
-    return batches.agg(F.exp(F.sum(F.col(loss) * F.col(size)) / F.sum(words)).alias("perplexity"))
+def perplexity(batches: DataFrame, loss: str = "loss", size: str = "batch_size", words: str = "predict_count", by: list[str] | None = None) -> DataFrame:
+    """exp(sum of loss x size / sum of predicted words), of all batches or by columns; infinity where it overflows."""
+    return batches.groupBy(*by or []).agg(F.exp(F.sum(F.col(loss) * F.col(size)) / F.sum(words)).alias("perplexity"))
 
 
 def result_line(name: Column, perplexity_: Column, scores: dict[str, Column] | None = None) -> Column:

@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnmill.functions.text import tok, topic_terms
+from turnmill.operators.ranks import written
 from turnmill.operators.stats import most_frequent, term_frequency
 
 NO_TOPIC = "<NO_TOPIC>"
@@ -46,7 +47,8 @@ def train(docs: DataFrame, *, text: str = "text", n_topics: int = 200, no_below:
         raise ValueError("no term is left: lower no_below or raise no_above")
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="counts")
     lda = LDA(k=n_topics, maxIter=passes, optimizer="online", featuresCol="counts", topicDistributionCol="topics", seed=seed, optimizeDocConcentration=True)
-    return PipelineModel([vectors, lda.fit(vectors.transform(rows))])
+    made = written(vectors.transform(rows).select("counts"), "term-vectors")  # read once a pass; the texts are split into terms once
+    return PipelineModel([vectors, lda.fit(made)])
 
 
 def words_of_topics(model: PipelineModel, n: int = 100) -> DataFrame:

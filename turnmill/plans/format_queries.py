@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from turnmill.functions import numbers as M, text as X, tweets as T
 from turnmill.operators import batches as B, embeddings as E, evaluate as EV, ngrams as N, posts as P, stats as S, topics as TP, vocab as V
 from turnmill.operators.dialogues import windows
 from turnmill.plans.corpus_queries import VOCAB
 from turnmill.plans.registry import query, read, words
+from turnmill.streaming import ingest
 from turnmill.session import new_path, ship
 from turnmill.sources import readers as R, writers as W
 
@@ -215,10 +217,10 @@ def topical_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.text_lines(spark, f"{path}.topical").select("value")
 
 
-@query(f"WITH {TURNS} SELECT x AS value FROM c WHERE turn = 1")
+@query(f"WITH {TURNS} SELECT x AS value FROM c")
 def response_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "out")
-    W.responses(turns(spark, sf_dir).where("turn = 1").withColumnRenamed("text", "responses"), path, "test")
+    W.responses(turns(spark, sf_dir).withColumnRenamed("text", "responses"), path, "test")
     return R.text_lines(spark, f"{path}/output_test").select("value")
 
 
@@ -356,3 +358,29 @@ POST_CASES = [
 def post_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every step of post normalization on a case of its own."""
     return cases(spark, POST_CASES).select("x", T.normalize_post(F.col("x")).alias("y"))
+
+
+EVENT_JSON = "event_id bigint, event_type string, user_id bigint, props string"
+
+
+def event_lines(spark: SparkSession, sf_dir: str) -> str:
+    """The events as bzip2-compressed JSON lines, a JSON text among their fields; the folder."""
+    path = new_path(spark, "events-json")
+    rows = read(spark, sf_dir, "events").select(F.to_json(F.struct(*[x.split()[0] for x in EVENT_JSON.split(", ")])).alias("value"))
+    rows.repartition(3).write.option("compression", "bzip2").text(path)
+    return path
+
+
+@query("SELECT event_id, event_type, user_id, props FROM events")
+def json_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compressed JSON lines, read in one go."""
+    return R.json_lines(spark, event_lines(spark, sf_dir), StructType.fromDDL(EVENT_JSON))
+
+
+@query("SELECT event_id, event_type, user_id, props FROM events")
+def json_stream_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compressed JSON lines, read as a stream, a file to a micro-batch."""
+    out = new_path(spark, "events-streamed")
+    rows = ingest.json_stream(spark, event_lines(spark, sf_dir), StructType.fromDDL(EVENT_JSON), files_per_trigger=1)
+    ingest.write_posts(rows, out, f"{out}.checkpoint").awaitTermination()
+    return spark.read.parquet(out)

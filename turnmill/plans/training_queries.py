@@ -114,8 +114,8 @@ def word_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(exp(sum(value / 100 * (user_id + 1)) / sum(user_id + 2)), 6) AS perplexity FROM events GROUP BY event_type")
 def perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").select("event_type", (F.col("value") / 100).alias("loss"), (F.col("user_id") + 1).alias("n"), (F.col("user_id") + 2).alias("c"))
-    return e.groupBy("event_type").agg(F.round(F.exp(F.sum(F.col("loss") * F.col("n")) / F.sum("c")), 6).alias("perplexity"))
+    e = read(spark, sf_dir, "events").select("event_type", (F.col("value") / 100).alias("loss"), (F.col("user_id") + 1).alias("batch_size"), (F.col("user_id") + 2).alias("predict_count"))
+    return V.perplexity(e, by=["event_type"]).withColumn("perplexity", r6("perplexity"))
 
 
 @query("SELECT round(exp(sum(value / 100 * (user_id + 1)) / sum(user_id + 2)), 6) AS perplexity FROM events")
