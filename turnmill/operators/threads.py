@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from turnmill import session
 from turnmill.operators.ranks import written
@@ -43,22 +43,20 @@ class Jumps:
         first = links.join(inner, links["up"] == inner["_u"], "left").select("id", "up", F.lit(1).cast("bigint").alias("dist"), F.col("_u").isNull().alias("top"))
         self.schema = first.schema
         self.rounds = 0
-        self._write(first)
-        while (found := self._counts(self.rounds - 1)).get(False):
-            if not found.get(True):
-                break  # what is left is in a cycle or below one
+        tops, rest = self._write(first)
+        while rest and tops:  # without new tops, what is left is in a cycle or below one
             level = self.table(self.rounds - 1)
             every = self.reached().unionByName(level.where("NOT top"))
             over = every.select(F.col("id").alias("_i"), F.col("up").alias("_up"), F.col("dist").alias("_d"), F.col("top").alias("_top"))
             grown = level.where("NOT top").join(over, F.col("up") == F.col("_i"))
-            self._write(grown.select("id", F.col("_up").alias("up"), (F.col("dist") + F.col("_d")).alias("dist"), F.col("_top").alias("top")))
+            tops, rest = self._write(grown.select("id", F.col("_up").alias("up"), (F.col("dist") + F.col("_d")).alias("dist"), F.col("_top").alias("top")))
 
-    def _write(self, level: DataFrame) -> None:
-        session.written(level, f"{self.base}/{self.rounds}")
+    def _write(self, level: DataFrame) -> tuple[int, int]:
+        """Write the next table; how many of its nodes have reached their root, and how many have not, counted as they are written."""
+        seen = Observation()
+        session.written(level.observe(seen, F.count_if("top").alias("tops"), F.count_if(~F.col("top")).alias("rest")), f"{self.base}/{self.rounds}")
         self.rounds += 1
-
-    def _counts(self, k: int) -> dict[bool, int]:
-        return {r["top"]: r["count"] for r in self.table(k).groupBy("top").count().collect()}  # two rows
+        return seen.get["tops"], seen.get["rest"]
 
     def table(self, k: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.base}/{k}")
@@ -102,10 +100,10 @@ def ancestors(links: DataFrame, jumps: Jumps | None = None) -> DataFrame:
     out = leaves.select(F.col("id").alias("leaf"), "id", F.lit(0).cast("bigint").alias("above"))
     for k in reversed(range(jumps.rounds)):
         step = jumps.at(k).select(F.col("id").alias("_i"), F.col("up").alias("_up"))
-        further = out.join(step, out["id"] == step["_i"]).select("leaf", F.col("_up").alias("id"), (F.col("above") + (1 << k)).alias("above"))
-        out = out.unionByName(further)
-        if k and k % 4 == 0:
-            out = written(out, "ancestors")  # short lineage: each step reads what is before it twice
+        here, further = F.struct("id", "above"), F.struct(F.col("_up").alias("id"), (F.col("above") + (1 << k)).alias("above"))
+        out = out.join(step, out["id"] == step["_i"], "left").select("leaf", F.inline(F.array(here, further))).where("id IS NOT NULL")
+        if k and k % 6 == 0:
+            out = written(out, "ancestors")  # short lineage
     return out
 
 
