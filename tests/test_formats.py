@@ -10,7 +10,7 @@ from turnmill import __main__ as cli
 from turnmill.operators import posts as P
 from turnmill.plans import jobs
 from turnmill.sources import readers as R, writers as W
-from turnmill.streaming import ingest as G
+from turnmill.streaming import contexts as CH, ingest as G
 
 
 def lines(spark, path):
@@ -165,11 +165,10 @@ def test_stream(spark, raw, tmp_path):
 
 def test_stream_state(spark, tmp_path):
     rows = [("c1", 0, "hi"), ("c1", 1, "ho"), ("c2", 0, "x"), ("c1", 2, "hey")]
-    spark.createDataFrame(rows, "conv string, turn bigint, text string").coalesce(1).write.json(f"{tmp_path}/in")
-    stream = spark.readStream.schema("conv string, turn bigint, text string").json(f"{tmp_path}/in")
-    q = G.chat_contexts(stream, 3).writeStream.format("memory").queryName("contexts").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {(r.conv, r.turn): r.context for r in spark.table("contexts").collect()}
+    kind = "conv string, turn bigint, text string, ts timestamp"
+    spark.createDataFrame(rows, "conv string, turn bigint, text string").selectExpr("*", "timestamp_seconds(1700000000 + turn) AS ts").coalesce(1).write.json(f"{tmp_path}/in")
+    CH.started(CH.chat_contexts(spark.readStream.schema(kind).json(f"{tmp_path}/in"), 3), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
+    got = {(r.conv, r.turn): r.context for r in spark.read.schema(CH.CONTEXT).parquet(f"{tmp_path}/out").collect()}
     assert got == {("c1", 0): ["</S>", "hi"], ("c1", 1): ["hi", "ho"], ("c1", 2): ["ho", "hey"], ("c2", 0): ["</S>", "x"]}
     (tmp_path / "t").mkdir()
     times = spark.readStream.schema("ts timestamp, k string").json(f"{tmp_path}/t")

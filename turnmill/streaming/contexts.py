@@ -67,7 +67,8 @@ class Contexts(StatefulProcessor):
 def chat_contexts(rows: DataFrame, turns: int, *, late: str = "10 minutes", keep_ms: int = 3_600_000, end: str = "</S>") -> DataFrame:
     """(conv, turn, context) from a stream (conv string, turn bigint, text string, ts timestamp): the last `turns` - 1 utterances up to and with each one, padded in front with the end mark.
 
-    Turns count from 0. A conversation is over when the watermark, `late` behind the latest row, is keep_ms past its last row; rows after that begin a new one.
+    Turns count from 0. A conversation is over when the watermark, `late` behind the latest row, is keep_ms past its last row; rows after that begin a new one. Rows behind the watermark, which begins at 1970, are
+    dropped as late.
     """
     ship(rows.sparkSession)
     return rows.withWatermark("ts", late).groupBy("conv").transformWithStateInPandas(Contexts(turns, end, keep_ms), CONTEXT, "append", "EventTime")
