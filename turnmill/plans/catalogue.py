@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnmill.plans import corpus_queries, dialogue_queries, format_queries, streaming_queries, training_queries  # noqa: F401
+from turnmill.plans import corpus_queries, dialogue_queries, format_queries, sentence_queries, streaming_queries, training_queries  # noqa: F401
 from turnmill.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
