@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnmill.functions import numbers as M, text as X, tweets as T
+from turnmill.plans import format_queries as FQ
 from turnmill.functions.entities import TAGGED, normalize_entities
 
 
@@ -94,6 +95,31 @@ def test_tweet_helpers():
     assert T.rule_tokens("Don't go, @url$ (now)...") == ["Do", "n't", "go", ",", "@url$", "(", "now", ")", "..."]
 
 
+def test_rule_tokens(spark):
+    texts = ["Don't go, @url$ (now)...", "it's 3.5 <person>!", "Él’s ñandú't 1,000.5 a_b... ....", "", "we'VE n't 's x'y'z o'clock's", "a\u0301b 中文 ½ ²"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, x string")
+    assert [r.y for r in df.select("k", X.rule_tokens("x").alias("y")).orderBy("k").collect()] == [T.rule_tokens(t) for t in texts]
+
+
+#: A text for each rule by itself; the queries of the same names put them behind every turn.
+LITERAL = [
+    (FQ.WORD_CASES, lambda x: F.array_join(X.placeholders(X.tok(x)), " ")),
+    (FQ.BLANK_CASES, lambda x: X.squeeze_whitespace(X.no_nbsp(x))),
+    (FQ.RULE_CASES, lambda x: F.array_join(X.rule_tokens(x), " ")),
+    (FQ.TWEET_CASES, lambda x: F.array_join(T.raw_tokens_udf()(x), "|")),
+    (FQ.FACE_CASES, lambda x: T.emoticons_udf()(x)),
+    (FQ.POST_CASES, T.normalize_post),
+    ([("don't", "do|n't"), ("we've", "we|'ve"), ("she'll", "she|'ll"), ("I'm", "I|'m"), ("it’s", "it|’s"), ("plain", "plain"), ("they'd", "they|'d")], lambda x: F.array_join(X.contraction_parts(x), "|")),
+    ([("``", '"'), ("''", '"'), ("`", "'"), ("-LRB-", "("), ("-RSB-", "]"), ("x", "x")], X.treebank),
+]
+
+
+def test_literal_cases(spark):
+    for cases, rule in LITERAL:
+        df = spark.createDataFrame(cases, "x string, y string")
+        assert not df.withColumn("got", rule(F.col("x"))).where("not got <=> y").collect()
+
+
 def test_whole_normalization(spark):
     df = spark.createDataFrame([("**Hi** @bob :) see http://x.com/a!!!! \U0001f602",)], "x string")
     assert df.select(T.normalize_post(F.col("x")).alias("y")).first().y == "Hi RedditUser  see @url$!!"

@@ -173,10 +173,16 @@ def digit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", X.zero_digits("props").alias("zeros"), X.number_token(F.col("event_id").cast("string")).alias("number"))
 
 
-@query("SELECT t, CASE t WHEN '``' THEN '\"' WHEN '''''' THEN '\"' WHEN '`' THEN '''' WHEN '-LRB-' THEN '(' WHEN '-RRB-' THEN ')' WHEN '-LCB-' THEN '{' WHEN '-RCB-' THEN '}' WHEN '-LSB-' THEN '[' WHEN '-RSB-' THEN ']' ELSE t END AS fixed FROM (SELECT unnest(['``', '''''', '`', '-LRB-', '-RRB-', '-LCB-', '-RCB-', '-LSB-', '-RSB-', 'x']) AS t)")
+MARKS = ["``", "''", "`", "-LRB-", "-RRB-", "-LCB-", "-RCB-", "-LSB-", "-RSB-"]
+
+
+@query(rf"""WITH m AS (SELECT conv_id, turn, list_transform({words('text')}, lambda t, i: CASE WHEN i % 3 = 0 THEN ['``', '''''', '`', '-LRB-', '-RRB-', '-LCB-', '-RCB-', '-LSB-', '-RSB-'][i // 3 % 9 + 1] ELSE t END) AS t FROM conversations)
+SELECT conv_id, turn, array_to_string(list_transform(t, lambda t: CASE t WHEN '``' THEN '"' WHEN '''''' THEN '"' WHEN '`' THEN '''' WHEN '-LRB-' THEN '(' WHEN '-RRB-' THEN ')' WHEN '-LCB-' THEN '{{' WHEN '-RCB-' THEN '}}' WHEN '-LSB-' THEN '[' WHEN '-RSB-' THEN ']' ELSE t END), ' ') AS fixed FROM m""")
 def treebank_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t in ["``", "''", "`", "-LRB-", "-RRB-", "-LCB-", "-RCB-", "-LSB-", "-RSB-", "x"]], "t string")
-    return rows.select("t", X.treebank(F.col("t")).alias("fixed"))
+    """Words of all turns, every third of them a mark in treebank notation."""
+    marks = F.array(*[F.lit(m) for m in MARKS])
+    marked = F.transform(X.tok("text"), lambda t, i: F.when(i % 3 == 2, F.element_at(marks, (F.floor((i + 1) / 3) % len(MARKS) + 1).cast("int"))).otherwise(t))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.transform(marked, X.treebank), " ").alias("fixed"))
 
 
 @query("WITH e AS (SELECT user_id, event_id, event_type, CASE event_type WHEN 'click' THEN '<person>' WHEN 'view' THEN '<url>' ELSE event_type END AS w FROM events), l AS (SELECT *, lag(w) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM e) SELECT user_id, string_agg(w, ' ' ORDER BY event_id) AS line FROM l WHERE NOT (w LIKE '<%' AND p IS NOT NULL AND w = p) GROUP BY user_id")
@@ -199,11 +205,11 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vocab(spark, sf_dir).withColumn("tf", F.coalesce("tf", F.lit(0)))
 
 
-@query(f"WITH {VOCAB}, x AS (SELECT conv_id, turn, unnest({words('text')}) AS word, generate_subscripts({words('text')}, 1) AS i FROM conversations) SELECT conv_id * 1000 + turn AS key, string_agg(coalesce(id, 0), ' ' ORDER BY i) AS ids, string_agg(CASE WHEN id IS NULL THEN '<UNK>' ELSE x.word END, ' ' ORDER BY i) AS decoded FROM x LEFT JOIN v ON x.word = v.word GROUP BY conv_id, turn")
+@query(f"WITH {VOCAB}, x AS (SELECT conv_id, turn, unnest({words('text')}) AS word, generate_subscripts({words('text')}, 1) AS i FROM conversations) SELECT conv_id || ':' || turn AS key, string_agg(coalesce(id, 0), ' ' ORDER BY i) AS ids, string_agg(CASE WHEN id IS NULL THEN '<UNK>' ELSE x.word END, ' ' ORDER BY i) AS decoded FROM x LEFT JOIN v ON x.word = v.word GROUP BY conv_id, turn")
 def vocab_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Utterances as ids, and back."""
     vocab = R.written(_vocab(spark, sf_dir), "vocab")
-    rows = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), V.words_of("text").alias("words"))
+    rows = read(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("key"), V.words_of("text").alias("words"))
     coded = V.decode(V.encode(rows, vocab, key="key"), vocab, key="key")
     return coded.where(F.size("ids") > 0).select("key", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"), F.array_join("decoded", " ").alias("decoded"))
 

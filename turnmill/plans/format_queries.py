@@ -31,15 +31,26 @@ def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.col("u.text").alias("utterances"), F.transform("u", lambda x: F.concat_ws(":", "conv_id", x["turn"])).alias("ids"))
 
 
-def values(*rows: tuple[str, str]) -> str:
-    """SQL for literal rows (x, y)."""
+#: SQL: the plain words of every turn.
+PLAIN = r"t AS (SELECT conv_id, turn, coalesce(array_to_string(list_filter(string_split_regex(text, '\s+'), lambda w: regexp_matches(w, '^[a-z]+$')), ' '), '') AS t FROM conversations)"
+
+
+def cased_sql(rows: list[tuple[str, str]], glue: str = " ", joint: str = " ") -> str:
+    """SQL for `cased` after a rule that leaves plain words alone, turns each case's x into its y, and `glue` into `joint`."""
     spell = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join(f"({spell(x)}, {spell(y)})" for x, y in rows) + ") AS t(x, y)"
+    values = ", ".join(f"({k}, {spell(x)}, {spell(y)})" for k, (x, y) in enumerate(rows))
+    put = lambda t, sep, c: f"{t} || CASE WHEN t = '' THEN '' ELSE {spell(sep)} END || {c} AS {c}"
+    words = f"replace(t, ' ', {spell(joint)})"
+    return f"WITH v AS (SELECT * FROM (VALUES {values}) AS v(k, x, y)), {PLAIN} SELECT conv_id, turn, {put('t', glue, 'x')}, {put(words, joint, 'y')} FROM t JOIN v ON k = (conv_id + turn) % {len(rows)}"
 
 
-def cases(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
+def cased(spark: SparkSession, sf_dir: str, rows: list[tuple[str, str]], glue: str = " ") -> DataFrame:
+    """(conv_id, turn, x): the plain words of every turn, and behind them one of the cases, each in its turn."""
     ship(spark)
-    return spark.createDataFrame([(x,) for x, _ in rows], "x string")
+    t = F.array_join(F.filter(X.tok("text"), lambda w: w.rlike("^[a-z]+$")), " ")
+    case = F.element_at(F.array(*[F.lit(x) for x, _ in rows]), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(rows))) + 1).cast("int"))
+    x = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(t, F.lit("")).alias("t"), case.alias("case"))
+    return x.where(F.col("case").isNotNull()).select("conv_id", "turn", F.concat("t", F.when(F.col("t") == "", "").otherwise(glue), "case").alias("x"))
 
 
 @query(f"WITH {TURNS}, r AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS line_no, x AS value FROM c) SELECT line_no, value FROM r WHERE line_no >= 10")
@@ -297,33 +308,37 @@ def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORD_CASES = [("see @url$ RedditUser @URL$", "see <url> <person> <url>"), ("plain", "plain")]
 
 
-@query(values(*WORD_CASES))
+@query(cased_sql(WORD_CASES))
 def placeholder_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark, WORD_CASES).select("x", F.array_join(X.placeholders(X.tok("x")), " ").alias("y"))
+    return cased(spark, sf_dir, WORD_CASES).select("conv_id", "turn", "x", F.array_join(X.placeholders(X.tok("x")), " ").alias("y"))
 
 
 BLANK_CASES = [("a b", "a b"), (" a   b　c\n", "a b c"), ("x", "x")]
 
 
-@query(values(*BLANK_CASES))
+@query(cased_sql(BLANK_CASES))
 def blank_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark, BLANK_CASES).select("x", X.squeeze_whitespace(X.no_nbsp("x")).alias("y"))
+    return cased(spark, sf_dir, BLANK_CASES).select("conv_id", "turn", "x", X.squeeze_whitespace(X.no_nbsp("x")).alias("y"))
 
 
 CONTRACTION_CASES = [("don't", "do|n't"), ("we've", "we|'ve"), ("she'll", "she|'ll"), ("I'm", "I|'m"), ("it’s", "it|’s"), ("plain", "plain"), ("they'd", "they|'d")]
 
 
-@query(values(*CONTRACTION_CASES))
+@query(r"""WITH w AS (SELECT DISTINCT word || e AS x FROM (SELECT unnest(string_split_regex(text, '\s+')) AS word FROM conversations), (SELECT unnest(['', 'n''t', '''ve', '’ll', '''D', '''re', '’s', '''m', 'n’t']) AS e) WHERE word <> ''),
+m AS (SELECT x, regexp_extract(x, '(?i)^.*?([\p{L}\p{N}_\p{M}]+)(n[''’′]t|[''’′]ve|[''’′]ll|[''’′]d|[''’′]re|[''’′]s|[''’′]m)$', ['a', 'b']) AS m FROM w) SELECT x, CASE WHEN m.b <> '' THEN m.a || '|' || m.b ELSE x END AS y FROM m""")
 def contraction_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark, CONTRACTION_CASES).select("x", F.array_join(X.contraction_parts(F.col("x")), "|").alias("y"))
+    """Every word of the conversations by itself and with each contraction."""
+    ends = F.array(*[F.lit(e) for e in ("", "n't", "'ve", "’ll", "'D", "'re", "’s", "'m", "n’t")])
+    x = read(spark, sf_dir, "conversations").select(F.explode(X.tok("text")).alias("w")).distinct().select(F.explode(F.transform(ends, lambda e: F.concat("w", e))).alias("x")).distinct()
+    return x.select("x", F.array_join(X.contraction_parts(F.col("x")), "|").alias("y"))
 
 
 RULE_CASES = [("Don't go, @url$ (now)...", "Do n't go , @url$ ( now ) ..."), ("it's 3.5 <person>!", "it 's 3.5 <person> !")]
 
 
-@query(values(*RULE_CASES))
+@query(cased_sql(RULE_CASES))
 def rule_token_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark, RULE_CASES).select("x", F.array_join(T.rule_tokens_udf()("x"), " ").alias("y"))
+    return cased(spark, sf_dir, RULE_CASES).select("conv_id", "turn", "x", F.array_join(X.rule_tokens("x"), " ").alias("y"))
 
 
 TWEET_CASES = [
@@ -332,18 +347,18 @@ TWEET_CASES = [
 ]
 
 
-@query(values(*TWEET_CASES))
+@query(cased_sql(TWEET_CASES, joint="|"))
 def tweet_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens: country domains only where there is such a country, faces, addresses, amounts, times, abbreviations, arrows, quotes."""
-    return cases(spark, TWEET_CASES).select("x", F.array_join(T.raw_tokens_udf()("x"), "|").alias("y"))
+    return cased(spark, sf_dir, TWEET_CASES).select("conv_id", "turn", "x", F.array_join(T.raw_tokens_udf()("x"), "|").alias("y"))
 
 
 FACE_CASES = [("good :) day", "good  day"), ("well ಠ_ಠ then", "well  then"), ("xD is a word", "xD is a word"), ("a:)b", "a:)b"), (":)", "")]
 
 
-@query(values(*FACE_CASES))
+@query(cased_sql(FACE_CASES))
 def emoticon_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark, FACE_CASES).select("x", T.emoticons_udf()("x").alias("y"))
+    return cased(spark, sf_dir, FACE_CASES).select("conv_id", "turn", "x", T.emoticons_udf()("x").alias("y"))
 
 
 POST_CASES = [
@@ -354,10 +369,10 @@ POST_CASES = [
 ]
 
 
-@query(values(*POST_CASES))
+@query(cased_sql(POST_CASES, "\n\n"))
 def post_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every step of post normalization on a case of its own."""
-    return cases(spark, POST_CASES).select("x", T.normalize_post(F.col("x")).alias("y"))
+    return cased(spark, sf_dir, POST_CASES, "\n\n").select("conv_id", "turn", "x", T.normalize_post(F.col("x")).alias("y"))
 
 
 EVENT_JSON = "event_id bigint, event_type string, user_id bigint, props string"

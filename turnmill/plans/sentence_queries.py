@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from turnmill.functions import text as X
 from turnmill.operators import ranks as R, sentences as ST
 from turnmill.plans.registry import query, r6, read, words
 
@@ -69,3 +70,16 @@ def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, short, first = _model(spark, sf_dir)
     s = ST.split(docs, short, R.written(first, "starters"), ["doc_id"])
     return s.select("doc_id", F.when(F.col("sentences").isNotNull(), F.size("sentences").cast("long")).alias("sentences"), F.md5(F.array_join("sentences", "\n")).alias("digest"))
+
+
+_RULE = r"regexp_extract_all(text, '@url\$|<[\p{L}\p{N}_]+>|\p{Nd}+(?:[.,]\p{Nd}+)+|[\p{L}\p{N}_]+(?:[''’][\p{L}\p{N}_]+)*|\.\.\.|[^\p{L}\p{N}_\s]')"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, text || ' Don''t go' || doc_id || ', @url$ <person> it’s 3.5...' AS text FROM documents), t AS (SELECT doc_id, unnest({_RULE}) AS t, generate_subscripts({_RULE}, 1) AS i FROM d),
+s AS (SELECT doc_id, i, regexp_replace(t, '(?i)^([\p{{L}}\p{{N}}_]+?)(n[''’]t|[''’](?:ve|ll|d|re|s|m))$', '\1 \2') AS t FROM t)
+SELECT doc_id, md5(string_agg(t, ' ' ORDER BY i)) AS tokens, CAST(sum(CASE WHEN contains(t, ' ') THEN 2 ELSE 1 END) AS INTEGER) AS n FROM s GROUP BY doc_id""")
+def rule_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens by rule of all documents, each with some contractions and placeholders at its end."""
+    text = F.concat("text", F.lit(" Don't go"), "doc_id", F.lit(", @url$ <person> it’s 3.5..."))
+    t = read(spark, sf_dir, "documents").select("doc_id", X.rule_tokens(text).alias("t")).where(F.col("t").isNotNull())
+    return t.select("doc_id", F.md5(F.array_join("t", " ")).alias("tokens"), F.size("t").alias("n"))

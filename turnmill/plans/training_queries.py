@@ -9,17 +9,16 @@ from turnmill.operators import batches as B, decoding as DE, evaluate as V
 from turnmill.session import new_path
 from turnmill.plans.registry import DIALOGUES, conversations, query, r6, read, words
 
-LEN = f"l AS (SELECT conv_id * 1000 + turn AS key, len({words('text')}) AS src, len({words('coalesce(nxt, chr(32))')}) AS tgt FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations))"
-BUCKET = "b AS (SELECT key, src, tgt, least(5, greatest(src // 6, tgt // 6)) AS bucket FROM l)"
+LEN = f"l AS (SELECT conv_id, turn, len({words('text')}) AS src, len({words('coalesce(nxt, chr(32))')}) AS tgt FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations))"
+BUCKET = "b AS (SELECT conv_id, turn, src, tgt, least(5, greatest(src // 6, tgt // 6)) AS bucket FROM l)"
 
 
 def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnmill.functions.text import tok
 
     c = read(spark, sf_dir, "conversations")
-    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("key")
-    after = c.select((F.col("conv_id") * 1000 + F.col("turn") - 1).alias("key"), F.size(tok("text")).alias("tgt"))
-    return c.select(key, F.size(tok("text")).alias("src")).join(after, "key", "left").withColumn("tgt", F.coalesce("tgt", F.lit(0)))
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.size(tok("text")).alias("tgt"))
+    return c.select("conv_id", "turn", F.size(tok("text")).alias("src")).join(after, ["conv_id", "turn"], "left").withColumn("tgt", F.coalesce("tgt", F.lit(0)))
 
 
 @query(f"WITH {LEN}, {BUCKET} SELECT CAST(bucket AS INTEGER) AS bucket, count(*) AS n FROM b GROUP BY bucket")
@@ -27,25 +26,25 @@ def bucket_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.bucketed(_lengths(spark, sf_dir), ["src", "tgt"], src_max_len=30, buckets=5).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-BATCH = "x AS (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY key) - 1) // 16 AS batch FROM b)"
+BATCH = "x AS (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY conv_id, turn) - 1) // 16 AS batch FROM b)"
 
 
-@query(f"WITH {LEN}, {BUCKET}, {BATCH} SELECT key, CAST(bucket AS INTEGER) AS bucket, CAST(batch AS BIGINT) AS batch FROM x")
+@query(f"WITH {LEN}, {BUCKET}, {BATCH} SELECT conv_id, turn, CAST(bucket AS INTEGER) AS bucket, CAST(batch AS BIGINT) AS batch FROM x")
 def batch_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.bucketed(_lengths(spark, sf_dir), ["src", "tgt"], src_max_len=30, buckets=5)
-    return B.batched(rows, 16, ["key"]).select("key", "bucket", "batch")
+    return B.batched(rows, 16, ["conv_id", "turn"]).select("conv_id", "turn", "bucket", "batch")
 
 
 @query(f"WITH {LEN}, {BUCKET}, {BATCH}, y AS (SELECT bucket, batch, count(*) AS n, sum(src) AS t, max(src) AS m FROM x GROUP BY bucket, batch) SELECT CAST(bucket AS INTEGER) AS bucket, count(*) AS batches, CAST(sum(n) AS BIGINT) AS samples, CAST(sum(t) AS BIGINT) AS tokens, CAST(sum(n * m - t) AS BIGINT) AS padded FROM y GROUP BY bucket")
 def pad_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = B.batched(B.bucketed(_lengths(spark, sf_dir), ["src", "tgt"], src_max_len=30, buckets=5), 16, ["key"])
+    rows = B.batched(B.bucketed(_lengths(spark, sf_dir), ["src", "tgt"], src_max_len=30, buckets=5), 16, ["conv_id", "turn"])
     return B.pad_waste(rows, "src")
 
 
-@query(f"WITH {LEN} SELECT key, CASE WHEN src < 10 AND tgt < 15 THEN 0 WHEN src < 30 AND tgt < 40 THEN 1 WHEN src < 200 AND tgt < 200 THEN 2 ELSE -1 END AS pair_bucket FROM l")
+@query(f"WITH {LEN} SELECT conv_id, turn, CASE WHEN src < 10 AND tgt < 15 THEN 0 WHEN src < 30 AND tgt < 40 THEN 1 WHEN src < 200 AND tgt < 200 THEN 2 ELSE -1 END AS pair_bucket FROM l")
 def pair_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = M.pair_bucket(F.col("src"), F.col("tgt"), [(10, 15), (30, 40), (200, 200)])
-    return _lengths(spark, sf_dir).select("key", F.coalesce(found, F.lit(-1)).alias("pair_bucket"))
+    return _lengths(spark, sf_dir).select("conv_id", "turn", F.coalesce(found, F.lit(-1)).alias("pair_bucket"))
 
 
 CUT = f"list_transform(u[1 : len(u) - 1], lambda x, i: CASE WHEN i < len(u) - 1 THEN list_append({words('x')}[1 : 29], '<SEP>') ELSE {words('x')}[1 : 30] END)"
@@ -69,21 +68,21 @@ def topical_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.array_join("tgt", " ").alias("tgt"), F.array_join("topic", " ").alias("topic"), "topic_len")
 
 
-@query(f"WITH {LEN}, {BUCKET}, {BATCH} SELECT key, CAST(max(src) OVER (PARTITION BY bucket, batch) AS INTEGER) AS width FROM x")
+@query(f"WITH {LEN}, {BUCKET}, {BATCH} SELECT conv_id, turn, CAST(max(src) OVER (PARTITION BY bucket, batch) AS INTEGER) AS width FROM x")
 def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = B.batched(B.bucketed(_lengths(spark, sf_dir), ["src", "tgt"], src_max_len=30, buckets=5), 16, ["key"])
+    rows = B.batched(B.bucketed(_lengths(spark, sf_dir), ["src", "tgt"], src_max_len=30, buckets=5), 16, ["conv_id", "turn"])
     rows = rows.withColumn("ids", F.array_repeat(F.lit(7).cast("bigint"), F.col("src")))
-    return B.padded(rows, ["ids"]).select("key", F.size("ids").alias("width"))
+    return B.padded(rows, ["ids"]).select("conv_id", "turn", F.size("ids").alias("width"))
 
 
-PAIRS = "p AS (SELECT conv_id * 1000 + turn AS key, text AS hypothesis, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reference FROM conversations QUALIFY reference IS NOT NULL)"
+PAIRS = "p AS (SELECT conv_id || ':' || turn AS key, text AS hypothesis, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reference FROM conversations QUALIFY reference IS NOT NULL)"
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn as the hypothesis for the next."""
     c = read(spark, sf_dir, "conversations")
-    key = F.col("conv_id") * 1000 + F.col("turn")
-    return c.select(key.alias("key"), F.col("text").alias("hypothesis")).join(c.select((key - 1).alias("key"), F.col("text").alias("reference")).where(F.col("turn") > 0), "key")
+    key = lambda turn: F.concat_ws(":", "conv_id", turn).alias("key")
+    return c.select(key(F.col("turn")), F.col("text").alias("hypothesis")).join(c.where(F.col("turn") > 0).select(key(F.col("turn") - 1), F.col("text").alias("reference")), "key")
 
 
 def _bleu_sql(max_order: int = 4) -> str:
@@ -137,10 +136,12 @@ def train_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.train_stats(log, "event_type").withColumns({c: r6(c) for c in ("step_time", "grad_norm", "kwords_per_s", "perplexity")})
 
 
-@query("SELECT range AS step, CASE WHEN range < 600 THEN 1.0 ELSE power(0.5, (range - 600) // 75) END AS luong234, CASE WHEN range < 450 THEN 1.0 ELSE power(0.5, (range - 450) // 45) END AS luong10, CASE WHEN range < 100 THEN 0.5 ELSE 0.5 * power(0.9, (range - 100) // 50) END AS manual FROM range(900)")
+@query("SELECT o_orderkey AS step, CASE WHEN o_orderkey < 1200 THEN 1.0 ELSE power(0.5, (o_orderkey - 1200) // 150) END AS luong234, CASE WHEN o_orderkey < 900 THEN 1.0 ELSE power(0.5, (o_orderkey - 900) // 90) END AS luong10, CASE WHEN o_orderkey < 100 THEN 0.5 ELSE 0.5 * power(0.9, (o_orderkey - 100) // 50) END AS manual FROM orders")
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates at the orders' keys as steps, of a run of 1,800."""
     s = F.col("step")
-    return spark.range(900).select(F.col("id").alias("step")).select(s, M.decayed(1.0, s, 900, "luong234").alias("luong234"), M.decayed(1.0, s, 900, "luong10").alias("luong10"), M.decayed(0.5, s, 900, "manual", 100, 50, 0.9).alias("manual"))
+    steps = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("step"))
+    return steps.select(s, M.decayed(1.0, s, 1800, "luong234").alias("luong234"), M.decayed(1.0, s, 1800, "luong10").alias("luong10"), M.decayed(0.5, s, 1800, "manual", 100, 50, 0.9).alias("manual"))
 
 
 @query("SELECT event_id, CAST(floor(3 * ceil(value * 100 / 16)) AS BIGINT) AS steps, coalesce(value / nullif(user_id % 7, 0), 0) AS quotient, coalesce(user_id % nullif(user_id % 5, 0), 0) AS rest, CAST(round_even(value * 2, 0) AS INTEGER) AS decode_steps FROM events")
@@ -204,13 +205,13 @@ def dev_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.sample(read(spark, sf_dir, "documents"), 5, "doc_id", seed=3).select("doc_id")
 
 
-@query(f"WITH {LEN}, {BUCKET}, {BATCH}, k AS (SELECT DISTINCT bucket, batch FROM x), n AS (SELECT bucket, batch, row_number() OVER (ORDER BY md5('3:' || CAST(bucket AS INTEGER) || ':' || CAST(batch AS BIGINT))) - 1 AS number FROM k) SELECT key, number FROM x JOIN n USING (bucket, batch) WHERE number >= (SELECT (3 * count(*) + 7) % count(*) FROM n)")
+@query(f"WITH {LEN}, {BUCKET}, {BATCH}, k AS (SELECT DISTINCT bucket, batch FROM x), n AS (SELECT bucket, batch, row_number() OVER (ORDER BY md5('3:' || CAST(bucket AS INTEGER) || ':' || CAST(batch AS BIGINT))) - 1 AS number FROM k) SELECT conv_id, turn, number FROM x JOIN n USING (bucket, batch) WHERE number >= (SELECT (3 * count(*) + 7) % count(*) FROM n)")
 def training_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of the fourth epoch after seven of its batches, from batches that are stored by number."""
-    rows = B.batched(B.bucketed(_lengths(spark, sf_dir), ["src", "tgt"], src_max_len=30, buckets=5), 16, ["key"])
+    rows = B.batched(B.bucketed(_lengths(spark, sf_dir), ["src", "tgt"], src_max_len=30, buckets=5), 16, ["conv_id", "turn"])
     path = new_path(spark, "epoch")
     n = B.store_epoch(rows, path, seed=3, part=4)
-    return B.resumed(spark, path, 3 * n + 7, rows.schema, part=4).select("key", "number")
+    return B.resumed(spark, path, 3 * n + 7, rows.schema, part=4).select("conv_id", "turn", "number")
 
 
 @query()
