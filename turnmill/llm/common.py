@@ -74,6 +74,11 @@ def compact(df: DataFrame) -> DataFrame:
     return df.hint("rebalance")
 
 
+def append(rows: DataFrame, path: str) -> None:
+    """Add rows to a cache or ledger: whole files, in the folder of their version."""
+    rows.write.mode("append").partitionBy("version").parquet(path)
+
+
 def free(*tables: DataFrame) -> None:
     """Let go of kept tables when what was read from them is written."""
     for x in tables:
@@ -154,14 +159,16 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return kept(docs.select(F.col(doc_id).alias("_id"), digest_of(F.col(text)).alias("digest")))
 
 
-def first_texts(docs: DataFrame, keys: DataFrame, misses: DataFrame, doc_id: str, text: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def first_texts(docs: DataFrame, keys: DataFrame, misses: DataFrame, doc_id: str, text: str, broadcast_rows: int = BROADCAST_ROWS, *, held: list[DataFrame] | None = None) -> DataFrame:
     """(digest, _text), one text for each digest of misses (digest, _id: the least id with it), in one more pass over docs.
 
     The rows that needn't be read, copies and known contents, are filtered out by id and digest. If they are few they are broadcast
-    and no text is shuffled.
+    and no text is shuffled. What is kept for it is added to `held`, for the caller to let go.
     """
     others = kept(keys.join(misses, keys["digest"].eqNullSafe(misses["digest"]) & keys["_id"].eqNullSafe(misses["_id"]), "left_anti").distinct())
     few = others.count() <= broadcast_rows
+    if held is not None:
+        held.append(others)
     others = others.select(F.col("_id").alias("_i"), F.col("digest").alias("_d"))
     texts = docs.select(F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text")).withColumn("digest", digest_of(F.col("_text")))
     same = texts["_id"].eqNullSafe(F.col("_i")) & (texts["digest"] == F.col("_d"))

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import adopt, arrow_map, chunks, compact, cut, digest_of, first_texts, kept, keyed, cache_path, table
+from turnmill.llm.common import adopt, append, arrow_map, chunks, compact, cut, digest_of, first_texts, free, kept, keyed, cache_path, table
 
 # The contract's base patterns, with the group and the length that a match needs.
 BASE = [
@@ -129,12 +129,16 @@ def scan(docs: DataFrame, ledger: str, *, doc_id: str = "doc_id", text: str = "t
     docs = adopt(docs)
     spark = docs.sparkSession
     keys = keyed(docs, doc_id, text)
-    seen = read_ledger(spark, ledger).where(F.col("version") == version).select("digest")
     firsts = keys.groupBy("digest").agg(F.min("_id").alias("_id"))
-    unseen = kept(firsts.join(seen, "digest", "left_anti"))
-    compact(scan_blobs(first_texts(docs, keys, unseen, doc_id, text), version)).write.mode("append").parquet(ledger)
+    # the ledger is read once, for this run's blobs; all that is written has the size of this run
+    known = kept(read_ledger(spark, ledger).where(F.col("version") == version).join(firsts.select("digest"), "digest", "left_semi").select("digest", "found").dropDuplicates(["digest"]))
+    unseen = kept(firsts.join(known.select("digest"), "digest", "left_anti"))
+    held = [known, unseen]
+    new = cut(compact(scan_blobs(first_texts(docs, keys, unseen, doc_id, text, held=held), version)), "new-findings")
     # only blobs with findings are joined back; a hot blob is one row of this side
-    found = cut(read_ledger(spark, ledger).where((F.col("version") == version) & (F.size("found") > 0)).dropDuplicates(["digest"]).select("digest", "found"), "found")
+    found = cut(known.unionByName(new.select("digest", "found")).where(F.size("found") > 0), "found")
+    free(*held)
+    append(new, ledger)  # last: what is kept of a folder is computed anew when rows are added to it
     return keys.join(found, "digest", "left").select("_id", "digest", F.coalesce("found", F.array().cast(SPANS)).alias("found"))
 
 

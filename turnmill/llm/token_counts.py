@@ -3,7 +3,7 @@
 A text's key is the SHA-256 of its normalised content and that of the tokenizer (file and library version). Contents are the same if they can't differ in their
 counts: null and empty text are one, and otherwise texts of equal bytes, because a byte-level file without a normalizer counts every byte. Documents are joined to the
 cache by key; of the misses one text per distinct key is encoded, and the new counts are appended. The cache is a Parquet folder in
-shared storage: appends are whole files, so it survives a lost executor, and two runs that append the same key
+shared storage, with a folder for each version, so other versions aren't read: appends are whole files, so it survives a lost executor, and two runs that append the same key
 do no harm (a key's counts are equal; reading takes distinct keys). `compacted` rewrites a cache of many small appends. The registered query takes the cache below
 `spark.turnmill.cache.dir`, if the session names such a folder, and else a new one, so that a run without the setting encodes every content.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnmill.llm.common import adopt, arrow_map, byte_letters, chunks, compact, cut, first_texts, kept, keyed, cache_path, table
+from turnmill.llm.common import adopt, append, arrow_map, byte_letters, chunks, compact, cut, first_texts, free, kept, keyed, cache_path, table
 
 LIMIT = 512
 CACHE_SCHEMA = "digest binary, version string, n_bytes bigint, n_tokens bigint"
@@ -106,14 +106,19 @@ def count_tokens(docs: DataFrame, cache: str, *, path: str, text: str = "text",
     docs = adopt(docs)
     spark = docs.sparkSession
     version = version_of(path)
-    old = read_cache(spark, cache)
     keys = keyed(docs, doc_id, text)
     firsts = keys.groupBy("digest").agg(F.min("_id").alias("_id"))
-    misses = kept(firsts.join(old.where(F.col("version") == version).select("digest"), "digest", "left_anti"))
-    wanted = first_texts(docs, keys, misses, doc_id, text)
-    compact(encode_misses(wanted, path, version)).write.mode("append").parquet(cache)
-    now = read_cache(spark, cache).where(F.col("version") == version).dropDuplicates(["digest"]).select("digest", "n_bytes", "n_tokens")
-    return keys.join(cut(now, "counts"), "digest").select(F.col("_id").alias(doc_id), "n_bytes", "n_tokens")
+    columns = ["digest", "n_bytes", "n_tokens"]
+    # the cache is read once, for this run's digests; all that is written has the size of this run
+    known = kept(read_cache(spark, cache).where(F.col("version") == version).join(firsts.select("digest"), "digest", "left_semi").select(columns).dropDuplicates(["digest"]))
+    misses = kept(firsts.join(known.select("digest"), "digest", "left_anti"))
+    held = [known, misses]
+    wanted = first_texts(docs, keys, misses, doc_id, text, held=held)
+    new = cut(compact(encode_misses(wanted, path, version)), "new-counts")
+    counts = cut(known.unionByName(new.select(columns)), "counts")
+    free(*held)
+    append(new, cache)  # last: what is kept of a folder is computed anew when rows are added to it
+    return keys.join(counts, "digest").select(F.col("_id").alias(doc_id), "n_bytes", "n_tokens")
 
 
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:
@@ -125,7 +130,7 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame:
 
 def compacted(spark: SparkSession, cache: str, to: str) -> None:
     """A copy of a cache or ledger, without repeated keys and in few files, for when many runs have appended to it."""
-    spark.read.parquet(cache).dropDuplicates(["digest", "version"]).hint("rebalance").write.parquet(to)
+    spark.read.parquet(cache).dropDuplicates(["digest", "version"]).hint("rebalance").write.partitionBy("version").parquet(to)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
