@@ -55,3 +55,22 @@ def test_beams(spark, width, length, penalty, broadcast_rows):
         assert [x for _, x in rows[k]] == pytest.approx([x for _, x in want], abs=1e-9), w
         same = sorted(x for x, _ in want) == sorted(x for x, _ in rows[k])
         assert same or len({round(x, 9) for _, x in want}) < len(want)  # sequences of one probability may change places
+
+
+def test_beams_turned_where_they_are(spark, tmp_path):
+    """Halves of floats round as the SQL's, rows that share an id stay apart, a missing id leaves the text null."""
+    import duckdb
+
+    from turnmill.plans.catalogue import QUERIES, SQL
+
+    rows = [(1, [0.1515, 0.2, 0.3, 0.4]), (1, [0.5, 0.6, 0.7, 0.8]), (2, None), (3, [0.1, None, 0.3, 0.4]), (4, [k / 1000 + 0.0005 for k in (7, 33, 101, 250)])]
+    rows += [(5 + k, [k / 1000 + 0.0005, k / 997, -k / 1000 - 0.0005, k / 1009]) for k in range(500)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(map(repr, c.sql(f"SELECT vec_id, beam, ids FROM ({SQL['beam_order']})").fetchall()))
+    assert sorted(repr((r.vec_id, r.beam, r.ids)) for r in QUERIES["beam_order"](spark, str(tmp_path)).collect()) == want
+    import turnmill.operators.evaluate as V
+
+    ragged = spark.createDataFrame([(7, [[1, 2], [3], [4, 5]]), (8, []), (9, None)], "k int, steps array<array<int>>")
+    assert sorted((r.k, r.beam, r.ids) for r in V.beam_major(ragged, "k").collect()) == [(7, 0, [1, 3, 4]), (7, 1, [2, 5])]

@@ -164,9 +164,11 @@ def ranked_beams(beams: DataFrame, key: str, log_prob: str, length: str, weight:
 
 
 def beam_major(rows: DataFrame, key: str, column: str = "steps") -> DataFrame:
-    """(key, beam, ids) from steps: array (time) of array (beam) of ids."""
-    flat = rows.select(key, F.posexplode(column).alias("t", "b")).select(key, "t", F.posexplode("b").alias("beam", "id"))
-    return flat.groupBy(key, "beam").agg(F.array_sort(F.collect_list(F.struct("t", "id"))).alias("s")).select(key, "beam", F.col("s.id").alias("ids"))
+    """(key, beam, ids) from steps: array (time) of array (beam) of ids. Beams are turned where the row is, so rows that share a key stay apart; a step without a beam leaves it out."""
+    widest = F.array_max(F.transform(column, lambda b: F.size(b)))
+    beams = F.when(widest > 0, F.sequence(F.lit(0), widest - 1))
+    x = rows.select(key, F.col(column).alias("_s"), F.explode(beams).alias("beam"))
+    return x.select(key, "beam", F.transform(F.filter("_s", lambda b: F.size(b) > F.col("beam")), lambda b: F.get(b, F.col("beam"))).alias("ids"))
 
 
 def score(rows: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -177,9 +177,10 @@ def decode_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vec_id, CAST(b AS INTEGER) AS beam, CAST(embedding[b + 1] * 1000 AS INTEGER) || ' ' || CAST(embedding[b + 3] * 1000 AS INTEGER) AS ids FROM embeddings, (SELECT unnest([0, 1]) AS b)")
 def beam_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two steps of two beams, beam by beam."""
-    at = lambda k: F.bround(F.element_at("embedding", k) * 1000).cast("int")
+    # in floats as the vectors are: with an integer Spark would multiply in doubles, and halves would round otherwise
+    at = lambda k: F.bround(F.try_element_at("embedding", F.lit(k)) * F.lit(1000).cast("float")).cast("int")
     rows = read(spark, sf_dir, "embeddings").withColumn("steps", F.array(F.array(at(1), at(2)), F.array(at(3), at(4))))
-    return V.beam_major(rows, "vec_id").select("vec_id", "beam", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
+    return V.beam_major(rows, "vec_id").select("vec_id", "beam", F.concat(F.col("ids")[0].cast("string"), F.lit(" "), F.col("ids")[1].cast("string")).alias("ids"))
 
 
 @query("SELECT event_type, min(event_id) FILTER (value = m) AS step, min(value) AS value FROM (SELECT *, min(value) OVER (PARTITION BY event_type) AS m FROM events) GROUP BY event_type")
