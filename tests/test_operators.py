@@ -287,3 +287,18 @@ def test_ranks_in_groups(spark):
     got = ranked_in(spark.createDataFrame(rows, "k bigint, g bigint"), "g", [F.col("k")]).collect()
     for g in (None, 0, 1):
         assert [r["rank"] for r in sorted((r for r in got if r.g == g), key=lambda r: r.k)] == list(range(1, 1 + sum(x == g for _, x in rows)))
+
+
+def test_ngram_counts_by_runs(spark):
+    """Every order against plain counting, with gaps in the orders; a row is shuffled for each position, not for each order of it."""
+    from collections import Counter
+
+    texts = ["a b a b a", "a", "", None, "b  a\tb", "a b", "x y z w a b a b", "a b a b a"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for orders in ([1, 2, 3], [3], [2, 1], [1, 3], [4, 2]):
+        for compat in (False, True):
+            want = Counter((n, " ".join(w[i : i + n])) for t in texts if t for w in [t.split()] for n in orders for i in range(len(w) - n + 1 - compat))
+            assert {(r.n, r.ngram): r.freq for r in N.counts(df, orders, compat=compat).collect()} == want
+            assert {(r.n, r.ngram): r.freq for r in N.counts(df, orders, compat=compat, more_than=2).collect()} == {k: v for k, v in want.items() if v > 2}
+    first = N._runs(df, 3, "text")
+    assert first.agg({"_f": "sum"}).collect()[0][0] == sum(len((t or "").split()) for t in texts)
