@@ -96,3 +96,20 @@ def test_empty(spark):
     assert short.collect() == first.collect() == []
     one = spark.createDataFrame([Row(key=1, text="Ab ba. Cd do.")])
     assert ST.split(one, short, first, ["key"]).first().sentences == ["Ab ba.", "Cd do."]
+
+
+def test_learned_from_one_pass(spark, tmp_path):
+    """Types, abbreviations and starters come from one table of word pairs, and are the same without it."""
+    from turnmill.operators import sentences as ST
+
+    texts = ["Dr. Who came. The end. The \"end.\" He said (approx. five).", None, "", "one..  two.\tThe three", "The"] * 40
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    ST.pairs(df).write.parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs")
+    assert pairs.agg({"n": "sum"}).collect()[0][0] == sum(len((t or "").split()) for t in texts)
+    none = df.limit(0)  # the texts aren't read again
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(ST.counts(none, of_pairs=pairs)) == rows(ST.counts(df)) and ("the", 0, 160) in rows(ST.counts(df))
+    short = ST.abbreviations(df)
+    assert rows(ST.abbreviations(none, of_pairs=pairs)) == rows(short)
+    assert rows(ST.starters(none, short, of_pairs=pairs, least=0.0)) == rows(ST.starters(df, short, least=0.0))

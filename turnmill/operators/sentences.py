@@ -36,15 +36,14 @@ def typed(c: Column) -> Column:
     return F.when(c.rlike(WORD) & ~c.endswith(".."), F.rtrim(c, F.lit(".")))
 
 
-def _words(df: DataFrame, column: str, follow: bool = False) -> DataFrame:
-    """A row for each word: its type, whether one stop ends it, and, if asked for, the type of the next word (null after the last)."""
+def pairs(df: DataFrame, column: str = "text") -> DataFrame:
+    """(word, next, n): how often each word comes, told apart by the next one (null after the last) if it has a full stop.
+
+    All that is learned comes from this table: texts are read once, and cores and types are made of a word once, not each time it comes.
+    """
     w = F.filter(F.split(F.col(column), r"(?U)\s+"), lambda t: t != "")
-    if not follow:
-        rows = df.select(F.explode(w).alias("w")).select(core(F.col("w")).alias("c"))
-        return rows.select(typed(F.col("c")).alias("type"), one_stop(F.col("c")).alias("stop"))
     rows = df.select(w.alias("w")).where(F.size("w") > 0).select(F.inline(F.arrays_zip(F.col("w").alias("word"), F.expr("slice(w, 2, size(w))").alias("next"))))
-    rows = rows.where(F.col("word").contains(".")).select(core(F.col("word")).alias("c"), core(F.col("next")).alias("d"))
-    return rows.select(typed(F.col("c")).alias("type"), one_stop(F.col("c")).alias("stop"), typed(F.col("d")).alias("next"))
+    return rows.select("word", F.when(F.col("word").contains("."), F.col("next")).alias("next")).groupBy("word", "next").agg(F.count("*").alias("n"))
 
 
 def _ll(n: Column, k: Column, p: Column | float) -> Column:
@@ -53,10 +52,11 @@ def _ll(n: Column, k: Column, p: Column | float) -> Column:
     return k * F.ln(F.greatest(p, F.lit(1e-12))) + (n - k) * F.ln(F.greatest(1 - p, F.lit(1e-12)))
 
 
-def counts(df: DataFrame, column: str = "text") -> DataFrame:
-    """(type, stopped, total) of each word's type."""
-    w = _words(df, column).where(F.col("type").isNotNull())
-    return w.groupBy("type").agg(F.count_if("stop").alias("stopped"), F.count("*").alias("total"))
+def counts(df: DataFrame, column: str = "text", of_pairs: DataFrame | None = None) -> DataFrame:
+    """(type, stopped, total) of each word's type. of_pairs: `pairs` of df, if they are there already."""
+    words = (pairs(df, column) if of_pairs is None else of_pairs).groupBy("word").agg(F.sum("n").alias("n"))
+    w = words.select(core(F.col("word")).alias("c"), "n").select(typed(F.col("c")).alias("type"), one_stop(F.col("c")).alias("stop"), "n").where(F.col("type").isNotNull())
+    return w.groupBy("type").agg(F.coalesce(F.sum(F.when(F.col("stop"), F.col("n"))), F.lit(0)).alias("stopped"), F.sum("n").alias("total"))
 
 
 def scored(of_types: DataFrame) -> DataFrame:
@@ -70,19 +70,21 @@ def scored(of_types: DataFrame) -> DataFrame:
     return x.select("type", "stopped", "total", score.alias("score"))
 
 
-def abbreviations(df: DataFrame, column: str = "text", least: float = ABBREVIATION) -> DataFrame:
+def abbreviations(df: DataFrame, column: str = "text", least: float = ABBREVIATION, of_pairs: DataFrame | None = None) -> DataFrame:
     """(type, stopped, total, score) of the corpus's abbreviations."""
-    return scored(counts(df, column)).where(F.col("score") >= least)
+    return scored(counts(df, column, of_pairs)).where(F.col("score") >= least)
 
 
-def starters(df: DataFrame, short: DataFrame, column: str = "text", least: float = STARTER) -> DataFrame:
+def starters(df: DataFrame, short: DataFrame, column: str = "text", least: float = STARTER, of_pairs: DataFrame | None = None) -> DataFrame:
     """(type, after, total, ratio) of the words that stand after sure ends (a stop whose word isn't in `short`) more often than elsewhere."""
-    w = _words(df, column, follow=True).where(F.col("type").isNotNull())
+    of_pairs = pairs(df, column) if of_pairs is None else of_pairs
+    cores = of_pairs.where(F.col("word").contains(".")).select(core(F.col("word")).alias("c"), core(F.col("next")).alias("d"), "n").where(one_stop(F.col("c")))
+    stops = cores.select(typed(F.col("c")).alias("type"), typed(F.col("d")).alias("next"), "n").where(F.col("type").isNotNull())
     # Pairs are counted before they meet the abbreviations, so the join reads a row for each pair of types with a stop between.
-    pairs = w.where("stop").groupBy("type", "next").agg(F.count("*").alias("n"))
-    ends = pairs.join(short.select("type"), "type", "left_anti")
+    stops = stops.groupBy("type", "next").agg(F.sum("n").alias("n"))
+    ends = stops.join(short.select("type"), "type", "left_anti")
     after = ends.where(F.col("next").isNotNull()).groupBy(F.col("next").alias("type")).agg(F.sum("n").alias("after"))
-    of_types = counts(df, column)
+    of_types = counts(df, column, of_pairs)
     whole = of_types.agg(F.sum("total").alias("words")).crossJoin(ends.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("ends")))
     x = after.join(of_types, "type").crossJoin(F.broadcast(whole))
     n, a, k, b = (F.col(c) for c in ("words", "ends", "after", "total"))

@@ -41,8 +41,9 @@ s AS (SELECT type, after, total, ratio FROM r WHERE ratio >= 30 AND inside > exp
 
 def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = read(spark, sf_dir, "documents")
-    short = R.written(ST.abbreviations(docs), "abbreviations")
-    return docs, short, ST.starters(docs, short)
+    pairs = R.written(ST.pairs(docs), "word-pairs")  # the one pass over the texts
+    short = R.written(ST.abbreviations(docs, of_pairs=pairs), "abbreviations")
+    return docs, short, ST.starters(docs, short, of_pairs=pairs)
 
 
 @query(f"WITH {LEARNED} SELECT type, stopped, total, round(score, 6) AS score FROM a")
