@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnmill.llm import decontaminate, near_copies, packing, secrets, toxicity
-from turnmill.llm.common import cache_path, drop, table
+from turnmill.llm.common import cache_path, drop, release, table
 from turnmill.llm.language import remainder
 from turnmill.session import new_path, written
 
@@ -55,6 +55,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             drop(spark, before)  # written and read: the stage before is read no more
         before = path
+        release()
+        spark._jvm.System.gc()  # a stage's plans and results are garbage now: the driver's heap shrinks before the next
     return docs
 
 

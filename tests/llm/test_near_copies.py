@@ -76,3 +76,19 @@ def test_rows(spark):
     assert N.keep_first(documents(spark, [a, a, b], [1, 1, 2])).count() == 2
     assert sorted(r.doc_id for r in N.keep_first(documents(spark, [a, a + " x", b, None, None], [7, None, 3, 9, 8]), broadcast_rows=-1).collect()) == [3, 7, 8]
     assert N.keep_first(documents(spark, [])).count() == 0
+
+
+def test_candidates_by_simhash(spark, monkeypatch):
+    """Pairs within two bits are found by the blocks of SimHash alone, without a band in common; what isn't similar is dropped by the exact check."""
+    import numpy as np
+
+    from turnmill.llm import simhash as S
+
+    rng = random.Random(8)
+    base = [prose(rng, 400) for _ in range(40)]
+    texts = [*base, *(t + " end" for t in base)]
+    near = {(k, k + 40) for k in range(40) if bin(S.fingerprint_of(texts[k].encode(), 5) ^ S.fingerprint_of(texts[k + 40].encode(), 5)).count("1") <= 2}
+    assert len(near) > 20
+    monkeypatch.setattr(N, "bands_of", lambda h: np.array([h.sum()], np.uint64))  # no two of these texts share a band
+    left = {r.doc_id for r in N.keep_first(documents(spark, texts)).collect()}
+    assert left == set(range(80)) - {b for _, b in near}

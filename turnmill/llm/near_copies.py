@@ -1,9 +1,12 @@
-"""Near copies of texts: MinHash candidates, verified by the exact Jaccard similarity of their word shingles.
+"""Near copies of texts: SimHash and MinHash candidates, verified by the exact Jaccard similarity of their word shingles.
 
 Words are those of `simhash`; a text's set is the XXH64 hashes of its `SHINGLE` = 5 words in a row, the whole text where it has fewer. Texts
 of the same words are one node from the start. Two nodes are linked if the similarity of their sets is `SIMILARITY` = 0.8 or more.
 
-Candidates: 128 MinHashes in `BANDS` = 32 bands of `ROWS` = 4; texts that agree in a band meet. A pair at 0.8 meets in none with
+Candidates of `simhash`: each text's fingerprint is made of the same shingles; equal fingerprints, and those that its pigeonhole blocks and Hamming check link, are compared on their
+whole sets. Most pairs at 0.8 differ in more bits than blocks can bridge, so those of a second method are added, not put in its place.
+
+Further candidates: 128 MinHashes in `BANDS` = 32 bands of `ROWS` = 4; texts that agree in a band meet. A pair at 0.8 meets in none with
 probability (1 - 0.8^4)^32 = 5e-8, one of higher similarity more rarely; what doesn't reach 0.8 is dropped when the sets are compared.
 
 Buckets of at most `BUCKET` nodes are joined with themselves. Of a larger one all are first compared with one centre, the node that shares
@@ -25,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from turnmill.llm.common import BROADCAST_ROWS, adopt, arrow_map, cut, free, kept, text_bytes
-from turnmill.llm.simhash import components, hashes_of, keep_first as _keep_first
+from turnmill.llm.common import BROADCAST_ROWS, adopt, arrow_map, cut, drop, free, text_bytes
+from turnmill.llm.simhash import components, fingerprint_of_hashes, hashes_of, keep_first as _keep_first, links as simhash_links
+from turnmill.session import new_path, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -92,19 +96,21 @@ def _node(text: bytes) -> int:
 
 
 def signatures(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
-    """The `keep` columns, _fp (a hash of the words, as a signed long), _n (distinct shingles) and _bands (none for a text without words)."""
-    rows = docs.select(*[docs[c] for c in keep], docs[text].alias("_text"), F.lit(0).cast("bigint").alias("_fp"), F.lit(0).cast("bigint").alias("_n"), F.array().cast("array<bigint>").alias("_bands"))
+    """The `keep` columns, _fp (a hash of the words, as a signed long), _n (distinct shingles), _sim (the SimHash of its shingles) and _bands (none for a text without words)."""
+    rows = docs.select(*[docs[c] for c in keep], docs[text].alias("_text"), F.lit(0).cast("bigint").alias("_fp"), F.lit(0).cast("bigint").alias("_n"), F.lit(0).cast("bigint").alias("_sim"), F.array().cast("array<bigint>").alias("_bands"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, sizes, bands = [], [], []
+            fps, sizes, sims, bands = [], [], [], []
             for x in text_bytes(b.column("_text")):
-                h = shingles_of(x, shingle)
+                every = hashes_of(x, shingle)
+                sims.append(fingerprint_of_hashes(every))
+                h = np.unique(every)
                 fps.append(_node(x))
                 sizes.append(len(h))
                 bands.append(bands_of(h).view(np.int64) if len(h) else np.zeros(0, np.int64))
-            put = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns - 4)), *put], names=[*b.schema.names[:-4], "_fp", "_n", "_bands"])
+            put = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.array(sims, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns - 5)), *put], names=[*b.schema.names[:-5], "_fp", "_n", "_sim", "_bands"])
 
     return arrow_map(rows, run, rows.drop("_text").schema)
 
@@ -156,63 +162,83 @@ def _near(group: pa.Table, similarity: float, bar: float) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
 
-def _beyond_centres(large: DataFrame, found: DataFrame, texts: DataFrame, shingle: int, similarity: float, bar: float, block: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Candidate pairs (a, b) between the components that meet in a large bucket, and the tables to let go of when they are written. large: (key, fp, n, size); found: components so far."""
-    rooted = kept(large.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", "fp", "n", "size", F.coalesce("root", "fp").alias("root")))
+def _table(df: DataFrame, name: str, paths: list[str]) -> DataFrame:
+    """df as a table whose folder is added to `paths`, for the caller to delete. Plans that read it begin here; those of kept tables would hold all that came before, and the driver with them."""
+    paths.append(new_path(df.sparkSession, name))
+    return written(df, paths[-1])
+
+
+def _by_simhash(first: DataFrame, paths: list[str]) -> DataFrame:
+    """Candidate pairs (a, b) by SimHash. first: (fp, sim). The nodes of a fingerprint meet the least of them, and these meet where fingerprints are linked."""
+    least = _table(first.groupBy("sim").agg(F.min("fp").alias("c")), "near-fingerprints", paths)
+    held: list[DataFrame] = []
+    linked = _table(simhash_links(least.select(F.col("sim").alias("fp")), held=held), "near-linked", paths)
+    free(*held)
+    one, two = least.select(F.col("sim").alias("a"), F.col("c").alias("ca")), least.select(F.col("sim").alias("b"), F.col("c").alias("cb"))
+    pairs = linked.join(one, "a").join(two, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    pairs = pairs.unionByName(first.join(least, "sim").where("fp <> c").select(F.col("c").alias("a"), F.col("fp").alias("b")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _beyond_centres(large: DataFrame, found: DataFrame, texts: DataFrame, shingle: int, similarity: float, bar: float, block: int, paths: list[str]) -> DataFrame:
+    """Candidate pairs (a, b) between the components that meet in a large bucket. large: (key, fp, n, size); found: components so far."""
+    rooted = _table(large.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", "fp", "n", "size", F.coalesce("root", "fp").alias("root")), "near-rooted", paths)
     parts = rooted.groupBy("key", "root").agg(F.count("*").alias("s")).groupBy("key").agg(F.max(F.struct("s", "root")).alias("big"), F.count("*").alias("parts")).where("parts > 1")
     met = rooted.join(parts.select("key", F.col("big.root").alias("main")), "key")
     own = met.groupBy("fp").agg(F.collect_set("key").alias("keys"))  # at most one for each band
-    sketches = kept(_sketched(texts.join(own.select("fp"), "fp", "left_semi"), shingle).join(own, "fp"))
+    sketches = _table(_sketched(texts.join(own.select("fp"), "fp", "left_semi"), shingle).join(own, "fp"), "near-sketches", paths)
     cells = F.ceil(F.col("size") / block).cast("int")
     mine = F.pmod(F.xxhash64("fp"), cells).cast("int")
     every = F.sequence(F.lit(0), cells - 1)
     cols = ["key", "fp", "n", "root", "x", "y", "left"]
     rows = met.where("root <> main").select("*", mine.alias("x"), F.explode(every).alias("y"), F.lit(True).alias("left")).select(*cols)
     rows = rows.unionByName(met.select("*", F.explode(every).alias("x"), mine.alias("y"), F.lit(False).alias("left")).select(*cols))
-    return rows.join(sketches, "fp").groupBy("key", "x", "y").applyInArrow(lambda t: _near(t, similarity, bar), "a bigint, b bigint").distinct(), [rooted, sketches]
+    return rows.join(sketches, "fp").groupBy("key", "x", "y").applyInArrow(lambda t: _near(t, similarity, bar), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), doc_id: str = "doc_id", shingle: int = SHINGLE,
                     similarity: float = SIMILARITY, bucket: int = BUCKET, sketch_bar: float = SKETCH_BAR, block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The `keep` columns (doc_id among them), _fp and _root: the least _fp reachable by links."""
     docs = adopt(docs)
+    paths: list[str] = []
+    table = lambda df, name: _table(df, name, paths)
     marked = docs.select(*[docs[c] for c in keep], docs[text].alias("_t"), docs[doc_id].alias("_i"), F.xxhash64(docs[text]).alias("_x"))
-    rows = kept(signatures(marked, text="_t", keep=(*keep, "_i", "_x") if doc_id not in keep else (*keep, "_x"), shingle=shingle))
+    rows = table(signatures(marked, text="_t", keep=(*keep, "_i", "_x") if doc_id not in keep else (*keep, "_x"), shingle=shingle), "near-signatures")
     at = "_i" if doc_id not in keep else doc_id
-    first = rows.where("_n > 0").groupBy(F.col("_fp").alias("fp")).agg(F.min(F.struct(F.col(at).alias("i"), F.col("_x").alias("x"))).alias("f"), F.first("_n").alias("n"), F.first("_bands").alias("bands"))
-    first = kept(first)
+    first = rows.where("_n > 0").groupBy(F.col("_fp").alias("fp")).agg(F.min(F.struct(F.col(at).alias("i"), F.col("_x").alias("x"))).alias("f"), F.first("_n").alias("n"), F.first("_sim").alias("sim"), F.first("_bands").alias("bands"))
+    first = table(first, "near-nodes")
     every = first.select("fp", "n", F.explode("bands").alias("key"))
-    size = kept(every.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    members = kept(every.join(size, "key"))
+    size = every.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = table(every.join(size, "key"), "near-members")
     enough = F.least("n", "m") / F.greatest("n", "m") >= similarity  # sets of other sizes can't reach it
     small = members.where(F.col("size") <= bucket).select("key", "fp", "n")
     other = small.select("key", F.col("fp").alias("b"), F.col("n").alias("m"))
     pairs = small.join(other, "key").where((F.col("fp") < F.col("b")) & enough).select(F.col("fp").alias("a"), "b")
-    large = kept(members.where(F.col("size") > bucket).select("key", "fp", "n", "size"))
+    large = members.where(F.col("size") > bucket).select("key", "fp", "n", "size")
     weight = large.groupBy("fp").agg(F.sum("size").alias("w"))
     centre = large.join(weight, "fp").groupBy("key").agg(F.max(F.struct("w", "fp", F.col("n").alias("m"))).alias("c"))
     stars = large.join(centre, "key").select(F.col("fp").alias("a"), F.col("c.fp").alias("b"), "n", F.col("c.m").alias("m")).where((F.col("a") != F.col("b")) & enough)
-    pairs = kept(pairs.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
+    pairs = pairs.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).unionByName(_by_simhash(first.select("fp", "sim"), paths))
+    pairs = table(pairs.distinct(), "near-pairs")
 
     # the texts of the nodes that meet any other, one row for each
-    wanted = kept(first.join(members.select("fp").distinct(), "fp", "left_semi").select(F.col("fp"), F.col("f.i").alias("_j"), F.col("f.x").alias("_y")))
+    met = members.select("fp").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
+    wanted = table(first.join(met, "fp", "left_semi").select(F.col("fp"), F.col("f.i").alias("_j"), F.col("f.x").alias("_y")), "near-wanted")
     few = wanted.count() <= broadcast_rows
     source = docs.select(docs[doc_id].alias("_i"), F.xxhash64(docs[text]).alias("_x"), docs[text].alias("t"))
     same = source["_i"].eqNullSafe(F.col("_j")) & (source["_x"] == F.col("_y"))
-    texts = kept(source.join(F.broadcast(wanted) if few else wanted.hint("merge"), same).select("fp", "t").dropDuplicates(["fp"]))
+    texts = table(source.join(F.broadcast(wanted) if few else wanted.hint("merge"), same).select("fp", "t").dropDuplicates(["fp"]), "near-texts")
 
     links = cut(_verified(pairs, texts, shingle, similarity), "near-links")
-    free(pairs)
     found = components(links)
     if not large.isEmpty():
-        rest, held = _beyond_centres(large, found, texts, shingle, similarity, sketch_bar, block)
+        rest = _beyond_centres(large, found, texts, shingle, similarity, sketch_bar, block, paths)
         links = links.unionByName(cut(_verified(rest, texts, shingle, similarity), "near-links"))
-        free(*held)
         found = components(links)
-    free(size, members, large, wanted, texts)
     named = first.select("fp").join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("_root"))
     out = cut(rows.select(*keep, "_fp").join(named, "_fp", "left").select(*keep, "_fp", F.coalesce("_root", "_fp").alias("_root")), "near-groups")
-    free(rows, first)
+    for path in paths:
+        drop(docs.sparkSession, path)  # what was read from them is written
     return out
 
 

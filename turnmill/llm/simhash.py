@@ -52,7 +52,10 @@ def hashes_of(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
-    h = hashes_of(text, shingle)
+    return fingerprint_of_hashes(hashes_of(text, shingle))
+
+
+def fingerprint_of_hashes(h: np.ndarray) -> int:
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnmill.llm.common import adopt, arrow_map, chunks, release, table
@@ -125,11 +126,13 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, *, text: str =
     kind = texts.schema["_id"].dataType.simpleString()
     # about per_class rows of each label: a bounded side
     chosen = texts.join(F.broadcast(picked), "_id").groupBy("_id", "y").agg(F.min("_text").alias("_text"))
-    rows = arrow_map(chosen, features, f"_id {kind}, y int, at binary, n binary").withColumn("_o", F.xxhash64("_id")).toArrow().sort_by([("_o", "ascending"), ("_id", "ascending")])
+    rows = arrow_map(chosen, features, f"_id {kind}, y int, at binary, n binary").withColumn("_o", F.xxhash64("_id")).toArrow()
+    # taken in their order one by one: a sorted table would be a second copy in the driver
+    order = pc.sort_indices(rows.select(["_o", "_id"]), sort_keys=[("_o", "ascending"), ("_id", "ascending")]).to_pylist()
     fit = []
-    for at, n, y in zip(rows.column("at"), rows.column("n"), rows.column("y").to_pylist(), strict=True):
-        at = np.frombuffer(at.as_buffer(), "<u4")
-        fit.append((at, ratio[at] * tempered(np.frombuffer(n.as_buffer(), "<u4")).astype(np.float32), y))
+    for i in order:
+        at = np.frombuffer(rows.column("at")[i].as_buffer(), "<u4")
+        fit.append((at, ratio[at] * tempered(np.frombuffer(rows.column("n")[i].as_buffer(), "<u4")).astype(np.float32), rows.column("y")[i].as_py()))
     ones = sum(y for *_, y in fit)
     if not ones or ones == len(fit):
         return empty
