@@ -243,6 +243,24 @@ def test_containment_of_long_lists(spark, broadcast_pieces):
     assert N.found_in(df, listed.limit(0)).collect() == []
 
 
+def test_long_lists_move_no_pieces(spark, monkeypatch):
+    """n-grams of several words beyond the broadcast bound are met by runs of words: a row for each position, none for each 8 characters; blanks at edges and in a row, affixes, long words."""
+    from turnmill.operators import ngrams as N
+
+    def refused(*_):
+        raise AssertionError("pieces")
+
+    monkeypatch.setattr(N, "_pieces", refused)
+    long = "x" * 40
+    texts = [(0, "in there of  the theory"), (1, f"a{long}b c{long}d"), (2, "then\nof the the the"), (3, " of the"), (4, "there of the the"), (5, None)]
+    grams = ["ere of", "re of  the", "of  ", " of", "the the", "n\nof the", f"{long}b c{long}", f"{long[1:]}b c{long[2:]}", " the th", "e the", "of the the the", "there of the ", "absent of"]
+    df, listed = spark.createDataFrame(texts, "line_no bigint, text string"), spark.createDataFrame([(g,) for g in grams], "ngram string")
+    want = sorted((i, g) for i, t in texts for g in grams if t is not None and g in t)
+    assert sorted(tuple(r) for r in N.found_in(df, listed, broadcast_pieces=0).collect()) == want
+    th = [g for g in grams if g.startswith("re ")]  # few beginnings: runs are left out before they move
+    assert sorted(tuple(r) for r in N.found_in(df, listed.where("ngram LIKE 're %'"), broadcast_pieces=0).collect()) == [x for x in want if x[1] in th]
+
+
 def test_thinned_lines(spark):
     from turnmill.operators import ngrams as N
 
