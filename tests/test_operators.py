@@ -261,6 +261,17 @@ def test_long_lists_move_no_pieces(spark, monkeypatch):
     assert sorted(tuple(r) for r in N.found_in(df, listed.where("ngram LIKE 're %'"), broadcast_pieces=0).collect()) == [x for x in want if x[1] in th]
 
 
+def test_copies_of_a_line_are_met_once(spark, monkeypatch):
+    """thinned looks for its n-grams in different lines only."""
+    from turnmill.operators import ngrams as N
+
+    seen, found_in = [], N.found_in
+    monkeypatch.setattr(N, "found_in", lambda texts, *a, **b: (seen.append(texts.count()), found_in(texts, *a, **b))[1])
+    texts = spark.createDataFrame([(i, f"of the x{i % 7}" if i % 2 else None) for i in range(98)], "line_no bigint, text string")
+    drop = {r.line_no for r in N.thinned(texts, spark.createDataFrame([("of the", 2)], "ngram string, quota int")).collect()}
+    assert seen == [7] and len(drop) == 14 and all(i % 2 for i in drop)
+
+
 def test_thinned_lines(spark):
     from turnmill.operators import ngrams as N
 
