@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from turnmill.functions.text import basic_tokens, no_nbsp, tok, zero_digits
 from turnmill.operators.ranks import ranked, top
-from turnmill.session import ship
+from turnmill.session import release, ship
 
 # Reserved words in the order of their ids, and those of the older layout.
 RESERVED = ["<UNK>", "<S>", "</S>", "<SEP>"]
@@ -50,10 +50,14 @@ def words_of(text: Column | str, normalize_digits: bool = False) -> Column:
 BROADCAST_WORDS = 200_000
 
 
+#: Rows that are looked up together: the flat arrays of a batch have the words of so many rows at most.
+LOOKED_UP_ROWS = 1000
+
+
 def _looked_up(rows: DataFrame, side: DataFrame, columns: dict[str, str], default: int | str) -> DataFrame:
     """rows with lists of values looked up where they are: columns names each list and what it becomes. side: (value, to), a broadcast vocabulary.
 
-    The values of a batch are one flat array, so a batch is one hashed lookup; nothing is shuffled or put back together.
+    The values of `LOOKED_UP_ROWS` rows are one flat array, so these are one hashed lookup; nothing is shuffled or put back together.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -67,7 +71,7 @@ def _looked_up(rows: DataFrame, side: DataFrame, columns: dict[str, str], defaul
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, to = sent.value
-        for b in batches:
+        for b in (whole.slice(k, LOOKED_UP_ROWS) for whole in batches for k in range(0, whole.num_rows, LOOKED_UP_ROWS)):
             found = []
             for c in columns:
                 lists = b.column(c)
@@ -75,6 +79,7 @@ def _looked_up(rows: DataFrame, side: DataFrame, columns: dict[str, str], defaul
                 offsets = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
                 found.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pc.fill_null(flat, default)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), *found], names=[*others, *columns.values()])
+        release()
 
     return rows.mapInArrow(run, schema)
 
