@@ -2,10 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from turnmill.operators import batches as B, dialogues as D, embeddings as E, evaluate as V, ngrams as N, posts as P, ranks as R, sanitize as Z, stats as S, threads as T, topics as TP, vocab as O
+from turnmill.session import ARROW, BATCH_ROWS
 
 
 def test_windows(spark):
@@ -117,6 +119,21 @@ def test_vocabulary(spark):
     assert [r.word for r in joint.orderBy("id").collect()] == ["<UNK>", "<S>", "</S>", "<SEP>", "x", "z", "t", "y"]
 
 
+def test_words_are_looked_up_in_small_batches_by_one_process(spark):
+    vocab = O.with_reserved(spark.createDataFrame([(1, "a", 3), (2, "b", 2)], "rank bigint, word string, tf bigint"), O.RESERVED)
+    rows = spark.range(2000, numPartitions=1).withColumnRenamed("id", "k").select("k", F.when(F.col("k") % 3 > 0, F.array(F.lit("a"), F.concat(F.lit("x"), F.col("k") % 2))).alias("words"))
+    whole = {r.k: (r.ids, r.decoded) for r in O.encode_decode(rows, vocab, key="k", joined=True).collect()}
+    both = O.encode_decode(rows, vocab, key="k")
+    assert {r.k: (r.ids, r.decoded) for r in both.collect()} == whole and whole[1] == ([4, 0], ["a", "<UNK>"]) and whole[0] == ([], [])
+    again = O.encode(rows, vocab, out="words", key="k").collect()  # the list itself becomes ids
+    assert {r.k: r.words for r in again} == {k: ids for k, (ids, _) in whole.items()}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(both).count("MapInArrow") == 1 and plan(vocab).count("ExistingRDD") == 1  # the words; reserved ones need no Python
+    sizes = O.encode(rows, vocab, key="k").mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in it), "n bigint").collect()
+    assert max(r.n for r in sizes) <= BATCH_ROWS and sum(r.n for r in sizes) == 2000
+    assert int(spark.conf.get(ARROW)) > BATCH_ROWS  # the caller's session keeps its own
+
+
 def test_embeddings(spark):
     vocab = O.with_reserved(spark.createDataFrame([(1, "a", 3), (2, "b", 2)], "rank bigint, word string, tf bigint"), O.RESERVED)
     table = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [0.0, 0.0])], "word string, vec array<float>")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from turnmill.functions.text import basic_tokens, no_nbsp, tok, zero_digits
 from turnmill.operators.ranks import ranked, top
-from turnmill.session import release, ship
+from turnmill.session import adopt, release
 
 # Reserved words in the order of their ids, and those of the older layout.
 RESERVED = ["<UNK>", "<S>", "</S>", "<SEP>"]
@@ -21,7 +21,8 @@ UNK, START, END, SEP = range(4)
 
 def with_reserved(words: DataFrame, reserved: list[str]) -> DataFrame:
     """(id, word, tf): reserved words first, then `words` (rank from 1, word, tf)."""
-    head = words.sparkSession.createDataFrame([(i, w, None) for i, w in enumerate(reserved)], "id bigint, word string, tf bigint")
+    listed = words.sparkSession.range(1, numPartitions=1).select(F.posexplode(F.array(*[F.lit(w) for w in reserved]).cast("array<string>")).alias("id", "word"))
+    head = listed.select(F.col("id").cast("bigint").alias("id"), "word", F.lit(None).cast("bigint").alias("tf"))
     return head.unionByName(words.select((F.col("rank") + len(reserved) - 1).alias("id"), "word", "tf"))
 
 
@@ -50,35 +51,30 @@ def words_of(text: Column | str, normalize_digits: bool = False) -> Column:
 BROADCAST_WORDS = 200_000
 
 
-#: Rows that are looked up together: the flat arrays of a batch have the words of so many rows at most.
-LOOKED_UP_ROWS = 1000
+def _looked_up(rows: DataFrame, vocab: DataFrame, steps: list[tuple[str, str, str, int | str]]) -> DataFrame:
+    """rows with lists of words as ids, or of ids as words, looked up where they are in a broadcast vocabulary.
 
-
-def _looked_up(rows: DataFrame, side: DataFrame, columns: dict[str, str], default: int | str) -> DataFrame:
-    """rows with lists of values looked up where they are: columns names each list and what it becomes. side: (value, to), a broadcast vocabulary.
-
-    The values of `LOOKED_UP_ROWS` rows are one flat array, so these are one hashed lookup; nothing is shuffled or put back together.
+    steps: (list, what it becomes, the vocabulary's column of that, what stands for unknown values); a step may take the list that an earlier one made. The values of a
+    batch are one flat array, so a batch is one hashed lookup; nothing is shuffled or put back together, and one Python process a task takes all steps.
     """
-    spark = rows.sparkSession
-    ship(spark)
-    table = side.toArrow()  # BROADCAST_WORDS rows at most
-    sent = spark.sparkContext.broadcast((table.column(0).combine_chunks(), table.column(1).combine_chunks()))
-    rows = rows.withColumns({c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in columns})
-    others = [c for c in rows.columns if c not in columns.values()]
-    schema = T.StructType([rows.schema[c] for c in others])
-    for out in columns.values():
-        schema = schema.add(out, T.ArrayType(side.schema[1].dataType))
+    rows = adopt(rows)
+    table = vocab.select("word", "id").toArrow()  # BROADCAST_WORDS rows at most
+    sent = rows.sparkSession.sparkContext.broadcast({c: table.column(c).combine_chunks() for c in ("word", "id")})
+    made = {out: T.ArrayType(vocab.schema[to].dataType) for _, out, to, _ in steps}
+    given = [c for k, (c, *_) in enumerate(steps) if c not in [out for _, out, *_ in steps[:k]]]
+    rows = rows.withColumns({c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in given})
+    others = [c for c in rows.columns if c not in made]
+    schema = T.StructType([*(rows.schema[c] for c in others), *(T.StructField(c, kind) for c, kind in made.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, to = sent.value
-        for b in (whole.slice(k, LOOKED_UP_ROWS) for whole in batches for k in range(0, whole.num_rows, LOOKED_UP_ROWS)):
-            found = []
-            for c in columns:
-                lists = b.column(c)
-                flat = to.take(pc.index_in(lists.flatten().cast(values.type), value_set=values))
-                offsets = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
-                found.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pc.fill_null(flat, default)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), *found], names=[*others, *columns.values()])
+        for b in batches:
+            lists = dict(zip(b.schema.names, b.columns, strict=True))
+            for c, out, to, default in steps:
+                values = sent.value["id" if to == "word" else "word"]
+                flat = sent.value[to].take(pc.index_in(lists[c].flatten().cast(values.type), value_set=values))
+                offsets = np.append(0, np.cumsum(lists[c].value_lengths().to_numpy(zero_copy_only=False)))
+                lists[out] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pc.fill_null(flat, default))
+            yield pa.RecordBatch.from_arrays([lists[c] for c in schema.names], names=schema.names)
         release()
 
     return rows.mapInArrow(run, schema)
@@ -91,9 +87,9 @@ def encode(rows: DataFrame, vocab: DataFrame, words: str = "words", out: str = "
     """
     large = vocab.count() > BROADCAST_WORDS if joined is None else joined
     key = key or rows.columns[0]
-    side = vocab.select("word", "id")
     if not large:
-        return _looked_up(rows, side, {words: out}, unk)
+        return _looked_up(rows, vocab, [(words, out, "id", unk)])
+    side = vocab.select("word", "id")
     flat = rows.select(key, F.posexplode(words).alias("_pos", "word")).join(side, "word", "left")
     back = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("id", F.lit(unk)).alias("id")))).alias("_s"))
     return rows.join(back.select(key, F.col("_s.id").alias("_i")), key, "left").withColumn(out, F.coalesce("_i", F.array().cast("array<bigint>"))).drop("_i")
@@ -105,7 +101,7 @@ def encode_all(rows: DataFrame, vocab: DataFrame, columns: list[str], key: str,
     large = vocab.count() > BROADCAST_WORDS if joined is None else joined
     if not large:
         coded = {c: f"_id_{k}" for k, c in enumerate(columns)}
-        found = _looked_up(rows, side, coded, unk)
+        found = _looked_up(rows, vocab, [(c, o, "id", unk) for c, o in coded.items()])
         return found.select(*[F.col(c) for c in rows.columns if c not in columns], *[F.col(o).alias(c) for c, o in coded.items()])
     tagged = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("w")) for c in columns]))
     flat = rows.select(key, tagged.alias("_t")).select(key, F.col("_t.c").alias("_c"), F.posexplode("_t.w").alias("_pos", "word")).join(side, "word", "left")
@@ -117,14 +113,22 @@ def encode_all(rows: DataFrame, vocab: DataFrame, columns: list[str], key: str,
 def decode(rows: DataFrame, vocab: DataFrame, ids: str = "ids", out: str = "decoded", key: str | None = None, joined: bool | None = None) -> DataFrame:
     """rows with the words of their ids; ids beyond the vocabulary are <UNK>. As encode."""
     key = key or rows.columns[0]
-    side = vocab.select("id", "word")
     if not (vocab.count() > BROADCAST_WORDS if joined is None else joined):
-        return _looked_up(rows, side, {ids: out}, RESERVED[UNK])
+        return _looked_up(rows, vocab, [(ids, out, "word", RESERVED[UNK])])
+    side = vocab.select("id", "word")
     flat = rows.select(key, F.posexplode(ids).alias("_pos", "id")).join(side, "id", "left")
     back = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("word", F.lit(RESERVED[UNK])).alias("word")))).alias("_s"))
     return rows.join(back.select(key, F.col("_s.word").alias("_w")), key, "left").withColumn(out, F.coalesce("_w", F.array().cast("array<string>"))).drop("_w")
 
 
+def encode_decode(rows: DataFrame, vocab: DataFrame, words: str = "words", ids: str = "ids", out: str = "decoded", unk: int = UNK, joined: bool | None = None, key: str | None = None) -> DataFrame:
+    """rows with `ids`, as encode makes them, and `out`, the words of these as decode makes them, in one pass. As encode."""
+    large = vocab.count() > BROADCAST_WORDS if joined is None else joined
+    if not large:
+        return _looked_up(rows, vocab, [(words, ids, "id", unk), (ids, out, "word", RESERVED[UNK])])
+    return decode(encode(rows, vocab, words, ids, unk, True, key), vocab, ids, out, key, True)
+
+
 def oov(tf: DataFrame, vocab: DataFrame) -> DataFrame:
     """tokens, oov_tokens, words, oov_words."""
     seen = tf.join(vocab.select("word", F.lit(1).alias("in")), "word", "left")

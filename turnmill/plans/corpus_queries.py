@@ -210,7 +210,7 @@ def vocab_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Utterances as ids, and back."""
     vocab = R.written(_vocab(spark, sf_dir), "vocab")
     rows = read(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("key"), V.words_of("text").alias("words"))
-    coded = V.decode(V.encode(rows, vocab, key="key"), vocab, key="key")
+    coded = V.encode_decode(rows, vocab, key="key")
     return coded.where(F.size("ids") > 0).select("key", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"), F.array_join("decoded", " ").alias("decoded"))
 
 
