@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from turnmill.plans.catalogue import QUERIES, SQL
+from turnmill.session import ARROW, ARROW_BYTES, BATCH_BYTES, BATCH_ROWS
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -35,6 +36,13 @@ def test_query(spark, db, name):
         assert plain(rows, df.columns) == plain(want.fetchall(), want.columns)
 
 
+@pytest.mark.parametrize("name", ["tweet_tokens", "emoticon_strip", "html_nodes"])
+def test_python_gets_small_batches(spark, name):
+    own = QUERIES[name](spark, SF).sparkSession.conf
+    assert int(own.get(ARROW)) <= BATCH_ROWS and int(own.get(ARROW_BYTES)) <= BATCH_BYTES
+    assert int(spark.conf.get(ARROW)) > BATCH_ROWS  # the caller's session keeps its own
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())

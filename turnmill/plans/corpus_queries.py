@@ -8,6 +8,7 @@ from turnmill.functions import text as X
 from turnmill.functions.entities import normalize_entities
 from turnmill.operators import embeddings as E, ngrams as N, ranks as R, stats as S, topics as TP, vocab as V
 from turnmill.plans.registry import conversations, query, r6, read, words
+from turnmill.session import adopt
 
 TF = f"t AS (SELECT unnest({words('text')}) AS word FROM documents), f AS (SELECT word, count(*) AS tf FROM t GROUP BY word)"
 
@@ -130,28 +131,22 @@ def normalize_post(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def html_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnmill.functions.tweets import html_udf
-    from turnmill.session import ship
 
-    ship(spark)
-    return read(spark, sf_dir, "pages").select("page_id", html_udf()("html").alias("text"))
+    return adopt(read(spark, sf_dir, "pages")).select("page_id", html_udf()("html").alias("text"))
 
 
 @query()
 def tweet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnmill.functions.tweets import raw_tokens_udf
-    from turnmill.session import ship
 
-    ship(spark)
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(raw_tokens_udf()("text"), " ").alias("tokens"))
+    return adopt(read(spark, sf_dir, "conversations")).select("conv_id", "turn", F.array_join(raw_tokens_udf()("text"), " ").alias("tokens"))
 
 
 @query()
 def emoticon_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnmill.functions.tweets import emoticons_udf
-    from turnmill.session import ship
 
-    ship(spark)
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", emoticons_udf()(F.concat("text", F.lit(" :-) x"))).alias("text"))
+    return adopt(read(spark, sf_dir, "conversations")).select("conv_id", "turn", emoticons_udf()(F.concat("text", F.lit(" :-) x"))).alias("text"))
 
 
 FACES = ["x :) y", "x :( y", ":) :(", "=D", "^_^", "hi", ":o]", "[:", ":-["]
