@@ -36,7 +36,7 @@ def test_query(spark, db, name):
         assert plain(rows, df.columns) == plain(want.fetchall(), want.columns)
 
 
-@pytest.mark.parametrize("name", ["tweet_tokens", "emoticon_strip", "html_nodes"])
+@pytest.mark.parametrize("name", ["tweet_tokens", "emoticon_strip", "html_nodes", "post_cases", "normalize_post", "tweet_cases", "emoticon_cases"])
 def test_python_gets_small_batches(spark, name):
     own = QUERIES[name](spark, SF).sparkSession.conf
     assert int(own.get(ARROW)) <= BATCH_ROWS and int(own.get(ARROW_BYTES)) <= BATCH_BYTES

@@ -122,10 +122,8 @@ def normalize_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalize_post(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All steps, with the Arrow UDFs for markdown and emoticons."""
     from turnmill.functions.tweets import normalize_post as whole
-    from turnmill.session import ship
 
-    ship(spark)
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", whole(F.col("text")).alias("norm"))
+    return adopt(read(spark, sf_dir, "conversations")).select("conv_id", "turn", whole(F.col("text")).alias("norm"))
 
 
 @query()

@@ -13,15 +13,14 @@ from turnmill.functions.text import rule_tokens
 from turnmill.functions.tweets import normalize_post
 from turnmill.operators import batches as B, dialogues as D, evaluate as EV, ngrams as N, posts as P, sanitize as Z, stats as S, threads as T, topics as TP, vocab as V
 from turnmill.operators.ranks import ranked, written
-from turnmill.session import ship
+from turnmill.session import adopt
 from turnmill.sources import readers as R, writers as W
 from turnmill.streaming import ingest
 
 
 def _judge(posts: DataFrame, *, bots: str | None, rules: DataFrame | None, emoticons: list[str] | None, max_chars: int, max_words: int | None, min_words: int) -> DataFrame:
-    ship(posts.sparkSession)
     spark = posts.sparkSession
-    return P.judged(posts, bots=R.bots(spark, bots) if bots else None, rules=rules, normalize=lambda t: normalize_post(t, emoticons), max_chars=max_chars, max_words=max_words, min_words=min_words, tokens=rule_tokens)
+    return P.judged(adopt(posts), bots=R.bots(spark, bots) if bots else None, rules=rules, normalize=lambda t: normalize_post(t, emoticons), max_chars=max_chars, max_words=max_words, min_words=min_words, tokens=rule_tokens)
 
 
 def ingest_posts(spark: SparkSession, out: str, *, comments: str | None = None, submissions: str | None = None, subreddits: str | None = None, bots: str | None = None, emoticons: str | None = None, max_chars: int = 150, max_words: int | None = None, min_words: int = 2, stream: bool = False, checkpoint: str | None = None, min_chars: int = 5, batch_size: int = 100_000) -> DataFrame | None:
