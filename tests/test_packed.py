@@ -3,11 +3,13 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from turnmill.operators import ngrams as N, packed as P
 
 
-def shuffled(spark, df):
-    """MB that writing df to nowhere puts into shuffles."""
+def shuffled(spark, make):
+    """MB that making a table and writing it to nowhere puts into shuffles."""
     sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
 
     def total():
@@ -17,7 +19,7 @@ def shuffled(spark, df):
         return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
 
     before = total()
-    df.write.format("noop").mode("overwrite").save()
+    make().write.format("noop").mode("overwrite").save()
     return (total() - before) / 1e6
 
 
@@ -55,4 +57,32 @@ def test_counts_are_shuffled_packed(spark):
     words = made(rng, 900_000)
     texts = [" ".join(words[k : k + 300]) for k in range(0, len(words), 300)]
     df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(2)
-    assert shuffled(spark, N.counts(df, [1, 2, 3])) < 12e-6 * len(words)
+    assert shuffled(spark, lambda: N.counts(df, [1, 2, 3])) < 12e-6 * len(words)
+
+
+def test_listed_ngrams_are_shuffled_packed(spark, tmp_path):
+    """Lists as long as the texts: less is shuffled than 24 bytes a word, keys and list included."""
+    rng = random.Random(2)
+    words = made(rng, 200_000)
+    texts = [(k, " ".join(words[k : k + 100])) for k in range(0, len(words), 100)]
+    df = spark.createDataFrame(texts, "line_no bigint, text string").coalesce(2)
+    N.counts(df, [3], rows_chars=0).write.parquet(f"{tmp_path}/grams")
+    grams = spark.read.parquet(f"{tmp_path}/grams")
+    assert shuffled(spark, lambda: N.found_in(df, grams, broadcast_pieces=0)) < 24e-6 * len(words)
+
+
+def test_listed_ngrams_in_blocks(spark):
+    """Runs of all lengths with affixes, blanks at ends and in a row, frequent runs, line breaks and copies of n-grams, in many blocks, by keys of several types, against all pairs."""
+    from datetime import datetime, timedelta
+
+    rng = random.Random(3)
+    word = lambda: rng.choice(["", "", "a", "é", "th", "the", "of", "ofa", "th\nof", "\0", "\U0001f468x", "x" * 50])
+    at = lambda i: datetime(2026, 1, 1) + timedelta(seconds=i)
+    texts = [(i, at(i), " ".join(word() for _ in range(rng.randint(0, 9)))) for i in range(150)] + [(i, at(i), "of the of the") for i in range(150, 250)] + [(250, at(250), None)]
+    grams = [*{" ".join(word() for _ in range(rng.randint(2, 5))) for _ in range(1500)}, "f th", "e o", " ", "  "]
+    df = spark.createDataFrame(texts, "k int, at timestamp, text string").withColumn("both", F.struct("k", "at")).repartition(5)
+    listed = spark.createDataFrame([(g,) for g in [*grams, *grams[:50]]], "ngram string").repartition(3)
+    want = sorted((i, g) for i, _, t in texts for g in set(grams) if t is not None and g in t)
+    assert sorted(tuple(r) for r in N.found_in(df, listed, key="k", broadcast_pieces=0).collect()) == want
+    assert sorted((r.both.k, r.ngram) for r in N.found_in(df, listed, key="both", broadcast_pieces=0).collect()) == want
+    assert sorted((r["at"], r.ngram) for r in N.found_in(df, listed, key="at", broadcast_pieces=0).collect()) == [(at(i), g) for i, g in want]

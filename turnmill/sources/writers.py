@@ -60,10 +60,12 @@ def ordered_words(df: DataFrame, order: list[Column], path: str, columns: list[s
     df.orderBy(*order).select(F.concat_ws("\t", *[F.col(c).cast("string") for c in cols]).alias("value")).write.mode("overwrite").text(path)
 
 
-def ngrams(df: DataFrame, path: str, more_than: int = 10) -> None:
-    """ngram and count, tab-separated, of n-grams more frequent than more_than, in a folder for each order (path.{n}grams)."""
-    df = written(df.where(F.col("freq") > more_than), "ngrams")
-    for n in [r["n"] for r in df.select("n").distinct().collect()]:  # as many as orders
+def ngrams(df: DataFrame, path: str, more_than: int = 10, order: int | None = None) -> None:
+    """ngram and count, tab-separated, of n-grams more frequent than more_than, in a folder for each order (path.{n}grams). order: the only one that df has, if it is known, so that df is written once."""
+    df = df.where(F.col("freq") > more_than)
+    if order is None:
+        df = written(df, "ngrams")
+    for n in [r["n"] for r in df.select("n").distinct().collect()] if order is None else [order]:  # as many as orders
         rows = df.where(F.col("n") == n)
         rows.select(F.concat_ws("\t", "ngram", F.col("freq").cast("string")).alias("value")).write.mode("overwrite").text(f"{path}.{n}grams")
 
