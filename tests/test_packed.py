@@ -86,3 +86,14 @@ def test_listed_ngrams_in_blocks(spark):
     assert sorted(tuple(r) for r in N.found_in(df, listed, key="k", broadcast_pieces=0).collect()) == want
     assert sorted((r.both.k, r.ngram) for r in N.found_in(df, listed, key="both", broadcast_pieces=0).collect()) == want
     assert sorted((r["at"], r.ngram) for r in N.found_in(df, listed, key="at", broadcast_pieces=0).collect()) == [(at(i), g) for i, g in want]
+
+
+def test_frequent_words_lead_nowhere(spark):
+    """A long word that is everywhere is known before, so its n-grams go to all buckets."""
+    rng = random.Random(4)
+    df = spark.createDataFrame([(w,) for w in (["everywhere", a, b] for a, b in zip(made(rng, 2000), made(rng, 2000)))], "_w array<string>")
+    assert P.frequent(df, 10**6, 2)[0] == "everywhere" and len(P.frequent(df, 10**6, 2)) == 2 * P.LEADERS
+    assert "everywhere" in P.frequent(df, 2 * P.SAMPLE_CHARS, 2)
+    np = P.np
+    cells = P._cells([np.arange(10_000, dtype=np.uint64)], 12, 10_000, np.zeros(10_000, np.uint64))
+    assert np.bincount(cells // P.SHARES, minlength=12).max() < 1000 and np.bincount(cells % P.SHARES).max() < 800
